@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, topk
+from . import line_dedup, mixing, packing, topk, warc
 from .common import table
 
 
@@ -10,8 +10,11 @@ def queries() -> dict:
     return {
         "op1_line_dedup": lambda spark, d: line_dedup.op1_line_dedup(table(spark, d, "documents")),
         "op2_topk": lambda spark, d: topk.op2_topk(table(spark, d, "embeddings")),
+        "op5_packing": lambda spark, d: packing.op5_packing(table(spark, d, "documents")),
+        "op9_mixing": lambda spark, d: mixing.op9_mixing(table(spark, d, "documents")),
+        "op10_warc": lambda spark, d: warc.op10_warc(table(spark, d, "pages")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_topk": topk.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_topk": topk.ORACLE, "op10_warc": warc.ORACLE}
