@@ -61,7 +61,7 @@ def doomed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
         held.groupBy("_h").agg(F.countDistinct("_id").alias("_n"), F.max("_id").alias("_last")).where(F.col("_n") >= min_docs).select("_h", "_last"),
         "common-lines",
     )
-    loses = held.join(common, "_h").where(F.col("_id") != F.col("_last"))
+    loses = held.join(common.hint("merge"), "_h").where(F.col("_id") != F.col("_last"))
     return materialize(loses.groupBy("_id").agg(F.collect_set("_h").alias("_doomed")), "doomed-lines")
 
 
@@ -80,7 +80,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     doomed = doomed_lines(docs, id_col, text_col, min_chars, min_docs).withColumnRenamed("_id", "_doomed_id")
     names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    joined = docs.join(doomed, docs[id_col] == doomed["_doomed_id"], "left").select(*[docs[c] for c in names], docs[text_col].alias("_text"), "_doomed")
+    # sorted by id at every size: a table of doomed lines grows with the corpus, and Spark splits what is skewed
+    joined = docs.join(doomed.hint("merge"), docs[id_col] == doomed["_doomed_id"], "left").select(*[docs[c] for c in names], docs[text_col].alias("_text"), "_doomed")
     schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("_kept", T.StringType()), T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
     rebuilt = joined.mapInArrow(_rebuild, schema)
     return rebuilt.withColumnsRenamed({"_kept": "kept_text", "_n_lines": "n_lines", "_n_dropped": "n_dropped"})
