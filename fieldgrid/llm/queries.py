@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, topk, warc
+from . import langid, line_dedup, mixing, packing, topk, warc
 from .common import table
 
 
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_line_dedup": lambda spark, d: line_dedup.op1_line_dedup(table(spark, d, "documents")),
         "op2_topk": lambda spark, d: topk.op2_topk(table(spark, d, "embeddings")),
         "op5_packing": lambda spark, d: packing.op5_packing(table(spark, d, "documents")),
+        "op6_langid": lambda spark, d: langid.op6_langid(table(spark, d, "documents")),
         "op9_mixing": lambda spark, d: mixing.op9_mixing(table(spark, d, "documents")),
         "op10_warc": lambda spark, d: warc.op10_warc(table(spark, d, "pages")),
     }
