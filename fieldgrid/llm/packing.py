@@ -26,26 +26,54 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.np, self.seen, self.flat, self.ends = np, {}, np.zeros(0, "<u4"), np.zeros(1, "int64")
+        #: Whether an id ends a unit of the tokenizer.
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+
+    def encode(self, texts) -> list:
+        """The ids of each text of an Arrow array."""
+        import pyarrow.compute as pc
 
-    def encode(self, texts: list[str]) -> list:
         np = self.np
         if len(self.seen) > MAX_WORDS:
             self.seen, self.flat, self.ends = {}, np.zeros(0, "<u4"), np.zeros(1, "int64")
-        words = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.seen))
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            for w in new:
+        parted = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        ends = parted.value_lengths().to_numpy(zero_copy_only=False).cumsum()
+        coded = parted.flatten().dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        self._learn([w for w in own if w not in self.seen])
+        numbers = np.fromiter(map(self.seen.__getitem__, own), "int64", len(own))
+        at = numbers[coded.indices.to_numpy()]
+        first, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        upto = np.cumsum(n)
+        ids = self.flat[np.repeat(first - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        return np.split(ids, np.append(0, upto)[ends[:-1]])
+
+    def _learn(self, new: list[str]) -> None:
+        np = self.np
+        plain, other, found = [], [], []
+        for w in new:
+            core = w.rstrip(".,;:!?")
+            # letters alone are one unit of the tokenizer, marks at the end another
+            (plain if core.isalpha() and w.lower()[: len(core)].isalpha() and len(w.lower()) == len(w) else other).append((w, 1 + (len(core) < len(w))))
+        for lo in range(0, len(plain), 2000):
+            part = plain[lo : lo + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(w for w, _ in part), add_special_tokens=False).ids, "<u4")
+            units, last = np.cumsum([k for _, k in part]), np.nonzero(self.last[ids])[0] + 1
+            if len(last) == units[-1]:
+                found.append(([w for w, _ in part], ids, last[units - 1]))
+            else:
+                other += part
+        if other:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, _ in other], add_special_tokens=False)]
+            found.append(([w for w, _ in other], np.fromiter((i for x in each for i in x), "<u4"), np.cumsum([len(x) for x in each], dtype="int64")))
+        ends, size = [self.ends], len(self.flat)
+        for words, ids, last in found:
+            for w in words:
                 self.seen[w] = len(self.seen)
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), "<u4")])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype="int64")])
-        out = []
-        for ws in words:
-            at = np.fromiter((self.seen[w] for w in ws), "int64", len(ws))
-            first, n = self.ends[at], self.ends[at + 1] - self.ends[at]
-            upto = np.cumsum(n)
-            out.append(self.flat[np.repeat(first - upto + n, n) + np.arange(upto[-1] if len(ws) else 0)])
-        return out
+            ends.append(size + last)
+            size += len(ids)
+        self.ends, self.flat = np.concatenate(ends), np.concatenate([self.flat, *[ids for _, ids, _ in found]])
 
 
 class SumOfSquares:
@@ -171,9 +199,9 @@ def _pack(tokenizer_path: str, window: int):
             carried = batch.select([c for c in batch.schema.names if c != "_text"])
             schema = carried.schema
             texts = batch.column(batch.schema.names.index("_text"))
-            for lo in range(0, batch.num_rows, 256):
-                own = list(zip(*[c.slice(lo, 256).to_pylist() for c in carried.columns])) if carried.num_columns else [()] * 256
-                for row, ids in zip(own, words.encode([x or "" for x in texts.slice(lo, 256).to_pylist()])):
+            for lo in range(0, batch.num_rows, 2048):
+                own = list(zip(*[c.slice(lo, 2048).to_pylist() for c in carried.columns])) if carried.num_columns else [()] * 2048
+                for row, ids in zip(own, words.encode(texts.slice(lo, 2048))):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     docs[n] = [row, ids, len(ids)]
                     packer.add(n, len(ids))
