@@ -80,17 +80,18 @@ def _slots(blocks_of, quota_of, seed):
         import numpy as np
         import pandas as pd
 
+        blocks, quotas = np.array(blocks_of), np.array(quota_of)
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                s = int(r.source_ix)
-                k = np.arange(r.k0, min(r.k0 + r.n, quota_of[s]))
-                if not len(k):
-                    continue
-                n, block = blocks_of[s], np.empty(len(k), "int64")
-                for epoch in np.unique(k // n):
-                    own = k // n == epoch
-                    block[own] = permuted(k[own] % n, n, [seed, s, int(epoch)])
-                yield pd.DataFrame({"source_ix": np.int32(s), "block": block, "shard": int(r.shard), "slot": k})
+            source, k0 = pdf["source_ix"].to_numpy(), pdf["k0"].to_numpy()
+            n = np.clip(quotas[source] - k0, 0, pdf["n"].to_numpy())
+            if not n.sum():
+                continue
+            k = np.repeat(k0 - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out = pd.DataFrame({"source_ix": np.repeat(source, n), "block": 0, "shard": np.repeat(pdf["shard"].to_numpy(), n), "slot": k})
+            out["epoch"] = out["slot"] // blocks[out["source_ix"]]
+            for (s, epoch), own in out.groupby(["source_ix", "epoch"], sort=False):
+                out.loc[own.index, "block"] = permuted(own["slot"].to_numpy() % blocks[s], blocks[s], [seed, int(s), int(epoch)])
+            yield out.drop(columns="epoch")
 
     return run
 
