@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +11,22 @@ from .common import fold, materialize
 
 #: Documents of each label that the fit reads at most (about: they are chosen by a hash of their ids).
 FIT_DOCS = 20_000
-#: A term is in at least so many toxic documents, and so many times likelier there than in others.
-MIN_DOCS, MIN_RATIO = 6, 25.0
+#: A term is so many times likelier in toxic documents than in others (a stem, in the second place), and its log-likelihood ratio statistic is at least so large.
+MIN_RATIO, MIN_STEM_RATIO, MIN_STATISTIC = 12.0, 4.0, 28.0
 #: Shared beginnings of words count as terms at these lengths, if at least MIN_FORMS words have them.
-STEM_CHARS, MIN_FORMS = range(4, 9), 4
+STEM_CHARS, MIN_FORMS = range(3, 9), 4
 MAX_TERMS = 20_000
 #: Terms of this length also match at edit distance 1.
 FUZZY_CHARS = 5
 #: Words to each side of a hit that are searched for marks of quotation, and the words that report speech.
 CONTEXT = 4
 OPENING, CLOSING = "\"“«„‘'‹", "\"”»“’'›"
-#: Toxic and other documents that each kind of hit is thought to have been seen in before any data.
-PRIOR = {"plain": (1.0, 0.2), "fuzzy": (1.0, 1.0), "stem": (1.0, 0.2), "quoted": (0.5, 2.0)}
+#: Before any hits of a kind are seen, the toxic documents with one number this share of those with the plain term, and the others this many.
+PRIOR = {"plain": (1.0, 0.5), "stem": (1.0, 0.5), "fuzzy": (0.2, 0.5), "quoted": (0.02, 1.0)}
+#: No hit weighs more, in natural logarithms of odds.
+MAX_WEIGHT = 8.0
+#: The log odds of a text without hits are no less, so that one plain hit of a sure term suffices.
+MIN_BASE = -6.5
 THRESHOLD = 0.7
 STRIP = ".,;:!?()[]{}…-–—*_/\\|" + OPENING + CLOSING
 
@@ -33,7 +39,8 @@ class Automaton:
     """The Levenshtein automata of distance 1, intersected with a trie of terms and made deterministic as words need it.
 
     A state is a set of pairs (node of the trie, edits so far). Terms under FUZZY_CHARS
-    accept no edit. A stem accepts whatever goes on after it, without edits.
+    accept no edit. A complete stem stays in the state as (-1 - its node, 0), whatever
+    follows; a term of the whole word comes before it, and a misspelling after.
     """
 
     MAX_STATES = 200_000
@@ -71,19 +78,24 @@ class Automaton:
         exact = [self.term[n] for n, e in state if e == 0 and n in self.term]
         if exact:
             return "plain", exact[0]
+        stems = [self.stem[-1 - n] for n, _ in state if n < 0]
+        if stems:
+            return "stem", max(stems, key=lambda x: (len(x), x))
         near = [self.term[n] for n, e in state if e == 1 and n in self.term and len(self.term[n]) >= FUZZY_CHARS]
-        near += [self.term[m] for n, e in state if e == 0 for m in self.children[n].values() if m in self.term and len(self.term[m]) >= FUZZY_CHARS]
+        near += [self.term[m] for n, e in state if e == 0 and n >= 0 for m in self.children[n].values() if m in self.term and len(self.term[m]) >= FUZZY_CHARS]
         return ("fuzzy", min(near)) if near else None
 
     def _move(self, state: int, c: str):
-        """The next state, or (stem,) once a stem is complete."""
         out = set()
         for n, e in self.sets[state]:
+            if n < 0:
+                out.add((n, e))
+                continue
             below = self.children[n]
             if c in below:
-                if e == 0 and below[c] in self.stem:
-                    return (self.stem[below[c]],)
                 out.add((below[c], e))
+                if e == 0 and below[c] in self.stem:
+                    out.add((-1 - below[c], 0))
             if e == 0:
                 out.add((n, 1))
                 for m in below.values():
@@ -91,28 +103,26 @@ class Automaton:
                     if c in self.children[m]:
                         out.add((self.children[m][c], 1))
         # what no term can be reached from is dropped
-        return self._number(frozenset(x for x in out if self.children[x[0]] or x[0] in self.term))
+        return self._number(frozenset(x for x in out if x[0] < 0 or self.children[x[0]] or x[0] in self.term))
 
     def match(self, word: str):
         """(kind, term), kind being plain, fuzzy or stem, or None."""
         if len(self.sets) > self.MAX_STATES:
             self._forget()
-        state, dead = self.start, self.numbers.get(frozenset(), -1)
+        state = self.start
         for c in word:
             c = c if c in self.letters else ""
             to = self.moves[state].get(c)
             if to is None:
                 to = self.moves[state][c] = self._move(state, c)
-            if to.__class__ is tuple:
-                return "stem", to[0]
-            if to == dead or not self.sets[to]:
+            if not self.sets[to]:
                 return None
             state = to
         return self.ends[state]
 
 
-def hits(text: str, known: dict, automaton: Automaton) -> list[tuple[str, str]]:
-    """(kind, term) of each term in the text; a hit within marks of quotation is of kind quoted. known: what words matched so far."""
+def hits(text: str, known: dict, automaton: Automaton) -> list[tuple[str, str, str]]:
+    """(kind, term, word) of each term in the text; a hit within marks of quotation is of kind quoted. known: what words matched so far."""
     tokens = text.lower().split()
     out = []
     for i, t in enumerate(tokens):
@@ -126,7 +136,7 @@ def hits(text: str, known: dict, automaton: Automaton) -> list[tuple[str, str]]:
             opened = max((j for j, x in enumerate(before) if x[0] in OPENING), default=-1)
             closed = max((j for j, x in enumerate(before[:-1]) if x.rstrip(".,;:!?")[-1:] in CLOSING), default=-2)
             quoted = opened >= 0 and closed < opened and any(x.rstrip(".,;:!?")[-1:] in CLOSING for x in after)
-            out.append(("quoted", found[1]) if quoted else found)
+            out.append(("quoted" if quoted else found[0], found[1], word_of(t)))
     return out
 
 
@@ -145,6 +155,14 @@ def _features(batches):
         yield pd.DataFrame([(w, stem, k if t else 0, 0 if t else k) for (w, stem, t), k in n.items()], columns=["term", "is_stem", "toxic", "other"])
 
 
+def _by_hit(found: list) -> dict:
+    """The different words of each (kind, term)."""
+    out: dict = {}
+    for kind, term, word in found:
+        out.setdefault((kind, term), set()).add(word)
+    return out
+
+
 def _signed(batches):
     """Adds the least and the greatest hash of the text's words in threes, of which near copies tend to share one."""
     import xxhash
@@ -177,13 +195,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
     sample = materialize(sample.dropDuplicates(["_a"]).dropDuplicates(["_b"]).select("doc_id", "text", "toxic"), "fit-docs")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    model = {"terms": [], "stems": [], "weights": {k: a / (a + b) for k, (a, b) in PRIOR.items()}, "base": 0.0}
+    model = {"terms": [], "stems": [], "weights": {}, "base": -10.0}
     if not n1:
         return model
     table = sample.select("text", "toxic").mapInPandas(_features, "term string, is_stem boolean, toxic long, other long").groupBy("term", "is_stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     ratio = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("other") + 0.5) / (n0 + 1))
     table = materialize(table.where(F.col("toxic") > 0), "terms")
-    good = table.where((F.col("toxic") >= MIN_DOCS) & (ratio >= MIN_RATIO)).orderBy(F.desc("toxic"), "term", "is_stem").limit(MAX_TERMS).collect()
+    both, share = F.col("toxic") + F.col("other"), n1 / (n1 + n0)
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * F.lit(max(p, 1e-12))))).otherwise(0.0)
+    statistic = 2 * (part("toxic", share) + part("other", 1 - share))
+    good = table.where((ratio >= F.when(F.col("is_stem"), MIN_STEM_RATIO).otherwise(MIN_RATIO)) & (statistic >= MIN_STATISTIC)).orderBy(F.desc("toxic"), "term", "is_stem").limit(MAX_TERMS).collect()
     words = {r["term"]: r["toxic"] for r in good if not r["is_stem"]}
     stems = {r["term"]: r["toxic"] for r in good if r["is_stem"]}
     # a stem stands for its words if they are many; of nested ones, the longest that keeps nearly all of the support
@@ -208,20 +229,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
         if most.get(s, 0) < 0.5 * stems[s]:
             chosen_stems.add(s)
     model["stems"] = sorted(chosen_stems)
-    model["terms"] = sorted(w for w in words if not any(w[:i] in chosen_stems for i in STEM_CHARS))
-    seen = sample.select("text", "toxic").mapInPandas(_kinds(model), "kind string, toxic long, other long").groupBy("kind").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect()
-    got = {r["kind"]: (r["toxic"], r["other"]) for r in seen}
-    for kind, (a, b) in PRIOR.items():
-        t, o = got.get(kind, (0, 0))
-        model["weights"][kind] = (a + t) / (a + b + t + o)
-    t, o = got.get("none", (0, 0))
-    model["base"] = (t + 0.01) / (t + o + 1)
+    model["terms"] = sorted(words)
+    seen = sample.select("text", "toxic").mapInPandas(_kinds(model), "kind string, term string, toxic long, other long").groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect()
+    got = {(r["kind"], r["term"]): (r["toxic"], r["other"]) for r in seen}
+    for term in [*model["terms"], *model["stems"]]:
+        base_kind = "stem" if term in chosen_stems else "plain"
+        plain = got.get((base_kind, term), (0, 0))[0]
+        for kind in (base_kind, "fuzzy", "quoted"):
+            (share, other), (t, o) = PRIOR[kind], got.get((kind, term), (0, 0))
+            t = t + 0.5 if kind == base_kind else t + share * plain
+            model["weights"][kind, term] = max(-MAX_WEIGHT, min(MAX_WEIGHT, math.log((t + 0.01) / (n1 + 1)) - math.log((o + other) / (n0 + 1))))
+    t, o = got.get(("none", None), (0, 0))
+    model["base"] = max(MIN_BASE, math.log((t + 0.05) / (o + 1)))
     return model
 
 
 def _kinds(model):
     def run(batches):
-        """Documents by the strongest kind of hit that they have."""
+        """Documents by label with each kind of hit of each term, and without any."""
         import collections
 
         import pandas as pd
@@ -230,28 +255,28 @@ def _kinds(model):
         for pdf in batches:
             n = collections.Counter()
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                kinds = {k for k, _ in hits(text, known, automaton)}
-                n[next((k for k in ("plain", "stem", "fuzzy", "quoted") if k in kinds), "none"), toxic] += 1
-            yield pd.DataFrame([(k, c if t else 0, 0 if t else c) for (k, t), c in n.items()], columns=["kind", "toxic", "other"])
+                n.update((k, t, toxic) for k, t in _by_hit(hits(text, known, automaton)) or {("none", None): 0})
+            yield pd.DataFrame([(k, term, c if t else 0, 0 if t else c) for (k, term, t), c in n.items()], columns=["kind", "term", "toxic", "other"])
 
     return run
 
 
 def _score(model):
     def run(batches):
+        import math
+
         import pyarrow as pa
 
-        automaton, known = Automaton(model["terms"], model["stems"]), {}
+        automaton, known, weights = Automaton(model["terms"], model["stems"]), {}, model["weights"]
         for batch in batches:
             score, n_hits = [], []
             for text in batch.column(batch.schema.names.index("_text")).to_pylist():
                 if len(known) > 2_000_000:
                     known.clear()
                 found = hits(text, known, automaton) if text else []
-                clean = 1 - model["base"]
-                for kind in {f for f in found}:
-                    clean *= 1 - model["weights"][kind[0]]
-                score.append(1 - clean)
+                # a stem counts for up to three different words, anything else once
+                odds = model["base"] + sum(weights.get(hit, 0.0) * min(3, len(words) if hit[0] == "stem" else 1) for hit, words in sorted(_by_hit(found).items()))
+                score.append(1 / (1 + math.exp(-max(-50.0, min(50.0, odds)))))
                 n_hits.append(len(found))
             keep = [i for i, c in enumerate(batch.schema.names) if c != "_text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(score, pa.float64()), pa.array(n_hits, pa.int64())], names=[*[batch.schema.names[i] for i in keep], "score", "n_hits"])
@@ -262,9 +287,9 @@ def _score(model):
 def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and n_hits.
 
-    Each kind of hit has the share of toxic documents among those in which it was the
-    strongest; the score is the chance that not all of a text's different hits are
-    harmless. Null and empty texts have the score of texts without a hit. Whole texts
+    The odds of a text without hits are multiplied by the ratio of rates, in toxic and
+    in other documents, of each different hit: a term, a misspelling of it, a word with
+    its stem, or one of them in quotation. Null and empty texts have the score of texts without a hit. Whole texts
     count, repeated hits once. Other columns pass through; score and n_hits are replaced
     if present.
     """
