@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, mixing, packing, topk, toxicity, warc
+from . import html_extract, langid, line_dedup, mixing, packing, topk, toxicity, warc
 from .common import table
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_topk": lambda spark, d: topk.op2_topk(table(spark, d, "embeddings")),
         "op5_packing": lambda spark, d: packing.op5_packing(table(spark, d, "documents")),
         "op6_langid": lambda spark, d: langid.op6_langid(table(spark, d, "documents")),
+        "op7_html_extract": lambda spark, d: html_extract.op7_html_extract(table(spark, d, "pages")),
         "op8_toxicity": lambda spark, d: toxicity.op8_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_mixing": lambda spark, d: mixing.op9_mixing(table(spark, d, "documents")),
         "op10_warc": lambda spark, d: warc.op10_warc(table(spark, d, "pages")),
