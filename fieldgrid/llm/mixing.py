@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, running_total
@@ -173,3 +173,55 @@ def taken_words(spans: DataFrame, pieces: DataFrame) -> DataFrame:
 def op9_mixing(docs: DataFrame) -> DataFrame:
     spans, pieces = mix(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")))
     return taken_words(spans, pieces).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _cut(batches):
+    """A row for each time that a document's words are taken: with those of the first, of the second, and so on."""
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+
+    word = re.compile(WORD)
+    for batch in batches:
+        names = batch.schema.names
+        rows, texts = [], []
+        for i, (text, copy, plans) in enumerate(zip(*[batch.column(names.index(c)).to_pylist() for c in ("_text", "_copy", "_plans")])):
+            times = Counter((p["start"], p["length"]) for plan in plans or () if plan["copy"] == copy for p in plan["pieces"])
+            if not times:
+                continue
+            spans = None
+            for epoch in range(max(times.values())):
+                runs: list[list[int]] = []
+                for (start, length), n in sorted(times.items()):
+                    if n > epoch and runs and runs[-1][1] == start:
+                        runs[-1][1] = start + length
+                    elif n > epoch:
+                        runs.append([start, start + length])
+                if spans is None:
+                    spans = [m.span() for m in word.finditer(text)]
+                # a document that is taken whole keeps its blanks, at its ends too
+                parts = [text[0 if a == 0 else spans[a][0] : len(text) if b == len(spans) else spans[b - 1][1]] for a, b in runs]
+                rows.append(i)
+                texts.append("\n".join(parts))
+        at = pa.array(rows, pa.int64())
+        kept = [c for c in names if not c.startswith("_")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)).take(at) for c in kept], pa.array(texts, pa.string())], names=[*kept, "_taken"])
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus with docs' columns: a row for each time that words of a document are taken.
+
+    The first row of a document has the words that the mix takes at least once, the
+    second those that it takes twice, runs apart by a line end. Documents of which
+    nothing is taken have no row. Options are mix()'s. Names that start with _ are reserved.
+    """
+    whole = F.md5(F.to_json(F.struct(*[F.col(c) for c in docs.columns]), {"ignoreNullFields": "false"}).cast("binary"))
+    numbered = docs.withColumn("_key", whole).withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    sizes = numbered.select(F.concat_ws("-", "_key", "_copy").alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
+    _, pieces = mix(sizes, **options)
+    plan = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("pieces")).select(F.substring_index("doc_id", "-", 1).alias("_of"), F.struct(F.substring_index("doc_id", "-", -1).cast("int").alias("copy"), "pieces").alias("plan"))
+    plans = materialize(plan.groupBy("_of").agg(F.collect_list("plan").alias("_plans")), "plans")
+    joined = numbered.join(plans.hint("merge"), F.col("_key") == F.col("_of")).select(*[c for c in docs.columns if c != text_col], F.col(text_col).alias("_text"), "_copy", "_plans")
+    schema = docs.drop(text_col).schema.add("_taken", "string")
+    return joined.mapInArrow(_cut, schema).withColumnRenamed("_taken", text_col).select(*docs.columns)
