@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, langid, line_dedup, mixing, ngram_join, packing, topk, toxicity, warc
+from . import audio, html_extract, langid, line_dedup, mixing, ngram_join, packing, topk, toxicity, warc
 from .common import table
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_line_dedup": lambda spark, d: line_dedup.op1_line_dedup(table(spark, d, "documents")),
         "op2_topk": lambda spark, d: topk.op2_topk(table(spark, d, "embeddings")),
+        "op3_audio": lambda spark, d: audio.op3_audio(table(spark, d, "embeddings")),
         "op4_ngram_jaccard": lambda spark, d: ngram_join.op4_ngram_jaccard(table(spark, d, "documents")),
         "op5_packing": lambda spark, d: packing.op5_packing(table(spark, d, "documents")),
         "op6_langid": lambda spark, d: langid.op6_langid(table(spark, d, "documents")),
