@@ -142,7 +142,7 @@ def fold(tokens: list[str]) -> list[tuple[str, list]]:
                 while len(group) == period and keys[j : j + period] == group:
                     j += period
                 repeats = (j - i) // period
-                if repeats < 2 or period == 1 and group[0].endswith(")+") and repeats < 2:
+                if repeats < 2 or group[0] == "#":  # groups begin with a tag
                     out.append(items[i])
                     i += 1
                     continue
@@ -213,26 +213,35 @@ def host_of(url: Column) -> Column:
 
 
 def _profiles(batches):
-    """For each host and folded stream of tags, once a batch: pages, and for each slot the least and greatest hash of its texts, characters and linked ones."""
+    """For each page its folded stream of tags, and for each slot the least and greatest hash of its texts, characters and linked ones, and 1."""
     import pandas as pd
     import xxhash
 
     for pdf in batches:
-        seen: dict = {}
+        rows = []
         for host, html in zip(pdf["host"], pdf["html"]):
-            tokens, blocks = read_page(html or "")
+            html = html or ""
+            tokens, blocks = read_page(html)
             items = fold(tokens)
             slots = []
             for _, own in items:
                 for s in own:
                     hashes = [xxhash.xxh3_64_intdigest(blocks[b].text) >> 1 for b in s]
-                    slots.append([min(hashes), max(hashes), sum(len(blocks[b].text) for b in s), sum(blocks[b].linked for b in s), 1])
-            key = host, "\x1f".join(k for k, _ in items)
-            if key in seen:
-                n, old = seen[key]
-                seen[key] = n + 1, [_joined(x, y) for x, y in zip(old, slots)]
-            else:
-                seen[key] = 1, slots
+                    slots += [min(hashes), max(hashes), sum(len(blocks[b].text) for b in s), sum(blocks[b].linked for b in s), 1]
+            rows.append((host, xxhash.xxh3_128_digest(html), "\x1f".join(k for k, _ in items), slots))
+        yield pd.DataFrame(rows, columns=["host", "page", "stream", "slots"])
+
+
+def _merge_streams(batches):
+    """Pages of one host and stream become one row a batch."""
+    import pandas as pd
+
+    for pdf in batches:
+        seen: dict = {}
+        for host, stream, flat in zip(pdf["host"], pdf["stream"], pdf["slots"]):
+            slots = [[int(v) for v in flat[i : i + 5]] for i in range(0, len(flat), 5)]
+            n, old = seen.get((host, stream), (0, None))
+            seen[host, stream] = n + 1, slots if old is None else [_joined(x, y) for x, y in zip(old, slots)]
         yield pd.DataFrame([(h, k, n, [v for s in slots for v in s]) for (h, k), (n, slots) in seen.items()], columns=["host", "stream", "pages", "slots"])
 
 
@@ -271,11 +280,12 @@ def _infer_wrappers(key, pdf):
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, wrapper, pages: a union-free expression of tags, optional and repeated groups and slots for each host.
 
-    Pages are reduced to folded streams of tags where they are read, and equal streams to
-    one row; streams are aligned within groups of a host, then the groups' wrappers, so
+    Pages are reduced to folded streams of tags where they are read, copies of a page to
+    one, lest they pass for a template, and equal streams to a row; streams are aligned within groups of a host, then the groups' wrappers, so
     a host with a third of all pages is no task's whole.
     """
-    streams = materialize(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(_profiles, "host string, stream string, pages long, slots array<long>"), "streams")
+    each = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(_profiles, "host string, page binary, stream string, slots array<long>")
+    streams = materialize(each.dropDuplicates(["host", "page"]).drop("page").mapInPandas(_merge_streams, "host string, stream string, pages long, slots array<long>"), "streams")
     n = max(8, -(-streams.count() // ROWS_PER_GROUP))
     parts = streams.groupBy("host", F.pmod(F.xxhash64("stream"), F.lit(n)).alias("part")).applyInPandas(_infer_streams, "host string, wrapper string, pages long")
     return materialize(parts.groupBy("host").applyInPandas(_infer_wrappers, "host string, wrapper string, pages long"), "wrappers")

@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
             t = t + 0.5 if kind == base_kind else t + share * plain
             model["weights"][kind, term] = max(-MAX_WEIGHT, min(MAX_WEIGHT, math.log((t + 0.01) / (n1 + 1)) - math.log((o + other) / (n0 + 1))))
     t, o = got.get(("none", None), (0, 0))
-    model["base"] = max(MIN_BASE, math.log((t + 0.05) / (o + 1)))
+    model["base"] = max(MIN_BASE, 1 - math.log(2 * (n0 + 1)), math.log((t + 0.05) / (o + 1)))
     return model
 
 
