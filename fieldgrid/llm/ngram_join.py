@@ -407,9 +407,11 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     found = materialize(found, "links")
     roots = components(found)
 
-    # what is in one bucket but not in one component
-    comp = buckets.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    mixed_keys = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
+    # what is in one bucket but not in one component; the first of a bucket has met all others
+    comp = buckets.where("first <> node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    by_key = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
+    # buckets of the same members are searched once
+    mixed_keys = by_key.where("x <> y").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
     open_ = comp.join(mixed_keys, "key").join(points, "node")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
