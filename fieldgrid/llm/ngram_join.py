@@ -44,8 +44,11 @@ def shingles(text: str | None, n: int, hashes: Hashes):
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, k, "uint64")
     for i in range(k):
-        h = mixed(h + w[i : len(w) - k + 1 + i], 0x5851F42D4C957F2D)
-    return np.unique(h)
+        h += w[i : len(w) - k + 1 + i]
+        h *= np.uint64(0x5851F42D4C957F2D)
+        h ^= h >> np.uint64(29)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def node_of(h) -> int:
@@ -94,9 +97,10 @@ class Slabs:
             n, spare = self.count(at)
 
             def slabs(own, kind):
-                slab = (mixed(own, 0x9FB21C651E98DF25) % np.uint64(n)).astype("int64")
+                place = mixed(own, 0x9FB21C651E98DF25)
+                slab = (place % np.uint64(n)).astype("int64")
                 total = np.zeros(n, "uint64")
-                np.add.at(total, slab, mixed(own, 0xA0761D6478BD642F))
+                np.add.at(total, slab, place * np.uint64(0xA0761D6478BD642F))
                 size = np.bincount(slab, minlength=n)
                 key = mixed(mixed(total + np.arange(n, dtype="uint64") * np.uint64(0xE7037ED1A0B428DB), 0x589965CC75374CC3) + np.uint64(at * 4 + kind), 0x8EBC6AF09C88C6E3)
                 return key, size
@@ -107,7 +111,7 @@ class Slabs:
                 # too few n-grams that aren't common
                 key, size = slabs(h, 1)
                 out.append(key if (size == 0).sum() > spare else key[size > 0])
-        return np.unique(np.concatenate(out))
+        return np.concatenate(out)
 
 
 def _sets(n):
