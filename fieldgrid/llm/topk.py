@@ -98,7 +98,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     vector asks; repeated candidates count each. Without other rows a query has no
     result; an empty table gives an empty one. Scores beyond 64 bits wrap.
     """
-    spark = vectors.sparkSession
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col), scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     asked = pick(queries).groupBy("id").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-asked.count() // BLOCK_ROWS))
@@ -113,7 +112,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     lists = tiles.mapInPandas(_tiles(k), "query_id long, vec_id long, score long")
     best = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     first = best(lists.withColumn("way", F.pmod(F.xxhash64("vec_id"), F.lit(merge_ways))), "query_id", "way").drop("rank")
-    del spark
     return best(first, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
