@@ -134,8 +134,15 @@ def fold(tokens: list[str]) -> list[tuple[str, list]]:
     while changed:
         changed = False
         for period in range(1, MAX_PERIOD + 1):
-            out, i = [], 0
             keys = [k for k, _ in items]
+            same = 0
+            for a, b in zip(keys, keys[period:]):
+                same = same + 1 if a == b else 0
+                if same == period:
+                    break
+            else:
+                continue  # nothing repeats at this period
+            out, i = [], 0
             while i < len(items):
                 group = keys[i : i + period]
                 j = i + period
@@ -291,12 +298,12 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     return materialize(parts.groupBy("host").applyInPandas(_infer_wrappers, "host string, wrapper string, pages long"), "wrappers")
 
 
-def template_blocks(items: list, wrapper: list, pages: int) -> set[int]:
-    """The blocks of a page that fill slots whose text is the same on the host's pages, if other slots' texts differ."""
+def template_blocks(items: list, wrapper: list, pages: int) -> set:
+    """What the slots of a page's items list, of those that match whose text is the same on the host's pages, if other slots' texts differ."""
     from difflib import SequenceMatcher
 
     items = absorb(items, [(k, list(x)) for k, x in groups_of({x[0] for x in wrapper})], _merge_page)
-    fixed: set[int] = set()
+    fixed: set = set()
     varies = any(s[0] != s[1] for _, _, slots in wrapper for s in slots)
     if not varies or pages < TEMPLATE_PAGES:
         return fixed
@@ -308,9 +315,17 @@ def template_blocks(items: list, wrapper: list, pages: int) -> set[int]:
     return fixed
 
 
-def main_text(html: str, wrapper: list | None = None, pages: int = 0) -> str:
+def main_text(html: str, wrapper: list | None = None, pages: int = 0, known: dict | None = None) -> str:
+    """known: the fixed slots of streams that were matched with this wrapper before."""
     tokens, blocks = read_page(html)
-    fixed = template_blocks(fold(tokens), wrapper, pages) if wrapper else set()
+    fixed: set[int] = set()
+    if wrapper:
+        items = fold(tokens)
+        stream = "\x1f".join(k for k, _ in items)
+        known = {} if known is None else known
+        if stream not in known:
+            known[stream] = template_blocks([(k, [[(i, s)] for s in range(len(own))]) for i, (k, own) in enumerate(items)], wrapper, pages)
+        fixed = {b for i, s in known[stream] for b in items[i][1][s]}
     if any(b.in_article and not b.dropped for b in blocks):
         kept = [b for i, b in enumerate(blocks) if b.in_article and not b.dropped and i not in fixed]
     else:
@@ -331,8 +346,11 @@ def _extract(batches):
             if host not in wrappers:
                 if len(wrappers) > 10_000:
                     wrappers.clear()
-                wrappers[host] = json.loads(wrapper) if wrapper else None
-            texts.append(main_text(html or "", wrappers[host], pages or 0))
+                wrappers[host] = json.loads(wrapper) if wrapper else None, {}
+            own, known = wrappers[host]
+            if len(known) > 1000:
+                known.clear()
+            texts.append(main_text(html or "", own, pages or 0, known))
         keep = [c for c in col if c not in ("_html", "_host", "_wrapper", "_pages")]
         yield pa.RecordBatch.from_arrays([*[col[c] for c in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
