@@ -377,7 +377,8 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     smallest id reachable by links.
 
     Equal sets become one class. Classes get keys of which linked ones share one (see
-    Slabs), and meet in buckets. Each member of a bucket is held against its first, exactly; what
+    Slabs), and meet in buckets. Each member of a bucket is held against its first, the
+    one that shares most keys, exactly; what
     then is still in different components goes to an R-tree over the classes' count
     vectors, which rules out pairs whose summed minima bound the overlap too low; the
     others are verified exactly. So a group of near copies costs a comparison or two for
@@ -403,7 +404,11 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
 
     keys = texts.select("_text").mapInArrow(_keys(n, num, den, common), "key long, node long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = materialize(keys.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_buckets, "key long, first long, node long"), "buckets")
+    buckets = materialize(keys.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_buckets, "key long, first long, node long").select("key", "node"), "shared-keys")
+    # a bucket's first is the member that shares most keys: of near copies, one with few edits, which most others link to
+    degree = buckets.groupBy("node").agg(F.count("*").alias("degree"))
+    firsts = buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("m")).select("key", F.col("m.node").alias("first"))
+    buckets = materialize(buckets.join(firsts, "key"), "buckets")
 
     # verification of members against the first of their bucket
     stars = buckets.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
