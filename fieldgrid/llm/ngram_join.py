@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Coordinates of a document's point: n-grams are hashed into so many groups and counted.
-GROUPS = 256
+GROUPS = 512
 #: Documents from which common n-grams are learned at most (about), and how many of them make an n-gram common.
 SAMPLE_DOCS, COMMON_DOCS = 5000, 10
 #: Points in a leaf of the tree, children of a node, rows of a bucket in one task, partners of a document in one task.
@@ -242,7 +242,7 @@ def _arrays(n, groups):
                     rows.append((t["to"], t["part"], node.as_py(), t["own"], len(h), data))
                     size += len(data)
                 point = np.bincount((mixed(h, 0x1D8E4E27C47D124F) % np.uint64(groups)).astype("int64"), minlength=groups)
-                rows.append((None, 0, node.as_py(), False, len(h), point.astype("<u4").tobytes()))
+                rows.append((None, 0, node.as_py(), False, len(h), point.astype("<u2" if point.max() < 65536 else "<u4").tobytes()))
                 if size > 16 << 20:
                     yield out()
                     rows, size = [], 0
@@ -287,8 +287,8 @@ class Tree:
     def __init__(self, points, comps):
         import numpy as np
 
-        self.np, self.points, self.comps = np, points.astype("int64"), comps
-        self.sizes = self.points.sum(axis=1)
+        self.np, self.points, self.comps = np, points, comps
+        self.sizes = points.sum(axis=1).astype("int64")
         self.root = self._pack(np.arange(len(points)))
 
     def _pack(self, ids):
@@ -315,7 +315,7 @@ class Tree:
                 continue
             if a["below"] is None and b["below"] is None:
                 i, j = a["ids"], b["ids"]
-                over = np.minimum(self.points[i][:, None, :], self.points[j][None, :, :]).sum(axis=2)
+                over = np.minimum(self.points[i][:, None, :], self.points[j][None, :, :]).sum(axis=2).astype("int64")
                 good = ((num + den) * over >= num * (self.sizes[i][:, None] + self.sizes[j][None, :])) & (self.comps[i][:, None] != self.comps[j][None, :])
                 if a is b:
                     good = np.triu(good, 1)
@@ -329,6 +329,13 @@ class Tree:
                 stack += [(a, x) for x in b["below"]]
 
 
+def _point(data: bytes):
+    """Counts of GROUPS groups, of two bytes each if they fit."""
+    import numpy as np
+
+    return np.frombuffer(data, "<u2" if len(data) == 2 * GROUPS else "<u4")
+
+
 def _survivors(num, den):
     def run(key, table):
         """Of one bucket, or of two tiles of a large one: pairs of documents that the tree can't rule out."""
@@ -340,7 +347,7 @@ def _survivors(num, den):
         _, first = np.unique(node, return_index=True)
         node, order = node[first], order[first]
         data = table.column("data")
-        points = np.stack([np.frombuffer(data[int(i)].as_py(), "<u4") for i in order])
+        points = np.stack([_point(data[int(i)].as_py()) for i in order])
         found = list(Tree(points, table.column("comp").to_numpy()[order]).pairs(num, den))
         a = np.array([min(node[i], node[j]) for i, j in found], "int64")
         b = np.array([max(node[i], node[j]) for i, j in found], "int64")
