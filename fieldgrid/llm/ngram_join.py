@@ -348,7 +348,10 @@ def _survivors(num, den):
         node, order = node[first], order[first]
         data = table.column("data")
         points = np.stack([_point(data[int(i)].as_py()) for i in order])
-        found = list(Tree(points, table.column("comp").to_numpy()[order]).pairs(num, den))
+        tile, keys = table.column("tile").to_numpy()[order], table.column("keys")
+        keys = [np.array(keys[int(i)].as_py(), "int64") for i in order]
+        this, across = key[0].as_py(), key[1].as_py() != key[2].as_py()
+        found = [(i, j) for i, j in Tree(points, table.column("comp").to_numpy()[order]).pairs(num, den) if (tile[i] != tile[j] or not across) and np.intersect1d(keys[i], keys[j], assume_unique=True)[0] == this]
         a = np.array([min(node[i], node[j]) for i, j in found], "int64")
         b = np.array([max(node[i], node[j]) for i, j in found], "int64")
         return pa.table({"a": a, "b": b})
@@ -428,11 +431,14 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     by_key = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
     # buckets of the same members are searched once
     mixed_keys = by_key.where("x <> y").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
-    open_ = comp.join(mixed_keys, "key").join(points, "node")
+    open_ = materialize(comp.join(mixed_keys, "key"), "open")
+    # a document's own keys, of which it has a share of its n-grams' number; a pair counts in the first bucket that it shares
+    own_keys = open_.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    open_ = open_.join(points.join(own_keys, "node"), "node")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
     open_ = open_.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    open_ = open_.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "comp", "data")
+    open_ = open_.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp", "data", "keys")
     pairs = materialize(open_.groupBy("key", "i", "j").applyInArrow(_survivors(num, den), "a long, b long").distinct(), "pairs")
     more = materialize(verified(given, classes, pairs, n, num, den)[1], "links")
     every = found.union(more).distinct()
