@@ -387,8 +387,8 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     smallest id reachable by links.
 
     Equal sets become one class. Classes get keys of which linked ones share one (see
-    Slabs), and meet in buckets. Each member of a bucket is held against its first, the
-    one that shares most keys, exactly; what
+    Slabs), and meet in buckets. Each member is held exactly against one
+    document, that of its buckets which shares most keys; what
     then is still in different components goes to an R-tree over the classes' count
     vectors, which rules out pairs whose summed minima bound the overlap too low; the
     others are verified exactly. So a group of near copies costs a comparison or two for
@@ -417,17 +417,18 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     buckets = materialize(keys.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_buckets, "key long, first long, node long").select("key", "node"), "shared-keys")
     # a bucket's first is the member that shares most keys: of near copies, one with few edits, which most others link to
     degree = buckets.groupBy("node").agg(F.count("*").alias("degree"))
-    firsts = buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("m")).select("key", F.col("m.node").alias("first"))
+    firsts = buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("m")).select("key", F.col("m.node").alias("first"), F.col("m.degree").alias("degree"))
     buckets = materialize(buckets.join(firsts, "key"), "buckets")
 
-    # verification of members against the first of their bucket
-    stars = buckets.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    points, found = verified(given, classes, materialize(stars, "stars"), n, num, den)
+    # verification of members against one first each, that of the most keys: a document is sent once
+    best = buckets.where("first <> node").groupBy("node").agg(F.max(F.struct("degree", "first")).alias("m"))
+    stars = materialize(best.select(F.col("m.first").alias("a"), F.col("node").alias("b")), "stars")
+    points, found = verified(given, classes, stars, n, num, den)
     found = materialize(found, "links")
     roots = components(found)
 
-    # what is in one bucket but not in one component; the first of a bucket has met all others
-    comp = buckets.where("first <> node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    # what is in one bucket but not in one component
+    comp = buckets.select("key", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     by_key = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
     # buckets of the same members are searched once
     mixed_keys = by_key.where("x <> y").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
@@ -439,7 +440,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
     open_ = open_.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     open_ = open_.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp", "data", "keys")
-    pairs = materialize(open_.groupBy("key", "i", "j").applyInArrow(_survivors(num, den), "a long, b long").distinct(), "pairs")
+    pairs = materialize(open_.groupBy("key", "i", "j").applyInArrow(_survivors(num, den), "a long, b long").join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     more = materialize(verified(given, classes, pairs, n, num, den)[1], "links")
     every = found.union(more).distinct()
     # contract by what is known, then by the rest
