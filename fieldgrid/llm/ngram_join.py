@@ -388,7 +388,8 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
 
     Equal sets become one class. Classes get keys of which linked ones share one (see
     Slabs), and meet in buckets. Each member is held exactly against one
-    document, that of its buckets which shares most keys; what
+    document, that of its buckets which shares most keys (one that itself shares most, in
+    all its buckets, against none but those that prefer it); what
     then is still in different components goes to an R-tree over the classes' count
     vectors, which rules out pairs whose summed minima bound the overlap too low; the
     others are verified exactly. So a group of near copies costs a comparison or two for
@@ -421,9 +422,12 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     buckets = materialize(buckets.join(firsts, "key"), "buckets")
 
     # verification of members against one first each, that of the most keys: a document is sent once
-    best = buckets.where("first <> node").groupBy("node").agg(F.max(F.struct("degree", "first")).alias("m"))
-    stars = materialize(best.select(F.col("m.first").alias("a"), F.col("node").alias("b")), "stars")
-    points, found = verified(given, classes, stars, n, num, den)
+    best = buckets.groupBy("node").agg(F.max(F.when(F.col("first") != F.col("node"), F.struct("degree", "first"))).alias("m"))
+    best = materialize(best.select(F.col("m.first").alias("a"), F.col("node").alias("b")), "stars")
+    stars = best.where("a IS NOT NULL")
+    # first in all its buckets, and no other's best first: held against none, but the tree needs its point
+    alone = best.where("a IS NULL").select(F.col("b").alias("node")).join(stars.select(F.col("a").alias("node")), "node", "left_anti")
+    points, found = verified(given, classes, stars, n, num, den, alone)
     found = materialize(found, "links")
     roots = components(found)
 
@@ -435,7 +439,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     open_ = materialize(comp.join(mixed_keys, "key"), "open")
     # a document's own keys, of which it has a share of its n-grams' number; a pair counts in the first bucket that it shares
     own_keys = open_.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    open_ = open_.join(points.join(own_keys, "node"), "node")
+    open_ = open_.join(points.join(own_keys, "node"), "node", "left").withColumn("data", F.coalesce("data", F.raise_error(F.lit("a document of a bucket has no point"))))
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
     open_ = open_.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
@@ -461,8 +465,8 @@ def _sorted_bytes(column) -> bytes:
     return np.sort(column.to_numpy("int64").view("uint64")).tobytes()
 
 
-def verified(given: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(points of the classes in pairs(a, b), the pairs whose exact similarity suffices).
+def verified(given: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int, alone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(points of the classes in pairs(a, b) and in alone(node), the pairs whose exact similarity suffices).
 
     The texts of the classes are read again; each b is sent to its a, in parts of about
     STAR partners, and compared there as the sorted rows stream by.
@@ -470,7 +474,10 @@ def verified(given: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     to = pairs.join(degree, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("to"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("own")).alias("t"))
     own = degree.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("node", F.struct(F.col("node").alias("to"), "part", F.lit(True).alias("own")).alias("t"))
-    wanted = to.union(own).groupBy("node").agg(F.collect_list("t").alias("to"))
+    wanted = to.union(own)
+    if alone is not None:
+        wanted = wanted.unionByName(alone, allowMissingColumns=True)  # sent to none
+    wanted = wanted.groupBy("node").agg(F.collect_list("t").alias("to"))
     wanted = materialize(wanted.join(classes, "node").select("id", "node", "to"), "wanted")
     texts = given.join(wanted.hint("merge"), given["_id"] == wanted["id"]).select(F.col("_text").alias("text"), "node", "to")
     arrays = materialize(texts.mapInArrow(_arrays(n, GROUPS), "to long, part int, node long, own boolean, n long, data binary"), "arrays")

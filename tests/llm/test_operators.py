@@ -166,6 +166,24 @@ def test_ngram_join(spark, monkeypatch, n, num, tile):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_ngram_join_of_lone_firsts(spark):
+    """Windows that slide over the same words, with near copies at both ends: some in the middle share most keys in all their buckets, while their neighbours prefer the ends."""
+    rng, rows = random.Random(1), []
+    for c in range(150):
+        words, n = [f"c{c}w{i}" for i in range(60)], rng.randrange(14, 24)
+        near, far = rng.choice([1, 1, 2]), rng.choice([2, 3])
+        end = 2 * (near + far)
+        family = [words[lo : lo + n] for lo in (0, far, far + near, far + 2 * near, end)]
+        for lo, at in ((0, 0), (end, n - 1)):
+            for k in range(rng.randrange(2, 5)):
+                copy = words[lo : lo + n]
+                copy[at] = f"c{c}k{lo}n{k}"
+                family.append(copy)
+        rows += [(len(rows) + i, " ".join(x)) for i, x in enumerate(family)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(plain_groups(rows, 4, 85, 100))
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
