@@ -30,6 +30,8 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|d
 MAX_PERIOD = 24
 #: A slot in so large a share of a host's pages, and in so many, with one text throughout is part of the template.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 5
+#: Characters of a block from which it tells an article from others; shorter ones are dates, counters, titles and the like.
+LONG_BLOCK = 40
 ROWS_PER_GROUP = 20_000
 
 
@@ -219,6 +221,21 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+def main_blocks(blocks: list[Block]) -> list[int]:
+    """Places of the blocks that may be main text: those in an article, if there are any, else those that aren't mostly links."""
+    own = [i for i, b in enumerate(blocks) if b.in_article and not b.dropped]
+    return own or [i for i, b in enumerate(blocks) if not b.dropped and 2 * b.linked <= len(b.text)]
+
+
+def copy_key(html: str, blocks: list[Block]) -> str:
+    """Equal for near copies: what the page's long blocks of main text say, if they are most of it, else all its main text; the html if it has none."""
+    texts = [blocks[i].text for i in main_blocks(blocks)]
+    long = [t for t in texts if len(t) >= LONG_BLOCK]
+    if 2 * sum(map(len, long)) > sum(map(len, texts)):
+        texts = long
+    return "\x1f".join(sorted(set(texts))) or html
+
+
 def _profiles(batches):
     """For each page its folded stream of tags, and for each slot the least and greatest hash of its texts, characters and linked ones, and 1."""
     import pandas as pd
@@ -235,8 +252,8 @@ def _profiles(batches):
                 for s in own:
                     hashes = [xxhash.xxh3_64_intdigest(blocks[b].text) >> 1 for b in s]
                     slots += [min(hashes), max(hashes), sum(len(blocks[b].text) for b in s), sum(blocks[b].linked for b in s), 1]
-            rows.append((host, xxhash.xxh3_128_digest(html), "\x1f".join(k for k, _ in items), slots))
-        yield pd.DataFrame(rows, columns=["host", "page", "stream", "slots"])
+            rows.append((host, xxhash.xxh3_128_digest(copy_key(html, blocks).encode("utf-8", "surrogatepass")), xxhash.xxh3_128_digest(html), "\x1f".join(k for k, _ in items), slots))
+        yield pd.DataFrame(rows, columns=["host", "page", "digest", "stream", "slots"])
 
 
 def _merge_streams(batches):
@@ -287,12 +304,14 @@ def _infer_wrappers(key, pdf):
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, wrapper, pages: a union-free expression of tags, optional and repeated groups and slots for each host.
 
-    Pages are reduced to folded streams of tags where they are read, copies of a page to
+    Pages are reduced to folded streams of tags where they are read, near copies of a page (see copy_key) to
     one, lest they pass for a template, and equal streams to a row; streams are aligned within groups of a host, then the groups' wrappers, so
     a host with a third of all pages is no task's whole.
     """
-    each = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(_profiles, "host string, page binary, stream string, slots array<long>")
-    streams = materialize(each.dropDuplicates(["host", "page"]).drop("page").mapInPandas(_merge_streams, "host string, stream string, pages long, slots array<long>"), "streams")
+    each = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(_profiles, "host string, page binary, digest binary, stream string, slots array<long>")
+    # of near copies the one of the least digest, so that reruns agree
+    each = each.groupBy("host", "page").agg(F.min(F.struct("digest", "stream", "slots")).alias("x")).select("host", "x.stream", "x.slots")
+    streams = materialize(each.mapInPandas(_merge_streams, "host string, stream string, pages long, slots array<long>"), "streams")
     n = max(8, -(-streams.count() // ROWS_PER_GROUP))
     parts = streams.groupBy("host", F.pmod(F.xxhash64("stream"), F.lit(n)).alias("part")).applyInPandas(_infer_streams, "host string, wrapper string, pages long")
     return materialize(parts.groupBy("host").applyInPandas(_infer_wrappers, "host string, wrapper string, pages long"), "wrappers")
@@ -326,11 +345,7 @@ def main_text(html: str, wrapper: list | None = None, pages: int = 0, known: dic
         if stream not in known:
             known[stream] = template_blocks([(k, [[(i, s)] for s in range(len(own))]) for i, (k, own) in enumerate(items)], wrapper, pages)
         fixed = {b for i, s in known[stream] for b in items[i][1][s]}
-    if any(b.in_article and not b.dropped for b in blocks):
-        kept = [b for i, b in enumerate(blocks) if b.in_article and not b.dropped and i not in fixed]
-    else:
-        kept = [b for i, b in enumerate(blocks) if not b.dropped and i not in fixed and 2 * b.linked <= len(b.text)]
-    return " ".join(b.text for b in kept)
+    return " ".join(blocks[i].text for i in main_blocks(blocks) if i not in fixed)
 
 
 def _extract(batches):

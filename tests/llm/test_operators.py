@@ -374,6 +374,13 @@ def test_copies_alone_make_no_template(spark):
     assert {r.text for r in html_extract.extract(df).collect()} == {"Title 0 & more same Read more on our site"}
 
 
+def test_near_copies_make_no_template(spark):
+    page = "<html><body><div>Seen {k} times</div><article><h1>One title</h1><div>{k} May</div><p>The only paragraph of this article is the same on each page.</p></article></body></html>"
+    df = spark.createDataFrame([(k, "https://d.example/", page.format(k=k)) for k in range(9)], "page_id long, url string, html string")
+    for r in html_extract.extract(df).collect():
+        assert r.text == f"One title {r.page_id} May The only paragraph of this article is the same on each page."
+
+
 def test_wrappers_are_regular_expressions_without_unions():
     def items(tokens):
         return [(k, False, [[0, 1, 1, 0, 1] for _ in range(k.count("#"))]) for k, _ in html_extract.fold(tokens)]
