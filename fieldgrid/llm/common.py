@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,13 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; only where that is unset, a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, as spark.checkpoint.dir or the context names it; where neither does, a temporary one if all runs on this machine."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        at = spark.sparkContext.getCheckpointDir()
-        found = at or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        if not at:
-            spark.sparkContext.setCheckpointDir(found)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        context.setCheckpointDir(found)
     return found
 
 
@@ -32,16 +34,40 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """(df, as written to the shared folder and read back; its path)."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts the lineage in a way that outlives lost executors, and tells the planner
     the table's size, so that it broadcasts a small one and shuffles a large one.
     """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of stored() when all that comes from it is written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def byte_slices(batch, name: str, most: int = 2 << 20):
+    """Parts of an Arrow batch with about `most` bytes in a column of texts, a row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(name))), 0).to_numpy().astype("int64") + 64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def ascii_lower(c: Column) -> Column:

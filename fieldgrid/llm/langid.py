@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
+from .common import byte_slices, fold, materialize
 
 #: Documents of each language that the fit reads at most (about: they are chosen by a hash of their ids).
 FIT_DOCS = 1500
 ROUNDS = 2
-#: Longer words get a forced piece boundary each so many characters, so that products stay within a double's range.
-MAX_RUN = 32
+#: Characters after which running products are brought back to 1, so that they stay within a double's range.
+RESCALE = 16
+#: Bytes of running sums at once, and words whose likelihoods a task remembers.
+SUM_BYTES, MAX_WORDS = 8 << 20, 200_000
 #: The share of a piece that a language doesn't have, and that of a character that no piece has.
 SMOOTHING, UNKNOWN = 0.05, 1e-8
 UNDETERMINED = "und"
-MAX_LANGUAGES = 1000
 
 
 def vocabulary(path: str) -> list[str]:
@@ -28,15 +29,8 @@ def vocabulary(path: str) -> list[str]:
 
 
 def runs_of(text: str) -> list[str]:
-    """The text's words in lower case, marked at the front as the vocabulary marks them, in runs of at most MAX_RUN."""
-    out = []
-    for w in text.lower().split():
-        w = "▁" + w
-        if len(w) <= MAX_RUN:
-            out.append(w)
-        else:
-            out += [w[i : i + MAX_RUN] for i in range(0, len(w), MAX_RUN)]
-    return out
+    """The text's words in lower case, marked at the front as the vocabulary marks them."""
+    return ["▁" + w for w in text.lower().split()]
 
 
 class Pieces:
@@ -49,6 +43,7 @@ class Pieces:
 
         self.np = np
         size = np.fromiter(map(len, pieces), "int64", len(pieces))
+        self.longest = int(size.max(initial=1))
         codes = np.zeros((len(pieces), size.max(initial=0)), "uint64")
         for i, piece in enumerate(pieces):
             codes[i, : len(piece)] = [ord(c) for c in piece]
@@ -87,64 +82,99 @@ class Pieces:
             out = got if out is None else np.where(out == -2, got, out)
         return out
 
-    def matches(self, codes):
-        """(start, length, rows, pieces) of all pieces in runs of one length, in order of start."""
-        np, (_, n) = self.np, codes.shape
-        with np.errstate(over="ignore"):
-            for i in range(n):
-                rows, h = np.arange(len(codes)), np.zeros(len(codes), "uint64")
-                for length in range(1, n - i + 1):
+    def matches(self, codes, starts):
+        """(start, length, rows, pieces) of all pieces in runs of one length that begin at the starts, in their order."""
+        np, n = self.np, codes.shape[1]
+        for i in starts:
+            rows, h = np.arange(len(codes)), np.zeros(len(codes), "uint64")
+            for length in range(1, n - i + 1):
+                with np.errstate(over="ignore"):
                     h = self._step(h, codes[rows, i + length - 1])
-                    got = self.find(h)
-                    if length == 1 and (bare := got < 0).any():
-                        yield i, 1, rows[bare], None
-                    if (hit := got >= 0).any():
-                        yield i, length, rows[hit], got[hit]
-                    live = got > -2
-                    rows, h = rows[live], h[live]
-                    if not len(rows):
-                        break
-
-    def by_length(self, runs: list[str]):
-        """(numbers of the runs, their code points) for each length."""
+                got = self.find(h)
+                if length == 1 and (bare := got < 0).any():
+                    yield i, 1, rows[bare], None
+                if (hit := got >= 0).any():
+                    yield i, length, rows[hit], got[hit]
+                live = got > -2
+                rows, h = rows[live], h[live]
+                if not len(rows):
+                    break
+
+    def by_length(self, runs: list[str], row_bytes):
+        """(numbers of the runs, their code points) for each length n, as many at once as SUM_BYTES allow at row_bytes(n) each."""
         np = self.np
         sizes = np.fromiter(map(len, runs), "int64", len(runs))
         for n in np.unique(sizes):
             at = np.nonzero(sizes == n)[0]
-            for lo in range(0, len(at), 50_000):
-                own = at[lo : lo + 50_000]
+            step = max(1, SUM_BYTES // row_bytes(int(n)))
+            for lo in range(0, len(at), step):
+                own = at[lo : lo + step]
                 codes = np.frombuffer("".join(runs[i] for i in own).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(own), n)
                 yield own, codes.astype("uint64")
 
     def log_likelihood(self, runs: list[str], p):
-        """log of the sum, over all segmentations, of the product of the pieces' probabilities; a column for each column of p."""
-        np = self.np
-        out = np.zeros((len(runs), p.shape[1]))
-        for own, codes in self.by_length(runs):
-            n = codes.shape[1]
-            forward = np.zeros((n + 1, len(own), p.shape[1]))
-            forward[0] = 1
-            for i, length, rows, piece in self.matches(codes):
-                forward[i + length][rows] += forward[i][rows] * (UNKNOWN if piece is None else p[piece])
-            out[own] = np.log(forward[n])
+        """log of the sum, over all segmentations, of the product of the pieces' probabilities; a column for each column of p.
+
+        Only the sums that pieces can still reach are held, whatever a run's length.
+        """
+        np, ring, width = self.np, self.longest + 1, p.shape[1]
+        out = np.zeros((len(runs), width))
+        # languages in blocks, lest a few long rows of sums outgrow SUM_BYTES
+        block = max(1, SUM_BYTES // (8 * ring * 64))
+        for lo in range(0, width, block):
+            q = np.ascontiguousarray(p[:, lo : lo + block])
+            for own, codes in self.by_length(runs, lambda n, w=q.shape[1]: 8 * ring * w + 8 * n):
+                n, scale, last = codes.shape[1], np.zeros((len(own), q.shape[1])), 0
+                ahead = np.zeros((ring, len(own), q.shape[1]))
+                ahead[0] = 1
+                for i, length, rows, piece in self.matches(codes, range(n)):
+                    if i > last:
+                        ahead[last % ring] = 0  # the place becomes that of last + ring
+                        last = i
+                        if i % RESCALE == 0:
+                            s = ahead[i % ring].copy()
+                            ahead /= s
+                            scale += np.log(s)
+                    ahead[(i + length) % ring][rows] += ahead[i % ring][rows] * (UNKNOWN if piece is None else q[piece])
+                out[own, lo : lo + block] = np.log(ahead[n % ring]) + scale
         return out
 
     def expected(self, runs: list[str], weight, p):
         """Expected counts of the pieces in weighted runs under the probabilities p, by the forward and backward sums."""
         np = self.np
         out = np.zeros(len(p))
-        for own, codes in self.by_length(runs):
+        for own, codes in self.by_length(runs, lambda n: 40 * (n + 1)):
             n = codes.shape[1]
+            # sums, and the logs of what they are divided by
             forward, back = np.zeros((n + 1, len(own))), np.zeros((n + 1, len(own)))
-            forward[0], back[n] = 1, 1
-            found = list(self.matches(codes))
-            for i, length, rows, piece in found:
+            before, after = np.zeros((n + 1, len(own))), np.zeros((n + 1, len(own)))
+            forward[0], back[n], last = 1, 1, 0
+            for i, length, rows, piece in self.matches(codes, range(n)):
+                if i > last:
+                    last = i
+                    if i % RESCALE == 0:
+                        part = slice(i, i + self.longest + RESCALE + 1)
+                        s = forward[i].copy()
+                        forward[part] /= s
+                        before[part] = before[i] + np.log(s)
                 forward[i + length][rows] += forward[i][rows] * (UNKNOWN if piece is None else p[piece])
-            for i, length, rows, piece in reversed(found):
-                back[i][rows] += back[i + length][rows] * (UNKNOWN if piece is None else p[piece])
-            for i, length, rows, piece in found:
+            total, last = np.log(forward[n]) + before[n], n
+            for i, length, rows, piece in self.matches(codes, range(n - 1, -1, -1)):
+                if i < last:
+                    # sums at `last` are whole
+                    if last % RESCALE == 0 and last < n:
+                        part = slice(max(0, last - self.longest - RESCALE), last + 1)
+                        s = back[last].copy()
+                        back[part] /= s
+                        after[part] = after[last] + np.log(s)
+                    last = i
+                own_p = UNKNOWN if piece is None else p[piece]
+                # what comes after a piece may have been scaled less often than what will stand at its start
+                term = back[i + length][rows] * np.exp(after[i + length][rows] - after[i][rows]) * own_p
+                back[i][rows] += term
                 if piece is not None:
-                    out += np.bincount(piece, weight[own][rows] * forward[i][rows] * p[piece] * back[i + length][rows] / forward[n][rows], len(p))
+                    share = forward[i][rows] * term * np.exp(before[i][rows] + after[i][rows] - total[rows])
+                    out += np.bincount(piece, weight[own][rows] * share, len(p))
         return out
 
 
@@ -182,14 +212,13 @@ def fit(docs: DataFrame, pieces: list[str], fit_docs: int = FIT_DOCS, rounds: in
 
     Expectation-maximisation over all segmentations. Each language gives about fit_docs
     documents at most, chosen by a hash of their ids; what reaches the driver is a count
-    for each piece and language. Rows with a null text or lang are left out.
+    for each piece and language, of which the model has one double each, whatever the
+    corpus. Rows with a null text or lang are left out.
     """
     import numpy as np
 
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((len(pieces), 0))
@@ -208,49 +237,50 @@ def fit(docs: DataFrame, pieces: list[str], fit_docs: int = FIT_DOCS, rounds: in
     return languages, p
 
 
-def _score(pieces, languages, p):
+def _score(pieces, languages, p, text_col, keep):
     def run(batches):
-        import re
-
         import numpy as np
         import pyarrow as pa
 
-        finder, letter = Pieces(pieces), re.compile(r"[^\W\d_]")
+        finder, known, likely = Pieces(pieces), {}, np.zeros((0, len(languages)))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                texts = part.column(part.schema.names.index("_text")).to_pylist()
-                number: dict[str, int] = {}
-                runs = [[number.setdefault(r, len(number)) for r in runs_of(t)] if t and letter.search(t) else None for t in texts]
-                likely = finder.log_likelihood(list(number), p) if languages else None
+            for part in byte_slices(batch, text_col):
+                col = {c: part.column(i) for i, c in enumerate(part.schema.names)}
+                runs = [runs_of(t) if t and any(map(str.isalpha, t)) else None for t in col[text_col].to_pylist()] if languages else [None] * part.num_rows
+                if len(known) > MAX_WORDS:
+                    known, likely = {}, likely[:0]
+                new = list({r for own in runs if own for r in own} - known.keys())
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+                likely = np.concatenate([likely, finder.log_likelihood(new, p)])
                 pred, score = [], []
-                for at in runs:
-                    if at is None or not languages:
+                for own in runs:
+                    if own is None:
                         pred.append(UNDETERMINED)
                         score.append(0.0)
                         continue
-                    total = likely[at].sum(axis=0)
+                    total = likely[np.fromiter(map(known.__getitem__, own), "int64", len(own))].sum(axis=0)
                     best = int(total.argmax())
                     pred.append(languages[best])
                     score.append(float(1 / np.exp(total - total[best]).sum()))
-                keep = [i for i, c in enumerate(part.schema.names) if c != "_text"]
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*[part.schema.names[i] for i in keep], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[col[c] for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, model, pieces: list[str], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score.
+def identify(docs: DataFrame, model, pieces: list[str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (of its columns only keep, if given) with lang_pred and score.
 
     The score is the posterior probability of the language under equal priors. A text
-    that is null or has no letter is `und` with score 0, and so is all text if no language
-    was learned; ties go to the first language by code point. Whole texts count. Other
-    columns pass through; lang_pred and score are replaced if present.
+    that is null or has no letter (Unicode category L) is `und` with score 0, and so is
+    all text if no language was learned; ties go to the first language by code point.
+    Whole texts count. Other columns pass through; lang_pred and score are replaced if
+    present. Empty tables give empty results, repeated rows repeated results.
     """
     languages, p = model
-    given = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")], F.col(text_col).alias("_text"))
-    schema = given.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return given.mapInArrow(_score(pieces, languages, p), schema)
+    given = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
+    keep = given.columns if keep is None else keep
+    schema = given.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    return given.select(*dict.fromkeys([*keep, text_col])).mapInArrow(_score(pieces, languages, p, text_col, keep), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -270,4 +300,4 @@ def fitted(docs: DataFrame, vocabulary_path: str | None = None):
 
 def op6_langid(docs: DataFrame) -> DataFrame:
     model, pieces = fitted(docs)
-    return identify(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model, pieces).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model, pieces, keep=["doc_id", "held_out"])

@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import byte_slices, discard, materialize, stored
 
 #: Coordinates of a document's point: n-grams are hashed into so many groups and counted.
 GROUPS = 512
-#: Documents from which common n-grams are learned at most (about), and how many of them make an n-gram common.
+#: Documents from which common n-grams and hot keys are learned at most (about), and how many of them make one common or hot.
 SAMPLE_DOCS, COMMON_DOCS = 5000, 10
-#: Points in a leaf of the tree, children of a node, rows of a bucket in one task, partners of a document in one task.
-LEAF, FANOUT, TILE, STAR = 32, 8, 4096, 2000
-
-
-class Hashes(dict):
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+#: Points in a leaf of the tree, and children of a node.
+LEAF, FANOUT = 32, 8
+#: Documents and n-grams in a tile of a group, and partners of a document in one part.
+TILE, TILE_GRAMS, STAR = 4096, 2_000_000, 2000
+#: Sets that a task remembers, so as to give equal ones their keys once.
+SEEN = 200_000
+MILLION = 1_000_000
 
 
 def mixed(x, salt: int):
@@ -33,29 +28,52 @@ def mixed(x, salt: int):
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, n: int, hashes: Hashes):
-    """Sorted distinct 64-bit hashes of the text's n-grams of words, A-Z in lower case; of all its words, if they are fewer."""
+def shingle_sets(texts, n: int):
+    """(hashes, ends) of an Arrow array of texts: each text's sorted distinct 64-bit hashes of its n-grams of words, A-Z in lower case; of all its words, if they are fewer."""
     import numpy as np
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, "uint64")
-    w = np.fromiter(map(hashes.__getitem__, words), "uint64", len(words))
-    k = min(n, len(w))
-    h = np.full(len(w) - k + 1, k, "uint64")
-    for i in range(k):
-        h += w[i : len(w) - k + 1 + i]
-        h *= np.uint64(0x5851F42D4C957F2D)
-        h ^= h >> np.uint64(29)
-    h.sort()
-    return h[np.append(True, h[1:] != h[:-1])]
-
-
-def node_of(h) -> int:
-    """A number for the set, independent of order."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
+
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = words.flatten().dictionary_encode()
+    own = coded.dictionary.cast(pa.binary()).to_pylist()
+    of = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in own), "uint64", len(own))
+    number, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy())
+    if b"" in own:  # blanks at a text's ends
+        there = number != own.index(b"")
+        number, text = number[there], text[there]
+    w, count = of[number], np.bincount(text, minlength=len(texts))
+    upto = np.cumsum(count)
+    size = np.minimum(n, count)
+    # an n-gram starts wherever enough words follow; a shorter text has one
+    start = np.nonzero(np.arange(len(w)) + size[text] <= upto[text])[0]
+    k = size[text[start]]
+    h = k.astype("uint64")
+    for i in range(n):
+        at = np.minimum(start + i, len(w) - 1)
+        step = (h + w[at]) * np.uint64(0x5851F42D4C957F2D)
+        step ^= step >> np.uint64(29)
+        h = step if (k > i).all() else np.where(k > i, step, h)
+    ends = np.cumsum(count - size + (count > 0))
+    for a, b in zip([0, *ends.tolist()], ends.tolist()):
+        h[a:b].sort()
+    new = np.append(True, h[1:] != h[:-1])[: len(h)]
+    new[np.append(0, ends[:-1])[np.append(0, ends[:-1]) < len(h)]] = True
+    return h[new], np.cumsum(np.append(0, new))[ends] if len(h) else ends
+
+
+def sums_by(values, ends):
+    """Sums, modulo 2**64, of the runs of values that end at ends."""
     import numpy as np
 
-    return int(mixed(h, 0x2545F4914F6CDD1D).sum(dtype="uint64").astype("int64")) if len(h) else 0
+    upto = np.append(np.uint64(0), np.cumsum(values, dtype="uint64"))
+    return upto[ends] - upto[np.append(0, ends[:-1])]
+
+
+def nodes_of(h, ends):
+    """A number for each set, independent of order."""
+    return sums_by(mixed(h, 0x2545F4914F6CDD1D), ends).astype("int64")
 
 
 class Slabs:
@@ -71,63 +89,65 @@ class Slabs:
     document with so many of them also has the keys of slabs of all n-grams.
     """
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.starts = num, den, [1]
+    def __init__(self, num: int, den: int, common):
+        self.num, self.den, self.common, self.starts = num, den, common, [1]
 
-    def class_of(self, n: int) -> int:
-        import bisect
+    def labels(self, sizes):
+        """The class of each size."""
+        import numpy as np
 
-        while self.starts[-1] <= n:
+        while self.starts[-1] <= sizes.max(initial=0):
             self.starts.append(self.starts[-1] * self.den // self.num + 1)
-        return bisect.bisect_right(self.starts, n) - 1
+        return np.searchsorted(np.array(self.starts), sizes, side="right") - 1
 
-    def count(self, label: int) -> tuple[int, int]:
-        while len(self.starts) <= label + 1:
+    def counts(self, labels):
+        """(slabs, spare ones) of each class."""
+        import numpy as np
+
+        while len(self.starts) <= labels.max(initial=0) + 1:
             self.starts.append(self.starts[-1] * self.den // self.num + 1)
-        most = (self.den - self.num) * 2 * (self.starts[label + 1] - 1) // (self.den + self.num)
-        spare = most // 20 + 1 if most else 0
+        most = (self.den - self.num) * 2 * (np.array(self.starts)[labels + 1] - 1) // (self.den + self.num)
+        spare = np.where(most > 0, most // 20 + 1, 0)
         return most + 1 + spare, spare
 
-    def keys(self, h, common):
+    def _slabs(self, h, of, label, n, spare, kind):
+        """(keys, the documents they are of, the documents that need more keys) for sets whose elements h are of documents."""
         import numpy as np
 
-        label, out = self.class_of(len(h)), []
-        rare = h if not len(common) else h[common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h]
-        for at in (label, label + 1):
-            n, spare = self.count(at)
-
-            def slabs(own, kind):
-                place = mixed(own, 0x9FB21C651E98DF25)
-                slab = (place % np.uint64(n)).astype("int64")
-                total = np.zeros(n, "uint64")
-                np.add.at(total, slab, place * np.uint64(0xA0761D6478BD642F))
-                size = np.bincount(slab, minlength=n)
-                key = mixed(mixed(total + np.arange(n, dtype="uint64") * np.uint64(0xE7037ED1A0B428DB), 0x589965CC75374CC3) + np.uint64(at * 4 + kind), 0x8EBC6AF09C88C6E3)
-                return key, size
-
-            key, size = slabs(rare, 0)
-            out.append(key[size > 0])
-            if (size == 0).sum() > spare:
-                # too few n-grams that aren't common
-                key, size = slabs(h, 1)
-                out.append(key if (size == 0).sum() > spare else key[size > 0])
-        return np.concatenate(out)
-
-
-def _sets(n):
-    def run(batches):
-        import pyarrow as pa
-
-        hashes = Hashes()
-        for batch in batches:
-            size, node = [], []
-            for text in batch.column(batch.schema.names.index("_text")):
-                h = shingles(text.as_py(), n, hashes)
-                size.append(len(h))
-                node.append(node_of(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("_id")), pa.array(size, pa.int64()), pa.array(node, pa.int64())], names=["id", "n_shingles", "node"])
+        first = np.cumsum(n) - n
+        place = mixed(h, 0x9FB21C651E98DF25)
+        slab = first[of] + (((place >> np.uint64(32)) * n.astype("uint64")[of]) >> np.uint64(32)).astype("int64")
+        total = np.zeros(int(n.sum()), "uint64")
+        np.add.at(total, slab, place * np.uint64(0xA0761D6478BD642F))
+        full = np.bincount(slab, minlength=len(total)) > 0
+        owner = np.repeat(np.arange(len(n)), n)
+        index = (np.arange(len(total)) - first[owner]).astype("uint64")
+        key = mixed(mixed(total + index * np.uint64(0xE7037ED1A0B428DB), 0x589965CC75374CC3) + (label[owner] * 4 + kind).astype("uint64"), 0x8EBC6AF09C88C6E3)
+        short = n - np.bincount(owner[full], minlength=len(n)) > spare
+        keep = full | short[owner] if kind else full
+        return key[keep], owner[keep], short
+
+    def keys(self, h, ends):
+        """(keys, the number of each one's set) of sets that aren't empty."""
+        import numpy as np
 
-    return run
+        sizes = np.diff(np.append(0, ends))
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        rare = np.ones(len(h), bool)
+        if len(self.common):
+            rare = self.common[np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)] != h
+        own, keys, sets = self.labels(sizes), [], []
+        for label in (own, own + 1):
+            n, spare = self.counts(label)
+            key, doc, short = self._slabs(h[rare], of[rare], label, n, spare, 0)
+            keys.append(key)
+            sets.append(doc)
+            if short.any():  # too few n-grams that aren't common
+                number, part = np.cumsum(short) - 1, short[of]
+                key, doc, _ = self._slabs(h[part], number[of[part]], label[short], n[short], spare[short], 1)
+                keys.append(key)
+                sets.append(np.nonzero(short)[0][doc])
+        return np.concatenate(keys), np.concatenate(sets)
 
 
 def _sample(n):
@@ -135,122 +155,102 @@ def _sample(n):
         import numpy as np
         import pyarrow as pa
 
-        hashes = Hashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                found = [shingles(t.as_py(), n, hashes) for t in batch.column(0).slice(lo, 500)]
-                h, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, "uint64"), np.zeros(0, int))
+            for part in byte_slices(batch, "_text"):
+                h, count = np.unique(shingle_sets(part.column(0), n)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view("int64")), pa.array(count.astype("int64"))], names=["h", "n"])
 
     return run
 
 
-def _keys(n, num, den, common):
+def _sets(n, num, den, common):
     def run(batches):
+        """For each text its set's size and number, and the keys if the task hasn't given them for this set."""
         import numpy as np
         import pyarrow as pa
 
-        hashes, slabs, seen = Hashes(), Slabs(num, den), set()
-        common_ = np.frombuffer(common, "uint64")
+        slabs, seen = Slabs(num, den, np.frombuffer(common, "uint64")), set()
         for batch in batches:
-            keys, nodes = [], []
-
-            def out():
-                sizes = [len(k) for k in keys]
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("int64")), pa.array(np.repeat(np.array(nodes, "int64"), sizes))], names=["key", "node"])
-
-            rows = 0
-            for text in batch.column(0):
-                h = shingles(text.as_py(), n, hashes)
-                if not len(h):
-                    continue
-                node = node_of(h)
-                if node in seen:  # copies in one task have their keys once
-                    continue
-                if len(seen) > 1_000_000:
+            for part in byte_slices(batch, "_text"):
+                h, ends = shingle_sets(part.column(part.schema.names.index("_text")), n)
+                sizes, node = np.diff(np.append(0, ends)), nodes_of(h, ends)
+                if len(seen) > SEEN:
                     seen.clear()
-                seen.add(node)
-                keys.append(slabs.keys(h, common_))
-                nodes.append(node)
-                rows += len(keys[-1])
-                if rows > 200_000:
-                    yield out()
-                    keys, nodes, rows = [], [], 0
-            if keys:
-                yield out()
+                fresh = np.zeros(len(sizes), bool)
+                for i in np.nonzero(sizes)[0].tolist():
+                    if (x := int(node[i])) not in seen:
+                        seen.add(x)
+                        fresh[i] = True
+                key, doc = slabs.keys(h[np.repeat(fresh, sizes)], np.cumsum(sizes[fresh])) if fresh.any() else (np.zeros(0, "uint64"), np.zeros(0, "int64"))
+                order = np.argsort(doc, kind="stable")
+                count = np.zeros(len(sizes), "int64")
+                count[fresh] = np.bincount(doc, minlength=int(fresh.sum()))
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(key[order].view("int64")))
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.names.index("_id")), pa.array(sizes, pa.int64()), pa.array(node, mask=sizes == 0), keys], names=["id", "n_shingles", "node", "keys"])
 
     return run
 
 
 def _buckets(batches):
-    """From rows in order of key and node: those whose key several nodes have, with the first of them. Only a key's last row is carried on."""
+    """From rows in order of key and node: those whose key several nodes have, and all rows of hot keys, without repeats. A key's last row is carried on."""
     import numpy as np
     import pyarrow as pa
 
-    carried = None  # the last key, its first node, its last node, whether its first row is out
+    carried = None  # the last row, and whether it is out
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        key, node, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if carried is not None:
-            key, node = np.append(carried[0], key), np.append(carried[2], node)
-        new = np.append(True, key[1:] != key[:-1])
-        fresh = new | np.append(True, node[1:] != node[:-1])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        first = node[start]
-        if carried is not None:
-            first[start == 0] = carried[1]
-        several = fresh & (node != first)  # a later node of its key
-        has = np.zeros(len(key), bool)
-        has[start[several]] = True
-        leads = new & has
-        if carried is not None:
-            leads[0] = leads[0] and not carried[3]
-        keep = several | leads
-        lead_first = first.copy()
-        if carried is not None and keep[0] and not carried[3]:
-            node = node.copy()
-            node[0] = carried[1]
-        if carried is not None and not leads[0]:
+            key, node, hot = np.append(carried[0], key), np.append(carried[1], node), np.append(carried[2], hot)
+        same_key = key[1:] == key[:-1]
+        fresh = np.append(True, ~same_key | (node[1:] != node[:-1]))
+        group = np.cumsum(np.append(0, ~same_key))
+        several = np.bincount(group[fresh])[group] > 1
+        if carried is not None and carried[3]:
+            several |= group == 0  # its key has several, of which some are out
+        keep = fresh & (several | hot)
+        if carried is not None and carried[3]:
             keep[0] = False
-        last = start[-1]
-        out_already = bool(has[last]) or (carried is not None and last == 0 and carried[3])
-        carried = (key[-1], first[-1], batch.column(1)[batch.num_rows - 1].as_py(), out_already)
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(lead_first[keep]), pa.array(node[keep])], names=["key", "first", "node"])
+        # a lone node waits for what the next batch brings
+        carried = key[-1], node[-1], hot[-1], bool(several[-1] or hot[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
 
 
-def _arrays(n, groups):
+def _arrays(n):
     def run(batches):
-        """(to, part, node, own, n, h) for each document's partners; with to null, its point."""
+        """The columns given, with the sorted hashes of the text's n-grams in place of the text; only rows whose text has the wanted set."""
         import numpy as np
         import pyarrow as pa
 
-        hashes = Hashes()
         for batch in batches:
-            rows = []
-
-            def out():
-                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["to", "part", "node", "own", "n", "data"])
-
-            size = 0
-            for text, node, to in zip(*[batch.column(batch.schema.names.index(c)) for c in ("text", "node", "to")]):
-                h = shingles(text.as_py(), n, hashes)
-                if node_of(h) != node.as_py():  # another row of the same id
-                    continue
-                data = h.tobytes()
-                for t in to.as_py():
-                    rows.append((t["to"], t["part"], node.as_py(), t["own"], len(h), data))
-                    size += len(data)
-                point = np.bincount((mixed(h, 0x1D8E4E27C47D124F) % np.uint64(groups)).astype("int64"), minlength=groups)
-                rows.append((None, 0, node.as_py(), False, len(h), point.astype("<u2" if point.max() < 65536 else "<u4").tobytes()))
-                if size > 16 << 20:
-                    yield out()
-                    rows, size = [], 0
-            yield out()
+            for part in byte_slices(batch, "_text"):
+                h, ends = shingle_sets(part.column(part.schema.names.index("_text")), n)
+                good = nodes_of(h, ends) == part.column(part.schema.names.index("node")).to_numpy()
+                at = np.append(0, ends * 8).astype("int32")
+                data = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(h.tobytes())])
+                names = [c for c in part.schema.names if c != "_text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.names.index(c)) for c in names], data], names=[*names, "data"]).filter(pa.array(good))
 
     return run
 
 
+def hash_sets(column) -> list:
+    """The arrays of hashes in a column of binary values."""
+    import numpy as np
+
+    return [np.frombuffer(x.as_buffer(), "uint64") for x in column]
+
+
+def overlap(x, y) -> int:
+    """The number of common elements of two sorted arrays of distinct elements."""
+    import numpy as np
+
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
 def links(n: int, m: int, both: int, num: int, den: int) -> bool:
     return den * both >= num * (n + m - both)
 
@@ -258,43 +258,38 @@ def links(n: int, m: int, both: int, num: int, den: int) -> bool:
 def _verify(num, den):
     def run(batches):
         """From rows in order of to, part and own (first): the partners whose exact similarity suffices."""
-        import numpy as np
         import pyarrow as pa
 
         at, own = None, None
         for batch in batches:
             a, b = [], []
-            for to, part, node, is_own, data in zip(*[batch.column(batch.schema.names.index(c)) for c in ("to", "part", "node", "own", "data")]):
-                key = to.as_py(), part.as_py()
-                if is_own.as_py():
-                    at, own = key, np.frombuffer(data.as_buffer(), "uint64").copy()
-                    continue
-                if at != key:
-                    continue
-                h = np.frombuffer(data.as_buffer(), "uint64")
-                place = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                if links(len(own), len(h), int((own[place] == h).sum()), num, den):
-                    a.append(key[0])
-                    b.append(node.as_py())
+            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            keys = zip(*[col[c].to_numpy(zero_copy_only=False).tolist() for c in ("to", "part", "node", "own")])
+            for (to, part, node, is_own), h in zip(keys, hash_sets(col["data"])):
+                if is_own:
+                    at, own = (to, part), h.copy()
+                elif at == (to, part) and links(len(own), len(h), overlap(own, h), num, den):
+                    a.append(to)
+                    b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 class Tree:
-    """An R-tree over count vectors, packed from the top down; nodes know their box, their least size, and their component if it is one."""
+    """An R-tree over count vectors, packed from the top down; each node knows its box and its least size."""
 
-    def __init__(self, points, comps):
+    def __init__(self, points):
         import numpy as np
 
-        self.np, self.points, self.comps = np, points, comps
+        self.np, self.points = np, points
         self.sizes = points.sum(axis=1).astype("int64")
         self.root = self._pack(np.arange(len(points)))
 
     def _pack(self, ids):
         np = self.np
         p = self.points[ids]
-        node = {"ids": ids, "hi": p.max(axis=0), "least": int(self.sizes[ids].min()), "comp": self.comps[ids[0]] if (self.comps[ids] == self.comps[ids[0]]).all() else None, "below": None}
+        node = {"ids": ids, "hi": p.max(axis=0), "least": int(self.sizes[ids].min()), "below": None}
         if len(ids) > LEAF:
             # tiles along the coordinate of the largest spread, the size included
             spread = np.append(p.var(axis=0), self.sizes[ids].var())
@@ -303,58 +298,99 @@ class Tree:
             node["below"] = [self._pack(ids[x]) for x in np.array_split(order, min(FANOUT, -(-len(ids) // LEAF)))]
         return node
 
-    def pairs(self, num, den):
-        """Index pairs of different components whose bound on the overlap allows a link."""
-        np, stack = self.np, [(self.root, self.root)]
-        while stack:
-            a, b = stack.pop()
-            if a["comp"] is not None and a["comp"] == b["comp"]:
-                continue
-            # the overlap is at most the summed minima, and a link needs num (n + m) / (num + den) of it
-            if (num + den) * int(np.minimum(a["hi"], b["hi"]).sum()) < num * (a["least"] + b["least"]):
-                continue
-            if a["below"] is None and b["below"] is None:
-                i, j = a["ids"], b["ids"]
-                over = np.minimum(self.points[i][:, None, :], self.points[j][None, :, :]).sum(axis=2).astype("int64")
-                good = ((num + den) * over >= num * (self.sizes[i][:, None] + self.sizes[j][None, :])) & (self.comps[i][:, None] != self.comps[j][None, :])
-                if a is b:
-                    good = np.triu(good, 1)
-                for x, y in zip(*np.nonzero(good)):
-                    yield i[x], j[y]
-            elif a is b:
-                stack += [(a["below"][x], a["below"][y]) for x in range(len(a["below"])) for y in range(x, len(a["below"]))]
-            elif b["below"] is None or a["below"] is not None and len(a["ids"]) >= len(b["ids"]):
-                stack += [(x, b) for x in a["below"]]
-            else:
-                stack += [(a, x) for x in b["below"]]
-
-
-def _point(data: bytes):
-    """Counts of GROUPS groups, of two bytes each if they fit."""
+
+def surviving_pairs(x: Tree, y: Tree, x_comp, y_comp, num: int, den: int):
+    """(i, j): pairs of points of two trees, or of one with itself, that are in different components and whose bound on the overlap allows a link.
+
+    The components may change while the pairs are taken.
+    """
+    import numpy as np
+
+    stack = [(x.root, y.root)]
+    while stack:
+        a, b = stack.pop()
+        ca, cb = x_comp[a["ids"]], y_comp[b["ids"]]
+        if ca.min() == ca.max() == cb.min() == cb.max():
+            continue
+        # the overlap is at most the summed minima, and a link needs num (n + m) / (num + den) of it
+        if (num + den) * int(np.minimum(a["hi"], b["hi"]).sum()) < num * (a["least"] + b["least"]):
+            continue
+        if a["below"] is None and b["below"] is None:
+            i, j = a["ids"], b["ids"]
+            over = np.minimum(x.points[i][:, None, :], y.points[j][None, :, :]).sum(axis=2).astype("int64")
+            good = ((num + den) * over >= num * (x.sizes[i][:, None] + y.sizes[j][None, :])) & (ca[:, None] != cb[None, :])
+            if x is y and a is b:
+                good = np.triu(good, 1)
+            yield from zip(i[np.nonzero(good)[0]].tolist(), j[np.nonzero(good)[1]].tolist())
+        elif x is y and a is b:
+            stack += [(a["below"][k], a["below"][m]) for k in range(len(a["below"])) for m in range(k, len(a["below"]))]
+        elif b["below"] is None or a["below"] is not None and len(a["ids"]) >= len(b["ids"]):
+            stack += [(k, b) for k in a["below"]]
+        else:
+            stack += [(a, k) for k in b["below"]]
+
+
+def point_of(h):
+    """Counts of the n-grams in GROUPS groups."""
     import numpy as np
 
-    return np.frombuffer(data, "<u2" if len(data) == 2 * GROUPS else "<u4")
+    return np.bincount((mixed(h, 0x1D8E4E27C47D124F) % np.uint64(GROUPS)).astype("int64"), minlength=GROUPS)
 
 
-def _survivors(num, den):
-    def run(key, table):
-        """Of one bucket, or of two tiles of a large one: pairs of documents that the tree can't rule out."""
-        import numpy as np
+def search_tiles(rows: list, num: int, den: int, contract: bool) -> list[tuple[int, int]]:
+    """Links among rows (node, component, tile, hashes) of one tile, or across two.
+
+    Survivors of the tree are verified at once. With contract, linked components become
+    one, so that there is a link for each join of components at most; else all links
+    come.
+    """
+    import numpy as np
+
+    rows = list({r[0]: r for r in rows}.values())
+    tiles = sorted({r[2] for r in rows})
+    points = np.stack([point_of(r[3]) for r in rows])
+    points = points.astype("uint8" if points.max() < 256 else "uint16" if points.max() < 65536 else "uint32")
+    comp = np.array([r[1] for r in rows])
+    sides = [np.array([i for i, r in enumerate(rows) if r[2] == t]) for t in tiles]
+    trees = [Tree(points[s]) for s in sides]
+    comps = [comp[s] for s in sides]
+    found = []
+    x, y = (0, 1) if len(tiles) > 1 else (0, 0)
+    for i, j in surviving_pairs(trees[x], trees[y], comps[x], comps[y], num, den):
+        a, b = comps[x][i], comps[y][j]
+        if a == b:
+            continue
+        (m, _, _, g), (k, _, _, h) = rows[sides[x][i]], rows[sides[y][j]]
+        if links(len(g), len(h), overlap(g, h), num, den):
+            found.append((min(m, k), max(m, k)))
+            if contract:
+                for c in comps:
+                    c[c == b] = a
+    return found
+
+
+def _survivors(num, den, contract):
+    def run(batches):
+        """From rows in order of group, i and j: the links in each of them."""
         import pyarrow as pa
 
-        order = np.argsort(table.column("node").to_numpy(), kind="stable")
-        node = table.column("node").to_numpy()[order]
-        _, first = np.unique(node, return_index=True)
-        node, order = node[first], order[first]
-        data = table.column("data")
-        points = np.stack([_point(data[int(i)].as_py()) for i in order])
-        tile, keys = table.column("tile").to_numpy()[order], table.column("keys")
-        keys = [np.array(keys[int(i)].as_py(), "int64") for i in order]
-        this, across = key[0].as_py(), key[1].as_py() != key[2].as_py()
-        found = [(i, j) for i, j in Tree(points, table.column("comp").to_numpy()[order]).pairs(num, den) if (tile[i] != tile[j] or not across) and np.intersect1d(keys[i], keys[j], assume_unique=True)[0] == this]
-        a = np.array([min(node[i], node[j]) for i, j in found], "int64")
-        b = np.array([max(node[i], node[j]) for i, j in found], "int64")
-        return pa.table({"a": a, "b": b})
+        at, rows = None, []
+
+        def out():
+            found = search_tiles(rows, num, den, contract) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            keys = zip(*[col[c].to_numpy().tolist() for c in ("group", "i", "j", "node", "comp", "tile")])
+            for (g, i, j, node, comp, tile), h in zip(keys, hash_sets(col["data"])):
+                if at != (g, i, j):
+                    if rows:
+                        yield out()
+                    at, rows = (g, i, j), []
+                rows.append((node, comp, tile, h.copy()))
+        if rows:
+            yield out()
 
     return run
 
@@ -378,113 +414,134 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = now
 
 
+class Candidates:
+    """Sets of docs in groups of which any two that link share one.
+
+    Equal sets become one class (node). Classes get keys of which linked ones share one
+    (see Slabs). A key's members go to the group of that member which shares most keys
+    with others: of near copies, one with few edits. So a class is in a group for each
+    such member that it meets, not for each key.
+    """
+
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str):
+        self.n, self.num, self.den = n, num, den
+        spark = docs.sparkSession
+        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+        id_type = self.given.schema["_id"].dataType.simpleString()
+        share = min(MILLION, MILLION * SAMPLE_DOCS // max(1, docs.count()))
+        sample = self.given.where(F.pmod(F.xxhash64("_id"), F.lit(MILLION)) < share).select("_text")
+        rows = sample.mapInArrow(_sample(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_DOCS).select("h").toPandas()
+        whole, path = stored(self.given.mapInArrow(_sets(n, num, den, _sorted_bytes(rows["h"])), f"id {id_type}, n_shingles long, node long, keys array<long>"), "sets-and-keys")
+        self.sets = materialize(whole.select("id", "n_shingles", "node"), "sets")
+        self.classes = materialize(self.sets.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles")), "classes")
+        keys = whole.where("id IS NOT NULL").select(F.explode("keys").alias("key"), "node")
+        # a key of many sampled sets may hold any share of all: its rows are dealt to all tasks
+        hot = whole.where(F.pmod(F.xxhash64("node"), F.lit(MILLION)) < share).select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON_DOCS)
+        hot = materialize(hot.select("key", F.lit(True).alias("hot")), "hot-keys")
+        keys = keys.join(F.broadcast(hot), "key", "left").select("key", "node", F.coalesce("hot", F.lit(False)).alias("hot"))
+        keys = keys.repartition(self.parts, "key", F.when(F.col("hot"), F.col("node"))).sortWithinPartitions("key", "node")
+        shared = materialize(keys.mapInArrow(_buckets, "key long, node long"), "shared-keys")
+        discard(spark, path)
+        degree = shared.groupBy("node").agg(F.count("*").alias("degree"))
+        # keys with the same members are one
+        firsts = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("m"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
+        firsts = firsts.where("n > 1").groupBy("n", "h1", "h2", "m").agg(F.min("key").alias("key"), F.count("*").alias("keys"))
+        firsts = firsts.select("key", "keys", F.col("m.node").alias("group"), F.col("m.degree").alias("degree"))
+        #: A row for each group and member, the group's first included, with the number of keys that brought it there.
+        self.members = materialize(shared.join(firsts, "key").groupBy("group", "node").agg(F.sum("keys").alias("keys"), F.first("degree").alias("degree")), "members")
+
+    def arrays(self, wanted: DataFrame) -> DataFrame:
+        """wanted(id, node and others) with the hashes of each one's text; texts are read again."""
+        texts = wanted.join(self.given.where("_text IS NOT NULL"), F.col("id") == F.col("_id")).drop("id", "_id")
+        schema = texts.drop("_text").schema.add("data", "binary")
+        return texts.mapInArrow(_arrays(self.n), schema)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs(a, b). Each b is sent to its a, in parts of about STAR partners, and compared there as the sorted rows stream by."""
+        degree = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")), "degrees")
+        part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+        to = pairs.join(degree.where("parts > 1"), "a", "left").select(F.col("b").alias("node"), F.col("a").alias("to"), F.array(part).alias("parts"), F.lit(False).alias("own"))
+        own = degree.select(F.col("a").alias("node"), F.col("a").alias("to"), F.sequence(F.lit(0), F.col("parts") - 1).alias("parts"), F.lit(True).alias("own"))
+        rows = self.arrays(to.union(own).join(self.classes.select("node", "id"), "node"))
+        rows = rows.select("to", F.explode("parts").alias("part"), "own", "node", "data")
+        rows = rows.repartition(self.parts, "to", "part").sortWithinPartitions("to", "part", F.desc("own"))
+        return rows.mapInArrow(_verify(self.num, self.den), "a long, b long").distinct()
+
+    def searched(self, members: DataFrame, contract: bool) -> DataFrame:
+        """The links in the groups of members(group, node, comp) between different comps, by trees; with contract, as many as join the components that link.
+
+        A group is searched in tiles of a bounded number of documents and n-grams, each
+        with itself and each two against each other, a task for each.
+        """
+        sized = members.join(self.classes, "node")
+        tiles = sized.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n_shingles") / TILE_GRAMS)).cast("int").alias("tiles"))
+        tiles = materialize(tiles.where("tiles > 1"), "tiles")
+        own = F.coalesce("tiles", F.lit(1))
+        tiled = sized.join(tiles, "group", "left").withColumn("tile", F.pmod(F.xxhash64("node"), own).cast("int")).withColumn("others", F.sequence(F.lit(0), own - 1))
+        rows = self.arrays(tiled.select("id", "node", "group", "comp", "tile", "others")).withColumn("other", F.explode("others"))
+        rows = rows.select("group", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "comp", "tile", "data")
+        rows = rows.repartition(self.parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
+        return rows.mapInArrow(_survivors(self.num, self.den, contract), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id, class_id, n_links: a row for each row of docs.
+    """id_col, n_shingles, component_id, class_id: a row for each row of docs.
 
     Words are what lies between blanks (space, U+0009 to U+000D), A-Z in lower case; a
     document's set is its distinct n-grams of words, or all its words as one if they are
     fewer. Two documents link if den * intersection >= num * union. component_id is the
-    smallest id reachable by links.
-
-    Equal sets become one class. Classes get keys of which linked ones share one (see
-    Slabs), and meet in buckets. Each member is held exactly against one
-    document, that of its buckets which shares most keys (one that itself shares most, in
-    all its buckets, against none but those that prefer it); what
-    then is still in different components goes to an R-tree over the classes' count
-    vectors, which rules out pairs whose summed minima bound the overlap too low; the
-    others are verified exactly. So a group of near copies costs a comparison or two for
-    each member, not all its pairs, and no link between components is lost. n-grams are
-    told apart by 64-bit hashes.
+    smallest id reachable by links, class_id the smallest with an equal set. For the
+    links themselves see similar_pairs.
+
+    Candidates are found as Candidates says. Each is first held exactly against the first
+    of the group that most of its keys lead to; in groups that then hold several
+    components, an R-tree over the sets' count vectors rules out pairs whose summed
+    minima bound the overlap too low, and survivors are verified exactly where they are
+    found, until their components are one. So near copies cost a comparison or two for
+    each member, and no link between components is lost. n-grams are told apart by
+    64-bit hashes.
 
     Null and empty texts have no n-grams and are their own component. Rows of one id may
     have different texts; null ids take no part and have a null component. Repeated rows
     are rows of the result. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    id_type = given.schema["_id"].dataType
-    sets = materialize(given.mapInArrow(_sets(n), f"id {id_type.simpleString()}, n_shingles long, node long"), "sets")
-    classes = materialize(sets.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")), "classes")
-    texts = given.where("_id IS NOT NULL AND _text IS NOT NULL")
-
-    million = 1_000_000
-    total = max(1, sets.count())
-    sample = texts.where(F.pmod(F.xxhash64("_id"), F.lit(million)) < min(million, million * SAMPLE_DOCS // total)).select("_text")
-    rows = sample.mapInArrow(_sample(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_DOCS).select("h").toPandas()
-    common = _sorted_bytes(rows["h"])
-
-    keys = texts.select("_text").mapInArrow(_keys(n, num, den, common), "key long, node long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = materialize(keys.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_buckets, "key long, first long, node long").select("key", "node"), "shared-keys")
-    # a bucket's first is the member that shares most keys: of near copies, one with few edits, which most others link to
-    degree = buckets.groupBy("node").agg(F.count("*").alias("degree"))
-    firsts = buckets.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("m")).select("key", F.col("m.node").alias("first"), F.col("m.degree").alias("degree"))
-    buckets = materialize(buckets.join(firsts, "key"), "buckets")
-
-    # verification of members against one first each, that of the most keys: a document is sent once
-    best = buckets.groupBy("node").agg(F.max(F.when(F.col("first") != F.col("node"), F.struct("degree", "first"))).alias("m"))
-    best = materialize(best.select(F.col("m.first").alias("a"), F.col("node").alias("b")), "stars")
-    stars = best.where("a IS NOT NULL")
-    # first in all its buckets, and no other's best first: held against none, but the tree needs its point
-    alone = best.where("a IS NULL").select(F.col("b").alias("node")).join(stars.select(F.col("a").alias("node")), "node", "left_anti")
-    points, found = verified(given, classes, stars, n, num, den, alone)
-    found = materialize(found, "links")
-    roots = components(found)
-
-    # what is in one bucket but not in one component
-    comp = buckets.select("key", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    by_key = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
-    # buckets of the same members are searched once
-    mixed_keys = by_key.where("x <> y").groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
-    open_ = materialize(comp.join(mixed_keys, "key"), "open")
-    # a document's own keys, of which it has a share of its n-grams' number; a pair counts in the first bucket that it shares
-    own_keys = open_.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    open_ = open_.join(points.join(own_keys, "node"), "node", "left").withColumn("data", F.coalesce("data", F.raise_error(F.lit("a document of a bucket has no point"))))
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    open_ = open_.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    open_ = open_.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp", "data", "keys")
-    pairs = materialize(open_.groupBy("key", "i", "j").applyInArrow(_survivors(num, den), "a long, b long").join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = materialize(verified(given, classes, pairs, n, num, den)[1], "links")
-    every = found.union(more).distinct()
+    c = Candidates(docs, n, num, den, id_col, text_col)
+    best = c.members.where(F.col("group") != F.col("node")).groupBy("node").agg(F.max(F.struct("keys", "degree", "group")).alias("m"))
+    stars = materialize(best.select(F.col("m.group").alias("a"), F.col("node").alias("b")), "stars")
+    roots = components(materialize(c.verified(stars), "links"))
+
+    joined = c.members.select("group", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    mixed_groups = joined.groupBy("group").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("group")
+    more = materialize(c.searched(materialize(joined.join(mixed_groups, "group"), "open"), contract=True), "links")
     # contract by what is known, then by the rest
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)) if not more.isEmpty() else roots
 
-    named = classes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = c.classes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     label = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = materialize(named.join(label, "root").join(degree, "node", "left").select("node", F.col("id").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
-    out = sets.join(known, "node", "left")
+    known = materialize(named.join(label, "root").select("node", F.col("id").alias("class_id"), "component_id"), "known")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return c.sets.join(known, "node", "left").select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
 
 
-def _sorted_bytes(column) -> bytes:
-    import numpy as np
+def similar_pairs(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, members): all links a < b between the representatives of different sets, and class_id and id_col for each document with n-grams.
 
-    return np.sort(column.to_numpy("int64").view("uint64")).tobytes()
+    As near_duplicates, but without contraction, so that no link is left out; of documents
+    that all link there are as many as pairs of their different sets.
+    """
+    c = Candidates(docs, n, num, den, id_col, text_col)
+    found = materialize(c.searched(materialize(c.members.select("group", "node", F.col("node").alias("comp")), "open"), contract=False), "links")
+    a, b = (c.classes.select(F.col("node").alias(x), F.col("id").alias(f"id_{x}")) for x in "ab")
+    named = found.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    members = c.sets.where("id IS NOT NULL").select("node", F.col("id").alias(id_col)).distinct().join(c.classes.select("node", F.col("id").alias("class_id")), "node")
+    return named, members.select("class_id", id_col)
 
 
-def verified(given: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int, alone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(points of the classes in pairs(a, b) and in alone(node), the pairs whose exact similarity suffices).
+def _sorted_bytes(column) -> bytes:
+    import numpy as np
 
-    The texts of the classes are read again; each b is sent to its a, in parts of about
-    STAR partners, and compared there as the sorted rows stream by.
-    """
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    to = pairs.join(degree, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("to"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("own")).alias("t"))
-    own = degree.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("node", F.struct(F.col("node").alias("to"), "part", F.lit(True).alias("own")).alias("t"))
-    wanted = to.union(own)
-    if alone is not None:
-        wanted = wanted.unionByName(alone, allowMissingColumns=True)  # sent to none
-    wanted = wanted.groupBy("node").agg(F.collect_list("t").alias("to"))
-    wanted = materialize(wanted.join(classes, "node").select("id", "node", "to"), "wanted")
-    texts = given.join(wanted.hint("merge"), given["_id"] == wanted["id"]).select(F.col("_text").alias("text"), "node", "to")
-    arrays = materialize(texts.mapInArrow(_arrays(n, GROUPS), "to long, part int, node long, own boolean, n long, data binary"), "arrays")
-    points = arrays.where("to IS NULL").select("node", "data").dropDuplicates(["node"])
-    parts = int(given.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = arrays.where("to IS NOT NULL").repartition(parts, "to", "part").sortWithinPartitions("to", "part", F.desc("own"))
-    return points, rows.mapInArrow(_verify(num, den), "a long, b long").distinct()
+    return np.sort(column.to_numpy("int64").view("uint64")).tobytes()
 
 
 def op4_ngram_jaccard(docs: DataFrame) -> DataFrame:

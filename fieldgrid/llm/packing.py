@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_slices
+
 WINDOW, END_ID = 2048, 1
 #: Partially filled windows that a task holds at most; at more, it fills them up by cutting.
 MAX_OPEN = 4096
 #: Words whose ids a task remembers at most.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 300_000
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -184,26 +186,32 @@ def _pack(tokenizer_path: str, window: int):
             rows, packer.done = packer.done, []
             pieces = [[], [], [], [], [], []]
             for doc, start, length, sequence, offset in rows:
-                ids = docs[doc][1]
-                for to, x in zip(pieces, (start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), sequence, offset)):
+                _, ids, first, total, _ = docs[doc]
+                for to, x in zip(pieces, (start, length, zlib.crc32(ids[start - first : start - first + length].tobytes()), total, sequence, offset)):
                     to.append(x)
             carried = [pa.array([docs[x[0]][0][i] for x in rows], f.type) for i, f in enumerate(schema)]
+            closed = {x[0] for x in rows}
             for doc, _, length, _, _ in rows:
-                docs[doc][2] -= length
-                if not docs[doc][2]:
+                docs[doc][4] -= length
+            for doc in closed:
+                own = docs[doc]
+                if not own[4]:
                     del docs[doc]
+                elif own[3] - own[2] > window:  # whole windows are out: only the rest waits
+                    first = own[3] - own[3] % window
+                    own[1:3] = own[1][first - own[2] :].copy(), first
             return pa.RecordBatch.from_arrays([*carried, *[pa.array(x, pa.int64()) for x in pieces]], names=[*schema.names, *[x.split()[0] for x in PIECE.split(", ")]])
 
         schema = None
         for batch in batches:
             carried = batch.select([c for c in batch.schema.names if c != "_text"])
             schema = carried.schema
-            texts = batch.column(batch.schema.names.index("_text"))
-            for lo in range(0, batch.num_rows, 2048):
-                own = list(zip(*[c.slice(lo, 2048).to_pylist() for c in carried.columns])) if carried.num_columns else [()] * 2048
-                for row, ids in zip(own, words.encode(texts.slice(lo, 2048))):
+            for part in byte_slices(batch, "_text"):
+                own = list(zip(*[part.column(part.schema.names.index(c)).to_pylist() for c in schema.names])) if len(schema) else [()] * part.num_rows
+                for row, ids in zip(own, words.encode(part.column(part.schema.names.index("_text")))):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    docs[n] = [row, ids, len(ids)]
+                    # columns, ids, the place of their first, tokens, tokens in open windows
+                    docs[n] = [row, ids, 0, len(ids), len(ids)]
                     packer.add(n, len(ids))
                     n += 1
                 yield ready(schema)

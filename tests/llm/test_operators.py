@@ -188,32 +188,58 @@ def test_ngram_join_of_nothing(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_shingles_are_those_of_plain_words():
+    rng, texts = random.Random(8), ["", None, " \t\n", "One TWO", "one two", "A B\tC\x0bD e", " a  b c d e ", "é É x y z é É x y z"]
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(40))) for _ in range(60)]
+    import pyarrow as pa
+
+    h, ends = ngram_join.shingle_sets(pa.array(texts), 4)
+    own = [set(x.tolist()) for x in np.split(h, ends[:-1])]
+    plain = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        plain.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    assert [len(x) for x in own] == [len(x) for x in plain]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        assert len(own[i] & own[j]) == len(plain[i] & plain[j])
+    assert all((x[1:] > x[:-1]).all() for x in np.split(h, ends[:-1]))
+    nodes = ngram_join.nodes_of(h, ends)
+    assert all((nodes[i] == nodes[j]) == (own[i] == own[j]) for i, j in itertools.combinations(range(len(texts)), 2))
+
+
 def test_linked_sets_share_a_key():
-    rng, slabs = np.random.default_rng(5), ngram_join.Slabs(85, 100)
-    for _ in range(3000):
-        n = int(rng.integers(1, 400))
-        a = np.unique(rng.integers(1, 2**62, n).astype("uint64"))
-        cut = rng.random() * 0.16
-        b = np.unique(np.concatenate([a[rng.random(len(a)) > cut * rng.random()], rng.integers(1, 2**62, int(len(a) * cut * rng.random())).astype("uint64")]))
-        common = np.sort(rng.choice(a, int(len(a) * rng.choice([0, 0.5, 1.0])), replace=False))
-        both = len(np.intersect1d(a, b))
-        if len(b) and ngram_join.links(len(a), len(b), both, 85, 100):
-            assert len(np.intersect1d(slabs.keys(a, common), slabs.keys(b, common)))
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        sets, links = [], []
+        for _ in range(10):
+            n = int(rng.integers(1, 400))
+            a = np.unique(rng.integers(1, 2**62, n).astype("uint64"))
+            cut = rng.random() * 0.16
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > cut * rng.random()], rng.integers(1, 2**62, int(len(a) * cut * rng.random())).astype("uint64")]))
+            if len(b) and ngram_join.links(len(a), len(b), len(np.intersect1d(a, b)), 85, 100):
+                links.append((len(sets), len(sets) + 1))
+                sets += [a, b]
+        if sets:
+            every = np.concatenate(sets)
+            common = np.sort(rng.choice(every, int(len(every) * rng.choice([0, 0.5, 1.0])), replace=False))
+            key, of = ngram_join.Slabs(85, 100, np.unique(common)).keys(every, np.cumsum([len(x) for x in sets]))
+            assert all(len(np.intersect1d(key[of == i], key[of == j])) for i, j in links)
 
 
 def test_buckets_do_not_depend_on_batches():
     import pyarrow as pa
 
     rng = random.Random(2)
-    rows = sorted((rng.randrange(12), rng.randrange(6)) for _ in range(60))
-    want = []
-    for key, own in itertools.groupby(sorted(set(rows)), key=lambda x: x[0]):
-        own = [x[1] for x in own]
-        want += [(key, own[0], x) for x in own] if len(own) > 1 else []
-    for size in (1, 2, 3, 7, 60):
-        batches = [pa.record_batch([pa.array([x[i] for x in rows[lo : lo + size]], pa.int64()) for i in (0, 1)], names=["key", "node"]) for lo in range(0, 60, size)]
-        got = [tuple(r.values()) for b in ngram_join._buckets(batches) for r in b.to_pylist()]
-        assert sorted(got) == want
+    for hot in (set(), {3, 11}):
+        rows = sorted((rng.randrange(30), rng.randrange(6)) for _ in range(60))
+        want = []
+        for key, own in itertools.groupby(sorted(set(rows)), key=lambda x: x[0]):
+            own = list(own)
+            want += own if len(own) > 1 or key in hot else []
+        for size in (1, 2, 3, 7, 60):
+            batches = [pa.record_batch([*[pa.array([x[i] for x in rows[lo : lo + size]], pa.int64()) for i in (0, 1)], pa.array([x[0] in hot for x in rows[lo : lo + size]])], names=["key", "node", "hot"]) for lo in range(0, 60, size)]
+            got = [tuple(r.values()) for b in ngram_join._buckets(batches) for r in b.to_pylist()]
+            assert sorted(got) == want
 
 
 def test_tree_keeps_every_pair_that_the_bound_allows():
@@ -222,8 +248,49 @@ def test_tree_keeps_every_pair_that_the_bound_allows():
     points = np.concatenate([base + rng.integers(0, 2, base.shape) for _ in range(12)])
     comps, size = rng.integers(0, 40, len(points)), points.sum(axis=1)
     want = {(i, j) for i, j in itertools.combinations(range(len(points)), 2) if comps[i] != comps[j] and 185 * np.minimum(points[i], points[j]).sum() >= 85 * (size[i] + size[j])}
-    got = {tuple(sorted(map(int, p))) for p in ngram_join.Tree(points, comps).pairs(85, 100)}
-    assert got == want
+    whole = ngram_join.Tree(points)
+    assert {tuple(sorted(p)) for p in ngram_join.surviving_pairs(whole, whole, comps, comps, 85, 100)} == want
+    x, y = ngram_join.Tree(points[:50]), ngram_join.Tree(points[50:])
+    assert {(i, j + 50) for i, j in ngram_join.surviving_pairs(x, y, comps[:50], comps[50:], 85, 100)} == {p for p in want if p[0] < 50 <= p[1]}
+
+
+def test_similar_pairs(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = [(i, edited(rng, base, rng.choice([0.0, 0.01, 0.02, 0.04]))) for i in range(40)] + [(90, None), (None, "x")]
+    pairs, members = ngram_join.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = {}
+    for i, t in rows[:40]:
+        w = t.split()
+        sets.setdefault(frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3)), []).append(i)
+    want = {tuple(sorted((min(sets[a]), min(sets[b])))) for a, b in itertools.combinations(sets, 2) if 100 * len(a & b) >= 85 * len(a | b)}
+    assert sorted(map(tuple, pairs.collect())) == sorted(want) and len(want) > 40
+    assert sorted(map(tuple, members.collect())) == sorted((min(own), i) for own in sets.values() for i in own)
+
+
+def test_ngram_join_of_many_near_copies(spark, monkeypatch):
+    """5,000 near copies of one text: many don't link to it, nor to all others."""
+    monkeypatch.setattr(ngram_join, "SAMPLE_DOCS", 1000)
+    rng, n = np.random.default_rng(6), 5000
+    base = np.array([f"w{i}" for i in range(60)])
+    rows = []
+    for i in range(n):
+        words, places = base.copy(), rng.choice(60, rng.integers(1, 4), replace=False)
+        words[places] = [f"x{rng.integers(3)}" for _ in places]
+        rows.append((i, " ".join(words)))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    number: dict = {}
+    sets = [{number.setdefault(tuple(w[j : j + 4]), len(number)) for w in [t.split()] for j in range(57)} for _, t in rows]
+    at = np.zeros((n, len(number)), "float32")
+    for i, x in enumerate(sets):
+        at[i, list(x)] = 1
+    size, root = at.sum(axis=1), np.arange(n)
+    for i in range(n):
+        both = at[i] @ at.T
+        for c in np.unique(root[100 * both >= 85 * (size[i] + size - both)]):
+            root[root == c] = root[i]
+    least = {c: int(np.nonzero(root == c)[0][0]) for c in np.unique(root)}
+    assert {r.doc_id: r.component_id for r in got} == {i: least[root[i]] for i in range(n)}
 
 
 def test_components(spark):
@@ -347,6 +414,41 @@ def test_languages_of_odd_rows(spark):
     assert langid.identify(df, nothing, pieces).where("lang_pred <> 'und' OR score <> 0").count() == 0
 
 
+def test_long_words_are_summed_over_all_segmentations():
+    pieces = ["a", "b", "ab", "ba", "aab", "▁", "▁a", "bbb"]
+    finder, rng = langid.Pieces(pieces), random.Random(4)
+    p = np.array([[0.2, 0.05], [0.1, 0.2], [0.1, 0.15], [0.1, 0.1], [0.2, 0.1], [0.1, 0.1], [0.1, 0.2], [0.1, 0.1]])
+    runs = ["▁" + "".join(rng.choice("abz") for _ in range(n)) for n in (1, 5, 15, 16, 17, 40, 300, 5000)]
+    got = finder.log_likelihood(runs, p)
+    counts = finder.expected(runs, np.ones(len(runs)), np.ascontiguousarray(p[:, 0]))
+    single, want_counts = {x for x in pieces if len(x) == 1}, np.zeros(len(pieces))
+    for k, run in enumerate(runs):
+        n = len(run)
+        ways = [[(s, x, pieces.index(x) if x in pieces else None) for s in range(max(0, e - 3), e) if (x := run[s:e]) in pieces or len(x) == 1 and x not in single] for e in range(1, n + 1)]
+        for c in (0, 1):
+            f = [0.0]
+            for own in ways:
+                f.append(np.logaddexp.reduce([f[s] + np.log(langid.UNKNOWN if at is None else p[at, c]) for s, _, at in own]))
+            assert np.isclose(got[k, c], f[n], rtol=1e-9)
+            if c == 0:
+                forward = f
+        back = [-np.inf] * n + [0.0]
+        for e in range(n, 0, -1):
+            for s, _, at in ways[e - 1]:
+                w = np.log(langid.UNKNOWN if at is None else p[at, 0])
+                back[s] = np.logaddexp(back[s], back[e] + w)
+                if at is not None:
+                    want_counts[at] += np.exp(forward[s] + w + back[e] - forward[n])
+    assert np.allclose(counts, want_counts, rtol=1e-6)
+
+
+def test_marks_are_no_letters(spark):
+    model = ["en", "fr"], np.full((2, 2), 0.5)
+    df = spark.createDataFrame([(1, "² ½ 12"), (2, None), (3, ""), (4, "a"), (5, "ª"), (6, "字")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, model, ["a", "b"]).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (1, 2, 3)) and all(got[i] == ("en", 0.5) for i in (4, 5, 6))
+
+
 # ------------------------------------------------------------------ 7
 
 PAGE = """<!DOCTYPE html><html><head><title>T {k}</title><script>var a = "</p><article>";</script><style>p {{}}</style></head><body><header class="top"><a href="/">Home</a></header>
