@@ -40,13 +40,16 @@ def shape(samples: DataFrame) -> DataFrame:
 
 
 def parameter_count(shapes: DataFrame) -> DataFrame:
-    """The sum of the products of weight shapes."""
-    return shapes.agg(F.sum(F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)).alias("n_params"))
+    """The sum of the products of weight shapes, for each of the other columns' values."""
+    return shapes.groupBy(*[c for c in shapes.columns if c not in ("name", "shape")]).agg(F.sum(F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)).alias("n_params"))
 
 
-def operator_shapes(c_in: int, c_out: int, n_r: int, n_a: int, width: int = 3, layers: int = 4, mlp_width: int = 64, mlp_layers: int = 3, modes: tuple[int, int] = (80, 240)) -> list[tuple[str, list[int]]]:
-    """(name, shape) of the weights of lift, spectral blocks and projection; modes are cut to what the grid has."""
-    m1, m2 = min(modes[0], n_r), min(modes[1], n_a // 2 + 1)
+def operator_shapes(c_in: int, c_out: int, n_r, n_a, width: int = 3, layers: int = 4, mlp_width: int = 64, mlp_layers: int = 3, modes: tuple[int, int] = (80, 240)) -> list[tuple[str, list]]:
+    """(name, shape) of the weights of lift, spectral blocks and projection; modes are cut to what the grid has, whose size may be columns."""
+    if isinstance(n_r, Column):
+        m1, m2 = F.least(F.lit(modes[0]), n_r), F.least(F.lit(modes[1]), F.floor(n_a / 2).cast("int") + 1)
+    else:
+        m1, m2 = min(modes[0], n_r), min(modes[1], n_a // 2 + 1)
 
     def dense(name, sizes):
         return [x for i, (a, b) in enumerate(zip(sizes, sizes[1:])) for x in ((f"{name}.{i}.weight", [b, a]), (f"{name}.{i}.bias", [b]))]
@@ -58,3 +61,9 @@ def operator_shapes(c_in: int, c_out: int, n_r: int, n_a: int, width: int = 3, l
     for k in range(layers):
         out += [(f"spectral.{k}.w{i}", [width, width, m1, m2]) for i in (1, 2)] + mlp(f"bypass.{k}", width, width, 1)
     return out + mlp("project", width, c_out, mlp_layers)
+
+
+def grid_shapes(grids: DataFrame, c_in: int, c_out: int) -> DataFrame:
+    """n_r, n_a, name, shape: the weights of an operator for each size of grid in grids(n_r, n_a)."""
+    own = [F.struct(F.lit(name).alias("name"), F.array(*[x if isinstance(x, Column) else F.lit(x) for x in shape]).alias("shape")) for name, shape in operator_shapes(c_in, c_out, F.col("n_r"), F.col("n_a"))]
+    return grids.select("n_r", "n_a").distinct().select("n_r", "n_a", F.inline(F.array(*own)))

@@ -44,6 +44,14 @@ def sample_designs(ids: DataFrame, seed: int = 42, id_col: str = "design_id") ->
     return d.select(id_col, *[F.col(x).alias(x, metadata={"unit": unit}) if unit else F.col(x) for x, unit in UNITS.items()])
 
 
+def dealt(designs: DataFrame, parts: int | None = None, id_col: str = "design_id") -> DataFrame:
+    """Designs dealt to tasks by id, so that nothing by design, phase or cell is shuffled after; draws are made once, before.
+
+    parts defaults to spark.sql.shuffle.partitions; few rows are not put together, as each becomes many cells.
+    """
+    return designs.repartition(parts or int(designs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+
+
 def sample_phases(designs: DataFrame, n_phases: int = 3, seed: int = 42) -> DataFrame:
     """designs with phase_idx and phase_deg, uniform over one pole pitch; n_phases rows a design, without a shuffle."""
     d = designs.withColumn("phase_idx", F.explode(F.sequence(F.lit(0), F.lit(n_phases - 1))))

@@ -47,10 +47,12 @@ def cartesian(d: DataFrame) -> DataFrame:
     return d.withColumns({"x": F.col("r") * F.cos(th), "y": F.col("r") * F.sin(th)})
 
 
-def corners(spark, g: Grid) -> DataFrame:
-    """The (n_r + 1) x (n_a + 1) corners of a grid's cells, for any plotting client."""
-    d = spark.range((g.n_r + 1) * (g.n_a + 1)).select(F.floor(F.col("id") / (g.n_a + 1)).cast("int").alias("ir"), (F.col("id") % (g.n_a + 1)).cast("int").alias("ia"))
-    return cartesian(d.withColumns({"r": g.r_in + F.col("ir") * F.lit(g.dr), "th": g.ang_1 + F.col("ia") * F.lit(g.da)}))
+def corners(rows: DataFrame, g: Grid, r_ext: Column | None = None) -> DataFrame:
+    """A row for each of the rows' (n_r + 1) x (n_a + 1) corners of cells, for any plotting client: ir, ia, r, th, x, y. r_ext replaces the grid's."""
+    depth = (F.lit(g.r_ext) if r_ext is None else r_ext) - F.lit(g.r_in)
+    d = rows.withColumn("_corner", F.explode(F.sequence(F.lit(0), F.lit((g.n_r + 1) * (g.n_a + 1) - 1))))
+    d = d.withColumns({"ir": F.floor(F.col("_corner") / (g.n_a + 1)).cast("int"), "ia": (F.col("_corner") % (g.n_a + 1)).cast("int")}).drop("_corner")
+    return cartesian(d.withColumns({"r": g.r_in + F.col("ir") * depth / g.n_r, "th": g.ang_1 + F.col("ia") * F.lit(g.da)}))
 
 
 def magnitude(x: Column, y: Column) -> Column:
@@ -73,8 +75,8 @@ def to_cells(fields: DataFrame) -> DataFrame:
     return d.withColumns({"ir": F.floor(F.col("_at") / F.col("n_a")).cast("int"), "ia": (F.col("_at") % F.col("n_a")).cast("int")}).drop("_at")
 
 
-def to_arrays(cells: DataFrame, keys: list[str], value: str, g: Grid) -> DataFrame:
-    """Cell form to array form, row-major: one shuffle by key, a row's cells sorted within its array."""
-    at = F.struct((F.col("ir") * g.n_a + F.col("ia")).alias("at"), F.col(value).alias("v"))
+def to_arrays(cells: DataFrame, keys: list[str], values: list[str], g: Grid) -> DataFrame:
+    """Cell form to array form, row-major, an array for each of the values: no shuffle if the rows are dealt by a key, else one. A row's cells are sorted within its arrays."""
+    at = F.struct((F.col("ir") * g.n_a + F.col("ia")).alias("at"), *values)
     d = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(at)).alias("_cells"))
-    return d.select(*keys, F.lit(g.n_r).alias("n_r"), F.lit(g.n_a).alias("n_a"), F.transform("_cells", lambda c: c["v"]).alias("values"))
+    return d.select(*keys, F.lit(g.n_r).alias("n_r"), F.lit(g.n_a).alias("n_a"), *[F.col(f"_cells.{v}").alias(v) for v in values])

@@ -58,29 +58,27 @@ def _inside(g: Grid):
 
 
 def area_fractions(phases: DataFrame, g: Grid, k: int = 1024) -> DataFrame:
-    """The shares f_iron, f_p, f_n, f_copper of each cell's averaging disk, by k points of it.
+    """The code of each cell's centre, and the shares f_iron, f_p, f_n, f_copper of its averaging disk, by k points of it.
 
-    Regions may overlap, so flags count independently. Only cells near a boundary get
-    their points exploded; their sums are combined before the shuffle.
+    Regions may overlap, so flags count independently. Only cells near a boundary get k
+    points, the others their centre; one scan, and no shuffle of points if the designs
+    are dealt by id (see design.dealt), else sums that combine before it.
     """
-    flags = ("iron", "pole_p", "pole_n", "copper")
-    names = ("f_iron", "f_p", "f_n", "f_copper")
-    keys = ["design_id", "phase_idx", "ir", "ia"]
-    cells = cells_of(phases, g).withColumn("_inside", _inside(g))
-    sure = cells.where("_inside").select(*keys, *[F.col(f).cast("double").alias(n) for f, n in zip(flags, names)])
-    points = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(d).alias("d")) for s, d in sub_points(g, k)])
-    near = cells.where("NOT _inside").drop("phi", "sx", "sy", *flags).withColumn("_p", F.explode(points))
-    near = near.withColumns({"r": F.col("r") * F.col("_p.s"), "th": F.col("th") + F.col("_p.d")}).drop("_p")
-    sums = regions.with_flags(near).groupBy(*keys).agg(*[(F.sum(F.col(f).cast("long")) / F.lit(float(k))).alias(n) for f, n in zip(flags, names)])
-    return sure.unionByName(sums)
+    flags = {"f_iron": "iron", "f_p": "pole_p", "f_n": "pole_n", "f_copper": "copper"}
+    cells = cells_of(phases, g).withColumns({"code": regions.code(), "_inside": _inside(g)}).drop("phi", "sx", "sy", *flags.values())
+    point = lambda s, d: F.struct(F.lit(s).alias("s"), F.lit(d).alias("d"))
+    points = cells.withColumn("_p", F.explode(F.when(F.col("_inside"), F.array(point(1.0, 0.0))).otherwise(F.array(*[point(s, d) for s, d in sub_points(g, k)]))))
+    points = points.withColumns({"r": F.col("r") * F.col("_p.s"), "th": F.col("th") + F.col("_p.d")}).drop("_p")
+    n = F.count("*")
+    return regions.with_flags(points).groupBy("design_id", "phase_idx", "ir", "ia").agg(F.first("code").alias("code"), *[(F.count_if(F.col(f)) / n).alias(name) for name, f in flags.items()])
 
 
 def averages(fractions: DataFrame) -> DataFrame:
-    """mu_avg and magnetization of area_fractions: overlaps add, and vacuum has what is left, if any."""
+    """mu_avg and magnetization of area_fractions, beside their keys and codes: overlaps add, and vacuum has what is left, if any."""
     mu = {m: x for m, _, x, _ in regions.MATERIALS}
     rest = F.greatest(1 - (F.col("f_iron") + F.col("f_p") + F.col("f_n") + F.col("f_copper")), F.lit(0.0))
     value = mu["iron_1008"] * F.col("f_iron") + mu["N35p"] * (F.col("f_p") + F.col("f_n")) + mu["copper"] * F.col("f_copper") + rest
-    return fractions.select("design_id", "phase_idx", "ir", "ia", value.alias("mu_avg"), (F.col("f_p") - F.col("f_n")).alias("magnetization"))
+    return fractions.select(*[c for c in fractions.columns if not c.startswith("f_")], value.alias("mu_avg"), (F.col("f_p") - F.col("f_n")).alias("magnetization"))
 
 
 def with_properties(codes: DataFrame) -> DataFrame:

@@ -17,33 +17,30 @@ from ..functions.draws import uniform01
 SPECTRUM = "sample_ix long, ch int, kx int, ky int, re double, im double"
 
 
-def twiddles(spark: SparkSession, n_r: int, n_a: int) -> DataFrame:
-    """cos and sin of 2 pi (kx ir / n_r + ky ia / n_a) for all cells and half-spectrum modes."""
-    half = n_a // 2 + 1
-    d = spark.range(n_r * n_a * n_r * half).select(
-        (F.col("id") % half).cast("int").alias("ky"),
-        (F.floor(F.col("id") / half) % n_r).cast("int").alias("kx"),
-        (F.floor(F.col("id") / (half * n_r)) % n_a).cast("int").alias("ia"),
-        F.floor(F.col("id") / (half * n_r * n_a)).cast("int").alias("ir"),
-    )
+def twiddles(spark: SparkSession, n: int, modes: int, place: str, mode: str) -> DataFrame:
+    """place, mode, c, s: cos and sin of 2 pi place mode / n, of one axis; n x modes rows, by the grid."""
+    d = spark.range(n * modes).select((F.col("id") % modes).cast("int").alias(mode), F.floor(F.col("id") / modes).cast("int").alias(place))
     # whole turns are taken off in integers, so that the angle is exact to a rounding
-    turn = (F.col("kx") * F.col("ir") * n_a + F.col("ky") * F.col("ia") * n_r) % (n_r * n_a)
-    angle = turn * F.lit(2 * math.pi / (n_r * n_a))
-    return d.withColumns({"c": F.cos(angle), "s": F.sin(angle)})
+    angle = (F.col(place) * F.col(mode)) % n * F.lit(2 * math.pi / n)
+    return F.broadcast(d.withColumns({"c": F.cos(angle), "s": F.sin(angle)}))
 
 
 def forward(cells: DataFrame, n_r: int, n_a: int) -> DataFrame:
-    """Real two-dimensional DFT over the half spectrum, as a join with the twiddles and sums that combine before the shuffle."""
-    w = F.broadcast(twiddles(cells.sparkSession, n_r, n_a))  # (n_r n_a)^2 / 2 rows, by the caller's small grid
-    return cells.join(w, ["ir", "ia"]).groupBy("sample_ix", "ch", "kx", "ky").agg(F.sum(F.col("v") * F.col("c")).alias("re"), (-F.sum(F.col("v") * F.col("s"))).alias("im"))
+    """Real two-dimensional DFT over the half spectrum: an axis after the other, each a join with its twiddles and sums that combine before the shuffle."""
+    spark, c, s = cells.sparkSession, F.col("c"), F.col("s")
+    d = cells.join(twiddles(spark, n_a, n_a // 2 + 1, "ia", "ky"), "ia").groupBy("sample_ix", "ch", "ir", "ky").agg(F.sum(F.col("v") * c).alias("a"), (-F.sum(F.col("v") * s)).alias("b"))
+    d = d.join(twiddles(spark, n_r, n_r, "ir", "kx"), "ir")
+    return d.groupBy("sample_ix", "ch", "kx", "ky").agg(F.sum(F.col("a") * c + F.col("b") * s).alias("re"), F.sum(F.col("b") * c - F.col("a") * s).alias("im"))
 
 
 def inverse(spectra: DataFrame, n_r: int, n_a: int) -> DataFrame:
-    """Inverse of the half spectrum; modes without a row are 0. Modes 0 and n_a / 2 count once and by their real part, as the others' mirror images count too."""
-    w = F.broadcast(twiddles(spectra.sparkSession, n_r, n_a))
+    """Inverse of the half spectrum, an axis after the other; modes without a row are 0. Modes 0 and n_a / 2 count once and by their real part, as the others' mirror images count too."""
+    spark, c, s = spectra.sparkSession, F.col("c"), F.col("s")
+    d = spectra.join(twiddles(spark, n_r, n_r, "ir", "kx"), "kx")
+    d = d.groupBy("sample_ix", "ch", "ir", "ky").agg(F.sum(F.col("re") * c - F.col("im") * s).alias("a"), F.sum(F.col("re") * s + F.col("im") * c).alias("b"))
     times = F.when((F.col("ky") == 0) | (F.col("ky") * 2 == n_a), 1.0).otherwise(2.0)
-    term = times * (F.col("re") * F.col("c") - F.col("im") * F.col("s"))
-    return spectra.join(w, ["kx", "ky"]).groupBy("sample_ix", "ch", "ir", "ia").agg((F.sum(term) / (n_r * n_a)).alias("v"))
+    d = d.join(twiddles(spark, n_a, n_a // 2 + 1, "ia", "ky"), "ky")
+    return d.groupBy("sample_ix", "ch", "ir", "ia").agg((F.sum(times * (F.col("a") * c - F.col("b") * s)) / (n_r * n_a)).alias("v"))
 
 
 def truncate(spectra: DataFrame, n_r: int, n_a: int, m1: int, m2: int) -> DataFrame:
@@ -99,6 +96,27 @@ def fit(x: DataFrame, y: DataFrame, ridge: float = 1e-6) -> DataFrame:
     return s.select("kx", "ky", "n", (F.col("re") / (F.col("xx") + ridge)).alias("wr"), (F.col("im") / (F.col("xx") + ridge)).alias("wi"))
 
 
+def fit_two(x1: DataFrame, x2: DataFrame, y: DataFrame, ridge: float = 1e-6) -> DataFrame:
+    """kx, ky, n, w1r, w1i, w2r, w2i: for each mode, the complex weights of two channels whose sum is nearest to y.
+
+    The 2 x 2 normal equations in closed form, with ridge on their diagonal: sums of
+    products, then the inverse in columns.
+    """
+    at = ["sample_ix", "kx", "ky"]
+    part = lambda d, k: d.select(*at, F.col("re").alias(f"{k}r"), F.col("im").alias(f"{k}i"))
+    d = part(x1, "a").join(part(x2, "b"), at).join(part(y, "y"), at)
+    c = F.col
+    # of u conj(v)
+    re, im = lambda u, v: c(f"{u}r") * c(f"{v}r") + c(f"{u}i") * c(f"{v}i"), lambda u, v: c(f"{u}i") * c(f"{v}r") - c(f"{u}r") * c(f"{v}i")
+    sums = {"aa": re("a", "a"), "bb": re("b", "b"), "pr": re("b", "a"), "pi": im("b", "a"), "ur": re("y", "a"), "ui": im("y", "a"), "vr": re("y", "b"), "vi": im("y", "b")}
+    s = d.groupBy("kx", "ky").agg(F.count("*").alias("n"), *[F.sum(x).alias(k) for k, x in sums.items()])
+    # w1 (aa + ridge) + w2 p = u and w1 conj(p) + w2 (bb + ridge) = v
+    aa, bb, pr, pi = c("aa") + ridge, c("bb") + ridge, c("pr"), c("pi")
+    det = aa * bb - pr * pr - pi * pi
+    out = {"w1r": bb * c("ur") - (pr * c("vr") - pi * c("vi")), "w1i": bb * c("ui") - (pr * c("vi") + pi * c("vr")), "w2r": aa * c("vr") - (pr * c("ur") + pi * c("ui")), "w2i": aa * c("vi") - (pr * c("ui") - pi * c("ur"))}
+    return s.select("kx", "ky", "n", *[(x / det).alias(k) for k, x in out.items()])
+
+
 # ------------------------------------------------------------------ Arrow batches
 
 
@@ -178,46 +196,114 @@ def operator_weights(c_in: int, c_out: int, n_r: int, n_a: int, seed: int = 0, *
     return out
 
 
-def apply_operator(x, weights: dict):
-    """Lift, spectral blocks with bypass and activation, projection: rows x channels x n_r x n_a to the same with the outgoing channels."""
+def layers_of(weights: dict, name: str) -> list[tuple]:
+    """(weight, bias) of each layer of that name."""
+    n = sum(k.startswith(f"{name}.") and k.endswith("weight") for k in weights)
+    return [(weights[f"{name}.{i}.weight"], weights[f"{name}.{i}.bias"]) for i in range(n)]
+
+
+def dense(x, layers: list[tuple], act=gelu):
+    """Affine maps of the channels, the same in each cell, with act between them; a single one has it too, if act is given."""
     import numpy as np
 
-    def dense(v, name):
-        n = sum(k.startswith(f"{name}.") and k.endswith("weight") for k in weights)
-        for i in range(n):
-            v = np.einsum("oc,bcij->boij", weights[f"{name}.{i}.weight"], v) + weights[f"{name}.{i}.bias"][None, :, None, None]
-            if i < n - 1:
-                v = gelu(v)
-        return v
+    for i, (w, b) in enumerate(layers):
+        x = np.einsum("oc,bcij->boij", w, x) + np.asarray(b)[None, :, None, None]
+        if act and (len(layers) == 1 or i < len(layers) - 1):
+            x = act(x)
+    return x
+
+
+def spectral_layer(x, w1, w2):
+    """The low modes of each channel times complex weights (in x out x m1 x m2), summed over the channels: w1 at the low end of the first axis, w2 at its high end, which wins where they overlap."""
+    import numpy as np
 
     n_r, n_a = x.shape[2:]
-    x, k = dense(x, "lift"), 0
+    m1, m2 = w1.shape[2:]
+    f = np.fft.rfft2(x)
+    g = np.zeros((len(x), w1.shape[1], n_r, n_a // 2 + 1), complex)
+    for part, w in ((slice(0, m1), w1), (slice(n_r - m1, n_r), w2)):
+        g[:, :, part, :m2] = np.einsum("bixy,ioxy->boxy", f[:, :, part, :m2], w)
+    return np.fft.irfft2(g, s=(n_r, n_a))
+
+
+def residual_block(x, w1, w2, bypass: list[tuple], act=gelu):
+    """A spectral layer beside an affine map of the channels, added and activated."""
+    return act(spectral_layer(x, w1, w2) + dense(x, bypass, None))
+
+
+def apply_operator(x, weights: dict):
+    """Lift, spectral blocks with bypass and activation, projection: rows x channels x n_r x n_a to the same with the outgoing channels."""
+    x, k = dense(x, layers_of(weights, "lift")), 0
     while f"spectral.{k}.w1" in weights:
-        w1, w2 = weights[f"spectral.{k}.w1"], weights[f"spectral.{k}.w2"]
-        m1, m2 = w1.shape[2:]
-        f = np.fft.rfft2(x)
-        g = np.zeros((len(x), w1.shape[1], n_r, n_a // 2 + 1), complex)
-        g[:, :, :m1, :m2] = np.einsum("bixy,ioxy->boxy", f[:, :, :m1, :m2], w1)
-        g[:, :, n_r - m1 :, :m2] = np.einsum("bixy,ioxy->boxy", f[:, :, n_r - m1 :, :m2], w2)
-        x = gelu(np.fft.irfft2(g, s=(n_r, n_a)) + dense(x, f"bypass.{k}"))
+        x = residual_block(x, weights[f"spectral.{k}.w1"], weights[f"spectral.{k}.w2"], layers_of(weights, f"bypass.{k}"))
         k += 1
-    return dense(x, "project")
+    return dense(x, layers_of(weights, "project"))
 
 
-def score(samples: DataFrame, weights: dict, column: str = "x") -> DataFrame:
-    """sample_ix, n_r, n_a and out, the operator's channels, in Arrow batches; the weights' size is fixed by the operator's, not by the data's."""
-    shared = samples.sparkSession.sparkContext.broadcast(weights)
+def mapped(samples: DataFrame, function, column: str = "x", out: str = "out", element: str = "double") -> DataFrame:
+    """sample_ix, n_r, n_a and out: function of the channels of array samples, rows x channels x n_r x n_a at a time, in Arrow batches."""
 
     def run(batches):
         import pyarrow as pa
 
+        kind = pa.list_(pa.list_(pa.float32() if element == "float" else pa.float64()))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 ix, n_r, n_a = (part.column(part.schema.names.index(c)) for c in ("sample_ix", "n_r", "n_a"))
                 for own, x in _stacks(part, column):
-                    y = apply_operator(x, shared.value).astype("float32")
-                    at = pa.array(own)
-                    yield pa.RecordBatch.from_arrays([ix.take(at), n_r.take(at), n_a.take(at), pa.array(y.reshape(*y.shape[:2], -1).tolist(), pa.list_(pa.list_(pa.float32())))], names=["sample_ix", "n_r", "n_a", "out"])
+                    y, at = function(x), pa.array(own)
+                    yield pa.RecordBatch.from_arrays([ix.take(at), n_r.take(at), n_a.take(at), pa.array(y.reshape(*y.shape[:2], -1).tolist(), kind)], names=["sample_ix", "n_r", "n_a", out])
+
+    return samples.select("sample_ix", "n_r", "n_a", column).mapInArrow(run, f"sample_ix long, n_r int, n_a int, {out} array<array<{element}>>")
+
 
-    return samples.select("sample_ix", "n_r", "n_a", column).mapInArrow(run, "sample_ix long, n_r int, n_a int, out array<array<float>>")
+def convolve_batches(samples: DataFrame, w1, w2, column: str = "x") -> DataFrame:
+    """Spectral convolution of whole grids of any size; w1 and w2 are the blocks' complex weights, of a size fixed by the modes."""
+    shared = samples.sparkSession.sparkContext.broadcast((w1, w2))
+    return mapped(samples, lambda x: spectral_layer(x, *shared.value), column)
+
+
+def block_arrays(weights: DataFrame) -> tuple:
+    """(w1, w2), in x out x m1 x m2, of a table of weights; as many rows as the modes have."""
+    import numpy as np
+
+    rows = weights.select("block", "ch_in", "ch_out", "wx", "ky", "wr", "wi").toPandas()
+    shape = [int(rows[c].max()) + 1 for c in ("ch_in", "ch_out", "wx", "ky")]
+    out = np.zeros((2, *shape), complex)
+    out[tuple(rows[c].to_numpy() - (c == "block") for c in ("block", "ch_in", "ch_out", "wx", "ky"))] = rows["wr"] + 1j * rows["wi"]
+    return out[0], out[1]
+
+
+def spectra_arrays(samples: DataFrame, column: str = "x") -> DataFrame:
+    """sample_ix, n_r, n_a, and re and im of each channel's half spectrum, row-major arrays."""
+    import numpy as np
+
+    both = mapped(samples, lambda x: np.concatenate([(f := np.fft.rfft2(x)).real, f.imag], axis=1), column, "_both")
+    half = F.floor(F.size("_both") / 2).cast("int")
+    return both.select("sample_ix", "n_r", "n_a", F.slice("_both", 1, half).alias("re"), F.slice("_both", half + 1, half).alias("im"))
+
+
+def irfft2(spectra: DataFrame, out: str = "x") -> DataFrame:
+    """The channels of array spectra (sample_ix, n_r, n_a, re, im), the inverse of spectra_arrays."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            col = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
+            x = []
+            for n_r, n_a, re, im in zip(col["n_r"], col["n_a"], col["re"], col["im"]):
+                f = (np.array(re, float) + 1j * np.array(im, float)).reshape(-1, n_r, n_a // 2 + 1)
+                x.append(np.fft.irfft2(f, s=(n_r, n_a)).reshape(len(f), -1).tolist())
+            keep = [batch.column(batch.schema.names.index(c)) for c in ("sample_ix", "n_r", "n_a")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(x, pa.list_(pa.list_(pa.float64())))], names=["sample_ix", "n_r", "n_a", out])
+
+    return spectra.select("sample_ix", "n_r", "n_a", "re", "im").mapInArrow(run, f"sample_ix long, n_r int, n_a int, {out} array<array<double>>")
+
+
+def score(samples: DataFrame, weights: dict, column: str = "x") -> DataFrame:
+    """sample_ix, n_r, n_a and out, the operator's channels, in Arrow batches; the weights' size is fixed by the operator's, not by the data's."""
+    shared = samples.sparkSession.sparkContext.broadcast(weights)
+    return mapped(samples, lambda x: apply_operator(x, shared.value).astype("float32"), column, element="float")

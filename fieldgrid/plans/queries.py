@@ -11,7 +11,7 @@ from ..operators.grid import Grid
 from ..sources import files
 from ..sources.files import table
 from ..streaming import ingest
-from .sql import AVERAGES, CODES, N, POINTS, RANKS, SAMPLES, SEED
+from .sql import AVERAGES, BYPASS, CODES, LAYERS, N, POINTS, RANKS, SAMPLES, SEED
 
 FIELDS = ("Mu_avg", "Magnetization", "Mag_Bx", "Mag_By")
 
@@ -30,7 +30,7 @@ def designs(spark, d) -> DataFrame:
 
 
 def phases(spark, d) -> DataFrame:
-    return design.sample_phases(designs(spark, d), 3, SEED)
+    return design.sample_phases(design.dealt(designs(spark, d)), 3, SEED)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -110,18 +110,14 @@ def material_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def material_arrays(spark, d):
-    a = grid.to_arrays(raster.material_codes(phases(spark, d), CODES), ["design_id", "phase_idx"], "code", CODES)
-    return a.select("design_id", "phase_idx", F.array_join("values", ",").alias("codes"))
+    a = grid.to_arrays(raster.material_codes(phases(spark, d), CODES), ["design_id", "phase_idx"], ["code"], CODES)
+    return a.select("design_id", "phase_idx", F.array_join("code", ",").alias("codes"))
 
 
 def grid_corners(spark, d):
     """Corners of a 2 x 4 grid over each design's stator."""
-    g = Grid(n_r=2, n_a=4)
-    rows = designs(spark, d).select("design_id", (F.col("stator_outer_diameter") / 2 - g.r_in).alias("depth"))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit((g.n_r + 1) * (g.n_a + 1) - 1))))
-    rows = rows.withColumns({"ir": F.floor(F.col("k") / (g.n_a + 1)).cast("int"), "ia": (F.col("k") % (g.n_a + 1)).cast("int")})
-    rows = rows.withColumns({"r": g.r_in + F.col("ir") * F.col("depth") / g.n_r, "th": F.col("ia") * F.lit(g.da)})
-    return grid.cartesian(rows).select("design_id", "ir", "ia", near("x", 6), near("y", 6))
+    c = grid.corners(designs(spark, d), Grid(n_r=2, n_a=4), F.col("stator_outer_diameter") / 2)
+    return c.select("design_id", "ir", "ia", near("x", 6), near("y", 6))
 
 
 def material_property_join(spark, d):
@@ -137,6 +133,14 @@ def area_fractions(spark, d):
     return shares(spark, d).groupBy("design_id", "phase_idx").agg(*[F.sum(f).alias(f) for f in ("f_iron", "f_p", "f_n", "f_copper")])
 
 
+def sample_arrays(spark, d):
+    """Codes, permeability and magnetisation of each design and phase as arrays, from one pass over its cells."""
+    a = grid.to_arrays(raster.averages(shares(spark, d)), ["design_id", "phase_idx"], ["code", "mu_avg", "magnetization"], AVERAGES)
+    # values have nine places at most, so decimals sum exactly
+    total = lambda c: F.aggregate(c, F.lit(0).cast("decimal(30,9)"), lambda x, y: (x + y.cast("decimal(20,9)")).cast("decimal(30,9)")).cast("double")
+    return a.select("design_id", "phase_idx", F.array_join("code", ",").alias("codes"), F.size("mu_avg").alias("n"), total("mu_avg").alias("mu_avg"), (total("magnetization") + 0.0).alias("magnetization"))
+
+
 def field_resample(spark, d):
     li = table(spark, d, "lineitem")
     p = li.select((27.5 + (F.col("l_partkey") % 1750) / 100.0).alias("r"), ((F.col("l_orderkey") % 12000) / 100.0).alias("th"), F.col("l_quantity").alias("bx"), F.col("l_discount").alias("b_y"))
@@ -155,6 +159,12 @@ def matrix_csv_roundtrip(spark, d):
     return as_cells(files.read_matrices(spark, path))
 
 
+def field_parquet_roundtrip(spark, d):
+    path = files.scratch(spark, "fields")
+    files.write_fields(fields(spark, d), path)
+    return as_cells(files.read_fields(spark, path))
+
+
 def tensor_roundtrip(spark, d):
     path = files.scratch(spark, "samples")
     files.write_samples(samples(spark, d), path)
@@ -202,14 +212,17 @@ def mirror_sink(spark, d):
 
 
 def magnitudes(spark, d):
-    flat = F.posexplode(F.zip_with(F.element_at("y", 1), F.element_at("y", 2), lambda a, b: F.sqrt(a.cast("double") * a + b.cast("double") * b)))
-    s = samples(spark, d).select("sample_ix", "design_id", "phase_idx", "n_a", flat.alias("at", "b"))
+    return magnitude_cells(samples(spark, d))
+
+
+def magnitude_cells(s: DataFrame) -> DataFrame:
+    flat = F.posexplode(F.zip_with(F.element_at("y", 1), F.element_at("y", 2), lambda a, b: grid.magnitude(a.cast("double"), b.cast("double"))))
+    s = s.select("sample_ix", "design_id", "phase_idx", "n_a", flat.alias("at", "b"))
     return s.select("sample_ix", "design_id", "phase_idx", F.floor(F.col("at") / F.col("n_a")).cast("int").alias("ir"), (F.col("at") % F.col("n_a")).cast("int").alias("ia"), near("b"))
 
 
 def head_sample_magnitude(spark, d):
-    first = samples(spark, d).orderBy("sample_ix").limit(1).select("sample_ix")
-    return magnitudes(spark, d).join(first, "sample_ix", "left_semi").select("ir", "ia", "b")
+    return magnitude_cells(samples(spark, d).orderBy("sample_ix").limit(1)).select("ir", "ia", "b")
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -232,6 +245,31 @@ def spectral_fit(spark, d):
     return f.select("kx", "ky", "n", near("wr", 6), near("wi", 6))
 
 
+def spectral_fit_two(spark, d):
+    s = spectra(spark, d)
+    f = spectral.fit_two(s.where("ch = 0"), s.where("ch = 1"), s.where("ch = 2"))
+    return f.select("kx", "ky", "n", *[near(c, 6) for c in ("w1r", "w1i", "w2r", "w2i")])
+
+
+def doubles(spark, d) -> DataFrame:
+    return samples(spark, d).withColumn("x", F.col("x").cast("array<array<double>>"))
+
+
+def out_cells(arrays: DataFrame, column: str = "out") -> DataFrame:
+    a = arrays.select("sample_ix", "n_a", F.posexplode(column).alias("ch", "_v")).select("sample_ix", "ch", "n_a", F.posexplode("_v").alias("_at", "v"))
+    return flat(a.select("sample_ix", "ch", F.floor(F.col("_at") / F.col("n_a")).cast("int").alias("ir"), (F.col("_at") % F.col("n_a")).cast("int").alias("ia"), "v"))
+
+
+def channel_layers(spark, d):
+    """Two layers with activation between, the same in each cell."""
+    return out_cells(spectral.mapped(doubles(spark, d), lambda x: spectral.dense(x, LAYERS)))
+
+
+def residual_block(spark, d):
+    w1, w2 = spectral.block_arrays(weights(spark))
+    return out_cells(spectral.mapped(doubles(spark, d), lambda x: spectral.residual_block(x, w1, w2, BYPASS)))
+
+
 def operator_score(spark, d):
     """The seeded, untrained operator over all samples: its channels' mean squared difference from y, a row a sample."""
     s = samples(spark, d)
@@ -268,12 +306,14 @@ def queries() -> dict:
         "material_arrays": material_arrays,
         "air_gap_mask": lambda s, d: raster.air_gap(phases(s, d), CODES).groupBy("design_id", "phase_idx").agg(F.count_if("in_gap").alias("n")),
         "material_property_join": material_property_join,
-        "mu_avg_grid": lambda s, d: raster.averages(shares(s, d)).select("design_id", "phase_idx", "ir", "ia", near("mu_avg", 6)),
+        "mu_avg_grid": lambda s, d: raster.averages(shares(s, d)).select("design_id", "phase_idx", "ir", "ia", near("mu_avg")),
         "magnetization_grid": lambda s, d: raster.averages(shares(s, d)).select("design_id", "phase_idx", "ir", "ia", (f("magnetization") + 0.0).alias("magnetization")),
         "area_fractions": area_fractions,
+        "sample_arrays": sample_arrays,
         "field_resample": field_resample,
         "design_csv_roundtrip": design_csv_roundtrip,
         "matrix_csv_roundtrip": matrix_csv_roundtrip,
+        "field_parquet_roundtrip": field_parquet_roundtrip,
         "tensor_roundtrip": tensor_roundtrip,
         "file_listing": file_listing,
         "key_parse": key_parse,
@@ -293,18 +333,24 @@ def queries() -> dict:
         "minibatches": lambda s, d: dataset.minibatches(lines(s, d), SEED, 0).select("sample_ix", "batch_id"),
         "mse": lambda s, d: dataset.mse(lines(s, d)).select("n", F.round("mse", 2).alias("mse")),
         "epoch_loss": lambda s, d: dataset.epoch_loss(dataset.minibatches(lines(s, d), SEED, 0)).select("n_batches", F.round("epoch_loss", 2).alias("epoch_loss")),
-        "param_count": lambda s, d: dataset.parameter_count(fields(s, d).select(F.array(F.lit(1), "n_r", "n_a").alias("shape"))),
+        "field_order": lambda s, d: assemble.dense_ordinal(fields(s, d).select(*assemble.KEYS), assemble.KEYS, "position"),
+        "param_count": lambda s, d: dataset.parameter_count(dataset.grid_shapes(fields(s, d), 2, 2)),
         "head_sample_magnitude": head_sample_magnitude,
         "field_magnitude": lambda s, d: magnitudes(s, d).drop("sample_ix"),
         "rfft2": lambda s, d: flat(spectra(s, d)),
-        "rfft2_batches": lambda s, d: flat(spectral.rfft2(assemble.assemble(fields(s, d), 3).withColumn("x", f("x").cast("array<array<double>>")))),
+        "rfft2_batches": lambda s, d: flat(spectral.rfft2(doubles(s, d))),
         "mode_truncate": lambda s, d: flat(low(s, d)),
         "spectral_mix": lambda s, d: flat(mixed_modes(s, d)),
         "irfft2": lambda s, d: flat(spectral.inverse(spectra(s, d), N, N)),
         "spectral_conv": lambda s, d: flat(spectral.convolve(channels(s, d).where("ch < 2"), weights(s), N, N, RANKS["m1"], RANKS["m2"])),
         "pointwise_mix": pointwise_mix,
+        "irfft2_batches": lambda s, d: out_cells(spectral.irfft2(spectral.spectra_arrays(doubles(s, d))), "x"),
+        "spectral_conv_batches": lambda s, d: out_cells(spectral.convolve_batches(doubles(s, d), *spectral.block_arrays(weights(s)))),
+        "channel_layers": channel_layers,
+        "residual_block": residual_block,
         "spectral_fit": spectral_fit,
-        "gelu": lambda s, d: spectral.with_gelu(channels(s, d), "v", "g"),
+        "spectral_fit_two": spectral_fit_two,
+        "gelu": lambda s, d: spectral.with_gelu(channels(s, d), "v", "g").withColumn("g", F.round("g", 6) + 0.0),
         "operator_score": operator_score,
         "stream_completeness": stream_completeness,
     }

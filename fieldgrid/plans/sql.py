@@ -7,9 +7,12 @@ from ..operators.raster import sub_points
 
 SEED = 42
 #: The queries' grids: codes on the first, averages of POINTS points on the second, point samples on the third.
-CODES, AVERAGES, SAMPLES, POINTS = Grid(n_r=8, n_a=24), Grid(n_r=4, n_a=12), Grid(n_r=20, n_a=60), 16
+CODES, AVERAGES, SAMPLES, POINTS = Grid(n_r=8, n_a=24), Grid(n_r=4, n_a=12), Grid(n_r=20, n_a=60), 64
 N = 8  # rows and columns of the embeddings' grids
 RANKS = {"m1": 3, "m2": 4}
+#: Weights and biases of the queries' layers, and of the affine map beside the spectral layer.
+LAYERS = [([[0.5, -0.25], [1.0, 0.75], [-0.5, 1.5]], [0.1, -0.2, 0.0]), ([[1.0, -1.0, 0.5], [0.25, 2.0, -0.75]], [0.0, 0.3])]
+BYPASS = [([[0.5, -0.25], [1.5, 0.75]], [0.1, -0.2])]
 
 
 def u(row_id: str, draw) -> str:
@@ -74,11 +77,13 @@ flagged AS (SELECT *, r >= r_pole AND r <= r_ro AS back, magnet AND ((pole % 2)
 RASTER = f"WITH {DESIGNS}, {PHASES}, {cells(CODES)}, {flags('cells')}"
 CODE = "CASE WHEN back OR stator THEN 6 WHEN pole_p THEN 1 WHEN pole_n THEN 5 WHEN copper THEN 3 ELSE 0 END"
 MATERIALS = "(VALUES ('iron_1008', 6, 5000.0::DOUBLE, 0.0::DOUBLE), ('N35p', 1, 1.05::DOUBLE, 1.0::DOUBLE), ('N35n', 5, 1.05::DOUBLE, -1.0::DOUBLE), ('copper', 3, 0.999::DOUBLE, 0.0::DOUBLE), ('vacuum', 0, 1.0::DOUBLE, 0.0::DOUBLE)) m(material, code, mu, m)"
-POINT_VALUES = ", ".join(f"({s!r}::DOUBLE, {d!r}::DOUBLE)" for s, d in sub_points(AVERAGES, POINTS))
+#: Number 0 is the centre, which gives the code alone.
+POINT_VALUES = ", ".join(f"({n}, {s!r}::DOUBLE, {d!r}::DOUBLE)" for n, (s, d) in enumerate([(1.0, 0.0), *sub_points(AVERAGES, POINTS)]))
 SHARES = f"""WITH {DESIGNS}, {PHASES}, {cells(AVERAGES)},
-points AS (SELECT c.* REPLACE (c.r * p.s AS r, c.th + p.d AS th) FROM cells c, (VALUES {POINT_VALUES}) p(s, d)), {flags('points')},
-shares AS (SELECT design_id, phase_idx, ir, ia, sum((back OR stator)::INT) / {POINTS}.0::DOUBLE AS f_iron, sum(pole_p::INT) / {POINTS}.0::DOUBLE AS f_p, sum(pole_n::INT) / {POINTS}.0::DOUBLE AS f_n, sum(copper::INT) / {POINTS}.0::DOUBLE AS f_copper
-  FROM flagged GROUP BY ALL)"""
+points AS (SELECT c.* REPLACE (c.r * p.s AS r, c.th + p.d AS th), p.n FROM cells c, (VALUES {POINT_VALUES}) p(n, s, d)), {flags('points')},
+shares AS (SELECT design_id, phase_idx, ir, ia, first({CODE}) FILTER (n = 0) AS code, sum(((back OR stator) AND n > 0)::INT) / {POINTS}.0::DOUBLE AS f_iron, sum((pole_p AND n > 0)::INT) / {POINTS}.0::DOUBLE AS f_p, sum((pole_n AND n > 0)::INT) / {POINTS}.0::DOUBLE AS f_n, sum((copper AND n > 0)::INT) / {POINTS}.0::DOUBLE AS f_copper
+  FROM (SELECT * FROM flagged) GROUP BY design_id, phase_idx, ir, ia)"""
+MU = "round(5000.0::DOUBLE * f_iron + 1.05::DOUBLE * (f_p + f_n) + 0.999::DOUBLE * f_copper + greatest(1 - (f_iron + f_p + f_n + f_copper), 0.0::DOUBLE), 9)"
 
 FIELDS = f"""fields AS (SELECT vec_id // 12 AS design_id, ((vec_id // 4) % 3)::INTEGER AS phase_idx, ['Mu_avg', 'Magnetization', 'Mag_Bx', 'Mag_By'][(vec_id % 4)::INTEGER + 1] AS field, embedding::DOUBLE[] AS v, label FROM embeddings),
 gridcells AS (SELECT design_id, phase_idx, field, (k // {N})::INTEGER AS ir, (k % {N})::INTEGER AS ia, v[k + 1] AS v, label FROM (SELECT *, unnest(range({N * N})) AS k FROM fields) z)"""
@@ -101,8 +106,21 @@ MIXED = f"""mixed AS (SELECT l.sample_ix, w.ch_out AS ch, l.kx, l.ky, sum(l.re *
 PLACES = f"places AS (SELECT a.k::INTEGER AS ir, b.k::INTEGER AS ia FROM (SELECT unnest(range({N})) AS k) a, (SELECT unnest(range({N})) AS k) b)"
 
 
-def back(of: str) -> str:
-    return f"SELECT sample_ix, ch, ir, ia, round(sum(CASE WHEN ky = 0 OR ky * 2 = {N} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END * (re * cos({TURN}) - im * sin({TURN}))) / {N * N}, 6) + 0.0 AS v FROM {of}, places GROUP BY ALL"
+PAIRS = "pairs AS (SELECT sample_ix, ir, ia, max(v) FILTER (ch = 0) AS x0, max(v) FILTER (ch = 1) AS x1 FROM channels GROUP BY ALL)"
+
+
+def affine(w: list[float], b: float, of: str = "x") -> str:
+    return "(" + " + ".join(f"{x!r}::DOUBLE * {of}{k}" for k, x in enumerate(w)) + f" + {b!r}::DOUBLE)"
+
+
+def gelu(x: str) -> str:
+    """By the error function's series; beyond 5 it is 1 to 12 places."""
+    z = f"greatest(-5.0::DOUBLE, least(5.0::DOUBLE, {x} / sqrt(2.0::DOUBLE)))"
+    return f"0.5::DOUBLE * {x} * (1 + 2 / sqrt(pi()) * list_sum(list_transform(range(0, 110), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * pow({z}, 2 * k + 1) / (gamma(k + 1.0::DOUBLE) * (2 * k + 1)))))"
+
+
+def back(of: str, places: int = 6) -> str:
+    return f"SELECT sample_ix, ch, ir, ia, round(sum(CASE WHEN ky = 0 OR ky * 2 = {N} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END * (re * cos({TURN}) - im * sin({TURN}))) / {N * N}, {places}) + 0.0 AS v FROM {of}, places GROUP BY ALL"
 
 
 R6 = "round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im"
@@ -132,13 +150,15 @@ def oracle_sql() -> dict[str, str]:
         "air_gap_mask": f"{RASTER} SELECT design_id, phase_idx, sum((r BETWEEN 0.9::DOUBLE * r_si AND 1.1::DOUBLE * r_ro AND NOT (back OR stator OR pole_p OR pole_n OR copper))::INT)::BIGINT AS n FROM flagged GROUP BY ALL",
         "material_arrays": f"{RASTER} SELECT design_id, phase_idx, string_agg(({CODE})::VARCHAR, ',' ORDER BY ir, ia) AS codes FROM flagged GROUP BY ALL",
         "material_property_join": f"{RASTER} SELECT material, m.code, count(*)::BIGINT AS n, round(sum(mu), 3) + 0.0 AS mu, round(sum(m), 3) + 0.0 AS m FROM (SELECT {CODE} AS code FROM flagged) f JOIN {MATERIALS} ON f.code = m.code GROUP BY ALL",
-        "mu_avg_grid": f"{SHARES} SELECT design_id, phase_idx, ir, ia, round(5000.0::DOUBLE * f_iron + 1.05::DOUBLE * (f_p + f_n) + 0.999::DOUBLE * f_copper + greatest(1 - (f_iron + f_p + f_n + f_copper), 0.0::DOUBLE), 6) + 0.0 AS mu_avg FROM shares",
+        "mu_avg_grid": f"{SHARES} SELECT design_id, phase_idx, ir, ia, {MU} + 0.0 AS mu_avg FROM shares",
+        "sample_arrays": f"{SHARES} SELECT design_id, phase_idx, string_agg(code::VARCHAR, ',' ORDER BY ir, ia) AS codes, count(*)::INTEGER AS n, sum(({MU})::DECIMAL(20, 9))::DOUBLE AS mu_avg, sum((f_p - f_n)::DECIMAL(20, 9))::DOUBLE + 0.0 AS magnetization FROM shares GROUP BY ALL",
         "magnetization_grid": f"{SHARES} SELECT design_id, phase_idx, ir, ia, f_p - f_n + 0.0 AS magnetization FROM shares",
         "area_fractions": f"{SHARES} SELECT design_id, phase_idx, sum(f_iron) AS f_iron, sum(f_p) AS f_p, sum(f_n) AS f_n, sum(f_copper) AS f_copper FROM shares GROUP BY ALL",
         "field_resample": f"""WITH p AS (SELECT 27.5::DOUBLE + (l_partkey % 1750) / 100.0::DOUBLE AS r, (l_orderkey % 12000) / 100.0::DOUBLE AS th, l_quantity::DOUBLE AS bx, l_discount::DOUBLE AS b_y FROM lineitem)
           SELECT floor((r - 27.5::DOUBLE) / {s.dr!r}::DOUBLE)::INTEGER AS ir, floor(th / {s.da!r}::DOUBLE)::INTEGER AS ia, count(*)::BIGINT AS n, round(avg(bx), 6) + 0.0 AS bx, round(avg(b_y), 6) + 0.0 AS b_y FROM p WHERE r < 45.0 AND th < 120.0 GROUP BY ALL""",
         "design_csv_roundtrip": f"WITH {DESIGNS} SELECT design_id, {ROUNDED} FROM designs",
         "matrix_csv_roundtrip": f"WITH {FIELDS} SELECT design_id, phase_idx, field, ir, ia, v FROM gridcells",
+        "field_parquet_roundtrip": f"WITH {FIELDS} SELECT design_id, phase_idx, field, ir, ia, v FROM gridcells",
         "tensor_roundtrip": TENSOR,
         "file_listing": f"WITH {FIELDS} SELECT field, design_id, phase_idx FROM fields",
         "key_parse": f"""WITH n AS (SELECT ['Mag_Bx', 'Mag_By', 'Magnetization', 'Material', 'Mu_avg'][(l_linenumber % 5)::INTEGER + 1] || '_' || l_orderkey || '_p' || l_linenumber || '.csv' AS name FROM lineitem)
@@ -162,16 +182,26 @@ def oracle_sql() -> dict[str, str]:
         "minibatches": f"WITH {LINES}, {BATCHES} SELECT sample_ix, batch_id FROM batched",
         "mse": f"WITH {LINES} SELECT count(*)::BIGINT AS n, round(avg((out - y) * (out - y)), 2) AS mse FROM lines",
         "epoch_loss": f"WITH {LINES}, {BATCHES} SELECT count(*)::BIGINT AS n_batches, round(avg(loss), 2) AS epoch_loss FROM (SELECT avg((out - y) * (out - y)) AS loss FROM batched GROUP BY batch_id) b",
-        "param_count": f"SELECT sum(1 * {N} * {N})::BIGINT AS n_params FROM embeddings",
+        "field_order": f"WITH {FIELDS} SELECT design_id, phase_idx, field, row_number() OVER (ORDER BY design_id, phase_idx, field) - 1 AS position FROM fields",
+        "param_count": f"SELECT DISTINCT {N} AS n_r, {N} AS n_a, ((2 * 64 + 64) + (64 * 64 + 64) + (64 * 3 + 3) + 4 * (2 * 3 * 3 * least(80, {N}) * least(240, {N // 2 + 1}) + 3 * 3 + 3) + (3 * 64 + 64) + (64 * 64 + 64) + (64 * 2 + 2))::BIGINT AS n_params FROM embeddings",
         "head_sample_magnitude": f"WITH {FIELDS} SELECT x.ir, x.ia, round(sqrt(x.v * x.v + y.v * y.v), 9) + 0.0 AS b FROM gridcells x JOIN gridcells y USING (design_id, phase_idx, ir, ia) WHERE x.field = 'Mag_Bx' AND y.field = 'Mag_By' AND design_id = 0 AND phase_idx = 0",
         "field_magnitude": f"WITH {FIELDS} SELECT design_id, phase_idx, x.ir, x.ia, round(sqrt(x.v * x.v + y.v * y.v), 9) + 0.0 AS b FROM gridcells x JOIN gridcells y USING (design_id, phase_idx, ir, ia) WHERE x.field = 'Mag_Bx' AND y.field = 'Mag_By'",
         "rfft2": f"{SPECTRA} SELECT sample_ix, ch, kx, ky, {R6} FROM spectra",
         "rfft2_batches": f"{SPECTRA} SELECT sample_ix, ch, kx, ky, {R6} FROM spectra WHERE ch < 2",
         "mode_truncate": f"{SPECTRA}, {LOW} SELECT sample_ix, ch, kx, ky, block, {R6} FROM low",
         "spectral_mix": f"{SPECTRA}, {LOW}, {WEIGHTS}, {MIXED} SELECT sample_ix, ch, kx, ky, {R6} FROM mixed",
+        "irfft2_batches": f"WITH {FIELDS}, {CHANNELS} SELECT sample_ix, ch, ir, ia, round(v::FLOAT::DOUBLE, 6) + 0.0 AS v FROM channels WHERE ch < 2",
+        "spectral_conv_batches": f"{SPECTRA}, {LOW}, {WEIGHTS}, {MIXED}, {PLACES} {back('mixed')}",
+        "channel_layers": f"WITH {FIELDS}, {CHANNELS}, {PAIRS}, h AS (SELECT *, {', '.join(f'{gelu(affine(w, b))} AS h{k}' for k, (w, b) in enumerate(zip(*LAYERS[0])))} FROM pairs), o AS (SELECT sample_ix, ir, ia, unnest([{', '.join(affine(w, b, 'h') for w, b in zip(*LAYERS[1]))}]) AS v, unnest([0, 1]) AS ch FROM h) SELECT sample_ix, ch, ir, ia, round(v, 6) + 0.0 AS v FROM o",
+        "residual_block": f"{SPECTRA}, {LOW}, {WEIGHTS}, {MIXED}, {PLACES}, {PAIRS}, conv AS ({back('mixed', 15)}), beside AS (SELECT sample_ix, ir, ia, unnest([{', '.join(affine(w, b) for w, b in zip(*BYPASS[0]))}]) AS u, unnest([0, 1]) AS ch FROM pairs) SELECT sample_ix, ch, ir, ia, round({gelu('(v + u)')}, 6) + 0.0 AS v FROM conv JOIN beside USING (sample_ix, ch, ir, ia)",
+        "gelu": f"WITH {FIELDS}, {CHANNELS} SELECT sample_ix, ch, ir, ia, v, round({gelu('v')}, 6) + 0.0 AS g FROM channels",
         "irfft2": f"WITH {FIELDS}, {CHANNELS} SELECT sample_ix, ch, ir, ia, round(v, 6) + 0.0 AS v FROM channels",
         "spectral_conv": f"{SPECTRA}, {LOW}, {WEIGHTS}, {MIXED}, {PLACES} {back('mixed')}",
         "pointwise_mix": f"WITH {FIELDS}, {CHANNELS} SELECT sample_ix, o.ch, ir, ia, round(sum(v * w) + o.b, 6) + 0.0 AS v FROM channels c JOIN (VALUES (0, 0, 0.5::DOUBLE), (1, 0, -0.25::DOUBLE), (2, 0, 1.0::DOUBLE), (3, 0, 2.0::DOUBLE), (0, 1, 1.5::DOUBLE), (1, 1, 0.75::DOUBLE), (2, 1, -1.0::DOUBLE), (3, 1, 0.125::DOUBLE)) w(ci, co, w) ON c.ch = w.ci JOIN (VALUES (0, 0.1::DOUBLE), (1, -0.2::DOUBLE)) o(ch, b) ON o.ch = w.co GROUP BY sample_ix, o.ch, ir, ia, o.b",
+        "spectral_fit_two": f"""{SPECTRA}, s AS (SELECT a.kx, a.ky, count(*)::BIGINT AS n, sum(a.re * a.re + a.im * a.im) + 1e-6::DOUBLE AS aa, sum(b.re * b.re + b.im * b.im) + 1e-6::DOUBLE AS bb, sum(b.re * a.re + b.im * a.im) AS pr, sum(b.im * a.re - b.re * a.im) AS pi,
+            sum(y.re * a.re + y.im * a.im) AS ur, sum(y.im * a.re - y.re * a.im) AS ui, sum(y.re * b.re + y.im * b.im) AS vr, sum(y.im * b.re - y.re * b.im) AS vi
+            FROM spectra a JOIN spectra b USING (sample_ix, kx, ky) JOIN spectra y USING (sample_ix, kx, ky) WHERE a.ch = 0 AND b.ch = 1 AND y.ch = 2 GROUP BY ALL), t AS (SELECT *, aa * bb - pr * pr - pi * pi AS det FROM s)
+          SELECT kx, ky, n, round((bb * ur - pr * vr + pi * vi) / det, 6) + 0.0 AS w1r, round((bb * ui - pr * vi - pi * vr) / det, 6) + 0.0 AS w1i, round((aa * vr - pr * ur - pi * ui) / det, 6) + 0.0 AS w2r, round((aa * vi - pr * ui + pi * ur) / det, 6) + 0.0 AS w2i FROM t""",
         "spectral_fit": f"{SPECTRA}, s AS (SELECT x.kx, x.ky, count(*)::BIGINT AS n, sum(x.re * x.re + x.im * x.im) AS xx, sum(y.re * x.re + y.im * x.im) AS re, sum(y.im * x.re - y.re * x.im) AS im FROM spectra x JOIN spectra y USING (sample_ix, kx, ky) WHERE x.ch = 0 AND y.ch = 2 GROUP BY ALL) SELECT kx, ky, n, round(re / (xx + 1e-6::DOUBLE), 6) + 0.0 AS wr, round(im / (xx + 1e-6::DOUBLE), 6) + 0.0 AS wi FROM s",
         "stream_completeness": f"WITH {FIELDS}, {EXPECTED} SELECT design_id, count(*)::BIGINT AS n_present, count(*) >= 12 AS complete FROM present GROUP BY ALL",
     }

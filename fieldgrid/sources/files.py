@@ -77,6 +77,15 @@ def read_matrices(spark: SparkSession, path: str) -> DataFrame:
     return good.select(F.col("design_id").cast("long").alias("design_id"), F.col("phase_idx").cast("int").alias("phase_idx"), "field", "n_r", "n_a", "values")
 
 
+def write_fields(fields: DataFrame, path: str) -> None:
+    """Grids as parquet, a folder for each field; a file holds many grids, so it suits any number of them."""
+    fields.select("design_id", "phase_idx", "n_r", "n_a", "values", "field").write.partitionBy("field").parquet(path)
+
+
+def read_fields(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("design_id", "phase_idx", "field", "n_r", "n_a", "values")
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """The files under a folder, by name alone: contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")

@@ -42,7 +42,8 @@ def test_polar_grid(spark):
     r = grid.with_cells(spark.range(1), g).agg(F.min("r"), F.max("r"), F.min("th"), F.max("th"), F.count("*")).first()
     assert tuple(r) == (27.609375, 44.890625, 0.25, 119.75, 19200)
     assert g.disk * 27.609375 == pytest.approx(0.0799792, abs=1e-6)
-    assert grid.corners(spark, Grid(n_r=2, n_a=3)).count() == 12
+    c = grid.corners(spark.range(1), Grid(n_r=2, n_a=3, r_in=1.0, r_ext=3.0, ang_2=90.0)).collect()
+    assert len(c) == 12 and {(round(r.x, 9), round(r.y, 9)) for r in c if r.ia == 3} == {(0, 1), (0, 2), (0, 3)} and {(r.x, r.y) for r in c if r.ia == 0} == {(1, 0), (2, 0), (3, 0)}
 
 
 def test_slot_opening(spark):
@@ -70,6 +71,8 @@ def test_no_region_overlaps_another(spark, small):
 def test_cells_away_from_edges_need_no_points(spark, small, monkeypatch):
     p, g = q.phases(spark, small).where("design_id < 20"), Grid(n_r=20, n_a=60)
     quick = {tuple(r)[:4]: tuple(r)[4:] for r in raster.area_fractions(p, g, 32).collect()}
+    codes = {tuple(r)[:4]: r.code for r in raster.material_codes(p, g).collect()}
+    assert {k: v[0] for k, v in quick.items()} == codes
     assert 0 < raster.cells_of(p, g).where(raster._inside(g)).count() < len(quick)
     monkeypatch.setattr(raster, "_inside", lambda g: F.lit(False))
     full = {tuple(r)[:4]: tuple(r)[4:] for r in raster.area_fractions(p, g, 32).collect()}
@@ -200,3 +203,126 @@ def test_matrix_text_and_names(spark):
 def test_resampling_drops_points_outside(spark):
     p = spark.createDataFrame([(27.5, 0.0, 1.0), (27.6, 0.1, 3.0), (45.0, 1.0, 9.0), (30.0, 120.0, 9.0)], "r double, th double, b double")
     assert [tuple(r) for r in raster.resample(p, Grid(), ["b"]).collect()] == [(0, 0, 2, 2.0)]
+
+
+def test_averages_need_no_shuffle_of_points(spark, small):
+    p = q.phases(spark, small)
+    for df in (raster.area_fractions(p, Grid(n_r=4, n_a=12), 16), raster.material_codes(p, Grid(n_r=4, n_a=12)).groupBy("design_id", "phase_idx", "code").count()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # designs are dealt by id, and that is all
+        assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(design_id") == 1
+        assert plan.count("FileScan") == 1
+
+
+def test_shares_of_many_points_are_near_exact_areas(spark, small):
+    """Points in a disk against a fine lattice of the same disk, on the whole grid of 80 x 240 cells of two designs."""
+    p, g = q.phases(spark, small).where("design_id < 2 AND phase_idx = 0"), Grid()
+    got = {(r.design_id, r.ir, r.ia): r for r in raster.area_fractions(p, g, 1024).collect()}
+    assert len(got) == 2 * g.n_r * g.n_a
+    params = {r.design_id: r.asDict() for r in regions.with_radii(p).collect()}
+    rng, near = np.random.default_rng(1), [k for k, r in got.items() if 0 < r.f_iron < 1]
+    for k in [near[i] for i in rng.choice(len(near), 60, replace=False)]:
+        d, r, th = params[k[0]], g.r_in + (k[1] + 0.5) * g.dr, (k[2] + 0.5) * g.da
+        u = (np.arange(160) + 0.5) / 80 - 1
+        x, y = np.meshgrid(u, u)
+        inside = x**2 + y**2 <= 1
+        px, py = r * (1 + g.disk * x[inside]), r * g.disk * y[inside]
+        rr, tt = np.hypot(px, py), th + np.degrees(np.arctan2(py, px))
+        phi = np.radians(tt - np.floor(tt / d["slot_pitch"] + 0.5) * d["slot_pitch"])
+        sx, sy, deep = rr * np.cos(phi), np.abs(rr * np.sin(phi)), d["chord"] - rr * np.cos(phi)
+        half = np.where(deep <= d["slot_Hs1"], d["slot_Bs0"] / 2 + (d["slot_Bs1"] - d["slot_Bs0"]) / 2 * deep / d["slot_Hs1"], d["slot_Bs1"] / 2 + (d["slot_Bs2"] - d["slot_Bs1"]) / 2 * (deep - d["slot_Hs1"]) / d["slot_Hs2"])
+        copper = (deep >= 0) & (deep <= d["slot_Hs1"] + d["slot_Hs2"]) & (sy <= half)
+        iron = (rr >= d["r_pole"]) & (rr <= d["r_ro"]) | (rr >= d["r_si"]) & (rr <= d["r_so"]) & ~copper & ((np.abs(phi) > d["opening_rad"] / 2) | (sx <= d["chord"]))
+        assert got[k].f_iron == pytest.approx(iron.mean(), abs=0.012)
+        assert got[k].f_copper == pytest.approx(copper.mean(), abs=0.012)
+
+
+def test_matrix_files_with_keys_in_their_names(spark, tmp_path):
+    (tmp_path / "Mu_avg_3_p1.csv").write_text("1.0,2.0\n3.0,4.5\n")
+    (tmp_path / "Mag_Bx_12_p0.csv").write_text("0.5,-1e3")
+    (tmp_path / "Mag_By_12_p0.csv").write_text("broken,1")
+    got = {(r.field, r.design_id, r.phase_idx, r.n_r, r.n_a, tuple(r["values"])) for r in files.read_matrices(spark, f"file://{tmp_path}").collect()}
+    assert got == {("Mu_avg", 3, 1, 2, 2, (1.0, 2.0, 3.0, 4.5)), ("Mag_Bx", 12, 0, 1, 2, (0.5, -1000.0))}
+
+
+def test_fit_of_two_channels(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 2, 4, 6))
+    f = np.fft.rfft2(x)
+    w = rng.normal(size=(2, 4, 4)) + 1j * rng.normal(size=(2, 4, 4))
+    y = (f * w).sum(axis=1)
+    rows = [(s, c, i, j, float(v.real), float(v.imag)) for (s, c, i, j), v in np.ndenumerate(np.concatenate([f, y[:, None]], axis=1))]
+    d = spark.createDataFrame(rows, spectral.SPECTRUM)
+    got = spectral.fit_two(*(d.where(f"ch = {c}") for c in (0, 1, 2))).collect()
+    a, b = f[:, 0], f[:, 1]
+    for r in got:
+        m = np.stack([a[:, r.kx, r.ky], b[:, r.kx, r.ky]], axis=1)
+        best = np.linalg.solve(m.conj().T @ m + 1e-6 * np.eye(2), m.conj().T @ y[:, r.kx, r.ky])
+        assert (complex(r.w1r, r.w1i), complex(r.w2r, r.w2i)) == (pytest.approx(best[0], abs=1e-6), pytest.approx(best[1], abs=1e-6))
+    assert len(got) == 16
+
+
+def plain_gelu(v):
+    return 0.5 * v * (1 + math.erf(v / math.sqrt(2)))
+
+
+def plain_operator(x, weights, layers):
+    """The operator by loops and sums over all modes, without numpy's FFT; x: channels x n_r x n_a."""
+    n_r, n_a = x.shape[1:]
+
+    def layer(v, name, i, act):
+        w, b = weights[f"{name}.{i}.weight"], weights[f"{name}.{i}.bias"]
+        out = np.empty((len(w), n_r, n_a))
+        for o, r, a in np.ndindex(*out.shape):
+            s = sum(w[o][c] * v[c, r, a] for c in range(len(v))) + b[o]
+            out[o, r, a] = plain_gelu(s) if act else s
+        return out
+
+    for i in range(3):
+        x = layer(x, "lift", i, i < 2)
+    for k in range(layers):
+        w1, w2 = weights[f"spectral.{k}.w1"], weights[f"spectral.{k}.w2"]
+        m1, m2 = w1.shape[2:]
+        turn = lambda kx, ky, r, a: 2j * np.pi * (kx * r / n_r + ky * a / n_a)
+        r, a = np.meshgrid(np.arange(n_r), np.arange(n_a), indexing="ij")
+        out = np.zeros((w1.shape[1], n_r, n_a))
+        for kx in range(n_r):
+            for ky in range(m2):
+                if n_r - m1 <= kx or kx < m1:
+                    w = w2[:, :, kx - (n_r - m1), ky] if kx >= n_r - m1 else w1[:, :, kx, ky]
+                    f = [(x[c] * np.exp(-turn(kx, ky, r, a))).sum() for c in range(len(x))]
+                    for o in range(w.shape[1]):
+                        g = sum(f[c] * w[c, o] for c in range(len(x)))
+                        times = 1 if ky == 0 or 2 * ky == n_a else 2
+                        out[o] += times * (g * np.exp(turn(kx, ky, r, a))).real / (n_r * n_a)
+        beside = layer(x, f"bypass.{k}", 0, False)
+        x = np.vectorize(plain_gelu)(out + beside)
+    for i in range(3):
+        x = layer(x, "project", i, i < 2)
+    return x
+
+
+def test_operator_equals_a_plain_one(spark):
+    x = np.random.default_rng(9).normal(size=(2, 2, 6, 8))
+    w = spectral.operator_weights(2, 2, 6, 8, seed=5, mlp_width=5, layers=2, modes=(3, 4))
+    s = spark.createDataFrame([(i, 6, 8, v.reshape(2, -1).tolist()) for i, v in enumerate(x)], "sample_ix long, n_r int, n_a int, x array<array<double>>")
+    for r in spectral.score(s, w).collect():
+        assert np.array(r.out).reshape(2, 6, 8) == pytest.approx(plain_operator(x[r.sample_ix], w, 2), abs=1e-5)
+
+
+def test_convolution_and_inverse_of_whole_grids(spark):
+    x = np.random.default_rng(10).normal(size=(2, 80, 240))
+    s = spark.createDataFrame([(0, 80, 240, x.reshape(2, -1).tolist())], "sample_ix long, n_r int, n_a int, x array<array<double>>")
+    back = one(spectral.irfft2(spectral.spectra_arrays(s)))
+    assert np.array(back.x).reshape(2, 80, 240) == pytest.approx(x, abs=1e-9)
+    w = np.ones((2, 1, 80, 121)) + 0j  # all modes of both channels: their sum
+    out = one(spectral.convolve_batches(s, w, w)).out
+    assert np.array(out).reshape(80, 240) == pytest.approx(x.sum(axis=0), abs=1e-9)
+
+
+def test_a_single_layer_is_activated():
+    x = np.random.default_rng(1).normal(size=(1, 2, 1, 3))
+    w, b = [[1.0, 2.0]], [0.5]
+    plain = x[:, :1] + 2 * x[:, 1:] + 0.5
+    assert spectral.dense(x, [(w, b)]) == pytest.approx(np.vectorize(plain_gelu)(plain), abs=1e-12)
+    assert spectral.dense(x, [(w, b)], None) == pytest.approx(plain)
