@@ -57,6 +57,13 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts of at most 8 MB; only where the session has Spark's default, 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, "8m")
+
+
 def byte_slices(batch, name: str, most: int = 2 << 20):
     """Parts of an Arrow batch with about `most` bytes in a column of texts, a row at least."""
     import numpy as np
@@ -83,12 +90,12 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     """Adds out: the sum of value over the rows of the same keys that come before, in an order fixed by the data.
 
     A key may hold any share of all rows, so no window runs over a whole key: rows are
-    dealt to buckets by a hash of the first order column; buckets are summed, the few
+    dealt to buckets by a hash of the order columns; buckets are summed, the few
     bucket sums get running totals, and rows only look back within their bucket.
     """
     spark = df.sparkSession
     n = max(16, min(1 << 20, -(-df.count() // rows_per_bucket) * 16))
-    bucket = F.pmod(F.xxhash64(F.col(bucket_by or order[0])), F.lit(n))
+    bucket = F.pmod(F.xxhash64(*[bucket_by] if bucket_by else order), F.lit(n))
     dealt = df.withColumn("_bucket", bucket)
     sums = dealt.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_sum"))
     # the bucket sums of one key number at most n
@@ -98,3 +105,22 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     a, b = dealt.withColumn("_inside", inside).alias("a"), before.alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_bucket"]]
     return a.join(b, on, "left").select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._inside") + F.coalesce(F.col("b._before"), F.lit(0))).cast("long").alias(out))
+
+
+def tidy(run):
+    """run over batches; then what it used is given back, as the Python worker lives on beside those of later stages."""
+
+    def tidied(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)
+
+    return tidied

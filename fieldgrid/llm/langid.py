@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, fold, materialize
+from .common import byte_slices, fold, materialize, small_batches, tidy
 
 #: Documents of each language that the fit reads at most (about: they are chosen by a hash of their ids).
 FIT_DOCS = 1500
@@ -13,7 +13,7 @@ ROUNDS = 2
 #: Characters after which running products are brought back to 1, so that they stay within a double's range.
 RESCALE = 16
 #: Bytes of running sums at once, and words whose likelihoods a task remembers.
-SUM_BYTES, MAX_WORDS = 8 << 20, 200_000
+SUM_BYTES, MAX_WORDS = 2 << 20, 200_000
 #: The share of a piece that a language doesn't have, and that of a character that no piece has.
 SMOOTHING, UNKNOWN = 0.05, 1e-8
 UNDETERMINED = "und"
@@ -28,9 +28,19 @@ def vocabulary(path: str) -> list[str]:
     return sorted({p for p in map(model.id_to_piece, ids) if p == p.lower()})
 
 
-def runs_of(text: str) -> list[str]:
-    """The text's words in lower case, marked at the front as the vocabulary marks them."""
-    return ["▁" + w for w in text.lower().split()]
+def runs_of(texts):
+    """(runs, numbers, ends) of an Arrow array of texts: the different words in lower case, marked at the front as the vocabulary marks them, and each text's words by their numbers."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    coded = words.flatten().dictionary_encode()
+    own, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy())
+    if "" in own:  # white space at a text's ends
+        there = number != own.index("")
+        number, text = number[there], text[there]
+    return ["▁" + w for w in own], number, np.cumsum(np.bincount(text, minlength=len(texts)))
 
 
 class Pieces:
@@ -75,11 +85,14 @@ class Pieces:
 
     def find(self, h):
         """The piece's number, -1 for a mere prefix, -2 for neither."""
-        np, out = self.np, None
+        np, left = self.np, np.arange(len(h))
+        out = np.full(len(h), -2, "int32")
         for k, (bits, key, value) in enumerate(self.tables):
-            at = self._slot(h, k, bits)
-            got = np.where(key[at] == h, value[at], -2)
-            out = got if out is None else np.where(out == -2, got, out)
+            own = h[left]
+            at = self._slot(own, k, bits)
+            hit = key[at] == own
+            out[left[hit]] = value[at[hit]]
+            left = left[~hit]
         return out
 
     def matches(self, codes, starts):
@@ -149,7 +162,8 @@ class Pieces:
             forward, back = np.zeros((n + 1, len(own))), np.zeros((n + 1, len(own)))
             before, after = np.zeros((n + 1, len(own))), np.zeros((n + 1, len(own)))
             forward[0], back[n], last = 1, 1, 0
-            for i, length, rows, piece in self.matches(codes, range(n)):
+            found = list(self.matches(codes, range(n))) if n <= 64 else None
+            for i, length, rows, piece in found or self.matches(codes, range(n)):
                 if i > last:
                     last = i
                     if i % RESCALE == 0:
@@ -159,7 +173,7 @@ class Pieces:
                         before[part] = before[i] + np.log(s)
                 forward[i + length][rows] += forward[i][rows] * (UNKNOWN if piece is None else p[piece])
             total, last = np.log(forward[n]) + before[n], n
-            for i, length, rows, piece in self.matches(codes, range(n - 1, -1, -1)):
+            for i, length, rows, piece in reversed(found) if found else self.matches(codes, range(n - 1, -1, -1)):
                 if i < last:
                     # sums at `last` are whole
                     if last % RESCALE == 0 and last < n:
@@ -169,42 +183,47 @@ class Pieces:
                         after[part] = after[last] + np.log(s)
                     last = i
                 own_p = UNKNOWN if piece is None else p[piece]
-                # what comes after a piece may have been scaled less often than what will stand at its start
-                term = back[i + length][rows] * np.exp(after[i + length][rows] - after[i][rows]) * own_p
+                term = back[i + length][rows] * own_p
+                if n > RESCALE:  # what comes after a piece may have been scaled less often than what stands at its start
+                    term *= np.exp(after[i + length][rows] - after[i][rows])
                 back[i][rows] += term
                 if piece is not None:
-                    share = forward[i][rows] * term * np.exp(before[i][rows] + after[i][rows] - total[rows])
+                    share = forward[i][rows] * term * (np.exp(before[i][rows] + after[i][rows] - total[rows]) if n > RESCALE else 1 / forward[n][rows])
                     out += np.bincount(piece, weight[own][rows] * share, len(p))
         return out
 
 
 def _count_runs(batches):
-    import collections
-
-    import pandas as pd
+    """How often each language has each run."""
+    import numpy as np
+    import pyarrow as pa
 
-    for pdf in batches:
-        n = collections.Counter()
-        for lang, text in zip(pdf["lang"], pdf["text"]):
-            n.update((lang, r) for r in runs_of(text))
-        yield pd.DataFrame([(lang, r, k) for (lang, r), k in n.items()], columns=["lang", "run", "n"])
+    for batch in batches:
+        for part in byte_slices(batch, "text"):
+            runs, number, ends = runs_of(part.column(part.schema.names.index("text")))
+            lang = part.column(part.schema.names.index("lang")).dictionary_encode()
+            of = np.repeat(lang.indices.to_numpy(), np.diff(np.append(0, ends)))
+            pair, n = np.unique(of.astype("int64") * max(1, len(runs)) + number, return_counts=True)
+            at = pair // max(1, len(runs))
+            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(at)), pa.array([runs[i] for i in pair % max(1, len(runs))], pa.string()), pa.array(n.astype("int64"))], names=["lang", "run", "n"])
 
 
 def _expect(pieces, languages, p):
     def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         finder, total = Pieces(pieces), np.zeros((len(pieces), len(languages)))
-        for pdf in batches:
+        for batch in batches:
             for j, lang in enumerate(languages):
-                own = pdf[pdf["lang"] == lang]
-                if len(own):
-                    total[:, j] += finder.expected(own["run"].tolist(), own["n"].to_numpy(float), np.ascontiguousarray(p[:, j]))
+                own = batch.filter(pc.equal(batch.column(0), lang))
+                if own.num_rows:
+                    total[:, j] += finder.expected(own.column(1).to_pylist(), own.column(2).to_numpy().astype(float), np.ascontiguousarray(p[:, j]))
         piece, j = np.nonzero(total)
-        yield pd.DataFrame({"piece": piece.astype("int32"), "language": j.astype("int32"), "c": total[piece, j]})
+        yield pa.RecordBatch.from_arrays([pa.array(piece.astype("int32")), pa.array(j.astype("int32")), pa.array(total[piece, j])], names=["piece", "language", "c"])
 
-    return run
+    return tidy(run)
 
 
 def fit(docs: DataFrame, pieces: list[str], fit_docs: int = FIT_DOCS, rounds: int = ROUNDS):
@@ -217,6 +236,7 @@ def fit(docs: DataFrame, pieces: list[str], fit_docs: int = FIT_DOCS, rounds: in
     """
     import numpy as np
 
+    small_batches(docs.sparkSession)
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
@@ -225,10 +245,10 @@ def fit(docs: DataFrame, pieces: list[str], fit_docs: int = FIT_DOCS, rounds: in
     million = 1_000_000
     cut = F.create_map(*[F.lit(x) for lang in languages for x in (lang, max(1, min(million, million * fit_docs // counts[lang])))])
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(million)) < cut[F.col("lang")])
-    runs = materialize(sample.select("lang", "text").mapInPandas(_count_runs, "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")), "runs")
+    runs = materialize(sample.select("lang", "text").mapInArrow(tidy(_count_runs), "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")), "runs")
     p = np.full((len(pieces), len(languages)), 1 / len(pieces))
     for _ in range(rounds):
-        rows = runs.mapInPandas(_expect(pieces, languages, p), "piece int, language int, c double").groupBy("piece", "language").agg(F.sum("c").alias("c")).toPandas()
+        rows = runs.select("lang", "run", "n").mapInArrow(_expect(pieces, languages, p), "piece int, language int, c double").groupBy("piece", "language").agg(F.sum("c").alias("c")).toPandas()
         c = np.zeros_like(p)
         c[rows["piece"].to_numpy(), rows["language"].to_numpy()] = rows["c"].to_numpy()
         # sums of doubles differ in their last places from run to run
@@ -246,25 +266,25 @@ def _score(pieces, languages, p, text_col, keep):
         for batch in batches:
             for part in byte_slices(batch, text_col):
                 col = {c: part.column(i) for i, c in enumerate(part.schema.names)}
-                runs = [runs_of(t) if t and any(map(str.isalpha, t)) else None for t in col[text_col].to_pylist()] if languages else [None] * part.num_rows
+                runs, number, ends = runs_of(col[text_col])
                 if len(known) > MAX_WORDS:
                     known, likely = {}, likely[:0]
-                new = list({r for own in runs if own for r in own} - known.keys())
+                new = [r for r in runs if r not in known]
                 known.update(zip(new, range(len(known), len(known) + len(new))))
                 likely = np.concatenate([likely, finder.log_likelihood(new, p)])
-                pred, score = [], []
-                for own in runs:
-                    if own is None:
-                        pred.append(UNDETERMINED)
-                        score.append(0.0)
-                        continue
-                    total = likely[np.fromiter(map(known.__getitem__, own), "int64", len(own))].sum(axis=0)
+                at = np.fromiter(map(known.__getitem__, runs), "int64", len(runs))[number]
+                letters = np.append(0, np.cumsum(np.fromiter((any(map(str.isalpha, r)) for r in runs), bool, len(runs))[number]))
+                starts = np.append(0, ends[:-1])
+                pred, score = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows)
+                for i in np.nonzero(letters[ends] > letters[starts])[0].tolist() if languages else ():
+                    # at most so many words at once, lest many languages take much memory
+                    step = max(1, SUM_BYTES // (8 * len(languages)))
+                    total = sum(likely[at[lo : min(lo + step, ends[i])]].sum(axis=0) for lo in range(starts[i], ends[i], step))
                     best = int(total.argmax())
-                    pred.append(languages[best])
-                    score.append(float(1 / np.exp(total - total[best]).sum()))
-                yield pa.RecordBatch.from_arrays([*[col[c] for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                    pred[i], score[i] = languages[best], 1 / np.exp(total - total[best]).sum()
+                yield pa.RecordBatch.from_arrays([*[col[c] for c in keep], pa.array(pred, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return run
+    return tidy(run)
 
 
 def identify(docs: DataFrame, model, pieces: list[str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -276,6 +296,7 @@ def identify(docs: DataFrame, model, pieces: list[str], text_col: str = "text",
     Whole texts count. Other columns pass through; lang_pred and score are replaced if
     present. Empty tables give empty results, repeated rows repeated results.
     """
+    small_batches(docs.sparkSession)
     languages, p = model
     given = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     keep = given.columns if keep is None else keep

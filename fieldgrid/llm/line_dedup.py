@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, ascii_lower, materialize
+from .common import BLANKS, ascii_lower, materialize, small_batches
 
 
 def line_key(line: Column) -> Column:
@@ -78,6 +78,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives an empty result. Other columns pass through; names that start
     with _ are reserved, and kept_text, n_lines, n_dropped are replaced if present.
     """
+    small_batches(docs.sparkSession)
     doomed = doomed_lines(docs, id_col, text_col, min_chars, min_docs).withColumnRenamed("_id", "_doomed_id")
     names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     # sorted by id at every size: a table of doomed lines grows with the corpus, and Spark splits what is skewed

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, running_total
+from .common import materialize, running_total, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
-MAX_SOURCES = 100_000
 #: Rows of the tables of draws that one partial sum covers.
 DRAWS_PER_GROUP = 4096
 
@@ -115,16 +114,13 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: in
     more than cap times. Reruns agree.
 
     Null sources are a source of their own, after the others. Null or no words: no
-    pieces. Rows that repeat are documents of their own. Sources number at most
-    MAX_SOURCES; their sizes alone reach the driver.
+    pieces. Rows that repeat are documents of their own. Any number of sources will do;
+    their sizes, a number each, are all that reaches the driver.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
     docs = materialize(docs, "sizes")
-    rows = docs.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["source"]: r["size"] for r in rows}
+    sizes = {r["source"]: r["size"] for r in docs.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     targets = source_targets(sizes, weights, share, cap)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     length = [max(1, min(block_words, sizes[s] // 64)) for s in order]
@@ -134,8 +130,8 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: in
     facts = spark.createDataFrame(
         [(s, i, sizes[s], float(targets[s]), length[i]) for i, s in enumerate(order)], "of string, source_ix int, source_size long, target double, block_words long"
     )
-    # the facts have a row for each source, at most MAX_SOURCES
-    known = docs.join(F.broadcast(facts), docs["source"].eqNullSafe(facts["of"])).drop("of")
+    # a row for each source; Spark broadcasts it while it is small
+    known = docs.join(facts, docs["source"].eqNullSafe(facts["of"])).drop("of")
     spans = materialize(running_total(known, ["source_ix"], ["doc_id", "size"], "size", "first"), "spans")
 
     total = sum(quota)
@@ -216,6 +212,7 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     second those that it takes twice, runs apart by a line end. Documents of which
     nothing is taken have no row. Options are mix()'s. Names that start with _ are reserved.
     """
+    small_batches(docs.sparkSession)
     whole = F.md5(F.to_json(F.struct(*[F.col(c) for c in docs.columns]), {"ignoreNullFields": "false"}).cast("binary"))
     numbered = docs.withColumn("_key", whole).withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
     sizes = numbered.select(F.concat_ws("-", "_key", "_copy").alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))

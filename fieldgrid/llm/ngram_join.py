@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, materialize, stored
+from .common import byte_slices, discard, materialize, small_batches, stored, tidy
 
 #: Coordinates of a document's point: n-grams are hashed into so many groups and counted.
 GROUPS = 512
@@ -160,7 +160,7 @@ def _sample(n):
                 h, count = np.unique(shingle_sets(part.column(0), n)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view("int64")), pa.array(count.astype("int64"))], names=["h", "n"])
 
-    return run
+    return tidy(run)
 
 
 def _sets(n, num, den, common):
@@ -188,7 +188,7 @@ def _sets(n, num, den, common):
                 keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(key[order].view("int64")))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.names.index("_id")), pa.array(sizes, pa.int64()), pa.array(node, mask=sizes == 0), keys], names=["id", "n_shingles", "node", "keys"])
 
-    return run
+    return tidy(run)
 
 
 def _buckets(batches):
@@ -219,7 +219,7 @@ def _buckets(batches):
 
 def _arrays(n):
     def run(batches):
-        """The columns given, with the sorted hashes of the text's n-grams in place of the text; only rows whose text has the wanted set."""
+        """The columns given, with the sorted hashes of the text's n-grams and its point (a byte a count, or four) in place of the text; only rows whose text has the wanted set."""
         import numpy as np
         import pyarrow as pa
 
@@ -229,10 +229,11 @@ def _arrays(n):
                 good = nodes_of(h, ends) == part.column(part.schema.names.index("node")).to_numpy()
                 at = np.append(0, ends * 8).astype("int32")
                 data = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(h.tobytes())])
+                points = [p.astype("uint8" if p.max() < 256 else "<u4").tobytes() for p in points_of(h, ends)]
                 names = [c for c in part.schema.names if c != "_text"]
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.names.index(c)) for c in names], data], names=[*names, "data"]).filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.names.index(c)) for c in names], data, pa.array(points, pa.binary())], names=[*names, "data", "point"]).filter(pa.array(good))
 
-    return run
+    return tidy(run)
 
 
 def hash_sets(column) -> list:
@@ -273,7 +274,7 @@ def _verify(num, den):
                     b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 class Tree:
@@ -299,10 +300,10 @@ class Tree:
         return node
 
 
-def surviving_pairs(x: Tree, y: Tree, x_comp, y_comp, num: int, den: int):
-    """(i, j): pairs of points of two trees, or of one with itself, that are in different components and whose bound on the overlap allows a link.
+def surviving_pairs(x: Tree, y: Tree, x_comp, y_comp, num: int, den: int, x_done=None, y_done=None):
+    """(i, j): arrays of pairs of points of two trees, or of one with itself, that are in different components and whose bound on the overlap allows a link.
 
-    The components may change while the pairs are taken.
+    The components may change while the pairs are taken. Pairs of two points that are done are left out.
     """
     import numpy as np
 
@@ -310,7 +311,7 @@ def surviving_pairs(x: Tree, y: Tree, x_comp, y_comp, num: int, den: int):
     while stack:
         a, b = stack.pop()
         ca, cb = x_comp[a["ids"]], y_comp[b["ids"]]
-        if ca.min() == ca.max() == cb.min() == cb.max():
+        if ca.min() == ca.max() == cb.min() == cb.max() or x_done is not None and x_done[a["ids"]].all() and y_done[b["ids"]].all():
             continue
         # the overlap is at most the summed minima, and a link needs num (n + m) / (num + den) of it
         if (num + den) * int(np.minimum(a["hi"], b["hi"]).sum()) < num * (a["least"] + b["least"]):
@@ -321,7 +322,8 @@ def surviving_pairs(x: Tree, y: Tree, x_comp, y_comp, num: int, den: int):
             good = ((num + den) * over >= num * (x.sizes[i][:, None] + y.sizes[j][None, :])) & (ca[:, None] != cb[None, :])
             if x is y and a is b:
                 good = np.triu(good, 1)
-            yield from zip(i[np.nonzero(good)[0]].tolist(), j[np.nonzero(good)[1]].tolist())
+            k, m = np.nonzero(good)
+            yield i[k], j[m]
         elif x is y and a is b:
             stack += [(a["below"][k], a["below"][m]) for k in range(len(a["below"])) for m in range(k, len(a["below"]))]
         elif b["below"] is None or a["below"] is not None and len(a["ids"]) >= len(b["ids"]):
@@ -330,69 +332,93 @@ def surviving_pairs(x: Tree, y: Tree, x_comp, y_comp, num: int, den: int):
             stack += [(a, k) for k in b["below"]]
 
 
-def point_of(h):
-    """Counts of the n-grams in GROUPS groups."""
+def points_of(h, ends):
+    """The counts of each set's n-grams in GROUPS groups."""
     import numpy as np
 
-    return np.bincount((mixed(h, 0x1D8E4E27C47D124F) % np.uint64(GROUPS)).astype("int64"), minlength=GROUPS)
+    of = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
+    return np.bincount(of * GROUPS + (mixed(h, 0x1D8E4E27C47D124F) % np.uint64(GROUPS)).astype("int64"), minlength=len(ends) * GROUPS).reshape(-1, GROUPS)
 
 
-def search_tiles(rows: list, num: int, den: int, contract: bool) -> list[tuple[int, int]]:
-    """Links among rows (node, component, tile, hashes) of one tile, or across two.
+class Tile:
+    """Rows (node, component, tile, data) of one tile of a group, or of two: a tree of the points of each."""
 
-    Survivors of the tree are verified at once. With contract, linked components become
-    one, so that there is a link for each join of components at most; else all links
-    come.
+    def __init__(self, rows: list, points):
+        import numpy as np
+
+        points = points.astype("uint8" if points.max() < 256 else "uint16" if points.max() < 65536 else "uint32")
+        self.rows, comp = rows, np.array([r[1] for r in rows])
+        self.sides = [np.array([i for i, r in enumerate(rows) if r[2] == t]) for t in sorted({r[2] for r in rows})]
+        self.trees, self.comps = [Tree(points[s]) for s in self.sides], [comp[s] for s in self.sides]
+
+    def pairs(self, num, den, done=(None,)):
+        return surviving_pairs(self.trees[0], self.trees[-1], self.comps[0], self.comps[-1], num, den, done[0], done[-1])
+
+
+def with_survivors(rows: list, num: int, den: int) -> list[int]:
+    """The nodes of rows (node, component, tile, point) that the tree can't rule out to link with another component."""
+    import numpy as np
+
+    tile = Tile(rows, np.stack([np.frombuffer(r[3], "uint8" if len(r[3]) == GROUPS else "<u4") for r in rows]))
+    done = [np.zeros(len(s), bool) for s in tile.sides]
+    for i, j in tile.pairs(num, den, done):
+        done[0][i] = True
+        done[-1][j] = True
+    return [rows[i][0] for s, d in zip(tile.sides, done) for i in s[d]]
+
+
+def links_in(rows: list, num: int, den: int, contract: bool) -> list[tuple[int, int]]:
+    """Links among rows (node, component, tile, hashes): survivors of the tree are verified at once.
+
+    With contract, linked components become one, so that there is a link for each join
+    of components at most; else all links come.
     """
     import numpy as np
 
-    rows = list({r[0]: r for r in rows}.values())
-    tiles = sorted({r[2] for r in rows})
-    points = np.stack([point_of(r[3]) for r in rows])
-    points = points.astype("uint8" if points.max() < 256 else "uint16" if points.max() < 65536 else "uint32")
-    comp = np.array([r[1] for r in rows])
-    sides = [np.array([i for i, r in enumerate(rows) if r[2] == t]) for t in tiles]
-    trees = [Tree(points[s]) for s in sides]
-    comps = [comp[s] for s in sides]
-    found = []
-    x, y = (0, 1) if len(tiles) > 1 else (0, 0)
-    for i, j in surviving_pairs(trees[x], trees[y], comps[x], comps[y], num, den):
-        a, b = comps[x][i], comps[y][j]
-        if a == b:
-            continue
-        (m, _, _, g), (k, _, _, h) = rows[sides[x][i]], rows[sides[y][j]]
-        if links(len(g), len(h), overlap(g, h), num, den):
-            found.append((min(m, k), max(m, k)))
-            if contract:
-                for c in comps:
-                    c[c == b] = a
+    sets = [np.frombuffer(r[3], "uint64") for r in rows]
+    tile, found = Tile(rows, np.concatenate([points_of(h, np.array([len(h)])) for h in sets])), []
+    (x, y), (cx, cy) = (tile.sides[0], tile.sides[-1]), (tile.comps[0], tile.comps[-1])
+    for many_i, many_j in tile.pairs(num, den):
+        for i, j in zip(many_i.tolist(), many_j.tolist()):
+            a, b = cx[i], cy[j]
+            if a == b:
+                continue
+            g, h = sets[x[i]], sets[y[j]]
+            if links(len(g), len(h), overlap(g, h), num, den):
+                m, k = rows[x[i]][0], rows[y[j]][0]
+                found.append((min(m, k), max(m, k)))
+                if contract:
+                    for c in tile.comps:
+                        c[c == b] = a
     return found
 
 
-def _survivors(num, den, contract):
+def _by_tile(search, names):
+    """search(group, rows) for the rows of each group, i and j, which come in order; its results are pairs of longs."""
+
     def run(batches):
-        """From rows in order of group, i and j: the links in each of them."""
         import pyarrow as pa
 
-        at, rows = None, []
+        at, rows = None, {}
 
         def out():
-            found = search_tiles(rows, num, den, contract) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found = search(at[0], list(rows.values())) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=names)
 
         for batch in batches:
             col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             keys = zip(*[col[c].to_numpy().tolist() for c in ("group", "i", "j", "node", "comp", "tile")])
-            for (g, i, j, node, comp, tile), h in zip(keys, hash_sets(col["data"])):
+            for (g, i, j, node, comp, tile), data in zip(keys, col["data"]):
                 if at != (g, i, j):
                     if rows:
                         yield out()
-                    at, rows = (g, i, j), []
-                rows.append((node, comp, tile, h.copy()))
+                    at, rows = (g, i, j), {}
+                if node not in rows:
+                    rows[node] = node, comp, tile, data.as_py()
         if rows:
             yield out()
 
-    return run
+    return tidy(run)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -426,6 +452,7 @@ class Candidates:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str):
         self.n, self.num, self.den = n, num, den
         spark = docs.sparkSession
+        small_batches(spark)
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         id_type = self.given.schema["_id"].dataType.simpleString()
@@ -441,7 +468,7 @@ class Candidates:
         hot = materialize(hot.select("key", F.lit(True).alias("hot")), "hot-keys")
         keys = keys.join(F.broadcast(hot), "key", "left").select("key", "node", F.coalesce("hot", F.lit(False)).alias("hot"))
         keys = keys.repartition(self.parts, "key", F.when(F.col("hot"), F.col("node"))).sortWithinPartitions("key", "node")
-        shared = materialize(keys.mapInArrow(_buckets, "key long, node long"), "shared-keys")
+        shared = materialize(keys.mapInArrow(tidy(_buckets), "key long, node long"), "shared-keys")
         discard(spark, path)
         degree = shared.groupBy("node").agg(F.count("*").alias("degree"))
         # keys with the same members are one
@@ -451,38 +478,59 @@ class Candidates:
         #: A row for each group and member, the group's first included, with the number of keys that brought it there.
         self.members = materialize(shared.join(firsts, "key").groupBy("group", "node").agg(F.sum("keys").alias("keys"), F.first("degree").alias("degree")), "members")
 
-    def arrays(self, wanted: DataFrame) -> DataFrame:
-        """wanted(id, node and others) with the hashes of each one's text; texts are read again."""
-        texts = wanted.join(self.given.where("_text IS NOT NULL"), F.col("id") == F.col("_id")).drop("id", "_id")
-        schema = texts.drop("_text").schema.add("data", "binary")
-        return texts.mapInArrow(_arrays(self.n), schema)
+    def fetched(self, targets: DataFrame | None = None) -> DataFrame:
+        """node, data, point, targets: the n-grams of all members. Their texts are read again, once; targets(node, targets) are carried along."""
+        wanted = self.members.select("node").distinct()
+        wanted = wanted.join(targets, "node", "left") if targets is not None else wanted
+        wanted = materialize(wanted.join(self.classes.select("node", "id"), "node"), "wanted")
+        # sorted at every size, so that plans are alike
+        texts = self.given.where("_text IS NOT NULL").join(wanted.hint("merge"), F.col("id") == F.col("_id")).drop("id", "_id")
+        return materialize(texts.mapInArrow(_arrays(self.n), texts.drop("_text").schema.add("data", "binary").add("point", "binary")), "arrays")
+
+    def starred(self) -> tuple[DataFrame, DataFrame]:
+        """(arrays, links): the members' n-grams, and the links among each member and the first of the group that most of its keys lead to.
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The links among pairs(a, b). Each b is sent to its a, in parts of about STAR partners, and compared there as the sorted rows stream by."""
-        degree = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")), "degrees")
+        Each is sent to its first, in parts of about STAR members, and compared there as
+        the sorted rows stream by.
+        """
+        best = self.members.where(F.col("group") != F.col("node")).groupBy("node").agg(F.max(F.struct("keys", "degree", "group")).alias("m"))
+        stars = materialize(best.select(F.col("m.group").alias("a"), F.col("node").alias("b")), "stars")
+        degree = materialize(stars.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts")), "degrees")
         part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
-        to = pairs.join(degree.where("parts > 1"), "a", "left").select(F.col("b").alias("node"), F.col("a").alias("to"), F.array(part).alias("parts"), F.lit(False).alias("own"))
-        own = degree.select(F.col("a").alias("node"), F.col("a").alias("to"), F.sequence(F.lit(0), F.col("parts") - 1).alias("parts"), F.lit(True).alias("own"))
-        rows = self.arrays(to.union(own).join(self.classes.select("node", "id"), "node"))
-        rows = rows.select("to", F.explode("parts").alias("part"), "own", "node", "data")
+        to = stars.join(degree.where("parts > 1"), "a", "left").select(F.col("b").alias("node"), F.struct(F.col("a").alias("to"), F.array(part).alias("parts"), F.lit(False).alias("own")).alias("t"))
+        own = degree.select(F.col("a").alias("node"), F.struct(F.col("a").alias("to"), F.sequence(F.lit(0), F.col("parts") - 1).alias("parts"), F.lit(True).alias("own")).alias("t"))
+        # two at most: as a member, and as a first
+        arrays = self.fetched(to.union(own).groupBy("node").agg(F.collect_list("t").alias("targets")))
+        rows = arrays.select("node", "data", F.explode("targets").alias("t")).select("t.to", F.explode("t.parts").alias("part"), "t.own", "node", "data")
         rows = rows.repartition(self.parts, "to", "part").sortWithinPartitions("to", "part", F.desc("own"))
-        return rows.mapInArrow(_verify(self.num, self.den), "a long, b long").distinct()
+        return arrays, materialize(rows.mapInArrow(_verify(self.num, self.den), "a long, b long").distinct(), "links")
 
-    def searched(self, members: DataFrame, contract: bool) -> DataFrame:
-        """The links in the groups of members(group, node, comp) between different comps, by trees; with contract, as many as join the components that link.
+    def by_tile(self, members: DataFrame, data: DataFrame, search, names: str) -> DataFrame:
+        """What search finds in each tile of the groups of members(group, node, comp, n_shingles), of whose nodes data(node, data) has one row or more.
 
-        A group is searched in tiles of a bounded number of documents and n-grams, each
-        with itself and each two against each other, a task for each.
+        A tile has a bounded number of documents and n-grams; each is searched with itself
+        and each two against each other, a task for each.
         """
-        sized = members.join(self.classes, "node")
-        tiles = sized.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n_shingles") / TILE_GRAMS)).cast("int").alias("tiles"))
+        tiles = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n_shingles") / TILE_GRAMS)).cast("int").alias("tiles"))
         tiles = materialize(tiles.where("tiles > 1"), "tiles")
         own = F.coalesce("tiles", F.lit(1))
-        tiled = sized.join(tiles, "group", "left").withColumn("tile", F.pmod(F.xxhash64("node"), own).cast("int")).withColumn("others", F.sequence(F.lit(0), own - 1))
-        rows = self.arrays(tiled.select("id", "node", "group", "comp", "tile", "others")).withColumn("other", F.explode("others"))
+        rows = members.join(tiles, "group", "left").join(data, "node").withColumn("tile", F.pmod(F.xxhash64("node"), own).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), own - 1)))
         rows = rows.select("group", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "comp", "tile", "data")
         rows = rows.repartition(self.parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "node")
-        return rows.mapInArrow(_survivors(self.num, self.den, contract), "a long, b long").distinct()
+        return rows.mapInArrow(_by_tile(search, names.split()), ", ".join(f"{x} long" for x in names.split())).distinct()
+
+    def searched(self, members: DataFrame, arrays: DataFrame, contract: bool) -> DataFrame:
+        """The links in the groups of members(group, node, comp) between different comps; with contract, as many as join the components that link.
+
+        First trees of points tell which members may link at all; only their n-grams are
+        then sent to their tiles, where trees find the pairs to verify.
+        """
+        num, den = self.num, self.den
+        sized = materialize(members.join(self.classes, "node"), "open")
+        points = arrays.select("node", F.col("point").alias("data"))
+        left = self.by_tile(sized, points, lambda group, rows: [(group, x) for x in with_survivors(rows, num, den)], "group node")
+        sized = materialize(sized.join(left, ["group", "node"], "left_semi"), "survivors")
+        return self.by_tile(sized, arrays.select("node", "data"), lambda group, rows: links_in(rows, num, den, contract), "a b")
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -496,9 +544,9 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
 
     Candidates are found as Candidates says. Each is first held exactly against the first
     of the group that most of its keys lead to; in groups that then hold several
-    components, an R-tree over the sets' count vectors rules out pairs whose summed
-    minima bound the overlap too low, and survivors are verified exactly where they are
-    found, until their components are one. So near copies cost a comparison or two for
+    components, R-trees over the sets' count vectors rule out pairs whose summed minima
+    bound the overlap too low, and survivors are verified exactly where they are found,
+    until their components are one. So near copies cost a comparison or two for
     each member, and no link between components is lost. n-grams are told apart by
     64-bit hashes.
 
@@ -507,13 +555,12 @@ def near_duplicates(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100,
     are rows of the result. An empty table gives an empty result.
     """
     c = Candidates(docs, n, num, den, id_col, text_col)
-    best = c.members.where(F.col("group") != F.col("node")).groupBy("node").agg(F.max(F.struct("keys", "degree", "group")).alias("m"))
-    stars = materialize(best.select(F.col("m.group").alias("a"), F.col("node").alias("b")), "stars")
-    roots = components(materialize(c.verified(stars), "links"))
+    arrays, found = c.starred()
+    roots = components(found)
 
     joined = c.members.select("group", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed_groups = joined.groupBy("group").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("group")
-    more = materialize(c.searched(materialize(joined.join(mixed_groups, "group"), "open"), contract=True), "links")
+    more = materialize(c.searched(joined.join(mixed_groups, "group"), arrays, contract=True), "links")
     # contract by what is known, then by the rest
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)) if not more.isEmpty() else roots
 
@@ -531,7 +578,7 @@ def similar_pairs(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id
     that all link there are as many as pairs of their different sets.
     """
     c = Candidates(docs, n, num, den, id_col, text_col)
-    found = materialize(c.searched(materialize(c.members.select("group", "node", F.col("node").alias("comp")), "open"), contract=False), "links")
+    found = materialize(c.searched(c.members.select("group", "node", F.col("node").alias("comp")), c.fetched(), contract=False), "links")
     a, b = (c.classes.select(F.col("node").alias(x), F.col("id").alias(f"id_{x}")) for x in "ab")
     named = found.join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     members = c.sets.where("id IS NOT NULL").select("node", F.col("id").alias(id_col)).distinct().join(c.classes.select("node", F.col("id").alias("class_id")), "node")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, small_batches, tidy
 
 WINDOW, END_ID = 2048, 1
 #: Partially filled windows that a task holds at most; at more, it fills them up by cutting.
@@ -219,7 +219,7 @@ def _pack(tokenizer_path: str, window: int):
         if schema is not None:
             yield ready(schema)
 
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -237,6 +237,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text_col: str = "text", window: i
     ids pass through, an empty table gives an empty result. Columns named as the result's
     are replaced; names that start with _ are reserved.
     """
+    small_batches(docs.sparkSession)
     new = [x.split()[0] for x in PIECE.split(", ")]
     keep = [c for c in docs.columns if c != text_col and c not in new]
     given = docs.select(*keep, F.col(text_col).alias("_text"))
