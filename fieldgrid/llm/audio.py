@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 RATE, FRAME, HOP = 4000, 1024, 256
 CLASSES, LOW_HZ, HIGH_HZ = 12, 60.0, 1900.0
@@ -15,8 +15,12 @@ FILTERS = [(k % 6, (5 * k) % 9, 3 + k % 2, 4 + 4 * (k % 4)) for k in range(16)]
 WIDEST = max(f[3] for f in FILTERS)
 #: A filter's value is cut into four steps here.
 STEPS = (-0.25, 0.0, 0.25)
-#: Aligned recordings share so many equal integers at one offset, and differ there in so small a share of bits.
-MIN_VOTES, MAX_ERROR = 4, 0.2
+#: Aligned recordings overlap in so many integers at an offset, and differ there in so small a share of bits.
+MIN_OVERLAP, MAX_ERROR = 16, 0.2
+#: Bits of each integer that noise is likeliest to flip, and votes for an offset from which it is tried.
+DOUBTS, MIN_VOTES = 6, 2
+#: Recordings in a block of queries and in a shard of the others; votes that a task counts at once.
+BLOCK, SHARD, VOTES = 128, 2048, 4_000_000
 
 
 def pcm16(value):
@@ -40,147 +44,261 @@ def melody(vector):
 
 
 def chroma(samples):
-    """frames x CLASSES: energy by pitch class, smoothed over frames, of length 1 (silence stays 0)."""
+    """recordings x frames x CLASSES of recordings of one length: energy by pitch class, smoothed over frames, of length 1 (silence stays 0)."""
     import numpy as np
 
-    if len(samples) < FRAME:
-        return np.zeros((0, CLASSES))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * np.hamming(FRAME), axis=1)) ** 2
+    samples = np.asarray(samples, "float32")
+    if samples.shape[1] < FRAME:
+        return np.zeros((len(samples), 0, CLASSES))
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME, axis=1)[:, ::HOP]
     hz = np.fft.rfftfreq(FRAME, 1 / RATE)
     use = (hz >= LOW_HZ) & (hz <= HIGH_HZ)
+    spectrum = np.fft.rfft(frames * np.hamming(FRAME).astype("float32"), axis=2)[:, :, use]
+    power = spectrum.real.astype(float) ** 2 + spectrum.imag.astype(float) ** 2
     note = np.round(12 * np.log2(hz[use] / 440)).astype(int) % CLASSES
-    image = power[:, use] @ (note[:, None] == np.arange(CLASSES)).astype(float)
-    k = len(SMOOTHING)
-    if len(image) < k:
-        return np.zeros((0, CLASSES))
-    image = sum(w * image[i : len(image) - k + 1 + i] for i, w in enumerate(SMOOTHING))
-    size = np.sqrt((image**2).sum(axis=1, keepdims=True))
+    image = power @ (note[:, None] == np.arange(CLASSES)).astype(float)
+    k, n = len(SMOOTHING), image.shape[1]
+    if n < k:
+        return np.zeros((len(samples), 0, CLASSES))
+    image = sum(w * image[:, i : n - k + 1 + i] for i, w in enumerate(SMOOTHING))
+    size = np.sqrt((image**2).sum(axis=2, keepdims=True))
     return np.where(size > 1e-6, image / np.maximum(size, 1e-6), 0.0)
 
 
-def fingerprint(samples):
-    """A 32-bit integer for each place of the widest filter: sums over areas are differences in the integral image."""
+def filtered(image):
+    """recordings x filters x places: the two areas that each filter compares. Sums over areas are differences in the integral image."""
     import numpy as np
 
-    image = chroma(samples)
-    n = len(image) - WIDEST + 1
-    if n < 1:
-        return np.zeros(0, "uint32")
-    total = np.zeros((len(image) + 1, CLASSES + 1))
-    total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+    n = image.shape[1] - WIDEST + 1
+    total = np.zeros((len(image), image.shape[1] + 1, CLASSES + 1))
+    total[:, 1:, 1:] = image.cumsum(axis=1).cumsum(axis=2)
 
     def area(t0, t1, c0, c1):
-        return total[at + t1, c1] - total[at + t0, c1] - total[at + t1, c0] + total[at + t0, c0]
+        return total[:, t1 : t1 + n, c1] - total[:, t0 : t0 + n, c1] - total[:, t1 : t1 + n, c0] + total[:, t0 : t0 + n, c0]
 
-    out = np.zeros(n, "uint32")
+    pairs = []
     for kind, c, h, w in FILTERS:
         whole, half, third, mid = area(0, w, c, c + h), w // 2, w // 3, c + h // 2
         if kind == 0:
             a, b = whole, area(0, w, 0, CLASSES) - whole
         elif kind == 1:
             a = area(0, w, mid, c + h)
-            b = whole - a
         elif kind == 2:
             a = area(half, w, c, c + h)
-            b = whole - a
         elif kind == 3:
             a = area(half, w, c, mid) + area(0, half, mid, c + h)
-            b = whole - a
         elif kind == 4:
             a = area(0, w, c + h // 3, c + h - h // 3)
-            b = whole - a
         else:
             a = area(third, w - third, c, c + h)
-            b = whole - a
-        value = np.log((1 + a) / (1 + b))
-        step = np.searchsorted(STEPS, value, side="right")
-        out = (out << np.uint32(2)) | np.array([0, 1, 3, 2], "uint32")[step]  # neighbours differ in a bit
-    return out
+        pairs.append((a, b if kind == 0 else whole - a))
+    return np.stack([a for a, _ in pairs], axis=1), np.stack([b for _, b in pairs], axis=1)
+
+
+def fingerprints(samples):
+    """(items, doubts) of recordings of one length: a 32-bit integer for each place of the widest filter, and one whose bits are the DOUBTS likeliest to flip."""
+    import numpy as np
+
+    image = chroma(samples)
+    if image.shape[1] < WIDEST:
+        return np.zeros((len(image), 0), "uint32"), np.zeros((len(image), 0), "uint32")
+    a, b = filtered(image)
+    value = np.log((1 + a) / (1 + b))
+    step = np.searchsorted(STEPS, value, side="right")
+    shift = (2 * np.arange(len(FILTERS) - 1, -1, -1)).astype("uint32")[None, :, None]
+    code = np.array([0, 1, 3, 2], "uint32")[step]  # neighbours differ in a bit
+    items = np.bitwise_or.reduce(code << shift, axis=1)
+    far = np.abs(value[:, None] - np.array(STEPS)[None, :, None, None])
+    # crossing the middle step flips a code's high bit, an outer one its low bit
+    bit = np.uint32(1) << (shift + (far.argmin(axis=1) == 1).astype("uint32"))
+    least = np.argpartition(far.min(axis=1), DOUBTS, axis=1)[:, :DOUBTS]
+    return items, np.bitwise_or.reduce(np.take_along_axis(bit, least, axis=1), axis=1)
+
+
+def fingerprint(samples):
+    return fingerprints(samples[None])[0][0]
 
 
 def _fingerprints(decode):
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             names = batch.schema.names
-            out = []
-            for value in batch.column(names.index("_media")):
-                out.append(fingerprint(decode(value.as_py())).astype("<u4").tobytes() if value.is_valid else None)
             keep = [i for i, c in enumerate(names) if c != "_media"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(out, pa.binary())], names=[*[names[i] for i in keep], "fingerprint"])
+            for lo in range(0, batch.num_rows, 32):
+                part = batch.slice(lo, 32)
+                values = part.column(names.index("_media"))
+                sounds = {i: decode(v.as_py()) for i, v in enumerate(values) if v.is_valid}
+                out = [[None] * part.num_rows, [None] * part.num_rows]
+                for n in {len(x) for x in sounds.values()}:
+                    own = [i for i, x in sounds.items() if len(x) == n]
+                    for to, found in zip(out, fingerprints(np.stack([sounds[i] for i in own]))):
+                        for i, x in zip(own, found):
+                            to[i] = x.astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *[pa.array(x, pa.binary()) for x in out]], names=[*[names[i] for i in keep], "fingerprint", "doubts"])
 
-    return run
+    return tidy(run)
 
 
 def with_fingerprints(media: DataFrame, media_col: str, decode=pcm16) -> DataFrame:
-    """media's columns but media_col, and fingerprint (little-endian 32-bit integers).
+    """media's columns but media_col, and fingerprint and doubts (little-endian 32-bit integers; a doubt's bits are those of its item that noise is likeliest to flip).
 
     decode makes samples at RATE of a value. Null media have a null fingerprint; silence
     and recordings too short for the widest filter an empty one, or one of zeros' bits.
     """
-    given = media.select(*[c for c in media.columns if c not in (media_col, "fingerprint")], F.col(media_col).alias("_media"))
-    return given.mapInArrow(_fingerprints(decode), given.drop("_media").schema.add("fingerprint", "binary"))
+    given = media.select(*[c for c in media.columns if c not in (media_col, "fingerprint", "doubts")], F.col(media_col).alias("_media"))
+    return given.mapInArrow(_fingerprints(decode), given.drop("_media").schema.add("fingerprint", "binary").add("doubts", "binary"))
 
 
-def _postings(batches):
-    """(class_id, place, item) of each integer; runs of one value, as silence makes, give their first place alone."""
+def _packed(size):
+    def run(batches):
+        """Recordings as rows of `size`: their ids, the ends of their fingerprints, and these with their doubts one after the other."""
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size)
+                ids = part.column(0).to_numpy().astype("<i8")
+                prints, doubts = part.column(1).to_pylist(), part.column(2).to_pylist()
+                ends = np.cumsum([len(x) // 4 for x in prints]).astype("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids.tobytes(), ends.tobytes(), b"".join(prints), b"".join(doubts))], names=["ids", "ends", "items", "doubts"])
+
+    return tidy(run)
+
+
+class Probes:
+    """A block of queries: each item as it is and with all subsets of its doubtful bits flipped, in order, to be found by other recordings' items."""
+
+    def __init__(self, ids, ends, items, doubts):
+        import numpy as np
+
+        self.np, self.ids = np, ids
+        self.prints = np.split(items, ends[:-1])
+        sizes = np.diff(np.append(0, ends))
+        query = np.repeat(np.arange(len(ids)), sizes)
+        place = np.arange(len(items)) - np.repeat(ends - sizes, sizes)
+        keys, left = items[None], doubts.copy()
+        while left.any():
+            bit = left & (~left + np.uint32(1))
+            keys = np.concatenate([keys, keys ^ bit])
+            left ^= bit
+        own = np.tile(np.arange(len(items)), len(keys))
+        keys = keys.ravel()
+        both = np.unique(keys.astype("uint64") << np.uint64(32) | own.astype("uint64"))
+        self.keys, own = (both >> np.uint64(32)).astype("uint32"), (both & np.uint64(0xFFFFFFFF)).astype("int64")
+        self.query, self.place = query[own], place[own]
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self._slot(self.keys)] = True
+
+    def _slot(self, items):
+        return (items * self.np.uint32(0x9E3779B1)) >> self.np.uint32(10)
+
+    def votes(self, items, recording, place, n_recordings, span):
+        """(query, recording, offset, votes) of each that has MIN_VOTES; span exceeds all places."""
+        np = self.np
+        there = np.nonzero(self.seen[self._slot(items)])[0]
+        lo = np.searchsorted(self.keys, items[there], "left")
+        n = np.searchsorted(self.keys, items[there], "right") - lo
+        there, lo, n = there[n > 0], lo[n > 0], n[n > 0]
+        key, count, upto, i = np.zeros(0, "int64"), np.zeros(0, "int64"), np.cumsum(n), 0
+        while i < len(there):
+            # as many items as make VOTES votes, one at least
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + VOTES, side="right")))
+            k = n[i:j]
+            at = np.repeat(lo[i:j] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            item = np.repeat(there[i:j], k)
+            new = (self.query[at] * n_recordings + recording[item]) * (2 * span) + self.place[at] - place[item] + span
+            new, m = np.unique(new, return_counts=True)
+            key, back = np.unique(np.concatenate([key, new]), return_inverse=True)
+            count = np.bincount(back, np.concatenate([count, m]), len(key)).astype("int64")
+            i = j
+        key, count = key[count >= MIN_VOTES], count[count >= MIN_VOTES]
+        pair, offset = np.divmod(key, 2 * span)
+        query, other = np.divmod(pair, n_recordings)
+        return zip(query.tolist(), other.tolist(), (offset - span).tolist(), count.tolist())
+
+    def every(self, prints):
+        """All offsets of all pairs, without votes."""
+        for q, a in enumerate(self.prints):
+            for c, b in enumerate(prints):
+                yield from ((q, c, offset, 0) for offset in range(MIN_OVERLAP - len(b), len(a) - MIN_OVERLAP + 1))
+
+
+def errors(a, b, offset: int) -> tuple[float, int]:
+    """(share of bits that differ, overlap) of two fingerprints at an offset."""
     import numpy as np
-    import pyarrow as pa
 
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 2000):
-            ids, data = batch.column(0).slice(lo, 2000).to_pylist(), batch.column(1).slice(lo, 2000).to_pylist()
-            each = [np.frombuffer(x, "<u4") for x in data]
-            places = [np.nonzero(np.append(True, x[1:] != x[:-1]))[0] if len(x) else np.zeros(0, int) for x in each]
-            n = [len(p) for p in places]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, "int64"), n)), pa.array(np.concatenate(places).astype("int32")), pa.array(np.concatenate([x[p] for x, p in zip(each, places)]).astype("int64"))], names=["class_id", "place", "item"])
+    a, b = (a[offset:], b) if offset >= 0 else (a, b[-offset:])
+    n = min(len(a), len(b))
+    return (int(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n), n) if n else (1.0, 0)
 
 
-def _errors(batches):
-    """The share of bits that differ where two fingerprints overlap at an offset."""
-    import numpy as np
-    import pyarrow as pa
+def _aligned(exact):
+    def run(batches):
+        """One block of queries against one shard a row."""
+        import numpy as np
+        import pyarrow as pa
 
-    for batch in batches:
-        col = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
-        ber, overlap = [], []
-        for a, b, offset in zip(col["q_fp"], col["c_fp"], col["offset"]):
-            a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-            a, b = (a[offset:], b) if offset >= 0 else (a, b[-offset:])
-            n = min(len(a), len(b))
-            ber.append(int(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n) if n else 1.0)
-            overlap.append(n)
-        keep = [i for i, c in enumerate(batch.schema.names) if c not in ("q_fp", "c_fp")]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(ber, pa.float64()), pa.array(overlap, pa.int64())], names=[*[batch.schema.names[i] for i in keep], "bit_error", "overlap"])
+        names, last, probes = ["query_id", "class_id", "offset", "votes", "bit_error", "overlap"], None, None
+        for batch in batches:
+            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            for row in range(batch.num_rows):
+                read = lambda c, kind, r=row: np.frombuffer(col[c][r].as_buffer(), kind)
+                if last != (block := col["q_ids"][row].as_py()):
+                    last, probes = block, Probes(read("q_ids", "<i8"), read("q_ends", "<i8"), read("q_items", "<u4"), read("q_doubts", "<u4"))
+                ids, ends, items = read("ids", "<i8"), read("ends", "<i8"), read("items", "<u4")
+                sizes = np.diff(np.append(0, ends))
+                prints, recording = np.split(items, ends[:-1]), np.repeat(np.arange(len(ids)), sizes)
+                place = np.arange(len(items)) - np.repeat(ends - sizes, sizes)
+                # of a run of one value, as silence makes, the first place is looked up; queries hold all of theirs
+                first = np.append(True, items[1:] != items[:-1]) | (place == 0)
+                span = int(max(sizes.max(initial=0), max(map(len, probes.prints), default=0))) + 1
+                tried = probes.every(prints) if exact else probes.votes(items[first], recording[first], place[first], len(ids), span)
+                best: dict = {}
+                for q, c, offset, votes in tried:
+                    if probes.ids[q] != ids[c]:
+                        error, n = errors(probes.prints[q], prints[c], offset)
+                        if n >= MIN_OVERLAP and error <= MAX_ERROR:
+                            best[q, c] = min(best.get((q, c), (2.0,)), (error, -n, offset, votes))
+                rows = [(int(probes.ids[q]), int(ids[c]), offset, votes, error, -n) for (q, c), (error, n, offset, votes) in best.items()]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    return tidy(run)
 
 
 def classes_of(prints: DataFrame, id_col: str) -> DataFrame:
-    """(fp_hash, class_id, fingerprint) of each distinct, non-empty fingerprint; class_id is the smallest id that has it."""
+    """(fp_hash, class_id, fingerprint, doubts) of each distinct, non-empty fingerprint; class_id is the smallest id that has it."""
     has = prints.where(F.col(id_col).isNotNull() & (F.octet_length("fingerprint") > 0))
-    return has.groupBy(F.unhex(F.md5("fingerprint")).alias("fp_hash")).agg(F.min(id_col).alias("class_id"), F.min("fingerprint").alias("fingerprint"))
+    found = has.groupBy(F.unhex(F.md5("fingerprint")).alias("fp_hash")).agg(F.min(F.struct(F.col(id_col).alias("class_id"), "fingerprint", "doubts")).alias("x"))
+    return found.select("fp_hash", "x.*")
+
 
+def align(queries: DataFrame, classes: DataFrame, exact: bool = False) -> DataFrame:
+    """query_id, class_id, offset, votes, bit_error, overlap: recordings of classes(class_id, fingerprint, doubts) that align with one of queries (the same columns).
 
-def align(queries: DataFrame, classes: DataFrame) -> DataFrame:
-    """query_id, class_id, offset, votes, bit_error, overlap: recordings of classes(class_id, fingerprint) that align with one of queries (the same columns).
+    Two recordings align at an offset if they overlap there in MIN_OVERLAP integers at
+    least, of whose bits at most MAX_ERROR differ; of several offsets the one of the
+    fewest errors is returned (ties: the longest overlap, then the smallest offset).
+    Offsets are tried that MIN_VOTES integers of the recording vote for, each by being
+    equal to one of the query's as it is or with some of its doubtful bits flipped; with
+    exact, all offsets of all pairs are.
 
-    Equal integers of a query and a recording vote for the offset between their places.
-    Of a pair's offsets, the one with most votes (ties: the smallest) is tried, if it has
-    MIN_VOTES; the pair stays if at most MAX_ERROR of the overlapping bits differ. Counts
-    of votes are combined before they are shuffled; Spark splits integers that very many
-    recordings share.
+    Blocks of queries meet shards of the others: a shard is sent once, a block to each
+    key of shards, votes are counted where they meet, and only alignments come out.
     """
-    cols = "class_id long, place int, item long"
-    ask = queries.select("class_id", "fingerprint").mapInArrow(_postings, cols).withColumnsRenamed({"class_id": "query_id", "place": "q_place"})
-    have = classes.select("class_id", "fingerprint").mapInArrow(_postings, cols)
-    votes = ask.join(have, "item").where("query_id <> class_id").groupBy("query_id", "class_id", (F.col("q_place") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
-    w = Window.partitionBy("query_id", "class_id").orderBy(F.desc("votes"), "offset")
-    best = votes.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-    best = best.join(queries.select(F.col("class_id").alias("query_id"), F.col("fingerprint").alias("q_fp")), "query_id").join(classes.select("class_id", F.col("fingerprint").alias("c_fp")), "class_id")
-    out = best.select("query_id", "class_id", "offset", "votes", "q_fp", "c_fp").mapInArrow(_errors, "query_id long, class_id long, offset int, votes long, bit_error double, overlap long")
-    return out.where(F.col("bit_error") <= MAX_ERROR)
+    packed = "ids binary, ends binary, items binary, doubts binary"
+    pick = lambda df: df.select("class_id", "fingerprint", "doubts")
+    keys = max(1, -(-classes.count() // SHARD))
+    blocks = materialize(pick(queries).mapInArrow(_packed(BLOCK), packed), "query-blocks").withColumnsRenamed({c: f"q_{c}" for c in ("ids", "ends", "items", "doubts")})
+    blocks = blocks.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(keys - 1))))
+    shards = materialize(pick(classes).mapInArrow(_packed(SHARD), packed), "shards").drop("doubts").withColumn("key", F.pmod(F.xxhash64("ids"), F.lit(keys)).cast("int"))
+    # not put together: a shard takes long for its bytes
+    tiles = shards.repartition(keys, "key").join(blocks, "key")
+    return tiles.drop("key").sortWithinPartitions("q_ids").mapInArrow(_aligned(exact), "query_id long, class_id long, offset int, votes long, bit_error double, overlap long")
 
 
 def op3_audio(vectors: DataFrame) -> DataFrame:
@@ -195,7 +313,7 @@ def op3_audio(vectors: DataFrame) -> DataFrame:
     prints = materialize(with_fingerprints(vectors.select("vec_id", "embedding"), "embedding", melody).withColumn("fp_hash", F.when(F.octet_length("fingerprint") > 0, F.unhex(F.md5("fingerprint")))), "fingerprints")
     classes = materialize(classes_of(prints, "vec_id"), "classes")
     asked = prints.where("vec_id % 50 = 0").select("fp_hash").distinct()
-    queries = materialize(classes.join(asked, "fp_hash", "left_semi").select("class_id", "fingerprint"), "queries")
+    queries = materialize(classes.join(asked, "fp_hash", "left_semi").select("class_id", "fingerprint", "doubts"), "queries")
     found = materialize(align(queries, classes), "aligned")
     best = found.groupBy("class_id").agg(F.count("*").alias("n_matches"), F.min(F.struct("bit_error", "query_id", "offset", "votes")).alias("b"))
     known = classes.select("fp_hash", "class_id").join(best, "class_id", "left").join(queries.select("class_id", F.lit(True).alias("is_query")), "class_id", "left")
