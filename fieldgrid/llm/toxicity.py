@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
+from .common import fold, materialize, small_batches
 
 #: Documents of each label that the fit reads at most (about: they are chosen by a hash of their ids).
 FIT_DOCS = 20_000
@@ -15,12 +15,10 @@ FIT_DOCS = 20_000
 MIN_RATIO, MIN_STEM_RATIO, MIN_STATISTIC = 12.0, 4.0, 28.0
 #: Shared beginnings of words count as terms at these lengths, if at least MIN_FORMS words have them.
 STEM_CHARS, MIN_FORMS = range(3, 9), 4
-MAX_TERMS = 20_000
 #: Terms of this length also match at edit distance 1.
 FUZZY_CHARS = 5
-#: Words to each side of a hit that are searched for marks of quotation, and the words that report speech.
-CONTEXT = 4
-OPENING, CLOSING = "\"“«„‘'‹", "\"”»“’'›"
+#: Marks that open a quotation before a word, each with those that close it after one.
+QUOTES = {'"': '"', "“": "”", "«": "»", "»": "«", "„": "“”", "‘": "’", "'": "'", "‹": "›", "›": "‹", "‚": "‘’"}
 #: Before any hits of a kind are seen, the toxic documents with one number this share of those with the plain term, and the others this many.
 PRIOR = {"plain": (1.0, 0.5), "stem": (1.0, 0.5), "fuzzy": (0.2, 0.5), "quoted": (0.02, 1.0)}
 #: No hit weighs more, in natural logarithms of odds.
@@ -28,7 +26,10 @@ MAX_WEIGHT = 8.0
 #: The log odds of a text without hits are no less, so that one plain hit of a sure term suffices.
 MIN_BASE = -6.5
 THRESHOLD = 0.7
-STRIP = ".,;:!?()[]{}…-–—*_/\\|" + OPENING + CLOSING
+QUOTE_MARKS = "".join(sorted({*QUOTES, *"".join(QUOTES.values())}))
+STRIP = ".,;:!?()[]{}…-–—*_/\\|" + QUOTE_MARKS
+#: Least hashes of words in threes that near copies share in one of two sets, and of a set.
+COPY_HASHES = 6
 
 
 def word_of(token: str) -> str:
@@ -121,22 +122,40 @@ class Automaton:
         return self.ends[state]
 
 
+def quoted_at(tokens: list[str]) -> list[bool]:
+    """Whether each token of a line is in a quotation: from a word that a mark opens to the first that its like closes."""
+    out, opened, closing = [False] * len(tokens), None, ""
+    for i, t in enumerate(tokens):
+        core = t.strip(STRIP)
+        # marks alone open, or else close
+        before, after = (t[: t.find(core)], t[t.find(core) + len(core) :]) if core else (t, "") if opened is None else ("", t)
+        if opened is None:
+            mark = next((c for c in before if c in QUOTES), None)
+            if mark is None:
+                continue
+            opened, closing = i, QUOTES[mark]
+        if any(c in closing for c in after):
+            out[opened : i + 1] = [True] * (i + 1 - opened)
+            opened = None
+    return out
+
+
 def hits(text: str, known: dict, automaton: Automaton) -> list[tuple[str, str, str]]:
-    """(kind, term, word) of each term in the text; a hit within marks of quotation is of kind quoted. known: what words matched so far."""
-    tokens = text.lower().split()
+    """(kind, term, word) of each term in the text; a hit in a quotation of its line is of kind quoted. known: what words matched so far."""
     out = []
-    for i, t in enumerate(tokens):
-        if t in known:
-            found = known[t]
-        else:
-            found = known[t] = automaton.match(word_of(t))
+    for line in text.lower().split("\n"):
+        tokens = line.split()
+        found = []
+        for i, t in enumerate(tokens):
+            if t in known:
+                own = known[t]
+            else:
+                own = known[t] = automaton.match(word_of(t))
+            if own:
+                found.append((i, own))
         if found:
-            before, after = tokens[max(0, i - CONTEXT) : i + 1], tokens[i : i + 1 + CONTEXT]
-            # opened before and not closed again, closed after
-            opened = max((j for j, x in enumerate(before) if x[0] in OPENING), default=-1)
-            closed = max((j for j, x in enumerate(before[:-1]) if x.rstrip(".,;:!?")[-1:] in CLOSING), default=-2)
-            quoted = opened >= 0 and closed < opened and any(x.rstrip(".,;:!?")[-1:] in CLOSING for x in after)
-            out.append(("quoted" if quoted else found[0], found[1], word_of(t)))
+            quoted = quoted_at(tokens)
+            out += [("quoted" if quoted[i] else own[0], own[1], word_of(tokens[i])) for i, own in found]
     return out
 
 
@@ -164,35 +183,45 @@ def _by_hit(found: list) -> dict:
 
 
 def _signed(batches):
-    """Adds the least and the greatest hash of the text's words in threes, of which near copies tend to share one."""
+    """Adds two hashes, each of COPY_HASHES independent least hashes of the text's words in threes; near copies tend to share one."""
+    import numpy as np
     import xxhash
 
+    salts = np.array([xxhash.xxh3_64_intdigest(bytes([k])) | 1 for k in range(2 * COPY_HASHES)], "uint64")
     for pdf in batches:
-        least, most = [], []
+        found = []
         for text in pdf["text"]:
             words = text.lower().split()
-            hashes = [xxhash.xxh3_64_intdigest(" ".join(words[i : i + 3])) - 2**63 for i in range(max(1, len(words) - 2))]
-            least.append(min(hashes))
-            most.append(max(hashes))
-        yield pdf.assign(_a=least, _b=most)
+            h = np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))], "uint64")
+            h = h * salts[:, None]
+            least = ((h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)).min(axis=1)
+            found.append([xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in np.split(least, 2)])
+        yield pdf.assign(_a=[x[0] for x in found], _b=[x[1] for x in found])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
     """The lexicon and the weights of its hits, from docs(doc_id, text) and labels(doc_id, toxic).
 
     About fit_docs documents of each label at most are read, chosen by a hash of their
-    ids. Near copies among them count once, lest the words of one text that was copied
-    pass for terms. What reaches the driver are the terms, at most MAX_TERMS, and a count
-    for each kind of hit.
+    ids. Near copies of one label among them count once, that of the smallest id, lest
+    the words of one text that was copied pass for terms. What reaches the driver are the
+    terms that these documents hold, and a count for each kind of hit: fit_docs bounds
+    both. An id with both labels is toxic; null ids and other labels are left out.
     """
-    labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    small_batches(docs.sparkSession)
+    labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     million = 1_000_000
     cut = F.when(F.col("toxic") == 1, F.lit(min(million, million * fit_docs // max(1, counts.get(1, 1))))).otherwise(F.lit(min(million, million * fit_docs // max(1, counts.get(0, 1)))))
     chosen = materialize(labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < cut), "chosen-labels")
     sample = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # at most about 2 * fit_docs rows
-    sample = sample.select("doc_id", "text", "toxic").mapInPandas(_signed, "doc_id long, text string, toxic int, _a long, _b long")
-    sample = materialize(sample.dropDuplicates(["_a"]).dropDuplicates(["_b"]).select("doc_id", "text", "toxic"), "fit-docs")
+    sample = sample.select("doc_id", "text", "toxic")
+    signed = sample.mapInPandas(_signed, sample.select("*").schema.add("_a", "long").add("_b", "long"))
+    signed = materialize(signed.groupBy("doc_id", "toxic", "_a", "_b").agg(F.min("text").alias("text")), "signed")
+    for mark in ("_a", "_b"):
+        first = signed.groupBy("toxic", mark).agg(F.min("doc_id").alias("doc_id"))
+        signed = signed.join(F.broadcast(first), ["toxic", mark, "doc_id"], "left_semi")  # at most as many rows as the sample
+    sample = materialize(signed.select("doc_id", "text", "toxic"), "fit-docs")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     model = {"terms": [], "stems": [], "weights": {}, "base": -10.0}
@@ -204,14 +233,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
     both, share = F.col("toxic") + F.col("other"), n1 / (n1 + n0)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * F.lit(max(p, 1e-12))))).otherwise(0.0)
     statistic = 2 * (part("toxic", share) + part("other", 1 - share))
-    good = table.where((ratio >= F.when(F.col("is_stem"), MIN_STEM_RATIO).otherwise(MIN_RATIO)) & (statistic >= MIN_STATISTIC)).orderBy(F.desc("toxic"), "term", "is_stem").limit(MAX_TERMS).collect()
+    good = table.where((ratio >= F.when(F.col("is_stem"), MIN_STEM_RATIO).otherwise(MIN_RATIO)) & (statistic >= MIN_STATISTIC)).collect()
     words = {r["term"]: r["toxic"] for r in good if not r["is_stem"]}
     stems = {r["term"]: r["toxic"] for r in good if r["is_stem"]}
     # a stem stands for its words if they are many; of nested ones, the longest that keeps nearly all of the support
     forms = table.where(~F.col("is_stem")).select("term", F.explode(F.array(*[F.substring("term", 1, k) for k in STEM_CHARS])).alias("stem")).where(F.char_length("term") > F.char_length("stem"))
     asked = docs.sparkSession.createDataFrame([(x,) for x in stems], "stem string")
     n_forms = {r["stem"]: r["n"] for r in forms.join(F.broadcast(asked), "stem").groupBy("stem").agg(F.countDistinct("term").alias("n")).collect()}
-    # at most MAX_TERMS rows
     longer, most = {}, {}
     for x in stems:
         if n_forms.get(x, 0) >= MIN_FORMS and stems[x] >= 0.9 * stems.get(x[:-1], 0):
@@ -271,7 +299,7 @@ def _score(model):
         for batch in batches:
             score, n_hits = [], []
             for text in batch.column(batch.schema.names.index("_text")).to_pylist():
-                if len(known) > 2_000_000:
+                if len(known) > 300_000:
                     known.clear()
                 found = hits(text, known, automaton) if text else []
                 # a stem counts for up to three different words, anything else once
@@ -293,6 +321,7 @@ def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text") -> Data
     count, repeated hits once. Other columns pass through; score and n_hits are replaced
     if present.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(*[c for c in docs.columns if c not in ("score", "n_hits")], F.col(text_col).alias("_text"))
     return given.mapInArrow(_score(model), given.drop("_text").schema.add("score", "double").add("n_hits", "long"))
 
