@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BLOCK_ROWS, SHARD_ROWS = 2048, 8192
+#: Shards under one key, which meet copies of all blocks there.
+SHARDS_PER_KEY = 8
 
 
 def quantized(vector: Column, scale: int) -> Column:
@@ -89,8 +91,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     queries are packed into blocks of about BLOCK_ROWS. A tile is the matrix product of
     a block and a shard, and keeps k entries a query, so what tiles send on is small; the
     lists are merged as a tree, first in merge_ways groups, then all of a query. Blocks
-    of queries are broadcast while Spark finds their table small, else tiles are joined
-    by block number.
+    of queries are broadcast while Spark finds their table small, else copied to keys of
+    about SHARDS_PER_KEY shards each.
 
     Vectors that are null or hold a null, NaN or infinite component take no part, nor
     do rows with a null id; a query meets only vectors of its own length. No row is a
@@ -108,7 +110,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     )
     blocks = materialize(blocks.withColumnsRenamed({c: f"q_{c}" for c in ("ids", "n", "wide", "data")}), "query-blocks")
     shards = pick(vectors).mapInPandas(_shards, f"dim int, {packed}")
-    tiles = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, ["dim", "block"])
+    # a shard is sent once, and each block to all keys; so no task gets more than a key's shards
+    copies = max(1, -(-vectors.count() // (SHARD_ROWS * SHARDS_PER_KEY)))
+    blocks = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    tiles = shards.withColumn("copy", F.pmod(F.xxhash64("ids"), F.lit(copies)).cast("int")).join(blocks, ["dim", "copy"])
     lists = tiles.mapInPandas(_tiles(k), "query_id long, vec_id long, score long")
     best = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     first = best(lists.withColumn("way", F.pmod(F.xxhash64("vec_id"), F.lit(merge_ways))), "query_id", "way").drop("rank")

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder
+from .common import materialize, new_folder, small_batches, tidy
 
 #: Fixed values of the archive format: the mark of the leading skippable frame, the mark of a dictionary, the profile of revisits.
 SKIPPABLE, DICTIONARY = b"\x5d\x2a\x4d\x18", b"\x37\xa4\x30\xec"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive's dictionary is built from its own first records, so many bytes of them at most.
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 32 << 10
-#: A task begins a new archive beyond this size, so that a reader holds no more at once.
-ARCHIVE_BYTES = 64 << 20
+#: A task begins a new archive beyond this size; a reader sends on rows beyond this.
+ARCHIVE_BYTES, READ_BYTES = 64 << 20, 8 << 20
 MIN_REVISIT_BYTES = 1000
 
 
@@ -82,7 +82,7 @@ def _write(folder: str, date: str):
             held, held_bytes = [], 0
 
         def finish():
-            """Under another name first, so that a lost or repeated attempt leaves no half archive."""
+            """Under another name first, so that a lost attempt leaves no half archive; what one leaves, the index doesn't name."""
             nonlocal out, codec, n_file, index
             if held:
                 start()
@@ -96,7 +96,8 @@ def _write(folder: str, date: str):
             n_file += 1
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["page_id", "file", "offset", "length"])
 
-        name = f"part-{part:05d}-{n_file:05d}.warc.zst"
+        attempt = uuid.uuid4().hex[:12]
+        name = f"part-{part:05d}-{n_file:05d}-{attempt}.warc.zst"
         store.create_dir(at, recursive=True)
         for batch in batches:
             for page_id, url, html, refers_to in zip(*[batch.column(i).to_pylist() for i in range(4)]):
@@ -111,27 +112,27 @@ def _write(folder: str, date: str):
                     put(data, page_id)
                 if out is not None and out.tell() >= ARCHIVE_BYTES:
                     yield finish()
-                    name = f"part-{part:05d}-{n_file:05d}.warc.zst"
+                    name = f"part-{part:05d}-{n_file:05d}-{attempt}.warc.zst"
         if (rows := finish()) is not None:
             yield rows
 
-    return run
+    return tidy(run)
 
 
-def records_of(archive: bytes):
-    """(header fields, block) of each record of an archive."""
+def records_of(archive):
+    """(header fields, block) of each record of an archive, a file that is read as a stream."""
     import io
 
     import zstandard
 
-    if archive[:4] != SKIPPABLE:
+    mark = archive.read(8)
+    if mark[:4] != SKIPPABLE:
         raise ValueError("no leading dictionary frame")
-    n = int.from_bytes(archive[4:8], "little")
-    lead = bytes(archive[8 : 8 + n])
+    lead = archive.read(int.from_bytes(mark[4:], "little"))
     if lead and lead[:4] != DICTIONARY:
         lead = zstandard.ZstdDecompressor().decompress(lead)
     codec = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(lead)) if lead else zstandard.ZstdDecompressor()
-    with io.BufferedReader(codec.stream_reader(io.BytesIO(memoryview(archive)[8 + n :]), read_across_frames=True), 1 << 20) as stream:
+    with io.BufferedReader(codec.stream_reader(archive, read_across_frames=True), 1 << 20) as stream:
         while line := stream.readline():
             if line.strip() != b"WARC/1.1":
                 raise ValueError("not a record")
@@ -145,27 +146,44 @@ def records_of(archive: bytes):
             yield fields, block
 
 
-def _read(batches):
-    import hashlib
+def _read(folder: str, payloads: bool):
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
 
-    import pandas as pd
+        store, at = fs.FileSystem.from_uri(folder)
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+
+        def out(rows):
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays(columns[: 7 if payloads else 6], names=names[: 7 if payloads else 6])
 
-    for pdf in batches:
-        for archive in pdf["content"]:
-            rows = []
-            for fields, block in records_of(archive):
-                if fields["warc-type"] not in ("response", "revisit"):
-                    continue
-                head, _, payload = block.partition(b"\r\n\r\n")
-                size = int(next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")).partition(b":")[2])
-                digest = fields["warc-payload-digest"].partition(":")[2]
-                again = "warc-refers-to" in fields
-                if not again and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                    raise ValueError("a payload differs from its digest")
-                rows.append((page_of(fields["warc-record-id"]), fields["warc-target-uri"], size, digest, fields["warc-type"], page_of(fields["warc-refers-to"]) if again else None, None if again else payload))
-            # no more rows at once than a batch may hold
-            for i in range(0, len(rows), 2000):
-                yield pd.DataFrame(rows[i : i + 2000], columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                rows, held = [], 0
+                with store.open_input_stream(f"{at}/{name}", compression=None) as archive:
+                    for fields, block in records_of(archive):
+                        if fields["warc-type"] not in ("response", "revisit"):
+                            continue
+                        head, _, payload = block.partition(b"\r\n\r\n")
+                        size = int(next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")).partition(b":")[2])
+                        digest = fields["warc-payload-digest"].partition(":")[2]
+                        again = "warc-refers-to" in fields
+                        if not again and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+                            raise ValueError("a payload differs from its digest")
+                        keep = payload if payloads and not again else None
+                        rows.append((page_of(fields["warc-record-id"]), fields["warc-target-uri"], size, digest, fields["warc-type"], page_of(fields["warc-refers-to"]) if again else None, keep))
+                        held += len(keep or b"") + 200
+                        if held > READ_BYTES:
+                            yield out(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield out(rows)
+
+    return tidy(run)
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "2025-01-01T00:00:00Z") -> DataFrame:
@@ -181,6 +199,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2025-01-01T00:00:
     about:blank; null ids are responses and nothing refers to them. Repeated rows are
     records of their own. An empty table writes no archive.
     """
+    small_batches(pages.sparkSession)
     long_ones = pages.where((F.octet_length("html") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull())
     again = long_ones.groupBy(F.sha1(F.col("html").cast("binary")).alias("digest")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     again = materialize(again, "payloads")
@@ -190,18 +209,21 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2025-01-01T00:00:
     return materialize(joined.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_write(folder, date), "page_id long, file string, offset long, length long"), "archive-index")
 
 
-def read_archives(spark, folder: str) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of all records; payloads are held against their digests."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder).select("content")
-    return files.mapInPandas(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, and with payloads the payload (null for revisits), of all records.
+
+    Only archives that the index of write_archives names are read, each as a stream, so
+    a task holds a record and READ_BYTES of rows. Payloads are held against their digests.
+    """
+    files = index.select("file").distinct()
+    columns = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+    return files.repartition(max(1, files.count())).mapInArrow(_read(folder, payloads), columns)
 
 
 def op10_warc(pages: DataFrame) -> DataFrame:
-    spark = pages.sparkSession
-    folder = new_folder(spark, "archives")
-    if write_archives(pages.select("page_id", "url", "html"), folder).isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = new_folder(pages.sparkSession, "archives")
+    index = write_archives(pages.select("page_id", "url", "html"), folder)
+    return read_archives(index, folder, payloads=False).drop("url")
 
 
 ORACLE = """
