@@ -79,3 +79,23 @@ def test_windows(kept):
 
 def test_run(spark, small):
     assert p.run(spark, small).count() > 0
+
+
+def test_stages_of_nothing(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, small)
+        assert docs.count() == 0
+    assert p.STAGES[-1][1](spark, docs, small).count() == 0
+
+
+def test_stages_of_columns_that_clash(spark, small):
+    """Columns named as those that the operators make, and nulls in all of them, pass every stage."""
+    names = ["lang_pred", "score", "n_lines", "n_dropped", "kept_text", "component_id", "class_id", "n_shingles", "node", "size", "target", "taken", "first", "shard", "key", "id", "start", "length"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *[F.when(F.col("doc_id") % 2 == 0, F.lit(c + ' {}')).alias(c) for c in names])
+    for _, stage in p.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, small), "clash")
+        assert docs.columns[-len(names) :] == names and docs.count() > 0
+        assert docs.where("doc_id % 2 = 0 AND taken <> 'taken {}' OR doc_id % 2 = 1 AND taken IS NOT NULL").count() == 0
+    assert p.STAGES[-1][1](spark, docs, small).count() > 0
