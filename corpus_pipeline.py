@@ -10,35 +10,64 @@ from fieldgrid.llm.common import materialize, table
 
 #: A document goes if its language can't be told, or the best one's probability is below this.
 MIN_LANGUAGE_SCORE = 0.5
+#: The columns of documents.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    """docs with all but the documents' own columns in one, so that none has a name that an operator gives."""
+    return docs.select(*COLUMNS, F.struct(*[c for c in docs.columns if c not in COLUMNS]).alias("others")) if len(docs.columns) > len(COLUMNS) else docs
+
+
+def back(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*[c if c in COLUMNS else F.col(f"others.`{c}`").alias(c) for c in columns])
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language; fills in a missing lang."""
+    """Keeps documents with a language; fills in a missing lang.
+
+    Null and empty texts and texts without a letter go, as no language can be told.
+    Repeated rows and null ids stay if their text does. Without any labelled text nothing
+    is learned, so all go. Other columns pass through.
+    """
     model, pieces = langid.fitted(docs)
-    found = langid.identify(docs, model, pieces).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(aside(docs), model, pieces).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return back(found.withColumn("lang", F.coalesce("lang", "lang_pred")), docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that many documents share; all documents stay."""
-    done = line_dedup.dedup_lines(docs)
-    return done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Drops lines that many documents share, but for the largest id's; all documents and columns stay.
+
+    A null text becomes an empty one. Rows of one id count as one document; rows of a null
+    id keep all their lines and count for none.
+    """
+    done = line_dedup.dedup_lines(aside(docs))
+    return back(done.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near duplicates (five words, similarity 0.8)."""
+    """Keeps the document of the smallest id of each group of near duplicates (five words, similarity 0.8).
+
+    Repeated rows of an id and text are one, rows of an id with other texts stay beside
+    each other. Null ids take no part and stay, as do null and empty texts.
+    """
     groups = ngram_join.near_duplicates(docs.select("doc_id", "text"), n=5, num=80, den=100)
     stay = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
     return docs.where("doc_id IS NOT NULL").join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes words of the sources to their target weights; a document taken twice has two rows."""
-    mixed = mixing.mixed_documents(docs)
-    return mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Takes words of the sources to their target weights; a document taken twice has two rows.
+
+    A null source is one of its own. Documents without words have nothing to take and no
+    row; repeated rows and null ids are documents of their own. Reruns agree.
+    """
+    mixed = mixing.mixed_documents(aside(docs))
+    return back(mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)), docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document in windows of 2048 tokens; see op5_packing. Null and empty texts are their end token, repeated rows and null ids documents of their own."""
     return packing.op5_packing(docs)
 
 
@@ -55,6 +84,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of sf_dir, each written to the shared folder and read again; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
