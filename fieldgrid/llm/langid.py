@@ -85,7 +85,8 @@ class Pieces:
 
     def find(self, h):
         """The piece's number, -1 for a mere prefix, -2 for neither."""
-        np, left = self.np, np.arange(len(h))
+        np = self.np
+        left = np.arange(len(h))
         out = np.full(len(h), -2, "int32")
         for k, (bits, key, value) in enumerate(self.tables):
             own = h[left]
