@@ -11,8 +11,8 @@ from .common import fold, materialize, small_batches
 
 #: Documents of each label that the fit reads at most (about: they are chosen by a hash of their ids).
 FIT_DOCS = 20_000
-#: A term is so many times likelier in toxic documents than in others (a stem, in the second place), and its log-likelihood ratio statistic is at least so large.
-MIN_RATIO, MIN_STEM_RATIO, MIN_STATISTIC = 12.0, 4.0, 28.0
+#: A term is so many times likelier in toxic documents than in others (a stem, in the second place). Its log-likelihood ratio statistic is at least 2 log(candidates), beyond which about one of so many would come by chance.
+MIN_RATIO, MIN_STEM_RATIO = 12.0, 4.0
 #: Shared beginnings of words count as terms at these lengths, if at least MIN_FORMS words have them.
 STEM_CHARS, MIN_FORMS = range(3, 9), 4
 #: Terms of this length also match at edit distance 1.
@@ -233,7 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
     both, share = F.col("toxic") + F.col("other"), n1 / (n1 + n0)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * F.lit(max(p, 1e-12))))).otherwise(0.0)
     statistic = 2 * (part("toxic", share) + part("other", 1 - share))
-    good = table.where((ratio >= F.when(F.col("is_stem"), MIN_STEM_RATIO).otherwise(MIN_RATIO)) & (statistic >= MIN_STATISTIC)).collect()
+    least = 2 * math.log(max(2, table.count()))
+    good = table.where((ratio >= F.when(F.col("is_stem"), MIN_STEM_RATIO).otherwise(MIN_RATIO)) & (statistic >= least)).collect()
     words = {r["term"]: r["toxic"] for r in good if not r["is_stem"]}
     stems = {r["term"]: r["toxic"] for r in good if r["is_stem"]}
     # a stem stands for its words if they are many; of nested ones, the longest that keeps nearly all of the support
@@ -258,15 +259,19 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> dict:
             chosen_stems.add(s)
     model["stems"] = sorted(chosen_stems)
     model["terms"] = sorted(words)
+    # the words of a stem have many neighbours, so what is near one is no misspelling of it
+    stemmed = {w for w in words if any(w[:i] in chosen_stems for i in STEM_CHARS)}
     seen = sample.select("text", "toxic").mapInPandas(_kinds(model), "kind string, term string, toxic long, other long").groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect()
     got = {(r["kind"], r["term"]): (r["toxic"], r["other"]) for r in seen}
+    # other documents with a misspelling of any term, for each: what one term alone is too rare to tell
+    stray = sum(o for (kind, term), (_, o) in got.items() if kind == "fuzzy" and term not in stemmed) / max(1, len(words) - len(stemmed))
     for term in [*model["terms"], *model["stems"]]:
         base_kind = "stem" if term in chosen_stems else "plain"
         plain = got.get((base_kind, term), (0, 0))[0]
-        for kind in (base_kind, "fuzzy", "quoted"):
+        for kind in (base_kind, "quoted") if term in stemmed else (base_kind, "fuzzy", "quoted"):
             (share, other), (t, o) = PRIOR[kind], got.get((kind, term), (0, 0))
             t = t + 0.5 if kind == base_kind else t + share * plain
-            model["weights"][kind, term] = max(-MAX_WEIGHT, min(MAX_WEIGHT, math.log((t + 0.01) / (n1 + 1)) - math.log((o + other) / (n0 + 1))))
+            model["weights"][kind, term] = max(-MAX_WEIGHT, min(MAX_WEIGHT, math.log((t + 0.01) / (n1 + 1)) - math.log((o + other + (stray if kind == "fuzzy" else 0)) / (n0 + 1))))
     t, o = got.get(("none", None), (0, 0))
     model["base"] = max(MIN_BASE, 1 - math.log(2 * (n0 + 1)), math.log((t + 0.05) / (o + 1)))
     return model

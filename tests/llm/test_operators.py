@@ -922,3 +922,29 @@ def test_mixing_query(spark, small):
         taken[source[r.doc_id]] += r.taken
     assert all(abs(taken[s] - target[s]) <= max(300, 0.05 * target[s]) for s in order)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.queries()["op9_mixing"](spark, small).collect()))
+
+
+def test_very_long_texts(spark):
+    """Texts of hundreds of thousands of words, and of one word of 20,000 characters, beside short and odd ones."""
+    rng = random.Random(21)
+    words = " ".join(rng.choice(["the", "of", "and", "to"]) + str(rng.randrange(9999)) for _ in range(300_000))
+    lines = "\n".join("a line that is long enough to count " + str(i % 5000) for i in range(50_000))
+    rows = [(1, words, "en", "a"), (2, words + " end", "en", "a"), (3, lines, "en", None), (4, "x" * 20_000, "en", "b"), (5, "le mot", "fr", "b"), (6, None, None, None), (7, "", "fr", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    dedup = {r.doc_id: r for r in line_dedup.op1_line_dedup(docs).collect()}
+    assert dedup[3].n_lines == 50_000 and dedup[3].n_dropped == 0 and dedup[1].n_lines == 1
+    groups = {r.doc_id: r for r in ngram_join.op4_ngram_jaccard(docs).collect()}
+    assert groups[2].component_id == 1 and groups[2].n_shingles > 290_000 and groups[4].n_shingles == 1
+    pieces = packing.op5_packing(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert {r.doc_id for r in pieces} == set(range(1, 8)) and all(r.n == r.m for r in pieces)
+    langs = {r.doc_id: r for r in langid.op6_langid(docs).collect()}
+    assert langs[6].lang_pred == langs[7].lang_pred == "und" and langs[1].lang_pred == "en" and 0 <= langs[4].score <= 1
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    assert all(0 <= r.score <= 1 for r in toxicity.op8_toxicity(docs, labels).collect())
+    mixed = {r.doc_id: r for r in mixing.op9_mixing(docs).collect()}
+    assert mixed[1].size == 300_000 and mixed[6].size == 0 and all(r.taken <= 2 * r.size for r in mixed.values())
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://long.example/").alias("url"), F.concat(F.lit("<article><p>"), F.regexp_replace("text", "\n", "<p>")).alias("html"))
+    texts = {r.page_id: r.text for r in html_extract.op7_html_extract(pages).collect()}
+    assert texts[1] == words and len(texts[3].split()) == 50_000 * 9 and texts[6] == ""
+    archived = {r.page_id: r for r in warc.op10_warc(pages).collect()}
+    assert archived[1].payload_bytes == len(words) + 12 and archived[6].payload_bytes == 0
