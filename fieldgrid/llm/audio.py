@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,31 +32,41 @@ def pcm16(value):
     return np.frombuffer(value[: len(value) // 2 * 2], "<i2").astype(float) / 32768
 
 
+@functools.lru_cache(maxsize=4)
+def _tones(notes: int):
+    """Each pitch of a melody for so many notes' time."""
+    import numpy as np
+
+    t = np.arange(notes * (FRAME // 2)) / RATE
+    return np.stack([np.sin(2 * np.pi * 440 * 2 ** ((pitch - 69) / 12) * t) for pitch in range(48, 84)]).reshape(36, notes, FRAME // 2)
+
+
 def melody(vector):
     """A recording of a vector: a note for each component, of 0.128 s at RATE; null and non-finite components are rests."""
     import numpy as np
 
     x = np.array([np.nan if v is None else v for v in vector], float)
     rest = ~np.isfinite(x)
-    pitch = 48 + np.floor(np.where(rest, 0, x) * 64) % 36
-    n = FRAME // 2
-    t = np.arange(len(x) * n) / RATE
-    hz = np.repeat(440 * 2 ** ((pitch - 69) / 12), n)
-    return np.sin(2 * np.pi * hz * t) * np.repeat(~rest, n)
+    pitch, out = (np.floor(np.where(rest, 0, x) * 64) % 36).astype(int), []
+    # long ones in parts that fit the table; tones begin anew every 16 s
+    for lo in range(0, len(x), 125):
+        part = slice(lo, lo + 125)
+        tones = _tones(len(x[part]))
+        out.append(np.where(rest[part, None], 0.0, tones[pitch[part], np.arange(tones.shape[1])]).ravel())
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def chroma(samples):
     """recordings x frames x CLASSES of recordings of one length: energy by pitch class, smoothed over frames, of length 1 (silence stays 0)."""
     import numpy as np
 
-    samples = np.asarray(samples, "float32")
     if samples.shape[1] < FRAME:
         return np.zeros((len(samples), 0, CLASSES))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME, axis=1)[:, ::HOP]
     hz = np.fft.rfftfreq(FRAME, 1 / RATE)
     use = (hz >= LOW_HZ) & (hz <= HIGH_HZ)
-    spectrum = np.fft.rfft(frames * np.hamming(FRAME).astype("float32"), axis=2)[:, :, use]
-    power = spectrum.real.astype(float) ** 2 + spectrum.imag.astype(float) ** 2
+    spectrum = np.fft.rfft(frames * np.hamming(FRAME), axis=2)[:, :, use]
+    power = spectrum.real**2 + spectrum.imag**2
     note = np.round(12 * np.log2(hz[use] / 440)).astype(int) % CLASSES
     image = power @ (note[:, None] == np.arange(CLASSES)).astype(float)
     k, n = len(SMOOTHING), image.shape[1]
