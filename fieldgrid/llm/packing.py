@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ WINDOW, END_ID = 2048, 1
 #: Partially filled windows that a task holds at most; at more, it fills them up by cutting.
 MAX_OPEN = 4096
 #: Words whose ids a task remembers at most.
-MAX_WORDS = 300_000
+MAX_WORDS = 1_000_000
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -24,6 +26,7 @@ class WordCache:
 
     def __init__(self, path: str):
         import numpy as np
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,7 +45,7 @@ class WordCache:
         parted = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         ends = parted.value_lengths().to_numpy(zero_copy_only=False).cumsum()
         coded = parted.flatten().dictionary_encode()
-        own = coded.dictionary.to_pylist()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         self._learn([w for w in own if w not in self.seen])
         numbers = np.fromiter(map(self.seen.__getitem__, own), "int64", len(own))
         at = numbers[coded.indices.to_numpy()]
@@ -55,12 +58,15 @@ class WordCache:
         np = self.np
         plain, other, found = [], [], []
         for w in new:
+            if w.isascii() and w.isalpha():
+                plain.append((w, 1))
+                continue
             core = w.rstrip(".,;:!?")
             # letters alone are one unit of the tokenizer, marks at the end another
             (plain if core.isalpha() and w.lower()[: len(core)].isalpha() and len(w.lower()) == len(w) else other).append((w, 1 + (len(core) < len(w))))
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(w for w, _ in part), add_special_tokens=False).ids, "<u4")
+        parts = [plain[lo : lo + 200] for lo in range(0, len(plain), 200)]
+        for part, encoded in zip(parts, self.tokenizer.encode_batch_fast([" ".join([w for w, _ in part]) for part in parts], add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
             units, last = np.cumsum([k for _, k in part]), np.nonzero(self.last[ids])[0] + 1
             if len(last) == units[-1]:
                 found.append(([w for w, _ in part], ids, last[units - 1]))
@@ -71,8 +77,7 @@ class WordCache:
             found.append(([w for w, _ in other], np.fromiter((i for x in each for i in x), "<u4"), np.cumsum([len(x) for x in each], dtype="int64")))
         ends, size = [self.ends], len(self.flat)
         for words, ids, last in found:
-            for w in words:
-                self.seen[w] = len(self.seen)
+            self.seen.update(zip(words, range(len(self.seen), len(self.seen) + len(words))))
             ends.append(size + last)
             size += len(ids)
         self.ends, self.flat = np.concatenate(ends), np.concatenate([self.flat, *[ids for _, ids, _ in found]])
@@ -206,7 +211,7 @@ def _pack(tokenizer_path: str, window: int):
         for batch in batches:
             carried = batch.select([c for c in batch.schema.names if c != "_text"])
             schema = carried.schema
-            for part in byte_slices(batch, "_text"):
+            for part in byte_slices(batch, "_text", 4 << 20):
                 own = list(zip(*[part.column(part.schema.names.index(c)).to_pylist() for c in schema.names])) if len(schema) else [()] * part.num_rows
                 for row, ids in zip(own, words.encode(part.column(part.schema.names.index("_text")))):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
