@@ -35,7 +35,7 @@ def runs_of(texts):
 
     words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
     coded = words.flatten().dictionary_encode()
-    own, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    own, number = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
     text = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy())
     if "" in own:  # white space at a text's ends
         there = number != own.index("")

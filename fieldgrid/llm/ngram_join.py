@@ -9,7 +9,7 @@ from .common import byte_slices, discard, materialize, small_batches, stored, ti
 
 #: Coordinates of a document's point: n-grams are hashed into so many groups and counted.
 GROUPS = 512
-#: Documents from which common n-grams and hot keys are learned at most (about), and how many of them make one common or hot.
+#: Documents from which common n-grams and hot keys are learned at most (about), and how many of them make one common or hot. So what reaches the driver or is broadcast is bounded by the n-grams of so many documents over COMMON_DOCS.
 SAMPLE_DOCS, COMMON_DOCS = 5000, 10
 #: Points in a leaf of the tree, and children of a node.
 LEAF, FANOUT = 32, 8
@@ -37,7 +37,7 @@ def shingle_sets(texts, n: int):
 
     words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = words.flatten().dictionary_encode()
-    own = coded.dictionary.cast(pa.binary()).to_pylist()
+    own = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
     of = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in own), "uint64", len(own))
     number, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy())
     if b"" in own:  # blanks at a text's ends
@@ -457,7 +457,7 @@ class Candidates:
         self.given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         id_type = self.given.schema["_id"].dataType.simpleString()
         share = min(MILLION, MILLION * SAMPLE_DOCS // max(1, docs.count()))
-        sample = self.given.where(F.pmod(F.xxhash64("_id"), F.lit(MILLION)) < share).select("_text")
+        sample = self.given.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(MILLION)) < share).select("_text")
         rows = sample.mapInArrow(_sample(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_DOCS).select("h").toPandas()
         whole, path = stored(self.given.mapInArrow(_sets(n, num, den, _sorted_bytes(rows["h"])), f"id {id_type}, n_shingles long, node long, keys array<long>"), "sets-and-keys")
         self.sets = materialize(whole.select("id", "n_shingles", "node"), "sets")
