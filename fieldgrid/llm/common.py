@@ -35,10 +35,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """(df, as written to the shared folder and read back; its path)."""
+    """(df, as written to the shared folder and read back; its path). The shuffle files that it took go at once, as what is written no longer needs them."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, clean = new_folder(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -107,20 +112,25 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     return a.join(b, on, "left").select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._inside") + F.coalesce(F.col("b._before"), F.lit(0))).cast("long").alias(out))
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def tidy(run):
     """run over batches; then what it used is given back, as the Python worker lives on beside those of later stages."""
 
     def tidied(batches):
-        import ctypes
-        import gc
-
-        import pyarrow as pa
-
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
-        if trim:
-            trim(0)
+        give_back()
 
     return tidied

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, running_total, small_batches
+from .common import byte_slices, materialize, running_total, small_batches, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of the tables of draws that one partial sum covers.
@@ -179,7 +179,7 @@ def _cut(batches):
     import pyarrow as pa
 
     word = re.compile(WORD)
-    for batch in batches:
+    for batch in (part for whole in batches for part in byte_slices(whole, "_text", 1 << 20)):
         names = batch.schema.names
         rows, texts = [], []
         for i, (text, copy, plans) in enumerate(zip(*[batch.column(names.index(c)).to_pylist() for c in ("_text", "_copy", "_plans")])):
@@ -221,4 +221,4 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     plans = materialize(plan.groupBy("_of").agg(F.collect_list("plan").alias("_plans")), "plans")
     joined = numbered.join(plans.hint("merge"), F.col("_key") == F.col("_of")).select(*[c for c in docs.columns if c != text_col], F.col(text_col).alias("_text"), "_copy", "_plans")
     schema = docs.drop(text_col).schema.add("_taken", "string")
-    return joined.mapInArrow(_cut, schema).withColumnRenamed("_taken", text_col).select(*docs.columns)
+    return joined.mapInArrow(tidy(_cut), schema).withColumnRenamed("_taken", text_col).select(*docs.columns)

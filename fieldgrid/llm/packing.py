@@ -7,13 +7,13 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, small_batches, tidy
+from .common import byte_slices, give_back, small_batches, tidy
 
 WINDOW, END_ID = 2048, 1
 #: Partially filled windows that a task holds at most; at more, it fills them up by cutting.
 MAX_OPEN = 4096
 #: Words whose ids a task remembers at most.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 400_000
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -30,6 +30,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        give_back()  # reading the file takes much
         self.np, self.seen, self.flat, self.ends = np, {}, np.zeros(0, "<u4"), np.zeros(1, "int64")
         #: Whether an id ends a unit of the tokenizer.
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -64,16 +65,17 @@ class WordCache:
             core = w.rstrip(".,;:!?")
             # letters alone are one unit of the tokenizer, marks at the end another
             (plain if core.isalpha() and w.lower()[: len(core)].isalpha() and len(w.lower()) == len(w) else other).append((w, 1 + (len(core) < len(w))))
-        parts = [plain[lo : lo + 200] for lo in range(0, len(plain), 200)]
-        for part, encoded in zip(parts, self.tokenizer.encode_batch_fast([" ".join([w for w, _ in part]) for part in parts], add_special_tokens=False)):
-            ids = np.array(encoded.ids, "<u4")
-            units, last = np.cumsum([k for _, k in part]), np.nonzero(self.last[ids])[0] + 1
-            if len(last) == units[-1]:
-                found.append(([w for w, _ in part], ids, last[units - 1]))
-            else:
-                other += part
+        for lo in range(0, len(plain), 4000):
+            parts = [plain[k : k + 200] for k in range(lo, min(lo + 4000, len(plain)), 200)]
+            for part, encoded in zip(parts, self.tokenizer.encode_batch_fast([" ".join([w for w, _ in part]) for part in parts], add_special_tokens=False)):
+                ids = np.array(encoded.ids, "<u4")
+                units, last = np.cumsum([k for _, k in part]), np.nonzero(self.last[ids])[0] + 1
+                if len(last) == units[-1]:
+                    found.append(([w for w, _ in part], ids, last[units - 1]))
+                else:
+                    other += part
         if other:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, _ in other], add_special_tokens=False)]
+            each = [e.ids for lo in range(0, len(other), 4000) for e in self.tokenizer.encode_batch_fast([w for w, _ in other[lo : lo + 4000]], add_special_tokens=False)]
             found.append(([w for w, _ in other], np.fromiter((i for x in each for i in x), "<u4"), np.cumsum([len(x) for x in each], dtype="int64")))
         ends, size = [self.ends], len(self.flat)
         for words, ids, last in found:
@@ -211,7 +213,7 @@ def _pack(tokenizer_path: str, window: int):
         for batch in batches:
             carried = batch.select([c for c in batch.schema.names if c != "_text"])
             schema = carried.schema
-            for part in byte_slices(batch, "_text", 4 << 20):
+            for part in byte_slices(batch, "_text", 3 << 20):
                 own = list(zip(*[part.column(part.schema.names.index(c)).to_pylist() for c in schema.names])) if len(schema) else [()] * part.num_rows
                 for row, ids in zip(own, words.encode(part.column(part.schema.names.index("_text")))):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
