@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, collocations, html_extract, langid, line_dedup, mixing, ngram_join, packing, topk, toxicity, warc
+from . import audio, collocations, hard_negatives, html_extract, langid, line_dedup, mixing, ngram_join, packing, topk, toxicity, warc
 from .common import table
 
 
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op9_mixing": lambda spark, d: mixing.op9_mixing(table(spark, d, "documents")),
         "op10_warc": lambda spark, d: warc.op10_warc(table(spark, d, "pages")),
         "op12_collocations": lambda spark, d: collocations.op12_collocations(table(spark, d, "documents")),
+        "op13_hard_negatives": lambda spark, d: hard_negatives.op13_hard_negatives(table(spark, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_topk": topk.ORACLE, "op4_ngram_jaccard": ngram_join.ORACLE, "op10_warc": warc.ORACLE, "op12_collocations": collocations.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_topk": topk.ORACLE, "op4_ngram_jaccard": ngram_join.ORACLE, "op10_warc": warc.ORACLE, "op12_collocations": collocations.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
