@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, collocations, hard_negatives, html_extract, langid, line_dedup, mixing, ngram_join, packing, topk, toxicity, warc
+from . import audio, collocations, hard_negatives, html_extract, langid, line_dedup, mixing, ngram_join, packing, repeats, topk, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_toxicity": lambda spark, d: toxicity.op8_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_mixing": lambda spark, d: mixing.op9_mixing(table(spark, d, "documents")),
         "op10_warc": lambda spark, d: warc.op10_warc(table(spark, d, "pages")),
+        "op11_repeats": lambda spark, d: repeats.op11_repeats(table(spark, d, "documents")),
         "op12_collocations": lambda spark, d: collocations.op12_collocations(table(spark, d, "documents")),
         "op13_hard_negatives": lambda spark, d: hard_negatives.op13_hard_negatives(table(spark, d, "embeddings")),
     }
