@@ -11,7 +11,7 @@ from ..operators.grid import Grid
 from ..sources import files
 from ..sources.files import table
 from ..streaming import ingest
-from .sql import AVERAGES, BYPASS, CODES, LAYERS, N, POINTS, RANKS, SAMPLES, SEED
+from .sql import AVERAGES, BYPASS, CODES, LAYERS, N, POINTS, RANKS, SAMPLES, SEED, TOLERANCE
 
 FIELDS = ("Mu_avg", "Magnetization", "Mag_Bx", "Mag_By")
 
@@ -133,6 +133,12 @@ def area_fractions(spark, d):
     return shares(spark, d).groupBy("design_id", "phase_idx").agg(*[F.sum(f).alias(f) for f in ("f_iron", "f_p", "f_n", "f_copper")])
 
 
+def refined_averages(spark, d):
+    """Permeability and magnetisation by refined disks, the share that a boundary may cross, and the parts it took."""
+    a = raster.averages(raster.refined_fractions(phases(spark, d), AVERAGES, TOLERANCE), ["f_open"])
+    return a.select("design_id", "phase_idx", "ir", "ia", "code", "n_parts", "f_open", near("mu_avg", 6), near("magnetization", 6))
+
+
 def sample_arrays(spark, d):
     """Codes, permeability and magnetisation of each design and phase as arrays, from one pass over its cells."""
     a = grid.to_arrays(raster.averages(shares(spark, d)), ["design_id", "phase_idx"], ["code", "mu_avg", "magnetization"], AVERAGES)
@@ -308,6 +314,7 @@ def queries() -> dict:
         "material_property_join": material_property_join,
         "mu_avg_grid": lambda s, d: raster.averages(shares(s, d)).select("design_id", "phase_idx", "ir", "ia", near("mu_avg")),
         "magnetization_grid": lambda s, d: raster.averages(shares(s, d)).select("design_id", "phase_idx", "ir", "ia", (f("magnetization") + 0.0).alias("magnetization")),
+        "refined_averages": refined_averages,
         "area_fractions": area_fractions,
         "sample_arrays": sample_arrays,
         "field_resample": field_resample,

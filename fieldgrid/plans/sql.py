@@ -62,16 +62,16 @@ def cells(g: Grid, of: str = "shaped") -> str:
   FROM {of} s, (SELECT (k // {g.n_a})::INTEGER AS ir, (k % {g.n_a})::INTEGER AS ia FROM (SELECT unnest(range({g.n_r * g.n_a})) AS k) y) c)"""
 
 
-def flags(of: str) -> str:
+def flags(of: str, tag: str = "") -> str:
     """f0 to flagged: the regions at each row's r and th."""
-    return f"""f0 AS (SELECT *, radians(th - floor(th / delta + 0.5::DOUBLE) * delta) AS phi, th - phase_deg AS turned FROM {of}),
-f1 AS (SELECT *, r * cos(phi) AS sx, abs(r * sin(phi)) AS sy, floor(turned / beta) AS pole FROM f0),
-f2 AS (SELECT *, chord - sx AS deep, turned - pole * beta AS off FROM f1),
-f3 AS (SELECT *, deep >= 0 AND deep <= slot_Hs1 + slot_Hs2 AND sy <= CASE WHEN deep <= slot_Hs1 THEN slot_Bs0 / 2 + (slot_Bs1 - slot_Bs0) / 2 * (deep / slot_Hs1)
+    return f"""f0{tag} AS (SELECT *, radians(th - floor(th / delta + 0.5::DOUBLE) * delta) AS phi, th - phase_deg AS turned FROM {of}),
+f1{tag} AS (SELECT *, r * cos(phi) AS sx, abs(r * sin(phi)) AS sy, floor(turned / beta) AS pole FROM f0{tag}),
+f2{tag} AS (SELECT *, chord - sx AS deep, turned - pole * beta AS off FROM f1{tag}),
+f3{tag} AS (SELECT *, deep >= 0 AND deep <= slot_Hs1 + slot_Hs2 AND sy <= CASE WHEN deep <= slot_Hs1 THEN slot_Bs0 / 2 + (slot_Bs1 - slot_Bs0) / 2 * (deep / slot_Hs1)
     ELSE slot_Bs1 / 2 + (slot_Bs2 - slot_Bs1) / 2 * ((deep - slot_Hs1) / slot_Hs2) END AS copper,
-  r >= r_ri AND r <= r_pole AND off <= beta * pole_embrance AS magnet FROM f2),
-flagged AS (SELECT *, r >= r_pole AND r <= r_ro AS back, magnet AND ((pole % 2) + 2) % 2 = 0 AS pole_p, magnet AND ((pole % 2) + 2) % 2 = 1 AS pole_n,
-  r >= r_si AND r <= r_so AND NOT copper AND (abs(phi) > alpha / 2 OR sx <= chord) AS stator FROM f3)"""
+  r >= r_ri AND r <= r_pole AND off <= beta * pole_embrance AS magnet FROM f2{tag}),
+flagged{tag} AS (SELECT *, r >= r_pole AND r <= r_ro AS back, magnet AND ((pole % 2) + 2) % 2 = 0 AS pole_p, magnet AND ((pole % 2) + 2) % 2 = 1 AS pole_n,
+  r >= r_si AND r <= r_so AND NOT copper AND (abs(phi) > alpha / 2 OR sx <= chord) AS stator FROM f3{tag})"""
 
 
 RASTER = f"WITH {DESIGNS}, {PHASES}, {cells(CODES)}, {flags('cells')}"
@@ -85,6 +85,59 @@ shares AS (SELECT design_id, phase_idx, ir, ia, first({CODE}) FILTER (n = 0) AS
   FROM (SELECT * FROM flagged) GROUP BY design_id, phase_idx, ir, ia)"""
 MU = "round(5000.0::DOUBLE * f_iron + 1.05::DOUBLE * (f_p + f_n) + 0.999::DOUBLE * f_copper + greatest(1 - (f_iron + f_p + f_n + f_copper), 0.0::DOUBLE), 9)"
 
+#: The refined averages' tolerance: three levels of parts.
+TOLERANCE = 1 / 64
+UPPER, LOWER = "((slot_Bs1 - slot_Bs0) / 2 / slot_Hs1)", "((slot_Bs2 - slot_Bs1) / 2 / slot_Hs2)"
+OWN = "phi, turned, sx, sy, pole, deep, off, copper, magnet, back, pole_p, pole_n, stator"
+
+
+def clear(rho: str) -> str:
+    """No boundary within rho of a flagged row's point."""
+    half = f"(CASE WHEN deep <= slot_Hs1 THEN slot_Bs0 / 2 + {UPPER} * deep ELSE slot_Bs1 / 2 + {LOWER} * (deep - slot_Hs1) END)"
+    steep = f"({rho} * sqrt(1 + greatest({UPPER} * {UPPER}, {LOWER} * {LOWER})))"
+    aside = "(r * (abs(phi) - alpha / 2))"
+    radial = " AND ".join(f"abs(r - {x}) > {rho}" for x in ("r_si", "r_so", "r_ri", "r_pole", "r_ro"))
+    return f"""({radial} AND (r < r_ri OR r > r_pole OR r * radians(least(off, abs(off - beta * pole_embrance), beta - off)) > {rho} * 1.05::DOUBLE)
+      AND (r > r_so OR ((deep < -{rho} OR deep > slot_Hs1 + slot_Hs2 + {rho} OR sy - {half} > {steep} OR (deep > {rho} AND deep < slot_Hs1 + slot_Hs2 - {rho} AND {half} - sy > {steep}))
+        AND (deep > {rho} OR {aside} > {rho} * 1.05::DOUBLE OR (deep < -{rho} AND {aside} < -1.05::DOUBLE * {rho})))))"""
+
+
+def inside(side: str) -> dict[str, str]:
+    """Shares of the regions in a square around a flagged row's point."""
+    share = lambda *d: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE + least({', '.join(d)}) / {side}))"
+    ring, width = ["r - r_ri", "r_pole - r"], "(beta * pole_embrance)"
+    own, after = share(*ring, f"r * radians(least(off, {width} - off))"), share(*ring, f"r * radians(greatest(off - beta, {width} - beta - off))")
+    even = "((pole % 2) + 2) % 2 = 0"
+    edge = f"CASE WHEN deep <= slot_Hs1 THEN (slot_Bs0 / 2 + {UPPER} * deep - sy) / sqrt(1 + {UPPER} * {UPPER}) ELSE (slot_Bs1 / 2 + {LOWER} * (deep - slot_Hs1) - sy) / sqrt(1 + {LOWER} * {LOWER}) END"
+    copper = share("deep", "slot_Hs1 + slot_Hs2 - deep", edge)
+    opening = share("r * (alpha / 2 - abs(phi))", "-deep", "r_so - r")
+    iron = f"{share('r - r_pole', 'r_ro - r')} + greatest(0.0::DOUBLE, {share('r - r_si', 'r_so - r')} - {copper} - {opening})"
+    return {"f_iron": iron, "f_p": f"CASE WHEN {even} THEN {own} ELSE {after} END", "f_n": f"CASE WHEN {even} THEN {after} ELSE {own} END", "f_copper": copper}
+
+
+def refined(g: Grid, tolerance: float) -> str:
+    """shares: of parts of disks that are split while a boundary may cross them."""
+    disk, whole = f"{g.disk!r}::DOUBLE", {"f_iron": "(back OR stator)::INT", "f_p": "pole_p::INT", "f_n": "pole_n::INT", "f_copper": "copper::INT"}
+    keys, level, size, sets = "design_id, phase_idx, ir, ia", 0, 1.0, []
+    out = f"WITH {DESIGNS}, {PHASES}, {cells(g)}, {flags('cells', '_0')}, level_0 AS MATERIALIZED (SELECT * EXCLUDE ({OWN}), {CODE} AS code, r AS r0, th AS th0, 0 AS i, 0 AS j, NOT {clear(f'(r * {disk})')} AS open, {', '.join(f'{v} AS {k}' for k, v in whole.items())} FROM flagged_0)"
+    while size > tolerance:
+        sets.append(f"SELECT {keys}, code, {size!r}::DOUBLE AS share, {', '.join(whole)}, false AS open FROM level_{level} WHERE NOT open")
+        level, size = level + 1, size / 4
+        h = 0.5**level
+        # the middle (a, b) of the part, its place in the disk and how far its corners are
+        out += f""", split_{level} AS (SELECT l.* EXCLUDE (i, j, r, th, open, f_iron, f_p, f_n, f_copper), i * 2 + di AS i, j * 2 + dj AS j, (i * 2 + di) * 2 + 1 AS ia2, (j * 2 + dj) * 2 + 1 AS jb2 FROM level_{level - 1} l, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(di, dj) WHERE open),
+        middle_{level} AS (SELECT * EXCLUDE (ia2, jb2), ia2 * {h!r}::DOUBLE - 1 AS a, jb2 * {h!r}::DOUBLE - 1 AS b FROM split_{level}),
+        laid_{level} AS (SELECT * EXCLUDE (a, b), CASE WHEN abs(a) > abs(b) THEN a ELSE b END AS q, CASE WHEN abs(a) > abs(b) THEN b / a * (pi() / 4) ELSE pi() / 2 - a / b * (pi() / 4) END AS psi,
+          {h!r}::DOUBLE * sqrt(1 + (pi() / 4) * (pi() / 4) * pow(1 + least(1.0::DOUBLE, (least(abs(a), abs(b)) + {h!r}::DOUBLE) / greatest(greatest(abs(a), abs(b)) - {h!r}::DOUBLE, 1e-9::DOUBLE)), 2)) AS reach FROM middle_{level}),
+        placed_{level} AS (SELECT * EXCLUDE (q, psi), 1 + {disk} * q * cos(psi) AS px, {disk} * q * sin(psi) AS py FROM laid_{level}),
+        points_{level} AS (SELECT * EXCLUDE (px, py), r0 * sqrt(px * px + py * py) AS r, th0 + degrees(atan2(py, px)) AS th FROM placed_{level}), {flags(f'points_{level}', f'_{level}')},
+        told_{level} AS MATERIALIZED (SELECT *, NOT {clear(f'(r0 * {disk} * reach)')} AS open FROM flagged_{level}),
+        level_{level} AS (SELECT * EXCLUDE ({OWN}, reach), {', '.join(f'{v} AS {k}' for k, v in whole.items())} FROM told_{level})"""
+    side = f"(r0 * {disk} * sqrt(pi() * {size!r}::DOUBLE))"
+    sets.append(f"SELECT {keys}, code, {size!r}::DOUBLE AS share, {', '.join(f'CASE WHEN open THEN {v} ELSE {whole[k]} END AS {k}' for k, v in inside(side).items())}, open FROM told_{level}")
+    return f"{out}, parts AS ({' UNION ALL '.join(sets)}), shares AS (SELECT {keys}, first(code) AS code, {', '.join(f'sum(share * {k}) AS {k}' for k in whole)}, sum(share * open::INT) AS f_open, count(*)::BIGINT AS n_parts FROM parts GROUP BY {keys})"
+
+
 FIELDS = f"""fields AS (SELECT vec_id // 12 AS design_id, ((vec_id // 4) % 3)::INTEGER AS phase_idx, ['Mu_avg', 'Magnetization', 'Mag_Bx', 'Mag_By'][(vec_id % 4)::INTEGER + 1] AS field, embedding::DOUBLE[] AS v, label FROM embeddings),
 gridcells AS (SELECT design_id, phase_idx, field, (k // {N})::INTEGER AS ir, (k % {N})::INTEGER AS ia, v[k + 1] AS v, label FROM (SELECT *, unnest(range({N * N})) AS k FROM fields) z)"""
 EXPECTED = "expected AS (SELECT design_id, phase_idx, field FROM (SELECT DISTINCT design_id FROM fields) a, (SELECT unnest(range(3))::INTEGER AS phase_idx) b, (SELECT unnest(['Mu_avg', 'Magnetization', 'Mag_Bx', 'Mag_By']) AS field) c), present AS (SELECT * FROM fields WHERE label <> 9)"
@@ -152,6 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "material_property_join": f"{RASTER} SELECT material, m.code, count(*)::BIGINT AS n, round(sum(mu), 3) + 0.0 AS mu, round(sum(m), 3) + 0.0 AS m FROM (SELECT {CODE} AS code FROM flagged) f JOIN {MATERIALS} ON f.code = m.code GROUP BY ALL",
         "mu_avg_grid": f"{SHARES} SELECT design_id, phase_idx, ir, ia, {MU} + 0.0 AS mu_avg FROM shares",
         "sample_arrays": f"{SHARES} SELECT design_id, phase_idx, string_agg(code::VARCHAR, ',' ORDER BY ir, ia) AS codes, count(*)::INTEGER AS n, sum(({MU})::DECIMAL(20, 9))::DOUBLE AS mu_avg, sum((f_p - f_n)::DECIMAL(20, 9))::DOUBLE + 0.0 AS magnetization FROM shares GROUP BY ALL",
+        "refined_averages": f"{refined(AVERAGES, TOLERANCE)} SELECT design_id, phase_idx, ir, ia, code, n_parts, f_open, {MU.replace(', 9)', ', 6)')} + 0.0 AS mu_avg, round(f_p - f_n, 6) + 0.0 AS magnetization FROM shares",
         "magnetization_grid": f"{SHARES} SELECT design_id, phase_idx, ir, ia, f_p - f_n + 0.0 AS magnetization FROM shares",
         "area_fractions": f"{SHARES} SELECT design_id, phase_idx, sum(f_iron) AS f_iron, sum(f_p) AS f_p, sum(f_n) AS f_n, sum(f_copper) AS f_copper FROM shares GROUP BY ALL",
         "field_resample": f"""WITH p AS (SELECT 27.5::DOUBLE + (l_partkey % 1750) / 100.0::DOUBLE AS r, (l_orderkey % 12000) / 100.0::DOUBLE AS th, l_quantity::DOUBLE AS bx, l_discount::DOUBLE AS b_y FROM lineitem)

@@ -326,3 +326,25 @@ def test_a_single_layer_is_activated():
     plain = x[:, :1] + 2 * x[:, 1:] + 0.5
     assert spectral.dense(x, [(w, b)]) == pytest.approx(np.vectorize(plain_gelu)(plain), abs=1e-12)
     assert spectral.dense(x, [(w, b)], None) == pytest.approx(plain)
+
+
+def test_refined_shares_are_near_a_fine_lattice(spark, small):
+    """The whole grid of a design: every share within 0.001 of 8,192 points' with fewer than 1,024 parts a disk."""
+    p = q.phases(spark, small).where("design_id = 1 AND phase_idx = 0")
+    keys, shares = ["ir", "ia"], ["f_iron", "f_p", "f_n", "f_copper"]
+    fine = raster.area_fractions(p, Grid(), 8192).toPandas().sort_values(keys)
+    got = raster.refined_fractions(p, Grid()).toPandas().sort_values(keys)
+    assert len(got) == 19200 and (got.code.to_numpy() == fine.code.to_numpy()).all()
+    assert np.abs(got[shares].to_numpy() - fine[shares].to_numpy()).max() < 0.001
+    assert got.n_parts.max() < 1024 and got.n_parts[got.n_parts > 1].mean() < 400
+
+
+def test_refinement_has_no_shuffle_of_parts_and_keeps_its_bound(spark, small):
+    p, g = q.phases(spark, small).where("design_id < 4"), Grid(n_r=10, n_a=30)
+    rough = raster.refined_fractions(p, g, 1 / 4)
+    assert rough._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of designs
+    keys = ["design_id", "phase_idx", "ir", "ia"]
+    a, b = (d.toPandas().sort_values(keys) for d in (rough, raster.refined_fractions(p, g, 1 / 4096)))
+    for f in ("f_iron", "f_p", "f_n", "f_copper"):
+        assert (np.abs(a[f].to_numpy() - b[f].to_numpy()) <= a.f_open.to_numpy() + 1e-12).all()
+    assert (a.n_parts <= b.n_parts.to_numpy()).all() and (b.f_open <= a.f_open.to_numpy()).all()
