@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from .common import byte_slices, discard, materialize, new_folder, small_batches, stored, tidy
 from .rolling import hashes_of, prefix_sums
 
-#: Bytes of the substring whose hash groups the strings that contain it.
-SEED = 32
 #: Starts that are hashed at once, and starts of one run at most.
 CHUNK, RUN = 1 << 21, 8192
 #: Bytes of text for which one suffix array is built, about; a group with more is split by the strings' own hashes.
@@ -33,6 +31,11 @@ def sliding_least(x, width: int):
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def seed_of(length: int) -> int:
+    """Bytes of the substring whose hash groups the strings that have it. A longer one makes more runs, but fewer whose groups only share a line or a phrase."""
+    return max(1, length // 3)
+
+
 def runs_of(data, offsets, length: int):
     """(first start, number of starts, least seed hash, times that it occurs) of the runs of strings of `length` bytes with one least seed hash.
 
@@ -41,14 +44,15 @@ def runs_of(data, offsets, length: int):
     """
     import numpy as np
 
+    width = seed_of(length)
     for lo in range(0, max(1, len(data) - length + 1), CHUNK):
         own = data[lo : lo + CHUNK + length - 1]
         if len(own) < length:
             return
         n = len(own) - length + 1
-        at = np.arange(len(own) - SEED + 1)
-        seeds = hashes_of(prefix_sums(own), at, at + SEED)
-        least = sliding_least(seeds, length - SEED + 1)
+        at = np.arange(len(own) - width + 1)
+        seeds = hashes_of(prefix_sums(own), at, at + width)
+        least = sliding_least(seeds, length - width + 1)
         ends = offsets[1:] - lo
         text = np.searchsorted(ends, np.arange(n), side="right")
         whole = np.arange(n) + length <= ends[text]
@@ -61,7 +65,7 @@ def runs_of(data, offsets, length: int):
             k = int(held[b] - held[a])  # the whole ones come first
             for i in range(a, a + k, RUN):
                 m = min(RUN, a + k - i)
-                yield lo + i, m, least[a], int(np.count_nonzero(seeds[i : i + m - 1 + length - SEED + 1] == least[a]))
+                yield lo + i, m, least[a], int(np.count_nonzero(seeds[i : i + m + length - width] == least[a]))
 
 
 def _buffers(batch, name: str):
@@ -142,18 +146,26 @@ class SuffixArray:
             key <<= 9
             key[: n - i] |= np.where(self.rest[: n - i] > i, symbols[i:], 0)
         self.levels, width, most = [], 7, int(sizes.max())
+        rank, tied = np.zeros(n, np.int64), np.arange(n)
         while True:
+            # a rank is the place of the first of its equals, so only what is tied is sorted again
             order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[1], sorted_key[1:] != sorted_key[:-1]]))
+            tied, key = tied[order], key[order]
+            number = np.arange(len(tied))
+            before = rank[tied]
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
+            group = np.concatenate([[True], before[1:] != before[:-1]])
+            own = np.maximum.accumulate(np.where(fresh, number, 0))
+            rank[tied] = before + own - np.maximum.accumulate(np.where(group, number, 0))
             self.levels.append((width, rank.astype(np.int32)))
-            if width >= most or rank[order[-1]] == n:
+            alone = fresh & np.append(fresh[1:], True)
+            tied = tied[~alone]
+            if width >= most or not len(tied):
                 break
-            after = np.zeros(n, np.int64)
-            inside = np.flatnonzero(self.rest > width)
-            after[inside] = rank[inside + width]
-            key = rank * (n + 1) + after
+            after = np.zeros(len(tied), np.int64)
+            inside = np.flatnonzero(self.rest[tied] > width)
+            after[inside] = rank[tied[inside] + width] + 1
+            key = rank[tied] * (n + 2) + after
             width *= 2
         chosen = np.concatenate([np.arange(b, b + c) for b, c in zip(self.begins, counts)])
         self.order = chosen[np.argsort(rank[chosen], kind="stable")]
@@ -363,7 +375,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -
     """docs with kept (binary), n_bytes, n_removed and n_spans added.
 
     A text is its UTF-8 bytes. Each byte goes that is covered by a string of `length`
-    bytes (at least 2 * 32) that starts anywhere else too, in the same text or another;
+    bytes (at least 16) that starts anywhere else too, in the same text or another;
     overlapping starts count, and all are judged on the input. No string crosses texts.
 
     Strings are grouped by their least seed hash, as runs of neighbouring starts. Runs
@@ -377,8 +389,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 400) -
     through; kept, n_bytes, n_removed and n_spans are replaced if present, names that
     begin with _ are reserved.
     """
-    if length < 2 * SEED:
-        raise ValueError(f"length must be at least {2 * SEED}")
+    if length < 16:
+        raise ValueError("length must be at least 16")
     spark = docs.sparkSession
     small_batches(spark)
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
