@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regions
+from ..sources.scratch import scratch
 from .grid import Grid, with_cells
 
 
@@ -143,8 +144,62 @@ def with_properties(codes: DataFrame) -> DataFrame:
     return codes.join(F.broadcast(materials), "code")  # five rows
 
 
-def resample(points: DataFrame, g: Grid, values: list[str]) -> DataFrame:
-    """Means of point samples (r, th, values) over the cells that they fall in; points outside the grid are dropped."""
+def in_cells(points: DataFrame, g: Grid) -> DataFrame:
+    """The points (r, th) that the grid holds, with the cell, ir and ia, that each falls in."""
     d = points.where((F.col("r") >= g.r_in) & (F.col("r") < g.r_ext) & (F.col("th") >= g.ang_1) & (F.col("th") < g.ang_2))
-    d = d.withColumns({"ir": F.floor((F.col("r") - g.r_in) / F.lit(g.dr)).cast("int"), "ia": F.floor((F.col("th") - g.ang_1) / F.lit(g.da)).cast("int")})
-    return d.groupBy("ir", "ia").agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in values])
+    return d.withColumns({"ir": F.floor((F.col("r") - g.r_in) / F.lit(g.dr)).cast("int"), "ia": F.floor((F.col("th") - g.ang_1) / F.lit(g.da)).cast("int")})
+
+
+def resample(points: DataFrame, g: Grid, values: list[str], keys: tuple = ()) -> DataFrame:
+    """Means of point samples (keys, r, th, values) over the cells that they fall in; points outside the grid are dropped, and cells without a point have no row."""
+    return in_cells(points, g).groupBy(*keys, "ir", "ia").agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in values])
+
+
+def filled(points: DataFrame, g: Grid, values: list[str], id_col: str, keys: tuple = ()) -> DataFrame:
+    """resample with a row for every cell of each key's grid: a cell without a point (n is 0) has the values of the point nearest to its middle, in the plane, whose id is from_id.
+
+    Distances count to nine places of mm squared, ties go to the smaller id. A key needs a
+    point in the grid to have rows; points with a null id, r or th play no part, and a
+    null value stays one. The grid may span 180 degrees at most.
+
+    Points have buckets of one cell, then of 2 x 2, 4 x 4 and so on. An empty cell looks
+    through the buckets around its own, a join by bucket; it is done when what it found
+    is nearer than anything beyond them can be, and else looks again at the next size. So
+    it takes a round for each doubling of the widest gap, and only cells in gaps take part.
+    """
+    if g.ang_2 - g.ang_1 > 180:
+        raise ValueError("the grid spans more than 180 degrees")
+    spark, keys = points.sparkSession, list(keys)
+    at = scratch(spark, "points")
+    in_cells(points.where(F.col(id_col).isNotNull()), g).select(*keys, F.col(id_col).alias("_id"), "r", "th", "ir", "ia", *values).write.parquet(at)
+    own = spark.read.parquet(at)
+    means = own.groupBy(*keys, "ir", "ia").agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in values])
+    cells = with_cells(own.select(*keys).distinct() if keys else own.limit(1).select(), g)
+    place = [*keys, "ir", "ia"]
+    # keys may be null, so joins are by keys that hold nulls as equal
+    same = lambda a, b, on: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in on]
+    path = scratch(spark, "empty")
+    cells.alias("c").join(means.alias("m"), same("c", "m", place), "left_anti").write.parquet(path)
+    gaps, found, size = spark.read.parquet(path), [], 1
+    while gaps.limit(1).count():
+        bucket = lambda c, step=0: (F.floor(F.col(c) / size) + step).cast("int")
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        looks = gaps.withColumn("_o", around).withColumns({"_br": bucket("ir", F.col("_o.i")), "_ba": bucket("ia", F.col("_o.j"))}).drop("_o")
+        seen = own.withColumns({"_br": bucket("ir"), "_ba": bucket("ia")})
+        r, c = F.col("p.r"), F.col("l.r")
+        d2 = F.round(r * r + c * c - 2 * r * c * F.cos(F.radians(F.col("p.th") - F.col("l.th"))), 9)
+        best = F.min(F.struct(d2.alias("d2"), F.col("p._id").alias("_id"), *[F.col(f"p.{v}").alias(v) for v in values])).alias("b")
+        near = looks.alias("l").join(seen.alias("p"), same("l", "p", [*keys, "_br", "_ba"])).groupBy(*[F.col(f"l.{k}").alias(k) for k in place], c.alias("r")).agg(best)
+        # a point in no bucket around is more than `size` cells away along one of the axes
+        beyond = F.least(F.lit((size + 0.5) * g.dr), F.col("r") * math.sin(math.radians(min(90.0, (size + 0.5) * g.da))))
+        if size < max(g.n_r, g.n_a):
+            near = near.where(F.col("b.d2") < beyond * beyond - 1e-8)
+        done, left = scratch(spark, "nearest"), scratch(spark, "empty")
+        near.select(*place, "b.*").write.parquet(done)
+        found.append(spark.read.parquet(done))
+        gaps.alias("c").join(found[-1].alias("m"), same("c", "m", place), "left_anti").write.parquet(left)
+        gaps, size = spark.read.parquet(left), size * 2
+    out = means.select(*place, "n", F.lit(None).cast(own.schema["_id"].dataType).alias("from_id"), F.lit(0.0).alias("distance"), *values)
+    for f in found:
+        out = out.unionByName(f.select(*place, F.lit(0).cast("long").alias("n"), F.col("_id").alias("from_id"), F.sqrt(F.greatest("d2", F.lit(0.0))).alias("distance"), *[F.col(v).cast(out.schema[v].dataType).alias(v) for v in values]))
+    return out

@@ -153,6 +153,13 @@ def field_resample(spark, d):
     return raster.resample(p, SAMPLES, ["bx", "b_y"]).select("ir", "ia", "n", near("bx", 6), near("b_y", 6))
 
 
+def field_filled(spark, d):
+    """A value in every cell of each nation's grid, from its customers' few points."""
+    c = table(spark, d, "customer")
+    p = c.select("c_custkey", "c_nationkey", (27.5 + (F.col("c_custkey") * 37 % 1750) / 100.0).alias("r"), ((F.col("c_custkey") * 7919 % 12000) / 100.0).alias("th"), F.col("c_acctbal").cast("double").alias("v"))
+    return raster.filled(p, SAMPLES, ["v"], "c_custkey", ("c_nationkey",)).select("c_nationkey", "ir", "ia", "n", "from_id", near("distance", 6), near("v", 6))
+
+
 def design_csv_roundtrip(spark, d):
     path = files.scratch(spark, "designs")
     files.write_designs(designs(spark, d), path)
@@ -318,6 +325,7 @@ def queries() -> dict:
         "area_fractions": area_fractions,
         "sample_arrays": sample_arrays,
         "field_resample": field_resample,
+        "field_filled": field_filled,
         "design_csv_roundtrip": design_csv_roundtrip,
         "matrix_csv_roundtrip": matrix_csv_roundtrip,
         "field_parquet_roundtrip": field_parquet_roundtrip,

@@ -210,6 +210,15 @@ def oracle_sql() -> dict[str, str]:
         "area_fractions": f"{SHARES} SELECT design_id, phase_idx, sum(f_iron) AS f_iron, sum(f_p) AS f_p, sum(f_n) AS f_n, sum(f_copper) AS f_copper FROM shares GROUP BY ALL",
         "field_resample": f"""WITH p AS (SELECT 27.5::DOUBLE + (l_partkey % 1750) / 100.0::DOUBLE AS r, (l_orderkey % 12000) / 100.0::DOUBLE AS th, l_quantity::DOUBLE AS bx, l_discount::DOUBLE AS b_y FROM lineitem)
           SELECT floor((r - 27.5::DOUBLE) / {s.dr!r}::DOUBLE)::INTEGER AS ir, floor(th / {s.da!r}::DOUBLE)::INTEGER AS ia, count(*)::BIGINT AS n, round(avg(bx), 6) + 0.0 AS bx, round(avg(b_y), 6) + 0.0 AS b_y FROM p WHERE r < 45.0 AND th < 120.0 GROUP BY ALL""",
+        "field_filled": f"""WITH p AS (SELECT c_custkey, c_nationkey, 27.5::DOUBLE + (c_custkey * 37 % 1750) / 100.0::DOUBLE AS r, (c_custkey * 7919 % 12000) / 100.0::DOUBLE AS th, c_acctbal::DOUBLE AS v FROM customer),
+          b AS (SELECT *, floor((r - 27.5::DOUBLE) / {s.dr!r}::DOUBLE)::INTEGER AS ir, floor(th / {s.da!r}::DOUBLE)::INTEGER AS ia FROM p),
+          m AS (SELECT c_nationkey, ir, ia, count(*)::BIGINT AS n, avg(v) AS v FROM b GROUP BY ALL),
+          c AS (SELECT n.c_nationkey, (k // {s.n_a})::INTEGER AS ir, (k % {s.n_a})::INTEGER AS ia, 27.5::DOUBLE + (k // {s.n_a} + 0.5::DOUBLE) * {s.dr!r}::DOUBLE AS cr, (k % {s.n_a} + 0.5::DOUBLE) * {s.da!r}::DOUBLE AS ct FROM (SELECT DISTINCT c_nationkey FROM b) n, (SELECT unnest(range({s.n_r * s.n_a})) AS k) y),
+          e AS (SELECT c.* FROM c LEFT JOIN m USING (c_nationkey, ir, ia) WHERE m.n IS NULL),
+          d AS (SELECT e.c_nationkey, e.ir, e.ia, round(b.r * b.r + cr * cr - 2 * b.r * cr * cos(radians(b.th - ct)), 9) AS d2, c_custkey, v FROM e JOIN b ON e.c_nationkey = b.c_nationkey),
+          t AS (SELECT c_nationkey, ir, ia, min((d2, c_custkey, v)) AS x FROM d GROUP BY ALL)
+          SELECT c_nationkey, ir, ia, n, NULL::BIGINT AS from_id, 0.0::DOUBLE AS distance, round(v, 6) + 0.0 AS v FROM m
+          UNION ALL SELECT c_nationkey, ir, ia, 0, x[2], round(sqrt(greatest(x[1], 0.0::DOUBLE)), 6) + 0.0, round(x[3], 6) + 0.0 FROM t""",
         "design_csv_roundtrip": f"WITH {DESIGNS} SELECT design_id, {ROUNDED} FROM designs",
         "matrix_csv_roundtrip": f"WITH {FIELDS} SELECT design_id, phase_idx, field, ir, ia, v FROM gridcells",
         "field_parquet_roundtrip": f"WITH {FIELDS} SELECT design_id, phase_idx, field, ir, ia, v FROM gridcells",

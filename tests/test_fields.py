@@ -348,3 +348,31 @@ def test_refinement_has_no_shuffle_of_parts_and_keeps_its_bound(spark, small):
     for f in ("f_iron", "f_p", "f_n", "f_copper"):
         assert (np.abs(a[f].to_numpy() - b[f].to_numpy()) <= a.f_open.to_numpy() + 1e-12).all()
     assert (a.n_parts <= b.n_parts.to_numpy()).all() and (b.f_open <= a.f_open.to_numpy()).all()
+
+
+def test_filled_cells_have_the_nearest_point(spark):
+    """Against all points of a key: clusters, wide gaps, equal distances, repeated points, null keys and values, points outside."""
+    rng, g = np.random.default_rng(4), Grid(n_r=12, n_a=40)
+    rows = [(k, 27.5 + 17.5 * float(rng.random()) ** 3, 120.0 * float(rng.random()) ** 2) for k in (0, 1, None) for _ in range(25)]
+    rows += [(2, 30.0, 60.0), (3, 44.99, 119.99), (3, 27.5, 0.0), (4, 36.25, 30.0), (4, 36.25, 90.0), (4, 36.25, 90.0), (5, 50.0, 10.0), (0, None, 3.0)]
+    rows = [(i, *r, None if i % 11 == 0 else float(i)) for i, r in enumerate(rows)]
+    points = spark.createDataFrame(rows, "id long, key int, r double, th double, v double")
+    df = raster.filled(points, g, ["v"], "id", ("key",))
+    got = {(r.key, r.ir, r.ia): (r.n, r.from_id, r.v) for r in df.collect()}
+    want = {}
+    for key in {r[1] for r in rows}:
+        own = [(i, r, th, v) for i, k, r, th, v in rows if k == key and r is not None and 27.5 <= r < 45]
+        for c in range(12 * 40 if own else 0):
+            ir, ia = divmod(c, 40)
+            inside = [x for x in own if int((x[1] - 27.5) / g.dr) == ir and int(x[2] / g.da) == ia]
+            cr, ct = 27.5 + (ir + 0.5) * g.dr, (ia + 0.5) * g.da
+            if inside:
+                held = [x[3] for x in inside if x[3] is not None]
+                want[key, ir, ia] = (len(inside), None, pytest.approx(sum(held) / len(held)) if held else None)
+            else:
+                x = min(own, key=lambda x: (round(x[1] ** 2 + cr**2 - 2 * x[1] * cr * math.cos(math.radians(x[2] - ct)), 9), x[0]))
+                want[key, ir, ia] = (0, x[0], x[3])
+    assert {k[0] for k in got} == {0, 1, 2, 3, 4, None} and got == want
+    assert raster.filled(points.limit(0), g, ["v"], "id", ("key",)).count() == 0
+    with pytest.raises(ValueError):
+        raster.filled(points, Grid(ang_2=270.0), ["v"], "id")
