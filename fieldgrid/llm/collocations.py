@@ -11,15 +11,15 @@ from .rolling import hashes_of, prefix_sums
 #: Bytes that end a piece, and those that separate words within it.
 STOPS, GAPS = ".,;:!?\n\x0b\x0c\r", " \t"
 #: A summary's share of the phrases' occurrences, about; occurrences that a task counts before it sends them on.
-PART_MASS, FLUSH = 4_000_000, 4_000_000
-#: The filter between the passes has at most this many bits (as a power of two), so what is broadcast is 32 MB at most.
+PART_MASS, FLUSH = 1_000_000, 2_000_000
+#: The filter between the passes has at most this many bits (as a power of two), so what is broadcast is 16 MB at most.
 #: Where more phrases are frequent than it can tell apart, more of the others pass it, to be counted in vain.
-FILTER_BITS = 28
+FILTER_BITS = 27
 #: Rows of one language that one window ranks, about.
 RANK_ROWS = 100_000
 
 
-def phrase_slices(batch, text: str = "text", most: int = 2 << 20):
+def phrase_slices(batch, text: str = "text", most: int = 1 << 20):
     """(bytes, start, end, piece, row) of the words of slices of a batch: bytes are the words in lower case with a space between.
 
     A text longer than a slice is cut behind a byte that ends a piece, so no phrase is cut.
@@ -173,7 +173,7 @@ def _survivors(threshold: int, address_bits: int):
         for i, part in enumerate(read):
             waiting.append(part)
             n += len(part[0])
-            if n >= max(len(summary[0]), 1 << 18) or i == len(read) - 1:
+            if n >= max(len(summary[0]), 1 << 17) or i == len(read) - 1:
                 summary = merged(summary, (*_combined(np.concatenate([k for k, _ in waiting]), np.concatenate([c for _, c in waiting])), 0), capacity)
                 waiting, n = [], 0
         bits = np.zeros(1 << address_bits, bool)
@@ -183,23 +183,30 @@ def _survivors(threshold: int, address_bits: int):
     return run
 
 
-def _count(filter_bits: int, held, longest: int):
-    """lang, phrase and its occurrences in the task, of phrases that pass the filter; and all words of a language as the empty phrase."""
+def _count(filter_bits: int, part_bits: int, held, longest: int):
+    """Phrases that pass the filter and their occurrences in the task, as a table (lang, phrase, f) for each hash partition; and all words of a language as the empty phrase."""
 
     def run(batches):
+        import zlib
+
         import numpy as np
         import pyarrow as pa
 
         bits = np.frombuffer(held.value, np.uint8)
         names: list = []
         words: dict = {}
+        sums: dict = {}
 
         def fresh():
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), [], np.zeros(0, np.int64)
 
         def batch_of(keys, counts, texts, langs):
-            # the texts come in the order of the numbers that the keys carry
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(langs)), pa.concat_arrays([*texts, pa.array([], pa.string())]), pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
+            # in order of key; texts come in the order of the numbers that the keys carry
+            order = pa.array(number) if len(number) else pa.array(np.arange(len(keys)))
+            whole = pa.table([pa.array(names, pa.string()).take(pa.array(langs)), pa.concat_arrays([*texts, pa.array([], pa.string())]), pa.array(counts, pa.int64())], ["lang", "phrase", "f"]).take(order)
+            parts, first = np.unique(keys >> np.uint64(64 - part_bits), return_index=True)
+            out = [packed(whole.slice(a, b - a)) for a, b in zip(first, [*first[1:], len(keys)])]
+            return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(out, pa.binary())], ["part", "phrases"])
 
         # keys stay sorted; number[i] is where the text of keys[i] is among the texts
         keys, number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -240,14 +247,41 @@ def _count(filter_bits: int, held, longest: int):
                     keys, counts, texts, langs = fresh()
                     number = np.zeros(0, np.int64)
             some = np.flatnonzero(total)
-            if len(some):
-                yield batch_of(None, total[some], [pa.array([""] * len(some), pa.string())], some)
+            for x in some.tolist():
+                sums[x] = sums.get(x, 0) + int(total[x])
         if len(keys):
             yield batch_of(keys, counts, texts, langs)
+        number = np.zeros(0, np.int64)
+        for x, n in sums.items():  # a language's words meet in one partition
+            yield batch_of(np.array([zlib.crc32(names[x].encode()) << 32], np.uint64), [n], [pa.array([""])], [x])
 
     return tidy(run)
 
 
+def packed(table) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _sum(threshold: int):
+    """The counts of a hash partition's phrases, by their text, that reach the threshold."""
+
+    def run(key, rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows.column("phrases")])
+        total = parts.group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        total = total.filter(pc.or_(pc.greater_equal(total["f_sum"], threshold), pc.equal(total["phrase"], "")))
+        return pa.table([total["lang"], total["phrase"], total["f_sum"]], ["lang", "phrase", "f"])
+
+    return run
+
+
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, threshold: int = 10, filter_bits: int = FILTER_BITS, part_mass: int = PART_MASS) -> DataFrame:
     """lang, phrase (its words with a space between), f: all phrases of up to `longest` words with f >= threshold; the empty phrase has the language's words, whatever their number.
 
@@ -255,7 +289,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     with the texts; each folds them into a Misra-Gries summary with more places than its
     mass divided by the threshold, so every phrase that reaches it survives, and two
     phrases of one hash only add to each other. The survivors' hashes set bits of a
-    filter. The second pass counts, by their text, the phrases that pass it.
+    filter. The second pass counts, by their text, the phrases that pass it: a task sums
+    what it reads, hash partitions sum the tasks.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -272,8 +307,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     for r in slices:
         whole[r.part * each : (r.part + 1) * each] = r.bits
     held = spark.sparkContext.broadcast(bytes(whole))
-    counted = own.mapInArrow(_count(filter_bits, held, longest), "lang string, phrase string, f long")
-    return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= threshold) | (F.col("phrase") == ""))
+    counted = own.mapInArrow(_count(filter_bits, part_bits, held, longest), "part int, phrases binary")
+    return counted.groupBy("part").applyInArrow(_sum(threshold), "lang string, phrase string, f long")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, threshold: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
