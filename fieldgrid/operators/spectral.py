@@ -7,6 +7,7 @@ Tables of twiddles and weights have a size fixed by the grid and the modes.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,6 +118,101 @@ def fit_two(x1: DataFrame, x2: DataFrame, y: DataFrame, ridge: float = 1e-6) ->
     return s.select("kx", "ky", "n", *[(x / det).alias(k) for k, x in out.items()])
 
 
+# ------------------------------------------------------------------ in a sample's row
+
+
+def steps(n: int, sign: int) -> list[list[list[tuple]]]:
+    """The butterflies of a transform of n elements, a prime factor of n a step: for each element the (source, cos, sin) of what is summed.
+
+    After the factors of l, element k r + j (r = n / l) is mode k of the l elements
+    j, j + r, j + 2 r...; so the next step takes its sources in order, and none has to be
+    put in reversed order first.
+    """
+    out, done, rest = [], 1, n
+    while rest > 1:
+        p = next(f for f in range(2, rest + 1) if rest % f == 0)
+        new, left = done * p, rest // p
+        step = []
+        for k in range(new):
+            turns = [2 * math.pi * (q * k % new) / new for q in range(p)]
+            step += [[((k % done) * rest + j + q * left, math.cos(t), sign * math.sin(t)) for q, t in enumerate(turns)] for j in range(left)]
+        out.append(step)
+        done, rest = new, left
+    return out
+
+
+def _held(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def butterflies(rows: Column, n: int, sign: int) -> Column:
+    """The discrete transform over the first axis of n rows of complex numbers (re, im): sign -1 forward, 1 inverse without the division by n."""
+
+    def step_of(step):
+        # a constant that Spark reads once; as many expressions would take far longer to plan
+        named = [{f"{k}{q}": x for q, part in enumerate(e) for k, x in zip(("at", "c", "s"), part)} for e in step]
+        kind = ", ".join(f"at{q}: int, c{q}: double, s{q}: double" for q in range(len(step[0])))
+        plan = F.from_json(F.lit(json.dumps(named)), f"array<struct<{kind}>>")
+
+        def added(total, row, c, s):
+            return F.zip_with(total, row, lambda a, b: F.struct((a["re"] + b["re"] * c - b["im"] * s).alias("re"), (a["im"] + b["re"] * s + b["im"] * c).alias("im")))
+
+        def element(rows, e):
+            total = F.get(rows, e["at0"])
+            for q in range(1, len(step[0])):
+                total = added(total, F.get(rows, e[f"at{q}"]), e[f"c{q}"], e[f"s{q}"])
+            return total
+
+        return lambda rows: F.transform(plan, lambda e: element(rows, e))
+
+    for step in steps(n, sign):
+        rows = _held(rows, step_of(step))
+    return rows
+
+
+def turned_over(rows: Column, n: int) -> Column:
+    """Rows of n elements as columns."""
+    return _held(rows, lambda held: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.transform(held, lambda row: F.get(row, j))))
+
+
+def row_spectrum(values: Column, n_r: int, n_a: int) -> Column:
+    """The half spectrum of a row-major array: n_r rows (kx) of n_a // 2 + 1 complex numbers (ky), in the JVM and in the row. A null array has a null spectrum."""
+    complexes = F.transform(F.sequence(F.lit(0), F.lit(n_a - 1)), lambda j: F.transform(F.sequence(F.lit(0), F.lit(n_r - 1)), lambda i: F.struct(F.get(values, i * n_a + j).cast("double").alias("re"), F.lit(0.0).alias("im"))))
+    half = F.slice(butterflies(complexes, n_a, -1), 1, n_a // 2 + 1)
+    return F.when(values.isNotNull(), butterflies(turned_over(half, n_r), n_r, -1))
+
+
+def row_values(spectrum: Column, n_r: int, n_a: int) -> Column:
+    """The row-major array of a half spectrum: row_spectrum's inverse. Of modes 0 and n_a / 2 the real part counts once they are back in places of r, as their images are themselves."""
+    n = n_a // 2 + 1
+    columns = turned_over(butterflies(spectrum, n_r, 1), n)
+    conj = lambda c, by: F.transform(c, lambda z: F.struct(z["re"].alias("re"), (z["im"] * by).alias("im")))
+
+    def whole(half):
+        own = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: conj(F.get(half, k), F.when((k == 0) | (k * 2 == n_a), 0.0).otherwise(1.0)))
+        if n_a < 3:
+            return own
+        return F.concat(own, F.transform(F.sequence(F.lit(n), F.lit(n_a - 1)), lambda k: conj(F.get(half, F.lit(n_a) - k), F.lit(-1.0))))
+
+    back = butterflies(_held(columns, whole), n_a, 1)
+    return F.when(spectrum.isNotNull(), F.flatten(F.transform(turned_over(back, n_r), lambda row: F.transform(row, lambda z: z["re"] / (n_r * n_a)))))
+
+
+def rows_spectra(samples: DataFrame, n_r: int, n_a: int, column: str = "x") -> DataFrame:
+    """samples with spectra: each channel's half spectrum, computed in the sample's row, without a shuffle or Python."""
+    return samples.withColumn("spectra", F.transform(column, lambda x: row_spectrum(x, n_r, n_a)))
+
+
+def dense_spectra(spectra: DataFrame, n_r: int, n_a: int) -> DataFrame:
+    """sample_ix, ch, spectrum: the modes' rows as one array each, 0 where a mode has no row; one shuffle."""
+    n = n_a // 2 + 1
+    held = spectra.groupBy("sample_ix", "ch").agg(F.map_from_entries(F.collect_list(F.struct((F.col("kx") * n + F.col("ky")).alias("k"), F.struct("re", "im").alias("z")))).alias("_m"))
+    none = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    row = lambda i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.coalesce(F.try_element_at("_m", i * n + j), none))
+    return held.select("sample_ix", "ch", F.transform(F.sequence(F.lit(0), F.lit(n_r - 1)), row).alias("spectrum"))
+
+
 # ------------------------------------------------------------------ Arrow batches
 
 

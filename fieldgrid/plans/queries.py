@@ -273,6 +273,20 @@ def out_cells(arrays: DataFrame, column: str = "out") -> DataFrame:
     return flat(a.select("sample_ix", "ch", F.floor(F.col("_at") / F.col("n_a")).cast("int").alias("ir"), (F.col("_at") % F.col("n_a")).cast("int").alias("ia"), "v"))
 
 
+def rfft2_rows(spark, d):
+    """Spectra of the samples' channels, each in its sample's row."""
+    s = spectral.rows_spectra(samples(spark, d), N, N)
+    s = s.select("sample_ix", F.posexplode("spectra").alias("ch", "_s")).select("sample_ix", "ch", F.posexplode("_s").alias("kx", "_s")).select("sample_ix", "ch", "kx", F.posexplode("_s").alias("ky", "_z"))
+    return flat(s.select("sample_ix", "ch", "kx", "ky", "_z.re", "_z.im"))
+
+
+def irfft2_rows(spark, d):
+    """Cells of the mixed modes, which are no grid's own spectrum, each channel in a row."""
+    s = spectral.dense_spectra(mixed_modes(spark, d), N, N)
+    s = s.select("sample_ix", "ch", F.posexplode(spectral.row_values(F.col("spectrum"), N, N)).alias("_at", "v"))
+    return flat(s.select("sample_ix", "ch", F.floor(F.col("_at") / N).cast("int").alias("ir"), (F.col("_at") % N).cast("int").alias("ia"), "v"))
+
+
 def channel_layers(spark, d):
     """Two layers with activation between, the same in each cell."""
     return out_cells(spectral.mapped(doubles(spark, d), lambda x: spectral.dense(x, LAYERS)))
@@ -354,6 +368,8 @@ def queries() -> dict:
         "field_magnitude": lambda s, d: magnitudes(s, d).drop("sample_ix"),
         "rfft2": lambda s, d: flat(spectra(s, d)),
         "rfft2_batches": lambda s, d: flat(spectral.rfft2(doubles(s, d))),
+        "rfft2_rows": rfft2_rows,
+        "irfft2_rows": irfft2_rows,
         "mode_truncate": lambda s, d: flat(low(s, d)),
         "spectral_mix": lambda s, d: flat(mixed_modes(s, d)),
         "irfft2": lambda s, d: flat(spectral.inverse(spectra(s, d), N, N)),

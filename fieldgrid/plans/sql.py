@@ -253,12 +253,14 @@ def oracle_sql() -> dict[str, str]:
         "rfft2_batches": f"{SPECTRA} SELECT sample_ix, ch, kx, ky, {R6} FROM spectra WHERE ch < 2",
         "mode_truncate": f"{SPECTRA}, {LOW} SELECT sample_ix, ch, kx, ky, block, {R6} FROM low",
         "spectral_mix": f"{SPECTRA}, {LOW}, {WEIGHTS}, {MIXED} SELECT sample_ix, ch, kx, ky, {R6} FROM mixed",
-        "irfft2_batches": f"WITH {FIELDS}, {CHANNELS} SELECT sample_ix, ch, ir, ia, round(v::FLOAT::DOUBLE, 6) + 0.0 AS v FROM channels WHERE ch < 2",
+        "irfft2_batches": f"{SPECTRA}, {PLACES}, low AS (SELECT * FROM spectra WHERE ch < 2) {back('low')}",
+        "rfft2_rows": f"{SPECTRA} SELECT sample_ix, ch, kx, ky, {R6} FROM spectra WHERE ch < 2",
+        "irfft2_rows": f"{SPECTRA}, {LOW}, {WEIGHTS}, {MIXED}, {PLACES} {back('mixed')}",
         "spectral_conv_batches": f"{SPECTRA}, {LOW}, {WEIGHTS}, {MIXED}, {PLACES} {back('mixed')}",
         "channel_layers": f"WITH {FIELDS}, {CHANNELS}, {PAIRS}, h AS (SELECT *, {', '.join(f'{gelu(affine(w, b))} AS h{k}' for k, (w, b) in enumerate(zip(*LAYERS[0])))} FROM pairs), o AS (SELECT sample_ix, ir, ia, unnest([{', '.join(affine(w, b, 'h') for w, b in zip(*LAYERS[1]))}]) AS v, unnest([0, 1]) AS ch FROM h) SELECT sample_ix, ch, ir, ia, round(v, 6) + 0.0 AS v FROM o",
         "residual_block": f"{SPECTRA}, {LOW}, {WEIGHTS}, {MIXED}, {PLACES}, {PAIRS}, conv AS ({back('mixed', 15)}), beside AS (SELECT sample_ix, ir, ia, unnest([{', '.join(affine(w, b) for w, b in zip(*BYPASS[0]))}]) AS u, unnest([0, 1]) AS ch FROM pairs) SELECT sample_ix, ch, ir, ia, round({gelu('(v + u)')}, 6) + 0.0 AS v FROM conv JOIN beside USING (sample_ix, ch, ir, ia)",
         "gelu": f"WITH {FIELDS}, {CHANNELS} SELECT sample_ix, ch, ir, ia, v, round({gelu('v')}, 6) + 0.0 AS g FROM channels",
-        "irfft2": f"WITH {FIELDS}, {CHANNELS} SELECT sample_ix, ch, ir, ia, round(v, 6) + 0.0 AS v FROM channels",
+        "irfft2": f"{SPECTRA}, {PLACES} {back('spectra')}",
         "spectral_conv": f"{SPECTRA}, {LOW}, {WEIGHTS}, {MIXED}, {PLACES} {back('mixed')}",
         "pointwise_mix": f"WITH {FIELDS}, {CHANNELS} SELECT sample_ix, o.ch, ir, ia, round(sum(v * w) + o.b, 6) + 0.0 AS v FROM channels c JOIN (VALUES (0, 0, 0.5::DOUBLE), (1, 0, -0.25::DOUBLE), (2, 0, 1.0::DOUBLE), (3, 0, 2.0::DOUBLE), (0, 1, 1.5::DOUBLE), (1, 1, 0.75::DOUBLE), (2, 1, -1.0::DOUBLE), (3, 1, 0.125::DOUBLE)) w(ci, co, w) ON c.ch = w.ci JOIN (VALUES (0, 0.1::DOUBLE), (1, -0.2::DOUBLE)) o(ch, b) ON o.ch = w.co GROUP BY sample_ix, o.ch, ir, ia, o.b",
         "spectral_fit_two": f"""{SPECTRA}, s AS (SELECT a.kx, a.ky, count(*)::BIGINT AS n, sum(a.re * a.re + a.im * a.im) + 1e-6::DOUBLE AS aa, sum(b.re * b.re + b.im * b.im) + 1e-6::DOUBLE AS bb, sum(b.re * a.re + b.im * a.im) AS pr, sum(b.im * a.re - b.re * a.im) AS pi,

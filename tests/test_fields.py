@@ -376,3 +376,27 @@ def test_filled_cells_have_the_nearest_point(spark):
     assert raster.filled(points.limit(0), g, ["v"], "id", ("key",)).count() == 0
     with pytest.raises(ValueError):
         raster.filled(points, Grid(ang_2=270.0), ["v"], "id")
+
+
+@pytest.mark.parametrize(("n_r", "n_a"), [(80, 240), (7, 9), (6, 5), (3, 1), (1, 4)])
+def test_spectra_in_rows(spark, n_r, n_a):
+    """Against numpy, there and back, without a shuffle or Python; null channels stay null."""
+    x = np.random.default_rng(2).normal(size=(2, n_r, n_a))
+    df = spark.createDataFrame([(0, [c.ravel().tolist() for c in x] + [None])], "sample_ix long, x array<array<double>>")
+    s = spectral.rows_spectra(df, n_r, n_a).withColumn("back", F.transform("spectra", lambda z: spectral.row_values(z, n_r, n_a)))
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+    r = one(s)
+    assert r.spectra[2] is None and r.back[2] is None
+    for c in range(2):
+        np.testing.assert_allclose([[complex(*z) for z in row] for row in r.spectra[c]], np.fft.rfft2(x[c]), atol=1e-9)
+        np.testing.assert_allclose(np.reshape(r.back[c], (n_r, n_a)), x[c], atol=1e-12)
+
+
+def test_dense_spectra_fill_missing_modes_with_zeros(spark):
+    s = spark.createDataFrame([(0, 0, 1, 2, 3.0, -1.0), (0, 1, 0, 0, 4.0, 5.0)], "sample_ix long, ch int, kx int, ky int, re double, im double")
+    d = spectral.dense_spectra(s, 3, 4).withColumn("v", spectral.row_values(F.col("spectrum"), 3, 4))
+    for r in d.collect():
+        f = np.zeros((3, 3), complex)
+        f[(1, 2) if r.ch == 0 else (0, 0)] = 3 - 1j if r.ch == 0 else 4 + 5j
+        np.testing.assert_allclose(np.reshape(r.v, (3, 4)), np.fft.irfft2(f, s=(3, 4)), atol=1e-12)
