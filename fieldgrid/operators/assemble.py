@@ -43,16 +43,18 @@ def mirror(fields: DataFrame, n_phases: int) -> DataFrame:
 def assemble(fields: DataFrame, n_phases: int, x_fields=("Mu_avg", "Magnetization"), y_fields=("Mag_Bx", "Mag_By"), strict: bool = True) -> DataFrame:
     """sample_ix, design_id, phase_idx, n_r, n_a, x, y: float channels stacked in the order of the lists, one shuffle.
 
-    Strict: a sample that lacks a channel, or whose shapes differ, raises. Else such
-    samples are left out. sample_ix is design-major.
+    Strict: a sample raises that lacks a channel or has two grids for one, whose shapes
+    differ, or that holds a null value. Else such samples are left out. sample_ix is
+    design-major.
     """
     wanted = [*x_fields, *y_fields]
     picks = [F.max(F.when(F.col("field") == f, F.col("values"))).alias(f"_{i}") for i, f in enumerate(wanted)]
+    picks += [F.count_if(F.col("field") == f).alias(f"_n{i}") for i, f in enumerate(wanted)]
     d = fields.where(F.col("field").isin(wanted)).groupBy("design_id", "phase_idx").agg(F.max("n_r").alias("n_r"), F.max("n_a").alias("n_a"), F.min(F.struct("n_r", "n_a")).alias("_least"), *picks)
     cols = [F.col(f"_{i}") for i in range(len(wanted))]
     whole = (F.col("_least.n_r") == F.col("n_r")) & (F.col("_least.n_a") == F.col("n_a"))
-    for c in cols:
-        whole = whole & c.isNotNull() & (F.size(c) == F.col("n_r") * F.col("n_a"))
+    for i, c in enumerate(cols):
+        whole = whole & (F.col(f"_n{i}") == 1) & c.isNotNull() & (F.size(c) == F.col("n_r") * F.col("n_a")) & F.forall(c, lambda v: v.isNotNull())
     whole = F.coalesce(whole, F.lit(False))
     if strict:
         d = d.where(F.assert_true(whole, F.concat(F.lit("incomplete sample of design "), F.col("design_id").cast("string"))).isNull())

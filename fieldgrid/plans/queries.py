@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import draws, regions
 from ..operators import assemble, dataset, design, grid, raster, spectral
 from ..operators.grid import Grid
-from ..sources import files
+from ..sources import files, quarantine, runs
 from ..sources.files import table
 from ..streaming import ingest
 from .sql import AVERAGES, BYPASS, CODES, LAYERS, N, POINTS, RANKS, SAMPLES, SEED, TOLERANCE
@@ -205,6 +205,52 @@ def grid_quarantine(spark, d):
     return files.parsed(text).groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def quarantine_tables(spark, d):
+    """Every grid's text, some of them spoilt, and the events' properties, which are none: what becomes of each row."""
+    e = table(spark, d, "embeddings")
+    k, row = F.col("vec_id") % 20, lambda a: F.array_join(a.cast("array<double>"), ",")
+    v = F.col("embedding")
+    lines = lambda a: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda i: F.array_join(F.slice(a.cast("array<double>"), i * N + 1, N), ",")), "\n")
+    text = (
+        F.when(k == 1, F.concat(F.lit("NaN,"), row(F.slice(v, 2, 7)))).when(k == 2, F.concat(row(F.slice(v, 1, 7)), F.lit(",-Infinity"))).when(k == 3, row(F.slice(v, 1, 8)))
+        .when(k == 4, F.concat(row(F.slice(v, 1, 8)), F.lit("\n"), row(F.slice(v, 9, 7)))).when(k == 5, F.lit(" \n")).when(k == 6, F.concat(row(v), F.lit(",x"))).otherwise(lines(v))
+    )
+    key = F.when(k == 9, F.col("vec_id") - 1).when(k != 10, F.col("vec_id"))
+    grids = e.select(F.lit("grid").alias("field"), key.alias("design_id"), F.lit(0).alias("phase_idx"), text.alias("value"))
+    events = table(spark, d, "events").select(F.lit("event").alias("field"), F.col("event_id").cast("long").alias("design_id"), F.lit(0).alias("phase_idx"), F.col("props").alias("value"))
+    path = files.scratch(spark, "quarantine")
+    quarantine.write(grids.unionByName(events), path, shape=(N, N))
+    good, rejected = quarantine.tables(spark, path)
+    return good.select("field", "design_id", F.lit("good").alias("reason"), F.size("values").alias("n")).unionByName(rejected.select("field", "design_id", "reason", F.lit(0).alias("n")))
+
+
+def generated(spark, d, attempt: int):
+    """The fields of some designs as a run makes them: in the first, grids of label 9 are missing and of label 8 spoilt; in the second, those of label 9 whose design is even are missing again."""
+
+    def run(designs: DataFrame) -> DataFrame:
+        f = fields(spark, d).join(designs.select("design_id"), "design_id", "left_semi")
+        f = f.where((F.col("label") != 9) | (F.lit(attempt) > 1) & (F.col("design_id") % 2 == 1))
+        return f.withColumn("values", F.when((F.col("label") == 8) & (F.lit(attempt) == 1), F.transform("values", lambda v: v * float("nan"))).otherwise(F.col("values"))).drop("label")
+
+    return run
+
+
+def run_ledger(spark, d):
+    """Two runs over all designs, the second over what the first left; the ledger's latest state of each."""
+    ids, path = fields(spark, d).select("design_id").distinct(), files.scratch(spark, "runs")
+    for attempt in (1, 2):
+        runs.execute(ids, generated(spark, d, attempt), path, 3, FIELDS, max_attempts=2)
+    return runs.latest(spark, path).select("design_id", "run", "attempts", "n_present", "state")
+
+
+def run_fields(spark, d):
+    """The grids of the designs that two runs have made whole, each from the run that did."""
+    ids, path = fields(spark, d).select("design_id").distinct(), files.scratch(spark, "runs")
+    for attempt in (1, 2):
+        runs.execute(ids, generated(spark, d, attempt), path, 3, FIELDS, max_attempts=2)
+    return as_cells(runs.whole_fields(spark, path))
+
+
 def resume_worklist(spark, d):
     missing = assemble.missing_designs(expected(spark, d), present(spark, d))
     return rounded(designs(spark, d).join(missing, "design_id", "left_semi"))
@@ -347,6 +393,9 @@ def queries() -> dict:
         "file_listing": file_listing,
         "key_parse": key_parse,
         "grid_quarantine": grid_quarantine,
+        "quarantine_tables": quarantine_tables,
+        "run_ledger": run_ledger,
+        "run_fields": run_fields,
         "explode_grid": lambda s, d: as_cells(fields(s, d)),
         "missing_designs": lambda s, d: assemble.missing_designs(expected(s, d), present(s, d)),
         "coverage_report": lambda s, d: assemble.coverage(expected(s, d), present(s, d)),

@@ -176,6 +176,10 @@ def back(of: str, places: int = 6) -> str:
     return f"SELECT sample_ix, ch, ir, ia, round(sum(CASE WHEN ky = 0 OR ky * 2 = {N} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END * (re * cos({TURN}) - im * sin({TURN}))) / {N * N}, {places}) + 0.0 AS v FROM {of}, places GROUP BY ALL"
 
 
+#: What two runs leave: the first lacks grids of label 9 and spoils those of 8, the second lacks those of 9 of even designs, and takes up what the first left incomplete.
+RUNS = f"""WITH {FIELDS}, one AS (SELECT design_id, count(*) FILTER (label NOT IN (8, 9))::INTEGER AS n FROM fields GROUP BY design_id),
+two AS (SELECT design_id, count(*) FILTER (label <> 9 OR design_id % 2 = 1)::INTEGER AS n FROM fields GROUP BY design_id),
+ends AS (SELECT design_id, CASE WHEN one.n = 12 THEN 1 ELSE 2 END AS run, CASE WHEN one.n = 12 THEN 12 ELSE two.n END AS n_present FROM one JOIN two USING (design_id))"""
 R6 = "round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im"
 LINES = "lines AS (SELECT l_orderkey * 8 + l_linenumber AS sample_ix, l_extendedprice::DOUBLE AS y, l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) AS out FROM lineitem)"
 BATCHES = f"batched AS (SELECT *, (row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', '0', sample_ix::VARCHAR)), sample_ix) - 1) // 32 AS batch_id FROM lines)"
@@ -228,8 +232,21 @@ def oracle_sql() -> dict[str, str]:
           SELECT name, regexp_extract(name, '^{NAME}$', 1) AS field, regexp_extract(name, '^{NAME}$', 2)::BIGINT AS design_id, regexp_extract(name, '^{NAME}$', 3)::INTEGER AS phase_idx FROM n""",
         "grid_quarantine": """WITH t AS (SELECT 'e' || event_id AS id, props AS s FROM events UNION ALL SELECT 'v' || vec_id, array_to_string(embedding::DOUBLE[], ',') FROM embeddings),
           p AS (SELECT id, string_split(s, ',') AS x FROM t WHERE s IS NOT NULL AND trim(s) <> '')
-          SELECT CASE WHEN len(list_filter(x, lambda v: TRY_CAST(trim(v) AS DOUBLE) IS NULL)) > 0 THEN 'not a number' ELSE 'good' END AS reason, count(*)::BIGINT AS n FROM p GROUP BY ALL
+          SELECT CASE WHEN len(list_filter(x, lambda v: TRY_CAST(trim(v) AS DOUBLE) IS NULL)) > 0 THEN 'not a number' WHEN len(list_filter(x, lambda v: NOT isfinite(TRY_CAST(trim(v) AS DOUBLE)))) > 0 THEN 'not finite' ELSE 'good' END AS reason, count(*)::BIGINT AS n FROM p GROUP BY ALL
           UNION ALL SELECT 'empty', count(*)::BIGINT FROM t WHERE s IS NULL OR trim(s) = '' HAVING count(*) > 0""",
+        "quarantine_tables": f"""WITH g AS (SELECT vec_id AS id, vec_id % 20 AS k, embedding::DOUBLE[] AS v FROM embeddings),
+          t AS (SELECT id, 'grid' AS field, CASE WHEN k = 9 THEN id - 1 WHEN k <> 10 THEN id END AS design_id, CASE WHEN k = 1 THEN 'NaN,' || array_to_string(v[2:8], ',') WHEN k = 2 THEN array_to_string(v[1:7], ',') || ',-Infinity' WHEN k = 3 THEN array_to_string(v[1:8], ',')
+            WHEN k = 4 THEN array_to_string(v[1:8], ',') || chr(10) || array_to_string(v[9:15], ',') WHEN k = 5 THEN ' ' || chr(10) WHEN k = 6 THEN array_to_string(v, ',') || ',x'
+            ELSE array_to_string(list_transform(range({N}), lambda i: array_to_string(v[i * {N} + 1:i * {N} + {N}], ',')), chr(10)) END AS s FROM g
+            UNION ALL SELECT -1 - event_id, 'event', event_id::BIGINT, props FROM events),
+          p AS (SELECT *, list_transform(list_filter(string_split(coalesce(s, ''), chr(10)), lambda x: trim(x) <> ''), lambda x: string_split(x, ',')) AS rows FROM t),
+          q AS (SELECT *, flatten(rows) AS c, len(rows) AS n_r, coalesce(len(rows[1]), 0) AS n_a FROM p),
+          r AS (SELECT *, CASE WHEN design_id IS NULL THEN 'no key' WHEN n_r = 0 THEN 'empty' WHEN len(list_filter(rows, lambda x: len(x) <> n_a)) > 0 THEN 'ragged' WHEN len(list_filter(c, lambda x: TRY_CAST(trim(x) AS DOUBLE) IS NULL)) > 0 THEN 'not a number'
+            WHEN len(list_filter(c, lambda x: NOT isfinite(TRY_CAST(trim(x) AS DOUBLE)))) > 0 THEN 'not finite' WHEN n_r <> {N} OR n_a <> {N} THEN 'wrong size' END AS reason FROM q),
+          w AS (SELECT *, CASE WHEN reason IS NULL AND count(*) FILTER (reason IS NULL) OVER (PARTITION BY field, design_id) > 1 THEN 'duplicate key' ELSE coalesce(reason, 'good') END AS told FROM r)
+          SELECT field, design_id, told AS reason, CASE WHEN told = 'good' THEN {N * N} ELSE 0 END::INTEGER AS n FROM w""",
+        "run_ledger": f"{RUNS} SELECT design_id, run, run AS attempts, n_present, CASE WHEN n_present = 12 THEN 'ok' ELSE 'failed' END AS state FROM ends",
+        "run_fields": f"{RUNS} SELECT c.design_id, phase_idx, field, ir, ia, v FROM gridcells c JOIN ends e ON c.design_id = e.design_id WHERE e.n_present = 12",
         "explode_grid": f"WITH {FIELDS} SELECT design_id, phase_idx, field, ir, ia, v FROM gridcells",
         "missing_designs": f"WITH {FIELDS}, {EXPECTED} SELECT DISTINCT design_id FROM (SELECT * FROM expected EXCEPT SELECT design_id, phase_idx, field FROM present) x",
         "coverage_report": f"WITH {FIELDS}, {EXPECTED} SELECT e.design_id, count(*)::BIGINT AS n_expected, count(p.field)::BIGINT AS n_present, count(DISTINCT CASE WHEN p.field IS NOT NULL THEN e.phase_idx END)::BIGINT AS n_phases FROM expected e LEFT JOIN present p USING (design_id, phase_idx, field) GROUP BY ALL",

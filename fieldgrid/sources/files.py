@@ -51,7 +51,7 @@ def matrix_text(values: Column, n_r: Column, n_a: Column) -> Column:
 
 
 def parsed(text: DataFrame, column: str = "value") -> DataFrame:
-    """text with n_r, n_a, values, and reason: null if the text is a whole matrix of numbers, else why it isn't."""
+    """text with n_r, n_a, values, and reason: null if the text is a whole matrix of finite numbers, else why it isn't."""
     lines = F.filter(F.split(F.coalesce(F.col(column), F.lit("")), "\r?\n"), lambda x: F.trim(x) != "")
     d = text.withColumn("_rows", F.transform(lines, lambda x: F.split(x, ",")))
     d = d.withColumns({"n_r": F.size("_rows"), "n_a": F.coalesce(F.size(F.try_element_at("_rows", F.lit(1))), F.lit(0)), "values": F.transform(F.flatten("_rows"), lambda x: F.trim(x).try_cast("double"))})
@@ -59,6 +59,7 @@ def parsed(text: DataFrame, column: str = "value") -> DataFrame:
         F.when(F.col("n_r") == 0, "empty")
         .when(F.exists("_rows", lambda r: F.size(r) != F.col("n_a")), "ragged")
         .when(F.exists("values", lambda v: v.isNull()), "not a number")
+        .when(F.exists("values", lambda v: F.isnan(v) | (F.abs(v) == float("inf"))), "not finite")
     )
     return d.withColumn("reason", reason).drop("_rows")
 
