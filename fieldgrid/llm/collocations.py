@@ -282,7 +282,7 @@ def _sum(threshold: int):
     return run
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, threshold: int = 10, filter_bits: int = FILTER_BITS, part_mass: int = PART_MASS) -> DataFrame:
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, threshold: int = 10, filter_bits: int | None = None, part_mass: int | None = None) -> DataFrame:
     """lang, phrase (its words with a space between), f: all phrases of up to `longest` words with f >= threshold; the empty phrase has the language's words, whatever their number.
 
     Two passes. The first sends counts of hashes to hash partitions, whose number grows
@@ -298,8 +298,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     size = own.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0].n or 0
     # prose has a word in six bytes or so, and each begins a phrase of each length
     mass = max(1, size // 6 * longest)
-    part_bits = min(24, max(6, (mass // part_mass).bit_length()))
-    filter_bits = max(part_bits + 3, min(filter_bits, max(20, mass.bit_length())))
+    part_bits = min(24, max(6, (mass // (part_mass or PART_MASS)).bit_length()))
+    filter_bits = max(part_bits + 3, min(filter_bits or FILTER_BITS, max(20, mass.bit_length())))
     sent = own.mapInArrow(_send(part_bits, longest), "part int, keys binary, counts binary, wide boolean")
     slices = sent.groupBy("part").applyInPandas(_survivors(threshold, filter_bits - part_bits), "part int, bits binary").collect()  # 2^filter_bits bits in all
     each = 1 << (filter_bits - part_bits - 3)
