@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,41 @@ def minibatches(samples: DataFrame, seed: int, epoch: int, size: int = 32, by: s
     return d.withColumn("batch_id", F.floor(F.col("_at") / size)).drop("_key", "_at")
 
 
+#: A prime; rounds that a permutation takes.
+PRIME, ROUNDS = 2**31 - 1, 32
+
+
+def round_keys(seed: int, epoch: int, rounds: int = ROUNDS) -> list[dict[str, int]]:
+    """k, a, b of each round: k below 2^40, a and b below PRIME, a not 0."""
+    out = []
+    for r in range(rounds):
+        x = hashlib.md5(f"{seed}:{epoch}:{r}".encode()).digest()
+        k, a, b = (int.from_bytes(x[i : i + 5], "big") for i in (0, 5, 10))
+        out.append({"k": k, "a": 1 + a % (PRIME - 1), "b": b % PRIME})
+    return out
+
+
+def permuted(ix: Column, n: int, seed: int, epoch: int) -> Column:
+    """The place of row ix (0 to n - 1) in an order of the n rows that the seed and the epoch give: arithmetic of the row alone, so no sort and no shuffle.
+
+    In each round a row may change places with the one that mirrors it about the round's
+    key; both see the same bit, of a hash of the larger of them, so each round is a
+    permutation, and so are all, for any n below 2^62.
+    """
+    keys = F.from_json(F.lit(json.dumps(round_keys(seed, epoch))), "array<struct<k: long, a: long, b: long>>")
+
+    def turn(x, r):
+        y = F.pmod(r["k"] - x, F.lit(n).cast("long"))
+        return F.when((F.greatest(x, y) % PRIME * r["a"] + r["b"]) % PRIME < PRIME // 2, y).otherwise(x)
+
+    return F.aggregate(keys, ix.cast("long"), turn)
+
+
+def permuted_batches(samples: DataFrame, n: int, seed: int, epoch: int, size: int = 32, by: str = "sample_ix") -> DataFrame:
+    """batch_id of each of n samples numbered from 0, as minibatches gives it but by permuted: an epoch's batches are a column, not a sort of all samples. The last batch may be short."""
+    return samples.withColumn("batch_id", F.floor(permuted(F.col(by), n, seed, epoch) / size))
+
+
 def squared_error(out: Column, y: Column) -> Column:
     return (out - y) * (out - y)
 

@@ -118,6 +118,44 @@ def fit_two(x1: DataFrame, x2: DataFrame, y: DataFrame, ridge: float = 1e-6) ->
     return s.select("kx", "ky", "n", *[(x / det).alias(k) for k, x in out.items()])
 
 
+def fit_many(x: DataFrame, y: DataFrame, channels: list[int], ridge: float = 1e-6) -> DataFrame:
+    """kx, ky, n, ch, wr, wi: for each mode, the complex weights of the channels whose sum is nearest to the spectra y.
+
+    One shuffle brings a sample's channels together, of which it needs all; Gram matrices
+    and right sides are sums by mode, with partial sums before their shuffle. The Hermitian
+    equations, with ridge on the diagonal, are solved over arrays in the mode's row; as the
+    matrix is positive definite no rows change places.
+    """
+    n, at = len(channels), ["sample_ix", "kx", "ky"]
+    number = F.array_position(F.array(*[F.lit(c) for c in channels]), F.col("ch")).cast("int") - 1
+    own = x.where(F.col("ch").isin(channels)).select(*at, number.alias("k"), "re", "im").unionByName(y.select(*at, F.lit(n).alias("k"), "re", "im"))
+    d = own.groupBy(*at).agg(*[F.max(F.when(F.col("k") == k, F.struct("re", "im"))).alias(f"z{k}") for k in range(n + 1)]).dropna(subset=[f"z{k}" for k in range(n + 1)])
+    # of u conj(v)
+    re, im = lambda u, v: F.col(f"{u}.re") * F.col(f"{v}.re") + F.col(f"{u}.im") * F.col(f"{v}.im"), lambda u, v: F.col(f"{u}.im") * F.col(f"{v}.re") - F.col(f"{u}.re") * F.col(f"{v}.im")
+    pairs = [(i, j) for i in range(n) for j in range(i, n + 1)]
+    s = d.groupBy("kx", "ky").agg(F.count("*").alias("n"), *[f(part(f"z{j}", f"z{i}")).alias(f"{name}{i}_{j}") for f, i, j in [(F.sum, i, j) for i, j in pairs] for name, part in (("r", re), ("i", im))])
+
+    def entry(i, j):
+        a, b = min(i, j), max(i, j)
+        return F.struct((F.col(f"r{a}_{b}") + (ridge if i == j else 0.0)).alias("re"), (F.col(f"i{a}_{b}") * (1.0 if i <= j else -1.0)).alias("im"))
+
+    def turn(rows, p):
+        pivot = F.get(F.get(rows, p), p)
+        size = pivot["re"] * pivot["re"] + pivot["im"] * pivot["im"]
+        scaled = F.transform(F.get(rows, p), lambda z: F.struct(((z["re"] * pivot["re"] + z["im"] * pivot["im"]) / size).alias("re"), ((z["im"] * pivot["re"] - z["re"] * pivot["im"]) / size).alias("im")))
+
+        def less(row, own):
+            f = F.get(row, p)
+            return F.zip_with(row, own, lambda a, b: F.struct((a["re"] - (f["re"] * b["re"] - f["im"] * b["im"])).alias("re"), (a["im"] - (f["re"] * b["im"] + f["im"] * b["re"])).alias("im")))
+
+        return _held(scaled, lambda own: F.transform(rows, lambda row, i: F.when(i == p, own).otherwise(less(row, own))))
+
+    rows = F.array(*[F.array(*[entry(i, j) for j in range(n + 1)]) for i in range(n)])
+    solved = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), rows, turn)
+    w = s.select("kx", "ky", "n", F.posexplode(F.transform(solved, lambda row: F.get(row, F.lit(n)))).alias("_k", "_w"))
+    return w.select("kx", "ky", "n", F.get(F.array(*[F.lit(c) for c in channels]), F.col("_k")).alias("ch"), F.col("_w.re").alias("wr"), F.col("_w.im").alias("wi"))
+
+
 # ------------------------------------------------------------------ in a sample's row
 
 
@@ -269,14 +307,25 @@ def gelu(x):
     return 0.5 * x * (1 + erf(x / math.sqrt(2)))
 
 
-def with_gelu(rows: DataFrame, column: str, out: str) -> DataFrame:
-    @F.pandas_udf("double")
-    def run(v):
-        import pandas as pd
+def erf_column(x: Column) -> Column:
+    """erf as columns: the series below 3, nested so that each power is made once, and the continued fraction beyond, from its 60th term up."""
+    a, z = F.abs(x), x * x
+    total = F.lit(0.0)
+    for n in range(60, 0, -1):
+        # term n over term n - 1 is -z (2n - 1) / (n (2n + 1))
+        total = (total + 1) * z * (-(2 * n - 1) / (n * (2 * n + 1)))
+    near = x * (total + 1) * (2 / math.sqrt(math.pi))
+    tail = F.lit(0.0)
+    for n in range(60, 0, -1):
+        tail = F.lit(n / 2) / (a + tail)
+    return F.when(a < 3, near).when(a >= 6, F.signum(x)).otherwise(F.signum(x) * (1 - F.exp(-z) / math.sqrt(math.pi) / (a + tail)))
 
-        return pd.Series(gelu(v.to_numpy(float)))
 
-    return rows.withColumn(out, run(F.col(column)))
+def with_gelu(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """x (1 + erf(x / sqrt 2)) / 2, in the plan: no Python. Null and NaN stay."""
+    x = F.col(column).cast("double")
+    held = rows.withColumn("_t", x / math.sqrt(2))
+    return held.withColumn(out, 0.5 * x * (1 + erf_column(F.col("_t")))).drop("_t")
 
 
 def operator_weights(c_in: int, c_out: int, n_r: int, n_a: int, seed: int = 0, **sizes) -> dict:

@@ -270,6 +270,24 @@ def mirror_sink(spark, d):
     return as_cells(spark.read.parquet(path))
 
 
+def bucketed_pairs(spark, d):
+    """Inputs and targets as two bucketed tables, paired without a shuffle: their channels' mean squared difference, a row a sample."""
+    s, tables = samples(spark, d), []
+    for t in ("x", "y"):
+        path = files.scratch(spark, f"bucketed-{t}")
+        tables.append(files.write_bucketed(s.select("sample_ix", F.flatten(t).alias(t)), path, path.rsplit("/", 1)[1].replace("-", "_"), 16))
+    pairs = tables[0].join(tables[1].hint("merge"), "sample_ix")
+    err = F.aggregate(F.zip_with("x", "y", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, x: a + x)
+    return pairs.select("sample_ix", F.size("x").alias("n"), F.round(err / F.size("x"), 6).alias("mse"))
+
+
+def epoch_batches(spark, d):
+    """The orders' batches in two epochs, by arithmetic on their numbers."""
+    o = ordinals(spark, d)
+    n = max(1, o.count())
+    return o.withColumns({f"batch_{e}": F.floor(dataset.permuted(F.col("sample_ix"), n, SEED, e) / 32) for e in (0, 1)})
+
+
 def magnitudes(spark, d):
     return magnitude_cells(samples(spark, d))
 
@@ -310,6 +328,13 @@ def spectral_fit_two(spark, d):
     return f.select("kx", "ky", "n", *[near(c, 6) for c in ("w1r", "w1i", "w2r", "w2i")])
 
 
+def spectral_fit_many(spark, d):
+    """Three channels' weights to the fourth."""
+    s = spectra(spark, d)
+    f = spectral.fit_many(s, s.where("ch = 3"), [0, 1, 2])
+    return f.select("kx", "ky", "n", "ch", near("wr", 6), near("wi", 6))
+
+
 def doubles(spark, d) -> DataFrame:
     return samples(spark, d).withColumn("x", F.col("x").cast("array<array<double>>"))
 
@@ -409,6 +434,8 @@ def queries() -> dict:
         "sample_ordinal": ordinals,
         "split_train_test": lambda s, d: dataset.split(ordinals(s, d)),
         "minibatches": lambda s, d: dataset.minibatches(lines(s, d), SEED, 0).select("sample_ix", "batch_id"),
+        "bucketed_pairs": bucketed_pairs,
+        "epoch_batches": epoch_batches,
         "mse": lambda s, d: dataset.mse(lines(s, d)).select("n", F.round("mse", 2).alias("mse")),
         "epoch_loss": lambda s, d: dataset.epoch_loss(dataset.minibatches(lines(s, d), SEED, 0)).select("n_batches", F.round("epoch_loss", 2).alias("epoch_loss")),
         "field_order": lambda s, d: assemble.dense_ordinal(fields(s, d).select(*assemble.KEYS), assemble.KEYS, "position"),
@@ -430,6 +457,7 @@ def queries() -> dict:
         "residual_block": residual_block,
         "spectral_fit": spectral_fit,
         "spectral_fit_two": spectral_fit_two,
+        "spectral_fit_many": spectral_fit_many,
         "gelu": lambda s, d: spectral.with_gelu(channels(s, d), "v", "g").withColumn("g", F.round("g", 6) + 0.0),
         "operator_score": operator_score,
         "stream_completeness": stream_completeness,

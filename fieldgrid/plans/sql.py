@@ -180,6 +180,34 @@ def back(of: str, places: int = 6) -> str:
 RUNS = f"""WITH {FIELDS}, one AS (SELECT design_id, count(*) FILTER (label NOT IN (8, 9))::INTEGER AS n FROM fields GROUP BY design_id),
 two AS (SELECT design_id, count(*) FILTER (label <> 9 OR design_id % 2 = 1)::INTEGER AS n FROM fields GROUP BY design_id),
 ends AS (SELECT design_id, CASE WHEN one.n = 12 THEN 1 ELSE 2 END AS run, CASE WHEN one.n = 12 THEN 12 ELSE two.n END AS n_present FROM one JOIN two USING (design_id))"""
+def permuted(epoch: int) -> str:
+    """The place of sample_ix among n, round after round; keys are reduced to n in SQL, as the table tells it."""
+    import hashlib
+
+    keys = []
+    for r in range(32):
+        x = hashlib.md5(f"{SEED}:{epoch}:{r}".encode()).digest()
+        keys.append([int.from_bytes(x[i : i + 5], "big") for i in (0, 5, 10)])
+    p = 2**31 - 1
+    rounds = "[" + ", ".join(f"{{'k': {k}::BIGINT, 'a': {1 + a % (p - 1)}::BIGINT, 'b': {b % p}::BIGINT, 'x': 0::BIGINT}}" for k, a, b in keys) + "]"
+    y = "(((r.k % n) - s.x + n) % n)"
+    step = f"CASE WHEN (greatest(s.x, {y}) % {p} * r.a + r.b) % {p} < {p // 2} THEN {y} ELSE s.x END"
+    return f"list_reduce({rounds}, lambda s, r: {{'k': 0::BIGINT, 'a': 0::BIGINT, 'b': 0::BIGINT, 'x': {step}}}, {{'k': 0::BIGINT, 'a': 0::BIGINT, 'b': 0::BIGINT, 'x': sample_ix}}).x"
+
+
+def solved(n: int) -> str:
+    """s0 to sn: the normal equations of channels 0 to n - 1 to channel n, and what is left of them after each channel is told."""
+    sums = [f"sum(z{j}.re * z{i}.re + z{j}.im * z{i}.im) {'+ 1e-6::DOUBLE' if i == j else ''} AS r{i}{j}, sum(z{j}.im * z{i}.re - z{j}.re * z{i}.im) AS i{i}{j}" for i in range(n) for j in range(n + 1)]
+    joins = " ".join(f"JOIN spectra z{k} ON z{k}.ch = {k} AND z{k}.sample_ix = z0.sample_ix AND z{k}.kx = z0.kx AND z{k}.ky = z0.ky" for k in range(1, n + 1))
+    out = f"s0 AS (SELECT z0.kx, z0.ky, count(*)::BIGINT AS n, {', '.join(sums)} FROM spectra z0 {joins} WHERE z0.ch = 0 GROUP BY ALL)"
+    for p in range(n):
+        size = f"(r{p}{p} * r{p}{p} + i{p}{p} * i{p}{p})"
+        part = ", ".join(f"(r{p}{j} * r{p}{p} + i{p}{j} * i{p}{p}) / {size} AS pr{j}, (i{p}{j} * r{p}{p} - r{p}{j} * i{p}{p}) / {size} AS pi{j}" for j in range(n + 1))
+        rest = ", ".join(f"pr{j} AS r{i}{j}, pi{j} AS i{i}{j}" if i == p else f"r{i}{j} - (r{i}{p} * pr{j} - i{i}{p} * pi{j}) AS r{i}{j}, i{i}{j} - (r{i}{p} * pi{j} + i{i}{p} * pr{j}) AS i{i}{j}" for i in range(n) for j in range(n + 1))
+        out += f", p{p} AS (SELECT *, {part} FROM s{p}), s{p + 1} AS (SELECT kx, ky, n, {rest} FROM p{p})"
+    return out
+
+
 R6 = "round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im"
 LINES = "lines AS (SELECT l_orderkey * 8 + l_linenumber AS sample_ix, l_extendedprice::DOUBLE AS y, l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) AS out FROM lineitem)"
 BATCHES = f"batched AS (SELECT *, (row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', '0', sample_ix::VARCHAR)), sample_ix) - 1) // 32 AS batch_id FROM lines)"
@@ -259,6 +287,8 @@ def oracle_sql() -> dict[str, str]:
         "run_summary": f"WITH {FIELDS}, {EXPECTED}, c AS (SELECT e.design_id, count(*) AS n, count(p.field) AS k FROM expected e LEFT JOIN present p USING (design_id, phase_idx, field) GROUP BY ALL) SELECT CASE WHEN k = n THEN 'ok' WHEN k = 0 THEN 'failed' ELSE 'pending' END AS state, count(*)::BIGINT AS n_designs, sum(n - k)::BIGINT AS n_missing FROM c GROUP BY ALL",
         "sample_ordinal": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_ix FROM orders",
         "split_train_test": "WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_ix FROM orders) SELECT o_orderkey, sample_ix, CASE WHEN sample_ix < floor((SELECT count(*) FROM s) * 0.75::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM s",
+        "bucketed_pairs": f"WITH {FIELDS}, p AS (SELECT x.design_id * 3 + x.phase_idx AS sample_ix, x.v::FLOAT::DOUBLE - y.v::FLOAT::DOUBLE AS e FROM gridcells x JOIN gridcells y USING (design_id, phase_idx, ir, ia) WHERE (x.field, y.field) IN (('Mu_avg', 'Mag_Bx'), ('Magnetization', 'Mag_By'))) SELECT sample_ix, count(*)::INTEGER AS n, round(avg(e * e), 6) AS mse FROM p GROUP BY ALL",
+        "epoch_batches": f"WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_ix, (SELECT count(*) FROM orders) AS n FROM orders) SELECT o_orderkey, sample_ix, {', '.join(f'({permuted(e)}) // 32 AS batch_{e}' for e in (0, 1))} FROM s",
         "minibatches": f"WITH {LINES}, {BATCHES} SELECT sample_ix, batch_id FROM batched",
         "mse": f"WITH {LINES} SELECT count(*)::BIGINT AS n, round(avg((out - y) * (out - y)), 2) AS mse FROM lines",
         "epoch_loss": f"WITH {LINES}, {BATCHES} SELECT count(*)::BIGINT AS n_batches, round(avg(loss), 2) AS epoch_loss FROM (SELECT avg((out - y) * (out - y)) AS loss FROM batched GROUP BY batch_id) b",
@@ -284,6 +314,7 @@ def oracle_sql() -> dict[str, str]:
             sum(y.re * a.re + y.im * a.im) AS ur, sum(y.im * a.re - y.re * a.im) AS ui, sum(y.re * b.re + y.im * b.im) AS vr, sum(y.im * b.re - y.re * b.im) AS vi
             FROM spectra a JOIN spectra b USING (sample_ix, kx, ky) JOIN spectra y USING (sample_ix, kx, ky) WHERE a.ch = 0 AND b.ch = 1 AND y.ch = 2 GROUP BY ALL), t AS (SELECT *, aa * bb - pr * pr - pi * pi AS det FROM s)
           SELECT kx, ky, n, round((bb * ur - pr * vr + pi * vi) / det, 6) + 0.0 AS w1r, round((bb * ui - pr * vi - pi * vr) / det, 6) + 0.0 AS w1i, round((aa * vr - pr * ur - pi * ui) / det, 6) + 0.0 AS w2r, round((aa * vi - pr * ui + pi * ur) / det, 6) + 0.0 AS w2i FROM t""",
+        "spectral_fit_many": f"{SPECTRA}, {solved(3)} " + " UNION ALL ".join(f"SELECT kx, ky, n, {k} AS ch, round(r{k}3, 6) + 0.0 AS wr, round(i{k}3, 6) + 0.0 AS wi FROM s3" for k in range(3)),
         "spectral_fit": f"{SPECTRA}, s AS (SELECT x.kx, x.ky, count(*)::BIGINT AS n, sum(x.re * x.re + x.im * x.im) AS xx, sum(y.re * x.re + y.im * x.im) AS re, sum(y.im * x.re - y.re * x.im) AS im FROM spectra x JOIN spectra y USING (sample_ix, kx, ky) WHERE x.ch = 0 AND y.ch = 2 GROUP BY ALL) SELECT kx, ky, n, round(re / (xx + 1e-6::DOUBLE), 6) + 0.0 AS wr, round(im / (xx + 1e-6::DOUBLE), 6) + 0.0 AS wi FROM s",
         "stream_completeness": f"WITH {FIELDS}, {EXPECTED} SELECT design_id, count(*)::BIGINT AS n_present, count(*) >= 12 AS complete FROM present GROUP BY ALL",
     }

@@ -96,6 +96,15 @@ def write_samples(samples: DataFrame, path: str) -> None:
     samples.sortWithinPartitions("sample_ix").write.parquet(path)
 
 
+def write_bucketed(samples: DataFrame, path: str, name: str, buckets: int, by: str = "sample_ix") -> DataFrame:
+    """Samples as a table of the catalog with files under path, dealt to buckets by the key and sorted in each. Two that have as many buckets are joined by it without a shuffle, as often as is asked; an older table of the name is replaced.
+
+    Rows are dealt before they are written, so a bucket is one file: the join then needs no sort either where a task reads a bucket.
+    """
+    samples.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+    return samples.sparkSession.table(name)
+
+
 def write_mirrored(image: DataFrame, path: str) -> None:
     """Adds partitions; a second run overwrites its own alone."""
     image.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("phase_idx").parquet(path)

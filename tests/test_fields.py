@@ -400,3 +400,58 @@ def test_dense_spectra_fill_missing_modes_with_zeros(spark):
         f = np.zeros((3, 3), complex)
         f[(1, 2) if r.ch == 0 else (0, 0)] = 3 - 1j if r.ch == 0 else 4 + 5j
         np.testing.assert_allclose(np.reshape(r.v, (3, 4)), np.fft.irfft2(f, s=(3, 4)), atol=1e-12)
+
+
+def test_fit_of_many_channels(spark):
+    """Four channels against numpy's solution, two against fit_two; samples that lack a channel play no part."""
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(9, 5, 3, 2, 2))  # samples, channels with the target, kx, ky, parts
+    rows = [(s, c, kx, ky, *map(float, z[s, c, kx, ky])) for s, c, kx, ky in np.ndindex(9, 5, 3, 2)]
+    kind = "sample_ix long, ch int, kx int, ky int, re double, im double"
+    x, y = spark.createDataFrame([*rows, (99, 0, 0, 0, 1.0, 1.0)], kind), spark.createDataFrame([r for r in rows if r[1] == 4], kind)
+    got = {(r.kx, r.ky, r.ch): complex(r.wr, r.wi) for r in spectral.fit_many(x, y, [0, 1, 2, 3]).collect()}
+    assert len(got) == 24
+    c = z[..., 0] + 1j * z[..., 1]
+    for kx, ky in np.ndindex(3, 2):
+        a, b = c[:, :4, kx, ky], c[:, 4, kx, ky]
+        want = np.linalg.solve(a.conj().T @ a + 1e-6 * np.eye(4), a.conj().T @ b)
+        np.testing.assert_allclose([got[kx, ky, k] for k in range(4)], want, atol=1e-9)
+    two = {(r.kx, r.ky): (r.w1r, r.w1i, r.w2r, r.w2i) for r in spectral.fit_two(x.where("ch = 0"), x.where("ch = 2"), y).collect()}
+    many = {(r.kx, r.ky, r.ch): (r.wr, r.wi) for r in spectral.fit_many(x, y, [0, 2]).collect()}
+    for k, w in two.items():
+        np.testing.assert_allclose([*many[*k, 0], *many[*k, 2]], w, atol=1e-9)
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    s = spark.range(500).select(F.col("id").alias("sample_ix"), F.rand(1).alias("x"))
+    tables = [files.write_bucketed(s.withColumnRenamed("x", c), f"file://{tmp_path}/{c}", f"pairs_{c}", 5) for c in "ab"]
+    joined = tables[0].join(tables[1].hint("merge"), "sample_ix")
+    assert joined.where("a = b").count() == 500
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    files.write_bucketed(s.limit(3).withColumnRenamed("x", "a"), f"file://{tmp_path}/a", "pairs_a", 5)  # replaced
+    assert spark.table("pairs_a").count() == 3
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 97, 1000, 4095, 4097])
+def test_permutations_hit_each_place_once(spark, n):
+    d = spark.range(n).select("id", *[dataset.permuted(F.col("id"), n, 3, e).alias(f"e{e}") for e in (0, 1)])
+    assert "Exchange" not in d.coalesce(1)._jdf.queryExecution().executedPlan().toString()
+    got = d.toPandas()
+    for e in ("e0", "e1"):
+        assert sorted(got[e]) == list(range(n))
+    if n > 90:  # the order has nothing of the rows' own left, nor of another epoch's
+        assert abs(np.corrcoef(got.id, got.e0)[0, 1]) < 0.3 and abs(np.corrcoef(got.e0, got.e1)[0, 1]) < 0.3
+    b = dataset.permuted_batches(spark.range(n).withColumnRenamed("id", "sample_ix"), n, 3, 0, 32).groupBy("batch_id").count().toPandas()
+    assert sorted(b["count"]) == sorted([32] * (n // 32) + [n % 32] * (n % 32 > 0))
+
+
+def test_gelu_in_the_plan(spark):
+    v = [0.0, -0.0, 1e-300, 0.5, -0.5, 2.999 * math.sqrt(2), 3 * math.sqrt(2), -3.5, 6.1, -8.4, 8.6, 40.0, -40.0, 1e300, *np.random.default_rng(0).normal(0, 3, 500).tolist()]
+    d = spectral.with_gelu(spark.createDataFrame([(x,) for x in v] + [(None,), (float("nan"),)], "v double"), "v", "g")
+    assert "Python" not in d._jdf.queryExecution().executedPlan().toString()
+    for r in d.collect():
+        if r.v is None or math.isnan(r.v):
+            assert r.g is None if r.v is None else math.isnan(r.g)
+        else:
+            assert r.g == pytest.approx(0.5 * r.v * (1 + math.erf(r.v / math.sqrt(2))), abs=1e-12)
