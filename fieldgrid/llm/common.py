@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -30,8 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that were named while a passing() lasts.
+_named: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for own in _named:
+        own.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Deletes the tables that are written meanwhile, at its end; but for those whose paths are appended to the list that it gives."""
+    kept: list[str] = []
+    _named.append([])
+    try:
+        yield kept
+    finally:
+        for path in set(_named.pop()) - set(kept):
+            discard(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices, materialize, running_total, small_batches, tidy
@@ -171,6 +171,10 @@ def op9_mixing(docs: DataFrame) -> DataFrame:
     return taken_words(spans, pieces).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Copies of a row that are numbered, and whose words are taken, in one go.
+COPIES = 4096
+
+
 def _cut(batches):
     """A row for each time that a document's words are taken: with those of the first, of the second, and so on."""
     import re
@@ -182,10 +186,8 @@ def _cut(batches):
     for batch in (part for whole in batches for part in byte_slices(whole, "_text", 1 << 20)):
         names = batch.schema.names
         rows, texts = [], []
-        for i, (text, copy, plans) in enumerate(zip(*[batch.column(names.index(c)).to_pylist() for c in ("_text", "_copy", "_plans")])):
-            times = Counter((p["start"], p["length"]) for plan in plans or () if plan["copy"] == copy for p in plan["pieces"])
-            if not times:
-                continue
+        for i, (text, pieces) in enumerate(zip(*[batch.column(names.index(c)).to_pylist() for c in ("_text", "_pieces")])):
+            times = Counter((p["start"], p["length"]) for p in pieces)
             spans = None
             for epoch in range(max(times.values())):
                 runs: list[list[int]] = []
@@ -214,11 +216,23 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     """
     small_batches(docs.sparkSession)
     whole = F.md5(F.to_json(F.struct(*[F.col(c) for c in docs.columns]), {"ignoreNullFields": "false"}).cast("binary"))
-    numbered = docs.withColumn("_key", whole).withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    sizes = numbered.select(F.concat_ws("-", "_key", "_copy").alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
+    keyed = docs.withColumn("_key", whole)
+    # equal rows are counted, and numbered as so many copies of one: they may be any share of all
+    copies = keyed.select("_key", F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size")).groupBy("_key", "source", "size").agg(F.count("*").alias("n"))
+    copies = materialize(copies, "copies")
+    parts = F.explode(F.sequence(F.lit(0), F.expr(f"int((n - 1) div {COPIES})")))
+    each = F.explode(F.sequence(F.col("_part") * COPIES, F.least(F.col("n"), (F.col("_part") + 1) * COPIES).cast("int") - 1))
+    sizes = copies.withColumn("_part", parts).repartition("_key", "_part").select("_key", "source", "size", each.alias("_copy"))
+    sizes = sizes.select(F.concat_ws("-", "_key", "_copy").alias("doc_id"), "source", "size")
     _, pieces = mix(sizes, **options)
-    plan = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("pieces")).select(F.substring_index("doc_id", "-", 1).alias("_of"), F.struct(F.substring_index("doc_id", "-", -1).cast("int").alias("copy"), "pieces").alias("plan"))
-    plans = materialize(plan.groupBy("_of").agg(F.collect_list("plan").alias("_plans")), "plans")
-    joined = numbered.join(plans.hint("merge"), F.col("_key") == F.col("_of")).select(*[c for c in docs.columns if c != text_col], F.col(text_col).alias("_text"), "_copy", "_plans")
+    plan = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("_pieces"))
+    plan = plan.select(F.substring_index("doc_id", "-", 1).alias("_of"), F.expr(f"int(int(substring_index(doc_id, '-', -1)) div {COPIES})").alias("_at"), "_pieces")
+    # a row of each text, for each so many of its copies; texts are sent once where none has more
+    most = copies.agg(F.max("n")).collect()[0][0] or 0
+    texts = keyed.groupBy("_key").agg(F.first(F.struct(*docs.columns)).alias("_row"), F.count("*").alias("n"))
+    on = F.col("_key") == F.col("_of")
+    if most > COPIES:
+        texts, on = texts.withColumn("_part", parts), on & (F.col("_part") == F.col("_at"))
+    joined = texts.join(materialize(plan, "plans").hint("merge"), on).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != text_col], F.col(f"_row.`{text_col}`").alias("_text"), "_pieces")
     schema = docs.drop(text_col).schema.add("_taken", "string")
     return joined.mapInArrow(tidy(_cut), schema).withColumnRenamed("_taken", text_col).select(*docs.columns)

@@ -780,6 +780,18 @@ def test_mixed_documents_hold_what_is_taken(spark):
     assert mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_mixed_documents_of_many_equal_rows(spark, monkeypatch):
+    """5,000 copies of a row beside others, in groups of copies: as many words as the plan takes, in no more time than other rows need."""
+    monkeypatch.setattr(mixing, "COPIES", 300)
+    rows = [(1, "the same short row", "a")] * 5000 + [(i, f"row {i} of its own", "b") for i in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {(r.source, r.first): r.n for r in mixing.mixed_documents(df).groupBy("source", (F.col("doc_id") == 1).alias("first")).agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).collect()}
+    sizes = df.select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"))
+    want = {r.source: r.t for r in mixing.taken_words(*mixing.mix(sizes)).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    assert set(got) == {("a", True), ("b", False)} and sum(got.values()) == pytest.approx(sum(want.values()), abs=512)
+    assert got["a", True] == pytest.approx(want["a"], abs=512)
+
+
 # ------------------------------------------------------------------ 10
 
 

@@ -77,8 +77,44 @@ def test_windows(kept):
     assert ids == {r[0] for r in rows(kept["mixing"], "doc_id")}
 
 
-def test_run(spark, small):
-    assert p.run(spark, small).count() > 0
+def test_survivor_of_rows_that_differ_in_other_columns(spark, small):
+    text = "one two three four five six seven eight nine ten"
+    rows_ = [(1, text, "fr", "b", 1), (1, text, "en", "c", 2), (1, text, None, "a", 3), (1, "another text", "en", "a", 4), (1, None, "en", "a", 5), (1, "", "en", "a", 6), (2, text, "aa", "a", 0), (None, text, "en", "a", 7), (None, text, "en", "a", 7)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(map(repr, [rows_[1], *rows_[3:6], *rows_[7:]]))
+    for n in (1, 5):
+        got = p.drop_near_duplicates(spark, df.repartition(n), small)
+        assert sorted(repr(tuple(r)) for r in got.collect()) == want
+
+
+def test_run(spark, tmp_path):
+    """From documents to packed pieces against plain versions of the stages in a row: each document that stays has all its words' tokens, as often as the mix takes them. Nothing but the last stage's input is left in the folder."""
+    import os
+
+    import tokenizers
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 150")
+    odd = spark.createDataFrame([(10_001, None, "en", "src1", None), (10_002, "12 34", "en", None, 5)], docs.schema)
+    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    got = {}
+    for i, length in rows(p.run(spark, str(tmp_path)), "doc_id", "length"):
+        got[i] = got.get(i, 0) + length
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left <= {"mixing"}
+    told = {i: t for i, t, lang, score in rows(langid.identify(docs, *langid.fitted(docs)), "doc_id", "text", "lang_pred", "score") if lang != "und" and score >= p.MIN_LANGUAGE_SCORE}
+    lines = {i: t for i, _, _, t in plain_line_dedup(list(told.items()))}
+    stay = {i for i, _, c in plain_groups(list(lines.items()), 5, 80, 100) if i == c}
+    meta = {r.doc_id: (r.lang, r.source) for r in docs.collect()}
+    assert all(meta[i][0] for i in stay)  # so that the rows are those of the run
+    kept = spark.createDataFrame([(i, lines[i], *meta[i], len(lines[i])) for i in sorted(stay)], docs.schema)
+    codec = tokenizers.Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    want = {}
+    for i, t in rows(p.mix_sources(spark, kept, ""), "doc_id", "text"):
+        want[i] = want.get(i, 0) + len(codec.encode(t, add_special_tokens=False).ids) + 1
+    assert got == want and len(want) > 50
 
 
 def test_stages_of_nothing(spark, small):
