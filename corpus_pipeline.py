@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldgrid.llm import langid, line_dedup, mixing, ngram_join, packing
-from fieldgrid.llm.common import materialize, table
+from fieldgrid.llm.common import discard, materialize, passing, stored, table
 
 #: A document goes if its language can't be told, or the best one's probability is below this.
 MIN_LANGUAGE_SCORE = 0.5
@@ -48,12 +48,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near duplicates (five words, similarity 0.8).
 
-    Repeated rows of an id and text are one, rows of an id with other texts stay beside
-    each other. Null ids take no part and stay, as do null and empty texts.
+    Of the rows of an id and text, which may differ in their other columns, the one stays
+    whose other columns come first as JSON (texts are told apart by their md5, a null
+    from all); rows of an id with other texts stay beside each other, as groups are of
+    ids. Null ids take no part and stay, as do null and empty texts.
     """
     groups = ngram_join.near_duplicates(docs.select("doc_id", "text"), n=5, num=80, den=100)
     stay = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.where("doc_id IS NOT NULL").join(stay.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    rest = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]), {"ignoreNullFields": "false"})
+    # the md5 is told once, beside the text
+    told = docs.where("doc_id IS NOT NULL").withColumns({"_text_key": F.md5(F.col("text").cast("binary")), "_rest": rest})
+    first = Window.partitionBy("doc_id", "_text_key").orderBy("_rest")
+    kept = told.join(stay.hint("merge"), "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    return kept.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,8 +91,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir, each written to the shared folder and read again; an empty table gives an empty result."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over the documents of sf_dir, each written to the shared folder and read again; an empty table gives an empty result.
+
+    When a stage is written, the tables that it wrote on the way are deleted, and what the
+    stage before had left; so the folder holds a stage's input, tables and output at most.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with passing(spark) as kept:
+            docs, path = stored(stage(spark, docs, sf_dir), name)
+            kept.append(path)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
