@@ -21,8 +21,11 @@ STEPS = (-0.25, 0.0, 0.25)
 MIN_OVERLAP, MAX_ERROR = 16, 0.2
 #: Bits of each integer that noise is likeliest to flip, and votes for an offset from which it is tried.
 DOUBTS, MIN_VOTES = 6, 2
-#: Recordings in a block of queries and in a shard of the others; votes that a task counts at once.
+#: Recordings in a block of queries and in a shard of the others, and integers in each, at most (one recording may have more); votes that a task counts at once.
 BLOCK, SHARD, VOTES = 128, 2048, 4_000_000
+BLOCK_ITEMS, SHARD_ITEMS = 32_000, 400_000
+#: Samples whose frames a task holds at once, about: of several recordings, or a section of a long one.
+SAMPLES = 1 << 20
 
 
 def pcm16(value):
@@ -108,7 +111,16 @@ def filtered(image):
 
 
 def fingerprints(samples):
-    """(items, doubts) of recordings of one length: a 32-bit integer for each place of the widest filter, and one whose bits are the DOUBTS likeliest to flip."""
+    """(items, doubts) of recordings of one length: a 32-bit integer for each place of the widest filter, and one whose bits are the DOUBTS likeliest to flip. Long ones go by sections of places, whose frames overlap."""
+    import numpy as np
+
+    places, beside = max(1, SAMPLES // HOP), WIDEST + len(SMOOTHING) - 2
+    frames = max(0, (samples.shape[1] - FRAME) // HOP + 1)
+    own = [samples[:, lo * HOP : (min(lo + places, frames - beside) + beside - 1) * HOP + FRAME] for lo in range(0, max(1, frames - beside), places)]
+    return tuple(np.concatenate(x, axis=1) for x in zip(*map(_section, own)))
+
+
+def _section(samples):
     import numpy as np
 
     image = chroma(samples)
@@ -138,18 +150,35 @@ def _fingerprints(decode):
 
         for batch in batches:
             names = batch.schema.names
-            keep = [i for i, c in enumerate(names) if c != "_media"]
-            for lo in range(0, batch.num_rows, 32):
-                part = batch.slice(lo, 32)
-                values = part.column(names.index("_media"))
-                sounds = {i: decode(v.as_py()) for i, v in enumerate(values) if v.is_valid}
-                out = [[None] * part.num_rows, [None] * part.num_rows]
-                for n in {len(x) for x in sounds.values()}:
-                    own = [i for i, x in sounds.items() if len(x) == n]
-                    for to, found in zip(out, fingerprints(np.stack([sounds[i] for i in own]))):
-                        for i, x in zip(own, found):
-                            to[i] = x.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *[pa.array(x, pa.binary()) for x in out]], names=[*[names[i] for i in keep], "fingerprint", "doubts"])
+            keep, media = [i for i, c in enumerate(names) if c != "_media"], batch.column(names.index("_media"))
+            out = [[None] * batch.num_rows, [None] * batch.num_rows]
+            waiting: dict = {}
+
+            def done(n, out=out, waiting=waiting):
+                rows, sounds = zip(*waiting.pop(n))
+                for to, found in zip(out, fingerprints(np.stack(sounds))):
+                    for i, x in zip(rows, found):
+                        to[i] = x.astype("<u4").tobytes()
+
+            held = 0
+            for i, value in enumerate(media):
+                if not value.is_valid:
+                    continue
+                sound = decode(value.as_py())
+                n = len(sound)
+                waiting.setdefault(n, []).append((i, sound))
+                held += n
+                # recordings of one length together, but no more than a section's samples
+                if len(waiting[n]) >= max(1, min(32, SAMPLES // max(n, 1))):
+                    held -= n * len(waiting[n])
+                    done(n)
+                if held > 4 * SAMPLES:
+                    for m in list(waiting):
+                        done(m)
+                    held = 0
+            for m in list(waiting):
+                done(m)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], *[pa.array(x, pa.binary()) for x in out]], names=[*[names[i] for i in keep], "fingerprint", "doubts"])
 
     return tidy(run)
 
@@ -164,15 +193,19 @@ def with_fingerprints(media: DataFrame, media_col: str, decode=pcm16) -> DataFra
     return given.mapInArrow(_fingerprints(decode), given.drop("_media").schema.add("fingerprint", "binary").add("doubts", "binary"))
 
 
-def _packed(size):
+def _packed(size, most):
     def run(batches):
-        """Recordings as rows of `size`: their ids, the ends of their fingerprints, and these with their doubts one after the other."""
+        """Recordings as rows of `size`, and of `most` integers, at most: their ids, the ends of their fingerprints, and these with their doubts one after the other."""
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, size):
-                part = batch.slice(lo, size)
+            upto, lo = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype("int64") // 4), 0
+            while lo < batch.num_rows:
+                hi = min(lo + size, max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right"))))
+                part = batch.slice(lo, hi - lo)
+                lo = hi
                 ids = part.column(0).to_numpy().astype("<i8")
                 prints, doubts = part.column(1).to_pylist(), part.column(2).to_pylist()
                 ends = np.cumsum([len(x) // 4 for x in prints]).astype("<i8")
@@ -192,7 +225,14 @@ class Probes:
         sizes = np.diff(np.append(0, ends))
         query = np.repeat(np.arange(len(ids)), sizes)
         place = np.arange(len(items)) - np.repeat(ends - sizes, sizes)
-        keys, left = items[None], doubts.copy()
+        self.query_of, self.place_of, self.items, self.doubts = query, place, items, doubts
+        self.parts = [slice(i, i + BLOCK_ITEMS) for i in range(0, max(1, len(items)), BLOCK_ITEMS)]
+        self._look_up(self.parts[0])
+
+    def _look_up(self, part):
+        """From now on the probes are those of a part of the items; a block has one, but for a long recording."""
+        np, items, left = self.np, self.items[part], self.doubts[part].copy()
+        keys = items[None]
         while left.any():
             bit = left & (~left + np.uint32(1))
             keys = np.concatenate([keys, keys ^ bit])
@@ -201,7 +241,7 @@ class Probes:
         keys = keys.ravel()
         both = np.unique(keys.astype("uint64") << np.uint64(32) | own.astype("uint64"))
         self.keys, own = (both >> np.uint64(32)).astype("uint32"), (both & np.uint64(0xFFFFFFFF)).astype("int64")
-        self.query, self.place = query[own], place[own]
+        self.query, self.place = self.query_of[part][own], self.place_of[part][own]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self._slot(self.keys)] = True
 
@@ -211,22 +251,26 @@ class Probes:
     def votes(self, items, recording, place, n_recordings, span):
         """(query, recording, offset, votes) of each that has MIN_VOTES; span exceeds all places."""
         np = self.np
-        there = np.nonzero(self.seen[self._slot(items)])[0]
-        lo = np.searchsorted(self.keys, items[there], "left")
-        n = np.searchsorted(self.keys, items[there], "right") - lo
-        there, lo, n = there[n > 0], lo[n > 0], n[n > 0]
-        key, count, upto, i = np.zeros(0, "int64"), np.zeros(0, "int64"), np.cumsum(n), 0
-        while i < len(there):
-            # as many items as make VOTES votes, one at least
-            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + VOTES, side="right")))
-            k = n[i:j]
-            at = np.repeat(lo[i:j] - np.cumsum(k) + k, k) + np.arange(k.sum())
-            item = np.repeat(there[i:j], k)
-            new = (self.query[at] * n_recordings + recording[item]) * (2 * span) + self.place[at] - place[item] + span
-            new, m = np.unique(new, return_counts=True)
-            key, back = np.unique(np.concatenate([key, new]), return_inverse=True)
-            count = np.bincount(back, np.concatenate([count, m]), len(key)).astype("int64")
-            i = j
+        key, count = np.zeros(0, "int64"), np.zeros(0, "int64")
+        for part in self.parts:
+            if len(self.parts) > 1:
+                self._look_up(part)
+            there = np.nonzero(self.seen[self._slot(items)])[0]
+            lo = np.searchsorted(self.keys, items[there], "left")
+            n = np.searchsorted(self.keys, items[there], "right") - lo
+            there, lo, n = there[n > 0], lo[n > 0], n[n > 0]
+            upto, i = np.cumsum(n), 0
+            while i < len(there):
+                # as many items as make VOTES votes, one at least
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + VOTES, side="right")))
+                k = n[i:j]
+                at = np.repeat(lo[i:j] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                item = np.repeat(there[i:j], k)
+                new = (self.query[at] * n_recordings + recording[item]) * (2 * span) + self.place[at] - place[item] + span
+                new, m = np.unique(new, return_counts=True)
+                key, back = np.unique(np.concatenate([key, new]), return_inverse=True)
+                count = np.bincount(back, np.concatenate([count, m]), len(key)).astype("int64")
+                i = j
         key, count = key[count >= MIN_VOTES], count[count >= MIN_VOTES]
         pair, offset = np.divmod(key, 2 * span)
         query, other = np.divmod(pair, n_recordings)
@@ -301,13 +345,18 @@ def align(queries: DataFrame, classes: DataFrame, exact: bool = False) -> DataFr
 
     Blocks of queries meet shards of the others: a shard is sent once, a block to each
     key of shards, votes are counted where they meet, and only alignments come out.
+    Blocks and shards are bounded by integers as well as recordings, and a long query's
+    probes are made a part at a time, so minutes or hours of sound take no more memory.
+
+    Repeated rows of queries or classes count each; empty tables give no rows; a null
+    class_id aligns with nothing.
     """
     packed = "ids binary, ends binary, items binary, doubts binary"
-    pick = lambda df: df.select("class_id", "fingerprint", "doubts")
+    pick = lambda df: df.where("class_id IS NOT NULL").select("class_id", "fingerprint", "doubts")
     keys = max(1, -(-classes.count() // SHARD))
-    blocks = materialize(pick(queries).mapInArrow(_packed(BLOCK), packed), "query-blocks").withColumnsRenamed({c: f"q_{c}" for c in ("ids", "ends", "items", "doubts")})
+    blocks = materialize(pick(queries).mapInArrow(_packed(BLOCK, BLOCK_ITEMS), packed), "query-blocks").withColumnsRenamed({c: f"q_{c}" for c in ("ids", "ends", "items", "doubts")})
     blocks = blocks.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(keys - 1))))
-    shards = materialize(pick(classes).mapInArrow(_packed(SHARD), packed), "shards").drop("doubts").withColumn("key", F.pmod(F.xxhash64("ids"), F.lit(keys)).cast("int"))
+    shards = materialize(pick(classes).mapInArrow(_packed(SHARD, SHARD_ITEMS), packed), "shards").drop("doubts").withColumn("key", F.pmod(F.xxhash64("ids"), F.lit(keys)).cast("int"))
     # not put together: a shard takes long for its bytes
     tiles = shards.repartition(keys, "key").join(blocks, "key")
     return tiles.drop("key").sortWithinPartitions("q_ids").mapInArrow(_aligned(exact), "query_id long, class_id long, offset int, votes long, bit_error double, overlap long")
@@ -319,8 +368,11 @@ def op3_audio(vectors: DataFrame) -> DataFrame:
     Recordings with equal fingerprints are one class, named by the smallest vec_id;
     queries are the classes of vectors whose vec_id is divisible by 50. n_matches counts
     the queries, other than its own class, that align with the class; the best has the
-    fewest bit errors, then the smallest id. Null vectors have no fingerprint and no
-    class; too short ones an empty fingerprint, no class and no matches.
+    fewest bit errors, then the smallest id (ties in offset: as align has it). Null vectors
+    have no fingerprint and no class; too short ones an empty fingerprint, no class and no
+    matches. Repeated rows each have theirs; a row of a null vec_id has the class of its
+    fingerprint, if another row names it, and asks nothing. An empty table gives an empty
+    result.
     """
     prints = materialize(with_fingerprints(vectors.select("vec_id", "embedding"), "embedding", melody).withColumn("fp_hash", F.when(F.octet_length("fingerprint") > 0, F.unhex(F.md5("fingerprint")))), "fingerprints")
     classes = materialize(classes_of(prints, "vec_id"), "classes")

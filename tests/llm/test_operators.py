@@ -103,6 +103,47 @@ def test_audio_alignment(spark):
     assert all(r.bit_error <= audio.MAX_ERROR for r in found.values())
 
 
+def test_long_recordings(spark):
+    """Half an hour in sections: bounded memory, the same integers as in one go, and its excerpt is found at its place, by a query of several parts too."""
+    import subprocess
+    import sys
+
+    code = """
+import numpy as np, resource, sys
+from fieldgrid.llm import audio
+rng = np.random.default_rng(1)
+x = np.concatenate([np.sin(2 * np.pi * 440 * 2 ** ((rng.integers(48, 84) - 69) / 12) * np.arange(512) / audio.RATE) for _ in range(1800 * audio.RATE // 512)])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+items, doubts = audio.fingerprints(x[None])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024, items.shape[1], before // 1024)
+audio.SAMPLES = 1 << 14
+a, _ = audio.fingerprints(x[None, :400_000])
+assert a.shape[1] > 1000 and (a[0, :-40] == items[0, : a.shape[1] - 40]).mean() > 0.999
+"""
+    mb, n, _ = map(int, subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0], capture_output=True, text=True, check=True).stdout.split())
+    assert mb < 1000 and n > 27_000
+    rng = np.random.default_rng(2)
+    song = [int(p) for p in rng.integers(48, 84, 1400)]
+    rows = [(1, tones(song)), (2, tones(song[500:600], 3)), (3, tones([int(p) for p in rng.integers(48, 84, 100)]))]
+    classes = audio.classes_of(audio.with_fingerprints(spark.createDataFrame(rows, "id long, pcm binary"), "pcm"), "id")
+    whole = {(r.query_id, r.class_id): tuple(r) for r in audio.align(classes, classes).collect()}
+    assert set(whole) == {(1, 2), (2, 1)} and whole[1, 2][2] == 500 * (audio.FRAME // 2) // audio.HOP == -whole[2, 1][2]
+    old = audio.BLOCK_ITEMS, audio.SHARD_ITEMS
+    try:
+        audio.BLOCK_ITEMS, audio.SHARD_ITEMS = 300, 500
+        assert {(r.query_id, r.class_id): tuple(r) for r in audio.align(classes, classes).collect()} == whole
+    finally:
+        audio.BLOCK_ITEMS, audio.SHARD_ITEMS = old
+
+
+def test_audio_rows_that_repeat_or_lack_an_id(spark):
+    v = [float(x) for x in np.random.default_rng(3).normal(size=64)]
+    df = spark.createDataFrame([(0, v), (0, v), (None, v), (7, v), (50, None), (3, [1.0]), (None, None)], "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.class_id, r.is_query, r.n_matches) for r in audio.op3_audio(df).collect()), key=repr)
+    assert got == sorted([(0, 0, True, 0), (0, 0, True, 0), (None, 0, True, 0), (7, 0, True, 0), (50, None, None, None), (3, None, None, None), (None, None, None, None)], key=repr)
+    assert audio.op3_audio(df.limit(0)).count() == 0
+
+
 def test_integral_sums_equal_plain_sums():
     x = audio.pcm16(tones([60, 64, 67, 72, 50, 55, 61, 70] * 3))
     image, (items, doubts) = audio.chroma(x[None])[0], audio.fingerprints(x[None])
