@@ -25,6 +25,8 @@ MARKS = set(
 )
 LEADING = set("ad ads advert adverts advertisement sponsored promo cookie cookies gdpr newsletter comment comments disqus related recommended share sharing social sidebar breadcrumb breadcrumbs footer nav navbar pagination".split())
 COMMENTS = set("comment comments disqus reply replies respond".split())
+#: Marks that are also names of what an article is about or built of: inside an article, and of a form around a page, they count only where they don't hold most of the text.
+DOUBTFUL = MARKS - LEADING - COMMENTS
 TITLES = {"header", "masthead"}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -55,7 +57,7 @@ def marks_of(attributes: str, inside: bool) -> tuple[str | None, list[str]]:
             found = {x for x in (parts[-1:] + [y for y in parts[:1] if y in LEADING]) if x in MARKS and not (inside and x in TITLES)}
             if found & COMMENTS:
                 mark = "c"
-            elif found and len(parts) == 1:
+            elif found and len(parts) == 1 and not (inside and found <= DOUBTFUL):
                 mark = mark or "s"
             elif found:
                 weak.append("-".join(parts))
@@ -141,7 +143,9 @@ def read_page(html: str) -> tuple[list[str], list[Block]]:
         if name in VOID or attributes.endswith("/") and name not in ARTICLE and name not in ("p", "div"):
             continue
         hard, article, mark, weak = state()
-        hard = hard or hidden or name in DROPPED or name == "header" and not article
+        hard = hard or hidden or name in DROPPED and name != "form" or name == "header" and not article
+        if name == "form":
+            own_weak = [*own_weak, "form"]
         if name in ARTICLE:
             # what holds an article is no advert; a marked article counts if there is no other
             article = max(article, ARTICLE[name])
@@ -302,14 +306,15 @@ def linky(chars: int, linked: int) -> bool:
 
 
 def exempt_marks(parts) -> set[str]:
-    """Weak marks of most of the text of parts (hard, mark, weak, chars, linked): what holds most of a page isn't beside its article."""
-    total, of = 0, {}
-    for hard, mark, weak, chars, linked in parts:
+    """Weak marks of most of the text of parts (hard, mark, weak, chars, linked, times): what holds most of a page isn't beside its article. A form must hold blocks as long as an article's."""
+    total, of, long = 0, {}, {}
+    for hard, mark, weak, chars, linked, times in parts:
         if not hard and not mark and not linky(chars, linked):
             total += chars
             for w in weak:
                 of[w] = of.get(w, 0) + chars
-    return {w for w, n in of.items() if 2 * n > total}
+                long[w] = long.get(w, 0) + chars * (chars >= LONG_BLOCK * times)
+    return {w for w, n in of.items() if 2 * n > total and (w != "form" or 2 * long[w] > n)}
 
 
 def main_blocks(blocks: list[Block], exempt: set[str] | None = None, links: dict | None = None, fixed=()) -> list[int]:
@@ -319,7 +324,7 @@ def main_blocks(blocks: list[Block], exempt: set[str] | None = None, links: dict
     count, blocks that are or aren't mostly links there, and blocks of its template.
     """
     if exempt is None:
-        exempt = exempt_marks((b.hard, b.mark, b.weak, len(b.text), b.linked) for b in blocks)
+        exempt = exempt_marks((b.hard, b.mark, b.weak, len(b.text), b.linked, 1) for b in blocks)
     free = [i for i, b in enumerate(blocks) if not b.hard and exempt.issuperset(b.weak) and i not in fixed]
     own = [i for i in free if not blocks[i].mark]
     size = [sum(len(blocks[i].text) for i in own if blocks[i].article >= level) for level in (0, 1, 2)]
@@ -449,7 +454,7 @@ def texts_of(key) -> list[str]:
 
 def host_exempt(wrapper: list) -> set[str]:
     """Weak marks that hold most of the text of a host's pages."""
-    return exempt_marks((*context_of(t), s[2], s[3]) for key, _, slots in wrapper for t, s in zip(texts_of(key), slots))
+    return exempt_marks((*context_of(t), s[2], s[3], s[4]) for key, _, slots in wrapper for t, s in zip(texts_of(key), slots))
 
 
 def slot_notes(items: list, wrapper: list, pages: int) -> tuple[list, dict]:

@@ -646,6 +646,28 @@ def test_the_wrapper_decides_on_hosts_with_pages_enough(spark):
     assert got == {k: " ".join(f"Story {k} ".split() * (20 if k else 1)) for k in range(8)}
 
 
+def test_doubtful_marks_and_forms_count_where_they_hold_little(spark):
+    """Alone on a page, and by the wrapper where the host's pages tell otherwise than the page alone does."""
+    text = lambda k: f"Page {k} tells at some length what there is to know about matter number {k}, and more."
+    own, note = text(1), "<p>Related things to look at</p>"
+    cases = [
+        (f'<article><div class="widget"><p>{own}</p></div><p>Short.</p></article>', f"{own} Short."),
+        (f'<article><p>{own}</p><div class="widget">{note}</div></article>', own),
+        (f'<article><section class="search"><p>{own}</p></section><div class="ad"><p>{own} {own}</p></div></article>', own),
+        (f'<form id="aspnetForm"><div><p>{own}</p><nav>Menu</nav></div></form>', own),
+        (f"<div><p>{own}</p></div><form><p>Subscribe now</p></form>", own),
+        ("<form><p>Log in here</p></form>", ""),
+    ]
+    for page, want in cases:
+        assert html_extract.main_text(page) == want
+    # on one page of the host the widget holds most of the text, on the others it holds what isn't the article's
+    page = lambda k, article, widget: f'<body><nav>Menu</nav><article><p>{article}</p><div class="widget"><p>{widget}</p></div></article></body>'
+    rows = [(k, "http://host.example/x", page(k, text(k), f"See {k}")) for k in range(9)] + [(9, "http://host.example/y", page(9, "Brief.", f"{text(77)} See also this."))]
+    got = {r.page_id: r.text for r in html_extract.op7_html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: text(k) for k in range(9)} | {9: "Brief."}
+    assert html_extract.main_text(rows[9][2]) != "Brief."  # the page alone would tell otherwise
+
+
 # ------------------------------------------------------------------ 8
 
 
