@@ -10,7 +10,7 @@ from ..operators import assemble, dataset, design, grid, raster, spectral
 from ..operators.grid import Grid
 from ..sources import files, quarantine, runs
 from ..sources.files import table
-from ..streaming import ingest
+from ..streaming import ingest, versions
 from .sql import AVERAGES, BYPASS, CODES, LAYERS, N, POINTS, RANKS, SAMPLES, SEED, TOLERANCE
 
 FIELDS = ("Mu_avg", "Magnetization", "Mag_Bx", "Mag_By")
@@ -384,6 +384,22 @@ def stream_completeness(spark, d):
     return ingest.drain(spark, f"{at}/in", keys.schema, 12, f"{at}/out", f"{at}/checkpoint")
 
 
+def stream_versions(spark, d):
+    """Grids that arrive a minute after the other; half an hour later those of label 9 are withdrawn, and of these again some put back."""
+    at = files.scratch(spark, "versions")
+    e = table(spark, d, "embeddings")
+    minute = lambda m: F.timestamp_seconds(F.lit(1_700_000_000) + m * 60)
+    own = e.select("vec_id", "label", F.floor(F.col("vec_id") / 12).alias("design_id"), (F.floor(F.col("vec_id") / 4) % 3).cast("int").alias("phase_idx"), F.element_at(F.array(*[F.lit(x) for x in FIELDS]), (F.col("vec_id") % 4).cast("int") + 1).alias("field"))
+    put, lost, again = (F.struct(F.lit(a).alias("action"), minute(F.col("vec_id") + k).alias("ts")) for a, k in (("put", 0), ("withdraw", 30), ("put", 45)))
+    steps = F.when(F.col("label") != 9, F.array(put)).when(F.col("vec_id") % 2 == 0, F.array(put, lost)).otherwise(F.array(again, put, lost, put))
+    rows = own.select("design_id", "phase_idx", "field", F.inline(steps))
+    most = e.agg(F.max("vec_id")).collect()[0][0] or 0
+    for k in range(3):  # files arrive in order of time, a third each
+        lo, hi = (minute(F.lit((most + 46) * x // 3)) for x in (k, k + 1))
+        rows.where((F.col("ts") >= lo) & (F.col("ts") < hi)).write.mode("append").parquet(f"{at}/in")
+    return versions.drain(spark, f"{at}/in", 12, f"{at}/out", f"{at}/checkpoint", files_at_once=1000)
+
+
 def queries() -> dict:
     f = F.col
     return {
@@ -461,4 +477,5 @@ def queries() -> dict:
         "gelu": lambda s, d: spectral.with_gelu(channels(s, d), "v", "g").withColumn("g", F.round("g", 6) + 0.0),
         "operator_score": operator_score,
         "stream_completeness": stream_completeness,
+        "stream_versions": stream_versions,
     }

@@ -316,6 +316,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT kx, ky, n, round((bb * ur - pr * vr + pi * vi) / det, 6) + 0.0 AS w1r, round((bb * ui - pr * vi - pi * vr) / det, 6) + 0.0 AS w1i, round((aa * vr - pr * ur - pi * ui) / det, 6) + 0.0 AS w2r, round((aa * vi - pr * ui + pi * ur) / det, 6) + 0.0 AS w2i FROM t""",
         "spectral_fit_many": f"{SPECTRA}, {solved(3)} " + " UNION ALL ".join(f"SELECT kx, ky, n, {k} AS ch, round(r{k}3, 6) + 0.0 AS wr, round(i{k}3, 6) + 0.0 AS wi FROM s3" for k in range(3)),
         "spectral_fit": f"{SPECTRA}, s AS (SELECT x.kx, x.ky, count(*)::BIGINT AS n, sum(x.re * x.re + x.im * x.im) AS xx, sum(y.re * x.re + y.im * x.im) AS re, sum(y.im * x.re - y.re * x.im) AS im FROM spectra x JOIN spectra y USING (sample_ix, kx, ky) WHERE x.ch = 0 AND y.ch = 2 GROUP BY ALL) SELECT kx, ky, n, round(re / (xx + 1e-6::DOUBLE), 6) + 0.0 AS wr, round(im / (xx + 1e-6::DOUBLE), 6) + 0.0 AS wi FROM s",
+        "stream_versions": f"""WITH {FIELDS}, e AS (SELECT vec_id // 12 AS design_id, vec_id % 12 AS grid, label, unnest(CASE WHEN label <> 9 THEN [(vec_id, true)] WHEN vec_id % 2 = 0 THEN [(vec_id, true), (vec_id + 30, false)] ELSE [(vec_id, true), (vec_id + 30, false), (vec_id + 45, true)] END) AS x FROM embeddings),
+          g AS (SELECT design_id, grid, max_by(x[2], x[1]) AS there, max(x[1]) AS last FROM e GROUP BY ALL)
+          SELECT design_id, sum(there::INT)::INTEGER AS n_present, sum(there::INT) >= 12 AS complete, max(last) + 120 < (SELECT max(last) FROM g) - 60 AS closed FROM g GROUP BY design_id""",
         "stream_completeness": f"WITH {FIELDS}, {EXPECTED} SELECT design_id, count(*)::BIGINT AS n_present, count(*) >= 12 AS complete FROM present GROUP BY ALL",
     }
 
