@@ -24,6 +24,8 @@ DOUBTS, MIN_VOTES = 6, 2
 #: Recordings in a block of queries and in a shard of the others, and integers in each, at most (one recording may have more); votes that a task counts at once.
 BLOCK, SHARD, VOTES = 128, 2048, 4_000_000
 BLOCK_ITEMS, SHARD_ITEMS = 32_000, 400_000
+#: Blocks and shards that meet under a key, about; fewer shards where that would make fewer keys than KEYS.
+BLOCKS_MET, SHARDS_MET, KEYS = 64, 8, 32
 #: Samples whose frames a task holds at once, about: of several recordings, or a section of a long one.
 SAMPLES = 1 << 20
 
@@ -294,34 +296,38 @@ def errors(a, b, offset: int) -> tuple[float, int]:
 
 def _aligned(exact):
     def run(batches):
-        """One block of queries against one shard a row."""
+        """Rows by key, its shards (block false) before its blocks: the shards are held, and each block meets all of them."""
         import numpy as np
         import pyarrow as pa
 
-        names, last, probes = ["query_id", "class_id", "offset", "votes", "bit_error", "overlap"], None, None
+        names, kinds = ["query_id", "class_id", "offset", "votes", "bit_error", "overlap"], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64())
+        last, shards = None, []
         for batch in batches:
             col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             for row in range(batch.num_rows):
-                read = lambda c, kind, r=row: np.frombuffer(col[c][r].as_buffer(), kind)
-                if last != (block := col["q_ids"][row].as_py()):
-                    last, probes = block, Probes(read("q_ids", "<i8"), read("q_ends", "<i8"), read("q_items", "<u4"), read("q_doubts", "<u4"))
+                read = lambda c, kind, r=row: np.frombuffer(col[c][r].as_py(), kind)
                 ids, ends, items = read("ids", "<i8"), read("ends", "<i8"), read("items", "<u4")
-                sizes = np.diff(np.append(0, ends))
-                prints, recording = np.split(items, ends[:-1]), np.repeat(np.arange(len(ids)), sizes)
-                place = np.arange(len(items)) - np.repeat(ends - sizes, sizes)
-                # of a run of one value, as silence makes, the first place is looked up; queries hold all of theirs
-                first = np.append(True, items[1:] != items[:-1]) | (place == 0)
-                span = int(max(sizes.max(initial=0), max(map(len, probes.prints), default=0))) + 1
-                tried = probes.every(prints) if exact else probes.votes(items[first], recording[first], place[first], len(ids), span)
-                best: dict = {}
-                for q, c, offset, votes in tried:
-                    if probes.ids[q] != ids[c]:
-                        error, n = errors(probes.prints[q], prints[c], offset)
-                        if n >= MIN_OVERLAP and error <= MAX_ERROR:
-                            best[q, c] = min(best.get((q, c), (2.0,)), (error, -n, offset, votes))
-                rows = [(int(probes.ids[q]), int(ids[c]), offset, votes, error, -n) for (q, c), (error, n, offset, votes) in best.items()]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+                if last != (key := col["key"][row].as_py()):
+                    last, shards = key, []
+                if not col["block"][row].as_py():
+                    sizes = np.diff(np.append(0, ends))
+                    recording, place = np.repeat(np.arange(len(ids)), sizes), np.arange(len(items)) - np.repeat(ends - sizes, sizes)
+                    # of a run of one value, as silence makes, the first place is looked up; queries hold all of theirs
+                    first = np.append(True, items[1:] != items[:-1]) | (place == 0)
+                    shards.append((ids, np.split(items, ends[:-1]), items[first], recording[first], place[first]))
+                    continue
+                probes = Probes(ids, ends, items, read("doubts", "<u4")) if shards else None
+                for others, prints, found, recording, place in shards:
+                    span = max(max(map(len, prints), default=0), max(map(len, probes.prints), default=0)) + 1
+                    tried = probes.every(prints) if exact else probes.votes(found, recording, place, len(others), span)
+                    best: dict = {}
+                    for q, c, offset, votes in tried:
+                        if ids[q] != others[c]:
+                            error, n = errors(probes.prints[q], prints[c], offset)
+                            if n >= MIN_OVERLAP and error <= MAX_ERROR:
+                                best[q, c] = min(best.get((q, c), (2.0,)), (error, -n, offset, votes))
+                    rows = [(int(ids[q]), int(others[c]), offset, votes, error, -n) for (q, c), (error, n, offset, votes) in best.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     return tidy(run)
 
@@ -343,8 +349,10 @@ def align(queries: DataFrame, classes: DataFrame, exact: bool = False) -> DataFr
     equal to one of the query's as it is or with some of its doubtful bits flipped; with
     exact, all offsets of all pairs are.
 
-    Blocks of queries meet shards of the others: a shard is sent once, a block to each
-    key of shards, votes are counted where they meet, and only alignments come out.
+    Blocks of queries meet shards of the others under keys: SHARDS_MET shards and
+    BLOCKS_MET blocks a key, each sent once for each group of the others that it meets.
+    They are put one below the other, not joined, so nothing is sent to the driver or to
+    all tasks; votes are counted where they meet, and only alignments come out.
     Blocks and shards are bounded by integers as well as recordings, and a long query's
     probes are made a part at a time, so minutes or hours of sound take no more memory.
 
@@ -353,13 +361,16 @@ def align(queries: DataFrame, classes: DataFrame, exact: bool = False) -> DataFr
     """
     packed = "ids binary, ends binary, items binary, doubts binary"
     pick = lambda df: df.where("class_id IS NOT NULL").select("class_id", "fingerprint", "doubts")
-    keys = max(1, -(-classes.count() // SHARD))
-    blocks = materialize(pick(queries).mapInArrow(_packed(BLOCK, BLOCK_ITEMS), packed), "query-blocks").withColumnsRenamed({c: f"q_{c}" for c in ("ids", "ends", "items", "doubts")})
-    blocks = blocks.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(keys - 1))))
-    shards = materialize(pick(classes).mapInArrow(_packed(SHARD, SHARD_ITEMS), packed), "shards").drop("doubts").withColumn("key", F.pmod(F.xxhash64("ids"), F.lit(keys)).cast("int"))
-    # not put together: a shard takes long for its bytes
-    tiles = shards.repartition(keys, "key").join(blocks, "key")
-    return tiles.drop("key").sortWithinPartitions("q_ids").mapInArrow(_aligned(exact), "query_id long, class_id long, offset int, votes long, bit_error double, overlap long")
+    blocks, shards = (materialize(pick(df).mapInArrow(_packed(size, most), packed), name) for df, size, most, name in ((queries, BLOCK, BLOCK_ITEMS, "query-blocks"), (classes, SHARD, SHARD_ITEMS, "shards")))
+    n_shards = shards.count()
+    rows, cols = max(1, -(-n_shards // max(1, min(SHARDS_MET, n_shards // KEYS)))), max(1, -(-blocks.count() // BLOCKS_MET))
+    group, each = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    shards = shards.withColumns({"row": group(rows), "col": each(cols), "block": F.lit(False), "doubts": F.lit(None).cast("binary")})
+    blocks = blocks.withColumns({"row": each(rows), "col": group(cols), "block": F.lit(True)})
+    tiles = shards.unionByName(blocks).withColumn("key", F.col("row") * cols + F.col("col")).drop("row", "col")
+    # not put together: a key takes long for its bytes
+    tiles = tiles.repartition(2 * rows * cols, "key").sortWithinPartitions("key", "block")
+    return tiles.mapInArrow(_aligned(exact), "query_id long, class_id long, offset int, votes long, bit_error double, overlap long")
 
 
 def op3_audio(vectors: DataFrame) -> DataFrame:
@@ -377,9 +388,10 @@ def op3_audio(vectors: DataFrame) -> DataFrame:
     prints = materialize(with_fingerprints(vectors.select("vec_id", "embedding"), "embedding", melody).withColumn("fp_hash", F.when(F.octet_length("fingerprint") > 0, F.unhex(F.md5("fingerprint")))), "fingerprints")
     classes = materialize(classes_of(prints, "vec_id"), "classes")
     asked = prints.where("vec_id % 50 = 0").select("fp_hash").distinct()
-    queries = materialize(classes.join(asked, "fp_hash", "left_semi").select("class_id", "fingerprint", "doubts"), "queries")
+    # sorted at every size: what is broadcast goes through the driver
+    queries = materialize(classes.join(asked.hint("merge"), "fp_hash", "left_semi").select("class_id", "fingerprint", "doubts"), "queries")
     found = materialize(align(queries, classes), "aligned")
     best = found.groupBy("class_id").agg(F.count("*").alias("n_matches"), F.min(F.struct("bit_error", "query_id", "offset", "votes")).alias("b"))
-    known = classes.select("fp_hash", "class_id").join(best, "class_id", "left").join(queries.select("class_id", F.lit(True).alias("is_query")), "class_id", "left")
+    known = classes.select("fp_hash", "class_id").join(best.hint("merge"), "class_id", "left").join(queries.select("class_id", F.lit(True).alias("is_query")).hint("merge"), "class_id", "left")
     known = materialize(known.select("fp_hash", "class_id", F.coalesce("is_query", F.lit(False)).alias("is_query"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.col("b.query_id").alias("best_query"), F.col("b.offset").alias("best_offset"), F.col("b.votes").alias("best_votes"), F.col("b.bit_error").alias("best_error")), "known")
-    return prints.select("vec_id", (F.octet_length("fingerprint") / 4).cast("long").alias("n_items"), "fp_hash").join(known, "fp_hash", "left").drop("fp_hash")
+    return prints.select("vec_id", (F.octet_length("fingerprint") / 4).cast("long").alias("n_items"), "fp_hash").join(known.hint("merge"), "fp_hash", "left").drop("fp_hash")

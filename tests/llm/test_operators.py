@@ -197,6 +197,22 @@ def test_alignment_finds_what_all_offsets_find(spark):
         assert len(own) >= 6 and sum(p in got for p in own) >= 0.9 * len(own)
 
 
+def test_audio_sends_nothing_through_the_driver(spark, monkeypatch):
+    """No table is broadcast, whatever its size; and blocks and shards that meet under few keys or many align alike."""
+    v = [[float(x) for x in np.random.default_rng(k // 3).normal(size=64)][: 64 - k % 3 * 5] for k in range(60)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    classes = audio.classes_of(audio.with_fingerprints(df, "embedding", audio.melody), "vec_id").cache()
+    found = audio.align(classes, classes)
+    assert "Broadcast" not in plan(found) and "Broadcast" not in plan(audio.op3_audio(df))
+    want = sorted(map(tuple, found.collect()))
+    assert len(want) >= 60
+    for name, n in (("BLOCK", 7), ("SHARD", 5), ("BLOCKS_MET", 2), ("SHARDS_MET", 3), ("KEYS", 2)):
+        monkeypatch.setattr(audio, name, n)
+    assert sorted(map(tuple, audio.align(classes, classes).collect())) == want
+    classes.unpersist()
+
+
 def test_audio_query(spark):
     rng = random.Random(9)
     song = [rng.random() for _ in range(64)]
