@@ -39,3 +39,20 @@ def test_cells_away_from_edges_hold_their_centres_flags(spark, small, monkeypatc
 def test_a_level_of_parts_at_least(spark, small):
     p = q.phases(spark, small).where("design_id < 2")
     assert raster.refined_fractions(p, Grid(n_r=4, n_a=12), 1.0).agg(F.max("n_parts")).collect()[0][0] == 4
+
+
+@pytest.mark.parametrize(("g", "k"), [(Grid(n_r=4, n_a=12), 64), (Grid(n_r=7, n_a=31, ang_1=-10.0, ang_2=75.0), 32), (Grid(n_r=3, n_a=40), 1024)])
+def test_totals_equal_points_as_rows(spark, small, g, k):
+    """The grid's sums of shares, for designs of two slot pitches; angles that come again with the slots, and others."""
+    p = q.phases(spark, small).where("design_id < 12").withColumn("number_stator_slots", F.when(F.col("design_id") % 3 == 0, 24).otherwise(F.col("number_stator_slots"))).orderBy("phase_deg")
+    want = raster.point_fractions(p, g, k).groupBy("design_id", "phase_idx").agg(*[F.sum(f).alias(f) for f in raster.FLAGS])
+    got = raster.area_totals(p, g, k)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_area_fractions_are_of_the_whole_grid(spark, small):
+    """The query's shares against the cells of the reference's 80 x 240 grid, made one by one."""
+    got = {r[:2]: r[2:] for r in q.queries()["area_fractions"](spark, small).where("design_id < 2").select("design_id", "phase_idx", *raster.FLAGS).collect()}
+    cells = raster.area_fractions(q.phases(spark, small).where("design_id < 2"), Grid(), 64)
+    sums = cells.groupBy("design_id", "phase_idx").agg(F.count("*").alias("n"), *[F.sum(f) for f in raster.FLAGS]).collect()
+    assert len(got) == 6 and {r.n for r in sums} == {80 * 240} and {r[:2]: r[3:] for r in sums} == got
