@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldgrid.functions import regions, shares
 from fieldgrid.operators import raster
 from fieldgrid.operators.grid import Grid
 from fieldgrid.plans import queries as q
@@ -56,3 +57,24 @@ def test_area_fractions_are_of_the_whole_grid(spark, small):
     cells = raster.area_fractions(q.phases(spark, small).where("design_id < 2"), Grid(), 64)
     sums = cells.groupBy("design_id", "phase_idx").agg(F.count("*").alias("n"), *[F.sum(f) for f in raster.FLAGS]).collect()
     assert len(got) == 6 and {r.n for r in sums} == {80 * 240} and {r[:2]: r[3:] for r in sums} == got
+
+
+@pytest.mark.parametrize(("g", "tolerance"), [(Grid(n_r=4, n_a=12), 1 / 64), (Grid(n_r=7, n_a=31, ang_1=-10.0, ang_2=75.0), 1 / 16), (Grid(n_r=3, n_a=16), 1.0)])
+def test_few_parts_are_computed_whole(spark, small, monkeypatch, g, tolerance):
+    """As if they were split and picked, with what doesn't turn once a design and slot pitch."""
+    p = regions.with_radii(q.phases(spark, small).where("design_id < 12")).orderBy("design_id", "phase_idx").toPandas()
+    c = {x: p[x].to_numpy(float) for x in shares.COLUMNS}
+    rings, angles = (np.arange(g.n_r) + 0.5) * g.dr + g.r_in, (np.arange(g.n_a) + 0.5) * g.da + g.ang_1
+    points, still = [], shares._Points.still
+    monkeypatch.setattr(shares._Points, "still", lambda self, rho: points.append(len(self.r)) or still(self, rho))
+    got = shares.refined(c, rings, angles, g.disk, tolerance)
+    last = shares._last_level(tolerance)
+    assert sum(points) == 12 * g.n_r * shares._period(angles, 10.0) * sum(4**k for k in range(last + 1))
+    monkeypatch.setattr(shares, "WHOLE", 0)
+    want = shares.refined(c, rings, angles, g.disk, tolerance)
+    for name in ("code", "n_parts", "f_open"):
+        assert (got[name] == want[name]).all()
+    for name in raster.FLAGS:
+        assert np.abs(got[name] - want[name]).max() < 1e-14
+    if tolerance == 1 / 64:
+        assert 10 * sum(points[: last + 1]) < want["n_parts"].sum()
