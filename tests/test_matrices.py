@@ -1,5 +1,6 @@
 """Matrix files of a table that is one file."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldgrid.plans import queries as q
@@ -14,3 +15,53 @@ def test_matrices_are_written_by_many_tasks(spark, small, tmp_path):
     assert tasks.distinct().count() == 8  # a design is one task's
     got = files.read_matrices(spark, f"file://{tmp_path}/m")
     assert got.select("field", "design_id", "phase_idx", "values").exceptAll(f.select("field", "design_id", "phase_idx", "values")).count() == 0
+
+
+def same(a, b):
+    cols = ["field", "design_id", "phase_idx", "values"]
+    return a.select(cols).exceptAll(b.select(cols)).count() == 0 == b.select(cols).exceptAll(a.select(cols)).count()
+
+
+def test_tasks_make_local_files_themselves(spark, small, tmp_path, monkeypatch):
+    """Spark's writer, which starts processes for each local file, is not used; the folders and texts are those that it makes, of odd names and keys that repeat or are null too."""
+    from pyspark.sql import DataFrameWriter
+
+    f = q.fields(spark, small).where("design_id < 4").drop("label")
+    odd = F.when(F.col("phase_idx") == 0, "a b/c=1%é+").when(F.col("phase_idx") == 1, F.lit(None).cast("string")).otherwise(F.col("field"))
+    f = f.unionByName(f.where("design_id = 2").withColumn("field", odd).withColumn("design_id", F.when(F.col("phase_idx") > 0, F.col("design_id"))))
+    keys = ["field", "design_id", "phase_idx"]
+    f.repartition(4, "design_id").select(*keys, files.matrix_text(F.col("values"), F.col("n_r"), F.col("n_a")).alias("value")).write.partitionBy(*keys).text(f"file://{tmp_path}/spark")
+    monkeypatch.setattr(DataFrameWriter, "text", None)
+    files.write_matrices(f, f"file://{tmp_path}/own")
+
+    def texts(name):
+        root = tmp_path / name
+        found = [p for p in root.rglob("*") if p.is_file() and p.name[0] not in "._"]
+        return sorted((str(p.parent.relative_to(root)), sorted(p.read_text().split("\n"))) for p in found)
+
+    assert texts("own") == texts("spark") and len(texts("own")) > 48
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith(".")] == []
+    own, made = (files.read_matrices(spark, f"file://{tmp_path}/{x}") for x in ("own", "spark"))
+    assert own.count() == made.count() == len(texts("own")) and own.where("field = 'a b/c=1%é+' AND design_id IS NULL").count() == own.where("field IS NULL AND design_id = 2").count() == 1
+    with pytest.raises(FileExistsError):
+        files.write_matrices(f, f"file://{tmp_path}/own")
+
+
+def test_a_failed_write_leaves_nothing(spark, small, tmp_path):
+    f = q.fields(spark, small).withColumn("n_r", F.when(F.col("design_id") == 7, F.raise_error("spoilt").cast("int")).otherwise(F.col("n_r")))
+    with pytest.raises(Exception, match="spoilt"):
+        files.write_matrices(f, f"file://{tmp_path}/m")
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_no_grids_and_other_stores(spark, small, tmp_path):
+    f = q.fields(spark, small).where("design_id < 2").drop("label")
+    files.write_matrices(f.limit(0), f"file://{tmp_path}/none")
+    assert files.read_matrices(spark, f"file://{tmp_path}/none").count() == 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.matrices.link./m", f"file://{tmp_path}")
+    files.write_matrices(f, "viewfs://matrices/m/far")
+    assert same(files.read_matrices(spark, "viewfs://matrices/m/far"), f)
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    files.listing(spark, "viewfs://matrices/m/far")
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
