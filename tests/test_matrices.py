@@ -65,3 +65,16 @@ def test_no_grids_and_other_stores(spark, small, tmp_path):
     before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
     files.listing(spark, "viewfs://matrices/m/far")
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+@pytest.mark.parametrize("codec", ["none", "gzip"])
+def test_tasks_list_and_read_local_folders(spark, small, tmp_path, codec):
+    """No list of all files is made in the driver; of Spark's own folders neither, packed or not."""
+    f, keys = q.fields(spark, small).where("design_id < 6").drop("label"), ["field", "design_id", "phase_idx"]
+    f.select(*keys, files.matrix_text(F.col("values"), F.col("n_r"), F.col("n_a")).alias("value")).write.partitionBy(*keys).option("compression", codec).text(f"file://{tmp_path}/spark")
+    got = files.read_matrices(spark, f"file://{tmp_path}/spark")
+    assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
+    assert same(got, f) and got.count() == 72
+    (tmp_path / "spark" / "Mu_avg_9_p1.csv").write_text("1,2\n3,4")
+    mixed = files.read_matrices(spark, f"file://{tmp_path}/spark")  # other layouts are Spark's to read
+    assert "FileScan" in mixed._jdf.queryExecution().executedPlan().toString()
